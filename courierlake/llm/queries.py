@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_sentencepiece, chat_spans, html_blocks, quality_fm, quality_rules, warc_normalise
+from . import bpe_sentencepiece, bwt_dedup, chat_spans, cover_dedup, html_blocks, quality_fm, quality_rules, warc_normalise
 
 RANKS = "byte_bpe_50k.tiktoken"
 PLANTED_CHAT = "\\### Assistant: </turn> ok"
@@ -26,6 +26,10 @@ def op3_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_blocks.extract(table(spark, sf_dir, "pages"))
 
 
+def op4_cover_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cover_dedup.remove_repeats_digest(table(spark, sf_dir, "documents"))
+
+
 def op5_sentencepiece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_sentencepiece.round_trip_digests(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
 
@@ -34,6 +38,10 @@ def op6_distribution_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents")).drop("char_distance", "word_distance")
 
 
+def op7_bwt_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bwt_dedup.remove_common_digest(table(spark, sf_dir, "documents"))
+
+
 def op9_chat_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     planted = spark.createDataFrame([(-7, 0, "user", PLANTED_CHAT), (-7, 1, "assistant", PLANTED_CHAT)], rows.schema)
@@ -47,7 +55,7 @@ def op10_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_factorisation_machine, op3_html_blocks, op5_sentencepiece_bpe, op6_distribution_rules, op9_chat_spans, op10_warc_normaliser)}
+    return {f.__name__: f for f in (op2_factorisation_machine, op3_html_blocks, op4_cover_anchors, op5_sentencepiece_bpe, op6_distribution_rules, op7_bwt_intervals, op9_chat_spans, op10_warc_normaliser)}
 
 
 def oracle_sql() -> dict[str, str]:
