@@ -82,14 +82,16 @@ def count_of(text: Column, pattern: str) -> Column:
     return F.regexp_count(text, F.lit(pattern))
 
 
-def measures(docs: DataFrame) -> DataFrame:
-    """doc_id, the base counts, both distances and whether each applies, one row per input row."""
-    words = id_text(docs).select("doc_id", "text", words_of(F.col("text")).alias("words"))
+def measures(docs: DataFrame, carry: str | None = None) -> DataFrame:
+    """doc_id, the column to carry along if any, the base counts and both distances (null: too short), one row per input row."""
+    own = (carry,) if carry else ()
+    words = id_text(docs, carry=carry).select("doc_id", *own, "text", words_of(F.col("text")).alias("words"))
     listed = sorted({w for share in COMMON_WORDS.values() for w in share})
     n = F.size("words")
     common = F.filter("words", lambda w: w.isin([*listed, *map(str.capitalize, listed)]))
     counts = words.select(
         "doc_id",
+        *own,
         n.alias("n_words"),
         F.length("text").alias("n_chars"),
         F.length(F.array_join("words", "")).alias("word_chars"),
@@ -105,6 +107,7 @@ def measures(docs: DataFrame) -> DataFrame:
     counts = counts.select(*rest, F.slice("hashes", 1, F.greatest(F.size("hashes") - (WINDOW - 1), F.lit(0))).alias("windows"))
     told = counts.select(
         "doc_id",
+        *own,
         "n_words",
         "n_chars",
         "word_chars",
@@ -125,7 +128,7 @@ def measures(docs: DataFrame) -> DataFrame:
         "points": F.col("points"),
         "others": F.col("others"),
     }
-    base = ("doc_id", "n_words", "n_chars", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    base = ("doc_id", *own, "n_words", "n_chars", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
     per_char, per_word = F.greatest(F.col("n_chars"), F.lit(1)), F.greatest(F.col("n_words"), F.lit(1))
     told = told.select(
         *base,
@@ -156,15 +159,16 @@ def measures(docs: DataFrame) -> DataFrame:
     longs = [F.col(c).cast("long").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
     return told.select(
         "doc_id",
+        *own,
         *longs,
         F.when(F.col("n_chars") >= MIN_CHARS, js_distance(F.col("by_class"), F.col("class_reference"))).alias("char_distance"),
         F.when(F.col("n_words") >= MIN_WORDS, js_distance(F.col("by_word"), F.col("word_reference"))).alias("word_distance"),
     )
 
 
-def quality_rules(docs: DataFrame) -> DataFrame:
-    """doc_id, base counts, base_failed, kept and the two distances (null: too short to compare)."""
+def quality_rules(docs: DataFrame, carry: str | None = None) -> DataFrame:
+    """doc_id, base counts, base_failed, kept and the two distances (null: too short to compare), with the column to carry along if any."""
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     fits = F.coalesce(F.col("char_distance") <= MAX_CHAR_DISTANCE, F.lit(True)) & F.coalesce(F.col("word_distance") <= MAX_WORD_DISTANCE, F.lit(True))
-    found = measures(docs)
+    found = measures(docs, carry)
     return found.select(*found.columns, failed.alias("base_failed"), (~failed & fits).alias("kept"))

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_sentencepiece, bwt_dedup, chat_spans, cover_dedup, html_blocks, quality_fm, quality_rules, warc_normalise
+from . import bpe_sentencepiece, bwt_dedup, chat_spans, cover_dedup, decontaminate, html_blocks, ngram_join, quality_fm, quality_rules, warc_normalise
 
 RANKS = "byte_bpe_50k.tiktoken"
 PLANTED_CHAT = "\\### Assistant: </turn> ok"
@@ -18,6 +18,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_template_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_factorisation_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_fm.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -42,6 +46,10 @@ def op7_bwt_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bwt_dedup.remove_common_digest(table(spark, sf_dir, "documents"))
 
 
+def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_classes(table(spark, sf_dir, "documents"))
+
+
 def op9_chat_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     planted = spark.createDataFrame([(-7, 0, "user", PLANTED_CHAT), (-7, 1, "assistant", PLANTED_CHAT)], rows.schema)
@@ -54,8 +62,14 @@ def op10_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_normalise.read_records(index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_factorisation_machine, op3_html_blocks, op4_cover_anchors, op5_sentencepiece_bpe, op6_distribution_rules, op7_bwt_intervals, op9_chat_spans, op10_warc_normaliser)}
+    return {f.__name__: f for f in (op1_template_leaks, op2_factorisation_machine, op3_html_blocks, op4_cover_anchors, op5_sentencepiece_bpe, op6_distribution_rules, op7_bwt_intervals, op8_ngram_jaccard, op9_chat_spans, op10_warc_normaliser, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:

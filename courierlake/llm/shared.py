@@ -57,9 +57,10 @@ def drop(df: DataFrame) -> None:
             path.getFileSystem(conf).delete(path, True)
 
 
-def id_text(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The two columns an operator reads, whatever else the table has; a null text is empty."""
+def id_text(df: DataFrame, key: str = "doc_id", text: str = "text", carry: str | None = None) -> DataFrame:
+    """The columns an operator reads, whatever else the table has; a null text is empty."""
     return df.select(
+        *([df[carry]] if carry else []),
         df[key].cast("long").alias("doc_id"),
         F.coalesce(df[text].cast("string"), F.lit("")).alias("text"),
     )
