@@ -250,7 +250,8 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     fields = "bucket long, one long, other long, block long, band int, rep long, copies long, bands array<long>"
     member = cut(dealt.repartition(*GROUP).sortWithinPartitions(*GROUP).mapInArrow(needed, fields))
     drop(sizes)
-    with_text = member.join(known.dropDuplicates(["doc_id"]), member["rep"] == F.col("doc_id")).drop("doc_id")
+    # merged at every size: texts are shuffled once, whether or not the members would fit a broadcast
+    with_text = member.hint("merge").join(known.dropDuplicates(["doc_id"]), member["rep"] == F.col("doc_id")).drop("doc_id")
     found = cut(with_text.repartition(*GROUP).sortWithinPartitions(*GROUP).mapInArrow(verified, "rep long, texts long, documents long, root long"))
     drop(member)
     links = found.groupBy("rep").agg(F.sum("texts").alias("texts"), F.sum("documents").alias("documents"))
