@@ -184,8 +184,10 @@ def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([(n, pa.int64()) for n in ("rep", "texts", "documents", "root")])
     up, down = THRESHOLD
     for group in grouped(batches, GROUP):
-        if group.num_rows < 2:
+        _, once = np.unique(group.column("rep").to_numpy(), return_index=True)
+        if len(once) < 2:
             continue
+        group = group.take(pa.array(np.sort(once)))  # rows that repeat a doc_id come once
         a, b = own_pairs(group)
         grams, at, _ = gram_hashes(*wh.flat(group.column("text")))
         sets = [np.unique(grams[x:y]) for x, y in zip(at, at[1:], strict=False)]
@@ -251,7 +253,7 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     member = cut(dealt.repartition(*GROUP).sortWithinPartitions(*GROUP).mapInArrow(needed, fields))
     drop(sizes)
     # merged at every size: texts are shuffled once, whether or not the members would fit a broadcast
-    with_text = member.hint("merge").join(known.dropDuplicates(["doc_id"]), member["rep"] == F.col("doc_id")).drop("doc_id")
+    with_text = member.hint("merge").join(known, member["rep"] == F.col("doc_id")).drop("doc_id")
     found = cut(with_text.repartition(*GROUP).sortWithinPartitions(*GROUP).mapInArrow(verified, "rep long, texts long, documents long, root long"))
     drop(member)
     links = found.groupBy("rep").agg(F.sum("texts").alias("texts"), F.sum("documents").alias("documents"))
