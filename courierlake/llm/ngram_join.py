@@ -243,9 +243,11 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     known = id_text(docs).where("doc_id is not null")
     signed = cut(known.mapInArrow(signed_texts, "doc_id long, t1 long, t2 long, bands array<long>").dropDuplicates(["doc_id"]))
     classes = cut(signed.groupBy("t1", "t2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.min("bands").alias("bands")))
-    buckets = classes.select("rep", "copies", "bands", F.posexplode("bands").alias("band", "bucket"))
+    buckets = classes.select("rep", F.posexplode("bands").alias("band", "bucket"))
     sizes = cut(buckets.groupBy("bucket", "band").count().where("count > 1"))
-    dealt = buckets.join(sizes, ["bucket", "band"]).select("*", F.ceil(F.col("count") / BLOCK).alias("blocks"))
+    # merged at every size, and without the lists of bands: only members of shared buckets fetch theirs
+    shared = buckets.join(sizes.hint("merge"), ["bucket", "band"])
+    dealt = shared.join(classes.select("rep", "copies", "bands").hint("merge"), "rep").select("*", F.ceil(F.col("count") / BLOCK).alias("blocks"))
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
     dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     dealt = dealt.select("bucket", F.least("block", "with").alias("one"), F.greatest("block", "with").alias("other"), "block", "band", "rep", "copies", "bands")
