@@ -91,7 +91,7 @@ class Featuriser:
         known = self.buckets
         if len(known) > 500_000:
             known.clear()
-        for w in counts.keys() - known.keys():
+        for w in [w for w in counts if w not in known]:
             known[w] = zlib.crc32(w.lower().strip(".,;:!?\"'()").encode("utf-8", "replace")) % BUCKETS
         at = np.fromiter(map(known.__getitem__, counts), dtype=np.int64, count=len(counts))
         n = np.bincount(at, weights=np.fromiter(counts.values(), dtype=np.float64, count=len(counts))) if len(at) else np.zeros(0)
