@@ -8,12 +8,14 @@ the same offset from their starts, whatever their positions.
 
 1. Count anchor hashes (combined before the shuffle); keep those found twice.
 2. Bring the anchors of kept hashes back to their documents.
-3. Extend each anchor to the windows around it, with 128-bit hashes.
+3. Extend each anchor to the windows around it. Count these by a 64-bit hash and
+   keep the windows found twice, with 128-bit hashes: most windows around a
+   shared anchor occur once and are not worth storing or sorting.
 4. Find each window's first occurrence (smallest doc_id, then start); other
    occurrences are flagged, gathered by document, and their words removed.
 
-Each phase ends in a table in the shared folder. Phases 2 and 4 join by hash
-on plain scans of such tables, so the adaptive planner can split a hash that a
+Each phase ends in a table in the shared folder. Phases 2, 3 and 4 join by hash
+with nothing hashed before, so the adaptive planner can split a hash that a
 third of all documents share; every aggregate before a shuffle is a partial
 one, and what a document gathers is bounded by its own length.
 
@@ -69,23 +71,35 @@ def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield rows_of(schema, h=wh.signed(h), doc_id=b.column("doc_id").to_numpy()[text], place=place.astype(np.int32))
 
 
+def around(b: pa.RecordBatch, which: tuple[int, ...]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """(hashes by each multiplier, text number, start) of all windows around shared anchors."""
+    data, offsets = wh.flat(b.column("text"))
+    start, end, first = wh.words(data, offsets)
+    n = np.diff(first)
+    lists = b.column("places")
+    text = np.repeat(np.arange(b.num_rows), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+    place = np.minimum(lists.flatten().to_numpy(), n[text])
+    wanted = np.zeros(len(start) + 1, dtype=bool)
+    low, high = np.maximum(place - PERIOD + 1, 0), np.minimum(place, n[text] - WINDOW)
+    wanted[wh.ranges(first[text] + low, first[text] + high + 1)] = True
+    at = np.flatnonzero(wanted)
+    owner = np.searchsorted(first, at, side="right") - 1
+    return [wh.signed(wh.windows(wh.prefix(wh.word_hashes(data, start, end, k), k), at, at + WINDOW, k)) for k in which], owner, at - first[owner]
+
+
+def window_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """64-bit hashes of all windows around shared anchors."""
+    schema = pa.schema([("k1", pa.int64())])
+    for b in slices(batches):
+        yield rows_of(schema, k1=around(b, (0,))[0][0])
+
+
 def extended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """128-bit hashes of all windows around shared anchors."""
+    """128-bit hashes and places of all windows around shared anchors."""
     schema = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int32())])
     for b in slices(batches):
-        data, offsets = wh.flat(b.column("text"))
-        start, end, first = wh.words(data, offsets)
-        n = np.diff(first)
-        lists = b.column("places")
-        text = np.repeat(np.arange(b.num_rows), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
-        place = np.minimum(lists.flatten().to_numpy(), n[text])
-        wanted = np.zeros(len(start) + 1, dtype=bool)
-        low, high = np.maximum(place - PERIOD + 1, 0), np.minimum(place, n[text] - WINDOW)
-        wanted[wh.ranges(first[text] + low, first[text] + high + 1)] = True
-        at = np.flatnonzero(wanted)
-        owner = np.searchsorted(first, at, side="right") - 1
-        keys = [wh.signed(wh.windows(wh.prefix(wh.word_hashes(data, start, end, k), k), at, at + WINDOW, k)) for k in (0, 1)]
-        yield rows_of(schema, k1=keys[0], k2=keys[1], doc_id=b.column("doc_id").to_numpy()[owner], start=(at - first[owner]).astype(np.int32))
+        (k1, k2), owner, start = around(b, (0, 1))
+        yield rows_of(schema, k1=k1, k2=k2, doc_id=b.column("doc_id").to_numpy()[owner], start=start.astype(np.int32))
 
 
 def flagged_starts(docs: DataFrame) -> DataFrame:
@@ -95,8 +109,12 @@ def flagged_starts(docs: DataFrame) -> DataFrame:
     found = known.mapInArrow(places, "h long, doc_id long, place int").join(kept, "h", "left_semi")
     shared = cut(found.groupBy("doc_id").agg(F.collect_list("place").alias("places")))
     drop(kept)
-    windows = cut(known.join(shared, "doc_id").mapInArrow(extended, "k1 long, k2 long, doc_id long, start int"))
+    texts = cut(known.join(shared, "doc_id"))
     drop(shared)
+    twice = cut(texts.mapInArrow(window_hashes, "k1 long").groupBy("k1").count().where("count > 1").select("k1"))
+    windows = cut(texts.mapInArrow(extended, "k1 long, k2 long, doc_id long, start int").join(twice, "k1", "left_semi"))
+    drop(texts)
+    drop(twice)
     first = windows.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("n")).where("n > 1")
     first = cut(first.select("k1", "k2", F.col("first.doc_id").alias("first_doc"), F.col("first.start").alias("first_start")))
     later = windows.join(first, ["k1", "k2"]).where("doc_id != first_doc or start != first_start")
