@@ -14,11 +14,11 @@ occurrence are consecutive: they form a segment of less than 2 * LEAST bytes.
    such a segment goes as a whole.
 4. Where an anchor has several different segments, one text of each goes to the
    shard of its anchor. There the Burrows-Wheeler transform of the shard's
-   segments is expanded breadth-first: level by level, boundaries of intervals
-   with a common prefix of n bytes are extended backward by one byte through
-   the transform and give those of n + 1, stopping at LEAST. What is then still
-   together shares LEAST bytes; a start is flagged if its interval has a smaller
-   doc_id.
+   segments, sorted by a few codes more than LEAST, is expanded breadth-first:
+   level by level, boundaries of intervals with a common prefix of n bytes are
+   extended backward by one byte through the transform and give those of n + 1,
+   stopping at LEAST. What is then still together shares LEAST bytes; a start is
+   flagged if its interval has a smaller doc_id.
 5. Flags go back to all occurrences by a join and are gathered by document.
 
 A shard batch is closed at SHARD_BYTES; an anchor with more than HOT different
@@ -124,26 +124,39 @@ def texts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield rows_of(schema, h=h[own], k=k[own], doc_id=ids[text[own]], segment=pa.nulls(len(own), pa.binary()), i=(s - start[own]).astype(np.int32), w1=w[0], w2=w[1])
 
 
-def suffix_array(codes: np.ndarray) -> np.ndarray:
-    """Suffixes in order, by prefix doubling from nine-bit codes; the last code is the only 0."""
+def suffix_array(codes: np.ndarray, depth: int) -> np.ndarray:
+    """Suffixes in order of their first `depth` codes or more, by prefix doubling from nine-bit codes; the last code is the only 0.
+
+    Suffixes that agree that far may stand in any order: the expansion stops
+    before it could tell. Each round sorts only those that still agree with a
+    neighbour.
+    """
     n = len(codes)
     padded = np.concatenate([codes.astype(np.int64), np.zeros(7, dtype=np.int64)])
-    key = np.zeros(n, dtype=np.int64)
-    for j in range(7):
+    key = padded[:n].copy()
+    for j in range(1, 7):
         key = key << 9 | padded[j : j + n]
+    order = np.argsort(key)
+    ordered = key[order]
+    first = np.ones(n, dtype=bool)
+    first[1:] = ordered[1:] != ordered[:-1]
+    rank = np.full(n + 1, -1, dtype=np.int64)  # where the suffix's group begins; -1 past the end
+    rank[order] = np.maximum.accumulate(np.where(first, np.arange(n), 0))
     step = 7
-    while True:
-        order = np.argsort(key, kind="stable")
-        ordered = key[order]
-        rank_of = np.zeros(n, dtype=np.int64)
-        rank_of[1:] = np.cumsum(ordered[1:] != ordered[:-1])
-        if rank_of[-1] == n - 1:
-            return order
-        rank = np.empty(n, dtype=np.int64)
-        rank[order] = rank_of
-        key = rank * (n + 1)
-        key[: n - step] += rank[step:] + 1
+    while step < depth:
+        tied = np.flatnonzero(~(first & np.append(first[1:], True)))
+        if not len(tied):
+            break
+        some = order[tied]
+        key = rank[some] * (n + 1) + rank[np.minimum(some + step, n)] + 1
+        by = np.argsort(key)
+        order[tied], key = some[by], key[by]
+        new = np.ones(len(tied), dtype=bool)
+        new[1:] = key[1:] != key[:-1]
+        first[tied] = new
+        rank[order[tied]] = np.maximum.accumulate(np.where(new, tied, 0))
         step *= 2
+    return order
 
 
 def interval_starts(order: np.ndarray, codes: np.ndarray, least: int) -> np.ndarray:
@@ -191,7 +204,7 @@ def flags(pieces: list[bytes], docs: np.ndarray, least: int = LEAST) -> np.ndarr
     whole = inside + least <= sizes[owner]
     doc = np.full(len(codes), np.iinfo(np.int64).max)
     doc[place[whole]] = docs[owner[whole]]
-    order = suffix_array(codes)
+    order = suffix_array(codes, least + 1)
     new = interval_starts(order, codes, least)
     ordered = doc[order]
     smallest = np.minimum.reduceat(ordered, np.flatnonzero(new))
