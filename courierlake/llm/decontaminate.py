@@ -11,10 +11,14 @@ question with other numbers or names has the template of the original.
    documents. The items' windows are broadcast only if their table is below
    Spark's size threshold, and shuffled otherwise.
 3. Candidates alone are read again with the words behind their placeholders.
-   Matched windows give, for each pair, the share of the item's windows found
-   and the slot pairs (item's word, document's word). A pair is a leak if the
-   share reaches MIN_SHARE and slots are consistent: as a rule the same word of
-   the item stands for the same word of the document.
+   Matched windows give the share of the item's windows found and the slot pairs
+   (item's word, document's word). Both are judged for each occurrence in the
+   document: windows of one alignment (place in the document less place in the
+   item), windows of alignments a few tokens apart (a word put in or left out),
+   and all windows of the pair. A pair is a leak if in one of these the share
+   reaches MIN_SHARE and slots are consistent: as a rule the same word of the
+   item stands for the same word of the document. It is one too if MIN_SHARE of
+   the windows, and of those with slots, are found word for word.
 
 Only DataFrame functions. Windows of a document stay in its row until they are
 exploded to (hash, doc_id); a window that a third of all documents share meets
@@ -26,7 +30,7 @@ rows that repeat a doc_id or item_id count once; other columns are not read.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import cut, id_text
@@ -104,18 +108,37 @@ def sizes_of(items: DataFrame) -> list[int]:
 
 
 def item_windows(items: DataFrame) -> DataFrame:
-    """item_id, h, and where in the item."""
+    """item_id, h, where in the item (every place of a window that repeats), and the item's number of tokens."""
     cases = [F.when(F.size("toks") == n, window_hashes(n)) for n in range(1, WINDOW)]
     hashes = F.coalesce(*cases, window_hashes(WINDOW))
-    out = items.select("item_id", F.size("toks").alias("n_toks"), "toks", F.posexplode(hashes).alias("place", "h")).where("h is not null")
-    return out.dropDuplicates(["item_id", "h"])
+    return items.select("item_id", F.size("toks").alias("n_toks"), "toks", F.posexplode(hashes).alias("place", "h")).where("h is not null")
+
+
+def in_slot(word: Column) -> Column:
+    return word.startswith("\x01")
+
+
+def occurrences(seen: DataFrame) -> DataFrame:
+    """Each matched window once for every occurrence that it is judged in: its alignment, the alignments near it,
+    the whole document, and among the windows found word for word."""
+    pair = Window.partitionBy("doc_id", "item_id")
+    order = pair.orderBy("shift")
+    room = F.least(F.lit(WINDOW), F.floor(F.col("n_toks") / 2))
+    apart = F.coalesce(F.col("shift") - F.lag("shift").over(order) > room, F.lit(False))
+    several = F.min("shift").over(pair) < F.max("shift").over(pair)
+    out = seen.withColumns({"apart": apart.cast("long"), "several": several})
+    near = F.sum("apart").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    names = F.when(F.col("several"), F.array(F.concat(F.lit("at "), "shift"), F.concat(F.lit("near "), "near"), F.lit("all"))).otherwise(F.array(F.lit("all")))
+    exact = F.forall("pairs", lambda z: z["item_toks"] == z["doc_toks"])
+    names = F.when(exact, F.array_append(names, F.lit("exact"))).otherwise(names)
+    return out.withColumn("near", near).select("doc_id", "item_id", "h", "pairs", F.explode(names).alias("part"))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Pairs (doc_id, item_id) of leaks, with n_windows (of the item), n_found, n_slots (different item words seen in slots) and consistent (share of them that stand for one document word)."""
+    """Pairs (doc_id, item_id) of leaks, with n_windows (different ones of the item) and, of the occurrence that shows most of it, n_found, n_slots (different item words seen in slots) and consistent (share of them that stand for one document word)."""
     items = prepared(benchmark, "item_id").dropDuplicates(["item_id"])
     sizes = sizes_of(items)
-    windows = cut(item_windows(items).select("item_id", "h", "place", F.slice("toks", F.col("place") + 1, F.least(F.lit(WINDOW), F.col("n_toks"))).alias("item_toks")))
+    windows = cut(item_windows(items).select("item_id", "h", "place", "n_toks", F.slice("toks", F.col("place") + 1, F.least(F.lit(WINDOW), F.col("n_toks"))).alias("item_toks")))
     wanted = windows.select("h").distinct()
     own = prepared(docs, "doc_id")
     every = own.select("doc_id", F.explode(F.concat(*(window_hashes(n) for n in sizes))).alias("h"))
@@ -126,13 +149,19 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     found = at[0]
     for more in at[1:]:
         found = found.unionByName(more)
-    found = found.join(windows, "h").select("doc_id", "item_id", "h", "item_toks", F.slice("toks", F.col("at") + 1, F.col("size")).alias("doc_toks"))
-    pairs = F.filter(F.arrays_zip("item_toks", "doc_toks"), lambda z: z["item_toks"].startswith("\x01"))
-    seen = cut(found.select("doc_id", "item_id", "h", pairs.alias("pairs")).distinct())
-    total = windows.groupBy("item_id").agg(F.count("*").alias("n_windows"))
-    share = seen.groupBy("doc_id", "item_id").agg(F.countDistinct("h").alias("n_found"))
-    slots = seen.select("doc_id", "item_id", F.explode("pairs").alias("z")).groupBy("doc_id", "item_id", F.col("z.item_toks").alias("slot")).agg(F.countDistinct("z.doc_toks").alias("values"))
-    slots = slots.groupBy("doc_id", "item_id").agg(F.count("*").alias("n_slots"), F.avg((F.col("values") == 1).cast("double")).alias("consistent"))
-    out = share.join(total, "item_id").join(slots, ["doc_id", "item_id"], "left")
-    out = out.select("doc_id", "item_id", "n_windows", "n_found", F.coalesce("n_slots", F.lit(0)).alias("n_slots"), F.coalesce("consistent", F.lit(1.0)).alias("consistent"))
-    return out.where((F.col("n_found") >= MIN_SHARE * F.col("n_windows")) & (F.col("consistent") >= MIN_CONSISTENT))
+    found = found.join(windows, "h").select("doc_id", "item_id", "h", "n_toks", (F.col("at") - F.col("place")).alias("shift"), "item_toks", F.slice("toks", F.col("at") + 1, F.col("size")).alias("doc_toks"))
+    pairs = F.filter(F.arrays_zip("item_toks", "doc_toks"), lambda z: in_slot(z["item_toks"]))
+    seen = cut(found.select("doc_id", "item_id", "h", "n_toks", "shift", pairs.alias("pairs")))
+    parts = cut(occurrences(seen))
+    total = windows.groupBy("item_id").agg(F.size(F.collect_set("h")).alias("n_windows"), F.size(F.collect_set(F.when(F.exists("item_toks", in_slot), F.col("h")))).alias("n_slotted"))
+    key = ["doc_id", "item_id", "part"]
+    share = parts.groupBy(*key).agg(F.size(F.collect_set("h")).alias("n_found"), F.size(F.collect_set(F.when(F.size("pairs") > 0, F.col("h")))).alias("found_slotted"))
+    slots = parts.select(*key, F.explode("pairs").alias("z")).groupBy(*key, F.col("z.item_toks").alias("slot")).agg((F.min("z.doc_toks") == F.max("z.doc_toks")).alias("one"))
+    slots = slots.groupBy(*key).agg(F.count("*").alias("n_slots"), F.avg(F.col("one").cast("double")).alias("consistent"))
+    out = share.join(total, "item_id").join(slots, key, "left")
+    out = out.withColumns({"n_slots": F.coalesce("n_slots", F.lit(0)), "consistent": F.coalesce("consistent", F.lit(1.0))})
+    enough = (F.col("n_found") >= MIN_SHARE * F.col("n_windows")) & (F.col("consistent") >= MIN_CONSISTENT)
+    whole = (F.col("part") != "exact") | (F.col("found_slotted") >= MIN_SHARE * F.col("n_slotted"))
+    best = F.max(F.struct("n_found", "consistent", "n_slots")).alias("best")
+    out = out.where(enough & whole).groupBy("doc_id", "item_id", F.col("n_windows").cast("long").alias("n_windows")).agg(best)
+    return out.select("doc_id", "item_id", "n_windows", F.col("best.n_found").cast("long").alias("n_found"), "best.n_slots", "best.consistent")

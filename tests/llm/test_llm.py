@@ -144,6 +144,16 @@ def test_decontamination(spark):
     assert decontaminate.leaks(docs, bench.limit(0)).count() == 0
 
 
+def test_decontamination_judges_each_occurrence(spark):
+    item = "If a train leaves Boston at 40 km per hour and 55 minutes later it stops, how long did the driver Miller need to reach the station of the town?"
+    variants = [item.replace("40", n).replace("55", m).replace("Boston", c).replace("Miller", d) for n, m, c, d in (("65", "12", "Lisbon", "Jones"), ("70", "31", "Madrid", "Smith"))]
+    again = "So Ann has 3 red apples and Bob has 4 red apples and Cid has 5 red apples and Dan has 6 red apples in all"
+    docs = spark.createDataFrame([(1, f"Before. {item} Then. {variants[0]} After."), (2, f"Sheet. {' Next. '.join(variants)} End."), (3, f"Before. {again} After."), (4, PROSE)], "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r for r in decontaminate.leaks(docs, spark.createDataFrame([(10, item), (11, again)], "item_id long, text string")).collect()}
+    assert set(got) == {(1, 10), (2, 10), (3, 11)}
+    assert all(r["consistent"] == 1 and r["n_found"] == r["n_windows"] for r in got.values())
+
+
 def test_quality_rules(docs):
     got = by_id(quality_rules.quality_rules(docs))
     for i, t in TEXTS.items():
