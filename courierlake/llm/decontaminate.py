@@ -4,9 +4,9 @@ A text becomes a sequence of tokens in which numbers, units after a number and
 names (capitalised words inside a sentence) are typed placeholders, so that a
 question with other numbers or names has the template of the original.
 
-1. Windows of WINDOW template tokens are hashed on both sides; a window mostly
-   of placeholders says nothing and is left out. Items shorter than that are one
-   window of their own length.
+1. Windows of WINDOW template tokens are hashed on both sides; the template of a
+   window mostly of placeholders says nothing, so its literal words are hashed
+   instead. Items shorter than that are one window of their own length.
 2. Document windows meet item windows in a hash join, which yields candidate
    documents. The items' windows are broadcast only if their table is below
    Spark's size threshold, and shuffled otherwise.
@@ -83,8 +83,14 @@ def short_windows(size: int) -> Column:
     return F.when(F.size("hashes") >= size, one).otherwise(F.array().cast("array<bigint>"))
 
 
+def literal(at: Column) -> Column:
+    """Hash of the words themselves, whatever their case and marks, of the window of WINDOW tokens at a place."""
+    words = F.regexp_replace(F.array_join(F.slice("toks", at + 1, WINDOW), " "), "\x01[nup]", "")
+    return F.xxhash64(F.lit("words"), F.lower(words))
+
+
 def prepared(rows: DataFrame, key: str) -> DataFrame:
-    """key, toks, hashes of template tokens, and long: hashes of windows of WINDOW tokens, null where most of one is slots."""
+    """key, toks, hashes of template tokens, and long: hashes of windows of WINDOW tokens, of the words where most of one is slots."""
     own = id_text(rows, key).where("doc_id is not null").select(F.col("doc_id").alias(key), tokens(F.col("text")).alias("toks"))
     some = F.exists("toks", lambda t: t.startswith("\x01"))
     hashes = F.transform("toks", lambda t: F.xxhash64(template(t)))
@@ -93,7 +99,7 @@ def prepared(rows: DataFrame, key: str) -> DataFrame:
     for step in (1, 2, 4):  # of two, four and eight tokens
         out = out.select(key, "toks", "hashes", doubled(step).alias("long"), summed(step).alias("hidden"))
     out = out.select(key, "toks", "hashes", "hidden", F.slice("long", 1, F.greatest(F.size("long") - (WINDOW - 1), F.lit(0))).alias("long"))
-    shown = F.transform("long", lambda h, i: F.when(F.get("hidden", i) <= MAX_SLOTS, h))
+    shown = F.transform("long", lambda h, i: F.when(F.get("hidden", i) <= MAX_SLOTS, h).otherwise(literal(i)))
     return out.select(key, "toks", "hashes", F.when(F.col("hidden").isNull(), F.col("long")).otherwise(shown).alias("long"))
 
 
@@ -111,13 +117,18 @@ def item_windows(items: DataFrame) -> DataFrame:
     """item_id, h, where in the item (every place of a window that repeats), and the item's number of tokens."""
     cases = [F.when(F.size("toks") == n, window_hashes(n)) for n in range(1, WINDOW)]
     hashes = F.coalesce(*cases, window_hashes(WINDOW))
-    return items.select("item_id", F.size("toks").alias("n_toks"), "toks", F.posexplode(hashes).alias("place", "h")).where("h is not null")
+    return items.select("item_id", F.size("toks").alias("n_toks"), "toks", F.posexplode(hashes).alias("place", "h"))
 
 
 def in_slot(word: Column) -> Column:
     return word.startswith("\x01")
 
 
+def different(column: str, where: Column | None = None, name: str = "n_windows") -> Column:
+    """How many different values a group has."""
+    return F.size(F.collect_set(F.col(column) if where is None else F.when(where, F.col(column)))).alias(name)
+
+
 def occurrences(seen: DataFrame) -> DataFrame:
     """Each matched window once for every occurrence that it is judged in: its alignment, the alignments near it,
     the whole document, and among the windows found word for word."""
@@ -131,7 +142,7 @@ def occurrences(seen: DataFrame) -> DataFrame:
     names = F.when(F.col("several"), F.array(F.concat(F.lit("at "), "shift"), F.concat(F.lit("near "), "near"), F.lit("all"))).otherwise(F.array(F.lit("all")))
     exact = F.forall("pairs", lambda z: z["item_toks"] == z["doc_toks"])
     names = F.when(exact, F.array_append(names, F.lit("exact"))).otherwise(names)
-    return out.withColumn("near", near).select("doc_id", "item_id", "h", "pairs", F.explode(names).alias("part"))
+    return out.withColumn("near", near).select("doc_id", "item_id", "h", "words", "pairs", F.explode(names).alias("part"))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -151,16 +162,20 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         found = found.unionByName(more)
     found = found.join(windows, "h").select("doc_id", "item_id", "h", "n_toks", (F.col("at") - F.col("place")).alias("shift"), "item_toks", F.slice("toks", F.col("at") + 1, F.col("size")).alias("doc_toks"))
     pairs = F.filter(F.arrays_zip("item_toks", "doc_toks"), lambda z: in_slot(z["item_toks"]))
-    seen = cut(found.select("doc_id", "item_id", "h", "n_toks", "shift", pairs.alias("pairs")))
+    words = (F.size("item_toks") == WINDOW) & (F.size(F.filter("item_toks", in_slot)) > MAX_SLOTS)
+    seen = cut(found.select("doc_id", "item_id", "h", "n_toks", "shift", words.alias("words"), pairs.alias("pairs")))
     parts = cut(occurrences(seen))
-    total = windows.groupBy("item_id").agg(F.size(F.collect_set("h")).alias("n_windows"), F.size(F.collect_set(F.when(F.exists("item_toks", in_slot), F.col("h")))).alias("n_slotted"))
+    slotted = F.exists("item_toks", in_slot)
+    total = windows.groupBy("item_id").agg(different("h"), different("h", ~words, "n_templates"), different("h", slotted, "n_slotted"))
     key = ["doc_id", "item_id", "part"]
-    share = parts.groupBy(*key).agg(F.size(F.collect_set("h")).alias("n_found"), F.size(F.collect_set(F.when(F.size("pairs") > 0, F.col("h")))).alias("found_slotted"))
+    share = parts.groupBy(*key).agg(different("h", name="n_found"), different("h", ~F.col("words"), "found_templates"), different("h", F.size("pairs") > 0, "found_slotted"))
     slots = parts.select(*key, F.explode("pairs").alias("z")).groupBy(*key, F.col("z.item_toks").alias("slot")).agg((F.min("z.doc_toks") == F.max("z.doc_toks")).alias("one"))
     slots = slots.groupBy(*key).agg(F.count("*").alias("n_slots"), F.avg(F.col("one").cast("double")).alias("consistent"))
     out = share.join(total, "item_id").join(slots, key, "left")
     out = out.withColumns({"n_slots": F.coalesce("n_slots", F.lit(0)), "consistent": F.coalesce("consistent", F.lit(1.0))})
-    enough = (F.col("n_found") >= MIN_SHARE * F.col("n_windows")) & (F.col("consistent") >= MIN_CONSISTENT)
+    # windows of literal words cannot be found in a copy with other values, so the share of templates alone is enough
+    templates = (F.col("n_templates") > 0) & (F.col("found_templates") >= MIN_SHARE * F.col("n_templates"))
+    enough = ((F.col("n_found") >= MIN_SHARE * F.col("n_windows")) | templates) & (F.col("consistent") >= MIN_CONSISTENT)
     whole = (F.col("part") != "exact") | (F.col("found_slotted") >= MIN_SHARE * F.col("n_slotted"))
     best = F.max(F.struct("n_found", "consistent", "n_slots")).alias("best")
     out = out.where(enough & whole).groupBy("doc_id", "item_id", F.col("n_windows").cast("long").alias("n_windows")).agg(best)

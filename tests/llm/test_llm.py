@@ -154,6 +154,16 @@ def test_decontamination_judges_each_occurrence(spark):
     assert all(r["consistent"] == 1 and r["n_found"] == r["n_windows"] for r in got.values())
 
 
+def test_decontamination_of_items_rich_in_slots(spark):
+    series = "12 15 18 21 24 27 30 33 what comes next"
+    names = "Invited are Alice Bob Carol Dave Eve Frank Grace Heidi Ivan Judy"
+    mixed = "the box of Ann Bob Cid Dan Eve Fay holds the red stones and the old coins that were lost by the sea"
+    changed = mixed.replace("Ann Bob Cid Dan Eve Fay", "Kim Leo Max Ned Oda Pia")
+    docs = spark.createDataFrame([(1, f"Some words first: {series}? And more."), (2, f"Some words first. {names}. And more."), (3, PROSE), (4, "1 2 3 4 5 6 7 8 9 10 11 12 what"), (5, f"Before. {changed}. After.")], "doc_id long, text string")
+    bench = spark.createDataFrame([(10, series), (11, names), (12, mixed)], "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(docs, bench).collect()} == {(1, 10), (2, 11), (5, 12)}
+
+
 def test_quality_rules(docs):
     got = by_id(quality_rules.quality_rules(docs))
     for i, t in TEXTS.items():
