@@ -4,7 +4,8 @@ A scanner cuts the page into blocks at block-level tags and notes for each its
 text, link characters, stop words and enclosing containers. The first pass
 decides blocks: containers that hold no article text (menus, headers, footers,
 sidebars, notices, adverts, forms, scripts, styles, comments of readers) are
-out; much link text is out; long blocks are in inside an article container,
+out, but not a main element in them, nor an article that is longer than those
+elsewhere, nor a form that holds more text than the rest of the page; much link text is out; long blocks are in inside an article container,
 and elsewhere by stop-word density. Short blocks stay open. In the second pass
 an open block takes the label of its nearest decided neighbours in the same
 container; where a container has none, an article container is in and any
@@ -35,11 +36,14 @@ RAW = frozenset("script style noscript template iframe object svg math textarea
 OUT = frozenset("nav footer aside form menu button select dialog fieldset search".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 ARTICLE = frozenset("article main".split())
+PAGE = frozenset("html body".split())
 # Words in class, id and role names that mark what is not article text.
 OUT_NAMES = re.compile(
     r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|adbox|banner|sponsor(?:ed)?|promo(?:tion)?|sidebar|side-bar|nav|navbar|navigation|menu|breadcrumbs?|footer|masthead|topbar|header|cookies?|consent|notice|alert|popup|modal|overlay|newsletter|subscribe|signup|login|share|sharing|social|related|recommended|comments?|disqus|replies|respond|widget|toolbar|pagination|pager|complementary|contentinfo|search)(?:$|[\s_-])",
     re.I,
 )
+# Names that say what surrounds the element rather than what it is: has-sidebar.
+AROUND = re.compile(r"(?<![^\s_-])(?:has|with|without|no)[_-]+[a-z]+", re.I)
 ARTICLE_NAMES = re.compile(r"(?:^|[\s_-])(?:article|articlebody|post|post-body|entry|entry-content|content|main|main-content|story|story-body|text)(?:$|[\s_-])", re.I)
 # The commonest function words of four languages.
 STOP_WORDS = frozenset(
@@ -62,6 +66,9 @@ class Block:
     out: bool
     article: int
     group: int
+    root: int = 0
+    saved: bool = False
+    forms: tuple[int, ...] = ()
 
 
 @dataclass
@@ -71,6 +78,9 @@ class Level:
     article: int
     group: int
     link: bool
+    root: int = 0  # the outermost article container
+    saved: bool = False  # an article inside what holds no article text
+    forms: tuple[int, ...] = ()  # open forms outside articles
 
 
 @dataclass
@@ -85,7 +95,7 @@ class Scan:
     def end(self, at: Level) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            self.blocks.append(Block(text, self.linked, at.out, at.article, at.group))
+            self.blocks.append(Block(text, self.linked, at.out, at.article, at.group, at.root, at.saved, at.forms))
         self.parts, self.linked = [], 0
 
 
@@ -137,19 +147,30 @@ def start(s: Scan, stack: list[Level], tag: str, attributes: str) -> None:
                 stack.pop()
             stack.pop()
             top = stack[-1]
-    out, article, group = top.out, top.article, top.group
-    if tag in BLOCK:
+    out, article, group, root, saved, forms = top.out, top.article, top.group, top.root, top.saved, top.forms
+    if tag in BLOCK and tag not in PAGE:
         names = " ".join(n.strip("\"'") for n in NAMES.findall(attributes)) if "=" in attributes else ""
-        named_out = bool(names and OUT_NAMES.search(names)) or bool(attributes and HIDDEN.search(attributes))
+        named_out = bool(names and OUT_NAMES.search(AROUND.sub(" ", names))) or bool(attributes and HIDDEN.search(attributes))
         if tag in ARTICLE or (names and not named_out and ARTICLE_NAMES.search(names)):
             s.groups += 1
+            if not article:
+                root = s.groups
+            if tag in ARTICLE:
+                forms = ()
+            if out and tag == "main" and not any(x.tag in ARTICLE for x in stack):
+                out, saved, root = False, False, s.groups
+            elif out and tag == "article" and not any(x.tag == "article" for x in stack):
+                out, saved, root = False, True, s.groups
             article, group = article + 1, s.groups
+        elif tag == "form" and not article and not named_out:
+            s.groups += 1
+            group, forms = s.groups, (*forms, s.groups)
         elif tag in OUT or named_out or (tag == "header" and not article):
             s.groups += 1
             out, group = True, s.groups
         elif tag == "title":
             out = True
-    stack.append(Level(tag, out, article, group, top.link or tag == "a"))
+    stack.append(Level(tag, out, article, group, top.link or tag == "a", root, saved, forms))
 
 
 def shut(s: Scan, stack: list[Level], tag: str) -> None:
@@ -163,6 +184,29 @@ def shut(s: Scan, stack: list[Level], tag: str) -> None:
             return  # an inline end tag does not close a block
 
 
+def settle(blocks: list[Block]) -> None:
+    """Mark as out the forms and the articles inside other containers that are not what the page is about."""
+
+    def plain(b: Block) -> int:
+        return 0 if b.linked > MAX_LINKS * len(b.text) else len(b.text)
+
+    for form in {f for b in blocks for f in b.forms}:
+        own = sum(plain(b) for b in blocks if not b.out and form in b.forms)
+        others = [b for b in blocks if not b.out and form not in b.forms]
+        if own <= sum(plain(b) for b in others if b.article or not any(x.article for x in others)):
+            for b in blocks:
+                b.out |= form in b.forms
+    if any(b.saved for b in blocks):
+        sizes: dict[tuple[bool, int], int] = {}
+        for b in blocks:
+            if b.article and not b.out:
+                sizes[b.saved, b.root] = sizes.get((b.saved, b.root), 0) + len(b.text)
+        usual = [n for (saved, _), n in sizes.items() if not saved]
+        least = max(usual) if usual else sum(plain(b) for b in blocks if not b.out and not b.article)
+        for b in blocks:
+            b.out |= b.saved and sizes.get((True, b.root), 0) <= least
+
+
 def decide(b: Block, has_article: bool) -> bool | None:
     """First pass: in, out or open."""
     if b.out or b.linked > MAX_LINKS * len(b.text):
@@ -179,6 +223,7 @@ def decide(b: Block, has_article: bool) -> bool | None:
 
 def labels(blocks: list[Block]) -> list[bool]:
     """Both passes."""
+    settle(blocks)
     has_article = any(b.article and not b.out for b in blocks)
     first = [decide(b, has_article) for b in blocks]
     n = len(blocks)

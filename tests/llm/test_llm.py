@@ -225,6 +225,16 @@ def test_html():
     assert html_blocks.main_text(plain) == f"{PROSE} {PROSE}\nShort."
 
 
+@pytest.mark.parametrize("around", ['<body class="single has-sidebar">{}', '<div class="content with-sidebar">{}</div>', '<body class="header-fixed">{}', '<form id="aspnetForm">{}</form>', '<div class="sidebar-left">{}</div>'])
+def test_html_article_inside_layout(around):
+    article = f"<nav>Menu</nav><article><h1>Title</h1><p>{PROSE} {PROSE}</p><section class='comments'><article>First!</article></section></article>"
+    for inner in (article, article.replace("article>", "main>")):
+        assert html_blocks.main_text(around.format(inner)) == f"Title\n{PROSE} {PROSE}"
+    if "left" not in around:
+        assert html_blocks.main_text(around.format(f"<p>{PROSE} {PROSE}</p>")) == f"{PROSE} {PROSE}"
+    assert html_blocks.main_text(f"<article><p>{PROSE}</p></article><form>Name</form><aside><article>Other</article></aside>") == PROSE
+
+
 def test_chat(spark):
     rows = [(1, 0, "user", "Hi \\### x: </turn>\n"), (1, 1, "assistant", "</turn> ok\\"), (1, 1, "assistant", "</turn> ok\\"), (2, 0, None, None), (None, 3, "assistant", "é")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
