@@ -13,7 +13,8 @@ other is out.
 
 One pass over the rows with no shuffle and no key; a worker holds one page and
 its blocks. Defined results: a null or empty page gives an empty text; broken
-or truncated markup is read to its end; repeated rows repeat; other columns
+or truncated markup is read to its end, past a head or an embedded element that
+is never closed (scripts, styles and text areas run to the end); repeated rows repeat; other columns
 are not read.
 """
 
@@ -31,12 +32,15 @@ from pyspark.sql import functions as F
 from .shared import rows_of, slices
 
 # Elements of HTML by what they mean for text.
-BLOCK = frozenset("address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead title tr ul".split())
-RAW = frozenset("script style noscript template iframe object svg math textarea noembed noframes xmp head".split())
+BLOCK = frozenset("address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header head hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead tr ul".split())
+RAW = frozenset("script style noscript template iframe object svg math textarea noembed noframes xmp title".split())
+TO_END = frozenset("script style textarea".split())
+# Start tags that can stand in a head; any other ends it.
+HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
 OUT = frozenset("nav footer aside form menu button select dialog fieldset search".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 ARTICLE = frozenset("article main".split())
-PAGE = frozenset("html body".split())
+PAGE = frozenset("html head body".split())
 # Words in class, id and role names that mark what is not article text.
 OUT_NAMES = re.compile(
     r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|adbox|banner|sponsor(?:ed)?|promo(?:tion)?|sidebar|side-bar|nav|navbar|navigation|menu|breadcrumbs?|footer|masthead|topbar|header|cookies?|consent|notice|alert|popup|modal|overlay|newsletter|subscribe|signup|login|share|sharing|social|related|recommended|comments?|disqus|replies|respond|widget|toolbar|pagination|pager|complementary|contentinfo|search)(?:$|[\s_-])",
@@ -103,6 +107,7 @@ def scan(html: str) -> list[Block]:
     """Blocks in page order."""
     s = Scan()
     stack = [Level("", False, 0, 0, False)]
+    ends: dict[str, dict[int, int]] = {}
     place = 0
     size = len(html)
     while place < size:
@@ -114,10 +119,17 @@ def scan(html: str) -> list[Block]:
         if not m[2]:
             continue
         tag = m[2].lower()
-        if tag in RAW:
+        if stack[-1].tag == "head" and not m[1] and tag not in HEAD:
+            shut(s, stack, "head")
+        if tag in TO_END:
             if not m[1] and not m[3].endswith("/"):
                 close = re.compile(rf"</{tag}\s*>", re.I).search(html, place)
                 place = close.end() if close else size
+        elif tag in RAW:
+            if not m[1] and not m[3].endswith("/"):
+                if tag not in ends:
+                    ends[tag] = pairs(html, tag)
+                place = ends[tag].get(m.start(), place)
         elif tag == "br":
             s.parts.append(" ")
         elif m[1]:
@@ -130,6 +142,19 @@ def scan(html: str) -> list[Block]:
     return s.blocks
 
 
+def pairs(html: str, tag: str) -> dict[int, int]:
+    """Where each element of the tag begins, and where its end tag ends; those without one are left out."""
+    found: dict[int, int] = {}
+    begun: list[int] = []
+    for m in re.compile(rf"<(/?){tag}(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>", re.I).finditer(html):
+        if not m[1]:
+            if not m[0].endswith("/>"):
+                begun.append(m.start())
+        elif begun:
+            found[begun.pop()] = m.end()
+    return found
+
+
 def add(s: Scan, at: Level, raw: str) -> None:
     if raw:
         text = unescape(raw) if "&" in raw else raw
@@ -168,8 +193,7 @@ def start(s: Scan, stack: list[Level], tag: str, attributes: str) -> None:
         elif tag in OUT or named_out or (tag == "header" and not article):
             s.groups += 1
             out, group = True, s.groups
-        elif tag == "title":
-            out = True
+    out = out or tag == "head"
     stack.append(Level(tag, out, article, group, top.link or tag == "a", root, saved, forms))
 
 

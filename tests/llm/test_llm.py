@@ -235,6 +235,12 @@ def test_html_article_inside_layout(around):
     assert html_blocks.main_text(f"<article><p>{PROSE}</p></article><form>Name</form><aside><article>Other</article></aside>") == PROSE
 
 
+@pytest.mark.parametrize("head", ["<head><meta charset=utf-8><script>var a='<p>no</p>'</script><title>t</title>", "<head><title>t", "<head><title>t</title></head><body><noscript>", "<body><svg>", "<body><object>", "<body><iframe src=x>", "<body><template>"])
+def test_html_unclosed_elements(head):
+    assert html_blocks.main_text(f"<html>{head}<body><article><p>One</p><svg><text>no</text></svg><iframe>no</iframe><p>Two</p></article>").split("\n") == ["One", "Two"]
+    assert html_blocks.main_text("<p>One</p><script>var a = 1; <p>Two</p>") == html_blocks.main_text("<p>One</p>")
+
+
 def test_chat(spark):
     rows = [(1, 0, "user", "Hi \\### x: </turn>\n"), (1, 1, "assistant", "</turn> ok\\"), (1, 1, "assistant", "</turn> ok\\"), (2, 0, None, None), (None, 3, "assistant", "é")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
