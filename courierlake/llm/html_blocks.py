@@ -40,6 +40,7 @@ HEAD = frozenset("base basefont bgsound head html link meta noframes noscript sc
 OUT = frozenset("nav footer aside form menu button select dialog fieldset search".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 ARTICLE = frozenset("article main".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 PAGE = frozenset("html head body".split())
 # Words in class, id and role names that mark what is not article text.
 OUT_NAMES = re.compile(
@@ -70,6 +71,7 @@ class Block:
     out: bool
     article: int
     group: int
+    head: bool = False
     root: int = 0
     saved: bool = False
     forms: tuple[int, ...] = ()
@@ -99,7 +101,7 @@ class Scan:
     def end(self, at: Level) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            self.blocks.append(Block(text, self.linked, at.out, at.article, at.group, at.root, at.saved, at.forms))
+            self.blocks.append(Block(text, self.linked, at.out, at.article, at.group, at.tag in HEADINGS, at.root, at.saved, at.forms))
         self.parts, self.linked = [], 0
 
 
@@ -233,10 +235,10 @@ def settle(blocks: list[Block]) -> None:
 
 def decide(b: Block, has_article: bool) -> bool | None:
     """First pass: in, out or open."""
-    if b.out or b.linked > MAX_LINKS * len(b.text):
-        return False
-    if has_article and not b.article:
+    if b.out or (has_article and not b.article):
         return False
+    if b.linked > MAX_LINKS * len(b.text):
+        return (True if b.head else None) if b.article else False
     if len(b.text) < LONG:
         return None
     if b.article:

@@ -241,6 +241,12 @@ def test_html_unclosed_elements(head):
     assert html_blocks.main_text("<p>One</p><script>var a = 1; <p>Two</p>") == html_blocks.main_text("<p>One</p>")
 
 
+def test_html_links_inside_article():
+    page = f"<a href=m>Menu</a><article><h2><a href=t>A title as permalink</a></h2><p>{PROSE} {PROSE}</p><p><a href=q>{PROSE}</a></p><ul><li><a href=1>Source one</a><li><a href=2>Source two</a></ul></article>"
+    assert html_blocks.main_text(page) == f"A title as permalink\n{PROSE} {PROSE}\n{PROSE}\nSource one\nSource two"
+    assert html_blocks.main_text("<article><h2><a href=t>Title</a></h2><p><a href=q>Quoted</a></p></article>") == "Title\nQuoted"
+
+
 def test_chat(spark):
     rows = [(1, 0, "user", "Hi \\### x: </turn>\n"), (1, 1, "assistant", "</turn> ok\\"), (1, 1, "assistant", "</turn> ok\\"), (2, 0, None, None), (None, 3, "assistant", "é")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
