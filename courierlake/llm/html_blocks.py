@@ -5,17 +5,19 @@ text, link characters, stop words and enclosing containers. The first pass
 decides blocks: containers that hold no article text (menus, headers, footers,
 sidebars, notices, adverts, forms, scripts, styles, comments of readers) are
 out, but not a main element in them, nor an article that is longer than those
-elsewhere, nor a form that holds more text than the rest of the page; much link text is out; long blocks are in inside an article container,
-and elsewhere by stop-word density. Short blocks stay open. In the second pass
-an open block takes the label of its nearest decided neighbours in the same
-container; where a container has none, an article container is in and any
-other is out.
+elsewhere, nor a form that holds more text than the rest of the page; much link
+text is out outside article containers; long blocks are in inside an article
+container, and elsewhere by stop-word density, if the page's language has a
+list. Short blocks stay open, and those with much link text in articles. In the
+second pass an open block takes the label of its nearest decided neighbours in
+the same container; where a container has none, an article container is in; in
+any other that has no block that is in, blocks without links are.
 
 One pass over the rows with no shuffle and no key; a worker holds one page and
 its blocks. Defined results: a null or empty page gives an empty text; broken
 or truncated markup is read to its end, past a head or an embedded element that
-is never closed (scripts, styles and text areas run to the end); repeated rows repeat; other columns
-are not read.
+is never closed (scripts, styles and text areas run to the end); repeated rows
+repeat; other columns are not read.
 """
 
 from __future__ import annotations
@@ -216,12 +218,20 @@ def settle(blocks: list[Block]) -> None:
     def plain(b: Block) -> int:
         return 0 if b.linked > MAX_LINKS * len(b.text) else len(b.text)
 
-    for form in {f for b in blocks for f in b.forms}:
-        own = sum(plain(b) for b in blocks if not b.out and form in b.forms)
-        others = [b for b in blocks if not b.out and form not in b.forms]
-        if own <= sum(plain(b) for b in others if b.article or not any(x.article for x in others)):
-            for b in blocks:
-                b.out |= form in b.forms
+    if any(b.forms for b in blocks):
+        # characters and number of blocks, of all and of those in article containers; key 0 is the page
+        sums: dict[int, list[int]] = {}
+        for b in blocks:
+            if not b.out:
+                for key in (0, *b.forms):
+                    n = sums.setdefault(key, [0, 0, 0])
+                    n[0] += plain(b)
+                    n[1] += plain(b) if b.article else 0
+                    n[2] += bool(b.article)
+        page = sums.get(0, [0, 0, 0])
+        about = {f for f, n in sums.items() if n[0] > (page[1] - n[1] if page[2] > n[2] else page[0] - n[0])}
+        for b in blocks:
+            b.out |= any(f not in about for f in b.forms)
     if any(b.saved for b in blocks):
         sizes: dict[tuple[bool, int], int] = {}
         for b in blocks:
@@ -233,7 +243,7 @@ def settle(blocks: list[Block]) -> None:
             b.out |= b.saved and sizes.get((True, b.root), 0) <= least
 
 
-def decide(b: Block, has_article: bool) -> bool | None:
+def decide(b: Block, has_article: bool, known: bool) -> bool | None:
     """First pass: in, out or open."""
     if b.out or (has_article and not b.article):
         return False
@@ -241,17 +251,31 @@ def decide(b: Block, has_article: bool) -> bool | None:
         return (True if b.head else None) if b.article else False
     if len(b.text) < LONG:
         return None
-    if b.article:
-        return True
+    return bool(b.article) or not known or fits(b)
+
+
+def fits(b: Block) -> bool:
+    """Stop words as dense as in prose of the four languages."""
     words = [w.lower() for w in WORD.findall(b.text)]
     return sum(w in STOP_WORDS for w in words) >= MIN_STOP * max(1, len(words))
 
 
+def in_known_language(blocks: list[Block]) -> bool:
+    """Whether most long text outside articles has the stop words of a list; if not, they tell nothing about the page."""
+    long = [b for b in blocks if not b.out and not b.article and len(b.text) >= LONG and b.linked <= MAX_LINKS * len(b.text)]
+    return 2 * sum(len(b.text) for b in long if fits(b)) >= sum(len(b.text) for b in long)
+
+
 def labels(blocks: list[Block]) -> list[bool]:
     """Both passes."""
     settle(blocks)
     has_article = any(b.article and not b.out for b in blocks)
-    first = [decide(b, has_article) for b in blocks]
+    known = has_article or in_known_language(blocks)
+    first = [decide(b, has_article, known) for b in blocks]
+    kept = {b.group for b, label in zip(blocks, first, strict=True) if label}
+    for i, b in enumerate(blocks):
+        if first[i] is None and not b.article and not b.linked and b.group not in kept:
+            first[i] = True
     n = len(blocks)
     before: list[int | None] = [None] * n
     after: list[int | None] = [None] * n

@@ -247,6 +247,14 @@ def test_html_links_inside_article():
     assert html_blocks.main_text("<article><h2><a href=t>Title</a></h2><p><a href=q>Quoted</a></p></article>") == "Title\nQuoted"
 
 
+def test_html_without_article_container():
+    assert html_blocks.main_text("<body><h1>Title</h1><p>short</p><p>short</p></body>") == "Title\nshort\nshort"
+    assert html_blocks.main_text("<body><div><a href=a>Menu item</a></div><h1>Title</h1><p>short <a href=b>link</a> here</p></body>") == "Title\nshort link here"
+    for text in ("Questa mattina molte persone hanno visto quattro grandi navi bianche entrare lentamente nel porto della vecchia cittadina " * 2, "Сегодня утром жители старого города увидели четыре больших белых корабля, медленно входящих в гавань " * 2, "今天早上老城的居民看到四艘白色大船缓缓驶入港口" * 9):
+        assert html_blocks.main_text(f"<body><div><a href=a>Menu item</a></div><p>{text}</p>") == " ".join(text.split())
+    assert html_blocks.main_text(f"<body><p>{PROSE} {PROSE}</p><p>{'buy cheap shoes now ' * 10}</p>") == f"{PROSE} {PROSE}"
+
+
 def test_chat(spark):
     rows = [(1, 0, "user", "Hi \\### x: </turn>\n"), (1, 1, "assistant", "</turn> ok\\"), (1, 1, "assistant", "</turn> ok\\"), (2, 0, None, None), (None, 3, "assistant", "é")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
