@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
 import uuid
 from collections.abc import Iterator
 
@@ -15,38 +13,42 @@ from pyspark.sql import functions as F
 
 #: Text bytes that a Python worker handles at once; a longer text is a batch of its own.
 BATCH_BYTES = 1 << 20
+#: Spark drops the shuffle files of a finished execution if this is true.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
+    """The shared folder of spark.checkpoint.dir; a temporary one only where that is unset and all tasks run on this machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.conf.get("spark.master", "")
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="courierlake-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+def scratch_path(spark: SparkSession, kind: str = "cut") -> str:
+    """A new name in the shared folder."""
+    return f"{scratch_dir(spark)}/{kind}-{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends there and survives lost executors.
 
-    The shuffle files of the finished job are released at once, so that the
-    phases of an operator never hold disk together.
+    Spark drops the job's shuffle files when it ends, so that the phases of an
+    operator never hold disk together.
     """
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    schema = df.schema
-    del df
-    release(spark)
-    return spark.read.schema(schema).parquet(path)
-
-
-def release(spark: SparkSession) -> None:
-    """Let Spark's context cleaner drop shuffle files that nothing refers to; what the first round frees, the second finds."""
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.3)
+    path = scratch_path(spark)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def drop(df: DataFrame) -> None:

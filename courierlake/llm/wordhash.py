@@ -3,15 +3,24 @@
 Hashes are polynomials modulo 2**64 with odd multipliers, so a window's value
 comes from two prefix sums; a finaliser spreads the bits. Two multipliers give
 128 bits where equality of the hash stands for equality of the words.
+
+Such polynomials have collisions by structure between long sequences of two
+values, whatever the multiplier. They are therefore used over at most LONG
+bytes or words: the hash of a longer word comes from BLAKE2b, and that of a
+whole text from texts().
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 
 U = np.uint64
 MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+#: Bytes of a word up to which its hash is a polynomial.
+LONG = 32
 #: Words are maximal runs of bytes other than space and \x09 to \x0D.
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -77,7 +86,18 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, which: int = 0) -> np.ndarray:
-    return windows(prefix(data.astype(U) + U(1), which), start, end, which) + (end - start).astype(U)
+    out = windows(prefix(data.astype(U) + U(1), which), start, end, which) + (end - start).astype(U)
+    for i in np.flatnonzero(end - start > LONG).tolist():
+        told = hashlib.blake2b(data[start[i] : end[i]], digest_size=16).digest()
+        out[i] = int.from_bytes(told[8 * which : 8 * which + 8], "little")
+    return out
+
+
+def texts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """128 bits, as two integers, of the word sequence of each text."""
+    raw = data.tobytes()
+    told = [hashlib.blake2b(b" ".join(raw[a:z].split()), digest_size=16).digest() for a, z in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+    return np.frombuffer(b"".join(told), dtype=np.int64).reshape(-1, 2)
 
 
 def ranges(first: np.ndarray, last: np.ndarray) -> np.ndarray:
