@@ -21,14 +21,22 @@ occurrence are consecutive: they form a segment of less than 2 * LEAST bytes.
    flagged if its interval has a smaller doc_id.
 5. Flags go back to all occurrences by a join and are gathered by document.
 
-A shard batch is closed at SHARD_BYTES; an anchor with more than HOT different
-segments (a line in a third of all documents with other neighbours each time)
-is not put in one shard: its windows are keyed by their own 128-bit hash and
-aggregated instead. Hash joins read plain tables, so hot keys can be split.
+A shard batch is closed at SHARD_BYTES. An anchor with more than HOT different
+segments (a line in a third of all documents with other neighbours each time) is
+split, so that no shard must hold them all: a window has 0 to LEAST - K bytes
+before its anchor, and windows that differ in that number are never equal. Each
+segment gives one part with the lower half of these numbers and one with the
+upper half; the windows of a part have more bytes than the anchor in common,
+and parts go to the shard of those bytes. Equal parts are aggregated as equal
+segments are, parts of a hot shard are split again, and after five halvings a
+part is one window and a shard holds one string. All shards are expanded in the
+same way. Hash joins read plain tables, so hot keys can be split.
 
 Defined results: a null or empty text has no bytes; a null doc_id is left as it
-is and matches nothing; rows that repeat a doc_id count as one document; other
-columns are not read.
+is and matches nothing; rows that repeat a doc_id count as one document (bytes
+flagged at a place in one are flagged there in all that are long enough); very
+long texts are read whole, cut into segments piece by piece; an empty table
+gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -48,14 +56,14 @@ from .shared import cut, drop, id_text, rows_of, slices
 LEAST = 50
 K = 20
 SPAN = LEAST - K + 1
-HOT = 4096
+HOT = 2048
 SHARD_BYTES = 1 << 19
 PIECE = 1 << 22
 PLACE_BITS = 24
 
 
-def segments(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(anchor hash, segment hash, text number, first start in the text, number of starts) of all segments."""
+def segments(data: np.ndarray, offsets: np.ndarray, named: bool = True) -> tuple[np.ndarray, ...]:
+    """(anchor hash, segment hash if named, text number, first start in the text, number of starts) of all segments."""
     sums = wh.prefix(data.astype(np.uint64) + np.uint64(1))
     ends = np.maximum(offsets[1:] - LEAST + 1, offsets[:-1])
     found = []
@@ -81,14 +89,18 @@ def segments(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
         none = np.zeros(0, dtype=np.int64)
         return none.astype(np.uint64), none.astype(np.uint64), none, none, none
     h, start, text, count = (np.concatenate(x) for x in zip(*found, strict=True))
-    return h, wh.windows(sums, start, start + count + LEAST - 1), text, start - offsets[text], count
+    own = h
+    if named:  # of both multipliers; with the anchor's hash it stands for the segment
+        other = wh.windows(wh.prefix(data.astype(np.uint64) + np.uint64(1), 1), start, start + count + LEAST - 1, 1)
+        own = wh.finish(wh.windows(sums, start, start + count + LEAST - 1) + (other << np.uint64(32) | other >> np.uint64(32)))
+    return h, own, text, start - offsets[text], count
 
 
 def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Anchor hashes, each once a document."""
     schema = pa.schema([("h", pa.int64())])
     for b in slices(batches):
-        h, _, text, _, _ = segments(*wh.flat(b.column("text")))
+        h, _, text, _, _ = segments(*wh.flat(b.column("text")), named=False)
         _, once = np.unique(h + wh.finish(text.astype(np.uint64)), return_index=True)
         yield rows_of(schema, h=wh.signed(h[once]))
 
@@ -102,26 +114,55 @@ def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def texts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Bytes of the wanted segments; of hot anchors the hashes of all windows instead."""
-    schema = pa.schema([("h", pa.int64()), ("k", pa.int64()), ("doc_id", pa.int64()), ("segment", pa.binary()), ("i", pa.int32()), ("w1", pa.int64()), ("w2", pa.int64())])
+    """Bytes of the wanted segments, and whether their anchor is hot."""
+    schema = pa.schema([("h", pa.int64()), ("k", pa.int64()), ("doc_id", pa.int64()), ("segment", pa.binary()), ("hot", pa.bool_())])
     for b in slices(batches):
         data, offsets = wh.flat(b.column("text"))
         raw, ids = data.tobytes(), b.column("doc_id").to_numpy()
         wanted = b.column("wanted")
         flat = wanted.flatten()
         text = np.repeat(np.arange(b.num_rows), pc.list_value_length(wanted).to_numpy(zero_copy_only=False))
-        h, k, at, hot = (flat.field(n).to_numpy(zero_copy_only=False) for n in ("h", "k", "at", "hot"))
+        at = flat.field("at").to_numpy()
         start, count = offsets[text] + at // 64, at % 64
-        cold = np.flatnonzero(~hot)
-        pieces = [raw[a : a + n] for a, n in zip(start[cold].tolist(), (count[cold] + LEAST - 1).tolist(), strict=True)]
-        none = pa.nulls(len(cold), pa.int64())
-        yield rows_of(schema, h=h[cold], k=k[cold], doc_id=ids[text[cold]], segment=pieces, i=pa.nulls(len(cold), pa.int32()), w1=none, w2=none)
-        warm = np.flatnonzero(hot)
-        if len(warm):
-            own = np.repeat(warm, count[warm])
-            s = wh.ranges(start[warm], start[warm] + count[warm])
-            w = [wh.signed(wh.windows(wh.prefix(data.astype(np.uint64) + np.uint64(1), m), s, s + LEAST, m)) for m in (0, 1)]
-            yield rows_of(schema, h=h[own], k=k[own], doc_id=ids[text[own]], segment=pa.nulls(len(own), pa.binary()), i=(s - start[own]).astype(np.int32), w1=w[0], w2=w[1])
+        pieces = [raw[a : a + n] for a, n in zip(start.tolist(), (count + LEAST - 1).tolist(), strict=True)]
+        yield rows_of(schema, h=flat.field("h"), k=flat.field("k"), doc_id=ids[text], segment=pieces, hot=flat.field("hot"))
+
+
+def anchor_place(h: int, segment: bytes) -> int:
+    """Where the anchor of hash h begins in its segment."""
+    data = np.frombuffer(segment, dtype=np.uint8)
+    at = np.arange(len(data) - K + 1)
+    return int(np.argmax(wh.signed(wh.windows(wh.prefix(data.astype(np.uint64) + np.uint64(1)), at, at + K)) == h))
+
+
+def short_hash(*parts: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(b"|".join(parts), digest_size=8).digest(), "little", signed=True)
+
+
+PARTS = "h long, k long, doc_id long, shift int, part_h long, part_k long, segment binary, anchor int, low int, high int"
+
+
+def halves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Two parts of each segment: its windows with `low` to the middle, and with more up to `high`, bytes before the anchor."""
+    numbers = {"h": pa.int64(), "k": pa.int64(), "doc_id": pa.int64(), "shift": pa.int32(), "part_h": pa.int64(), "part_k": pa.int64(), "segment": pa.binary(), "anchor": pa.int32(), "low": pa.int32(), "high": pa.int32()}
+    schema = pa.schema(list(numbers.items()))
+    for b in slices(batches, "segment"):
+        out = []
+        for row in b.to_pylist():
+            segment, anchor = row["segment"], row["anchor"]
+            if anchor is None:
+                anchor = anchor_place(row["h"], segment)
+            middle = (row["low"] + row["high"]) // 2
+            for low, high in ((row["low"], middle), (middle + 1, row["high"])):
+                first, last = max(0, anchor - high), min(len(segment) - LEAST, anchor - low)
+                if first > last:
+                    continue
+                common, own = segment[anchor - low : anchor - high + LEAST], segment[first : last + LEAST]
+                key = f"{low},{high},{anchor - first}".encode()
+                part_h = short_hash(str(row["h"]).encode(), f"{low},{high}".encode(), common)
+                out.append((row["h"], row["k"], row["doc_id"], first, part_h, short_hash(key, own), own, anchor - first, low, high))
+        if out:
+            yield rows_of(schema, **dict(zip(numbers, map(list, zip(*out)), strict=True)))
 
 
 def suffix_array(codes: np.ndarray, depth: int) -> np.ndarray:
@@ -235,6 +276,31 @@ def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield done()
 
 
+def expanded(pieces: DataFrame) -> DataFrame:
+    """(h, k, mask) of different pieces (h, k, doc_id, segment) by the shards of h."""
+    return pieces.select("h", "k", "doc_id", "segment").repartition("h").sortWithinPartitions("h").mapInArrow(shards, "h long, k long, mask long")
+
+
+def split(hot: DataFrame, least: int) -> DataFrame:
+    """(h, k, mask) of pieces (h, k, doc_id, segment, anchor, low, high) whose shards would hold more than `least` of them."""
+    parts = cut(hot.mapInArrow(halves, PARTS))
+    first = parts.groupBy("part_h", "part_k").agg(F.min(F.struct("doc_id", "segment", "anchor", "low", "high")).alias("first"))
+    first = cut(first.select(F.col("part_h").alias("h"), F.col("part_k").alias("k"), "first.*"))
+    several = cut(first.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"))
+    masks = expanded(first.join(several.where(F.col("n") <= least), "h", "left_semi"))
+    if not several.where(F.col("n") > least).isEmpty():
+        masks = masks.unionByName(split(first.join(several.where(F.col("n") > least), "h", "left_semi"), least))
+    told = first.select(F.col("h").alias("part_h"), F.col("k").alias("part_k"), F.col("doc_id").alias("first_doc"))
+    told = told.join(masks.select(F.col("h").alias("part_h"), F.col("k").alias("part_k"), "mask"), ["part_h", "part_k"], "left")
+    inside = F.expr("shiftleft(1L, length(segment) - {}) - 1".format(LEAST - 1))
+    own = F.when(F.col("doc_id") > F.col("first_doc"), inside).otherwise(F.coalesce("mask", F.lit(0).cast("long")))
+    told = parts.join(told, ["part_h", "part_k"]).select("h", "k", own.alias("own"), "shift").where("own != 0")
+    out = cut(told.select("h", "k", F.expr("shiftleft(own, shift)").alias("mask")))
+    for done in (parts, first, several):
+        drop(done)
+    return out
+
+
 def flagged_spans(docs: DataFrame) -> DataFrame:
     """doc_id and spans: (at, mask), at = start * 64 + number of starts, bit i of mask: the string at start + i goes."""
     known = id_text(docs).where("doc_id is not null")
@@ -244,14 +310,13 @@ def flagged_spans(docs: DataFrame) -> DataFrame:
     first = cut(found.groupBy("h", "k").agg(F.min(F.struct("doc_id", "at")).alias("first")).select("h", "k", F.col("first.doc_id").alias("doc_id"), F.col("first.at").alias("at")))
     several = cut(first.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"))
     wanted = first.join(several, "h").groupBy("doc_id").agg(F.collect_list(F.struct("h", "k", "at", (F.col("n") > HOT).alias("hot"))).alias("wanted"))
-    pieces = cut(known.join(wanted, "doc_id").mapInArrow(texts_of, "h long, k long, doc_id long, segment binary, i int, w1 long, w2 long"))
+    pieces = cut(known.join(wanted, "doc_id").mapInArrow(texts_of, "h long, k long, doc_id long, segment binary, hot boolean"))
+    masks = expanded(pieces.where("not hot"))
+    if not several.where(F.col("n") > HOT).isEmpty():
+        whole = pieces.where("hot").select("h", "k", "doc_id", "segment", F.lit(None).cast("int").alias("anchor"), F.lit(0).alias("low"), F.lit(LEAST - K).alias("high"))
+        masks = masks.unionByName(split(whole, HOT))
+    masks = cut(masks.where("mask != 0").groupBy("h", "k").agg(F.bit_or("mask").alias("mask")))
     drop(several)
-    cold = pieces.where("segment is not null").select("h", "k", "doc_id", "segment")
-    masks = cold.repartition("h").sortWithinPartitions("h").mapInArrow(shards, "h long, k long, mask long")
-    warm = pieces.where("segment is null").select("h", "k", "doc_id", "i", "w1", "w2")
-    least = warm.groupBy("w1", "w2").agg(F.min("doc_id").alias("least"))
-    warm = warm.join(least, ["w1", "w2"]).where("doc_id > least").select("h", "k", F.expr("shiftleft(1L, i)").alias("mask"))
-    masks = cut(masks.unionByName(warm).where("mask != 0").groupBy("h", "k").agg(F.bit_or("mask").alias("mask")))
     drop(pieces)
     told = cut(first.select("h", "k", F.col("doc_id").alias("first_doc")).join(masks, ["h", "k"], "left"))
     drop(first)
