@@ -5,23 +5,31 @@ similarity of their sets is at least 4/5. Band and row counts are chosen for a
 target recall at that threshold.
 
 1. Every text gets a MinHash signature, cut into band hashes.
-2. Texts of equal word sequence form a class; its smallest doc_id represents
-   it (an aggregate combined before the shuffle, so a text copied to a third of
-   all rows is one representative).
-3. Representatives are shuffled on band hashes. A bucket of more than BLOCK is
-   dealt into blocks and each pair of blocks is a group of its own, so no bucket
-   must fit one task. A pair belongs to the first band in which it agrees; a
-   representative goes on in a group only if it has such a pair there.
+2. Texts of equal word sequence (by 128 bits of BLAKE2b) form a class; its
+   smallest row represents it (an aggregate combined before the shuffle, so a
+   text copied to a third of all rows is one representative).
+3. Representatives are shuffled on band hashes. A bucket that holds more than
+   BLOCK texts or BLOCK_GRAMS n-grams is dealt into blocks and each pair of
+   blocks is a group of its own, so no bucket must fit one task. A pair belongs
+   to the first band in which it agrees; a representative goes on in a group
+   only if it has such a pair there.
 4. Texts are joined to the groups they go on in, and each pair is verified on
    its full n-gram sets. A group returns each member's links and one edge to the
    smallest member it is connected with, never the pairs.
-5. Edges are contracted to connected components, in shared tables.
-
-Defined results: a text of one to N - 1 words has all of them as its one
-n-gram; a null or empty text has none, shares a class with other such texts and
-is linked to none besides; a null doc_id is its own class; rows that repeat a
-doc_id with one text are one document and each get its row; other columns are
-not read.
+5. Connected components by alternating large-star and small-star steps, in
+   shared tables.
+
+Cost of a hot bucket: the number of links of each of M different near copies
+is asked for, so M * M / 2 pairs are verified, in tasks of two blocks; a text is
+read by M / BLOCK of them. Copies of one word sequence cost nothing there.
+
+Defined results: a document is a row's doc_id and text. Rows that repeat both
+are one document and each get its row; rows that repeat a doc_id with another
+text are documents of their own, ordered by doc_id and then MD5 of the text. A
+text of one to N - 1 words has all of them as its one n-gram; a null or empty
+text has none, shares a class with other such texts and is linked to none
+besides. A null doc_id is its own class, with no links. Very long texts are
+read whole. An empty table gives no rows. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -41,8 +49,9 @@ N = 5
 THRESHOLD = (4, 5)
 RECALL = 0.9999
 MAX_HASHES = 96
-BLOCK = 512
-COLUMNS = 1 << 13
+BLOCK = 1024
+BLOCK_GRAMS = 1 << 20
+COLUMNS = 1 << 12
 
 
 def band_shape(threshold: float = THRESHOLD[0] / THRESHOLD[1], recall: float = RECALL, most: int = MAX_HASHES) -> tuple[int, int]:
@@ -72,13 +81,12 @@ def gram_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 def signed_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The word sequence's 128-bit hash and the band hashes (none without words)."""
-    schema = pa.schema([("doc_id", pa.int64()), ("t1", pa.int64()), ("t2", pa.int64()), ("bands", pa.list_(pa.int64()))])
+    """The word sequence's 128-bit hash, the number of n-grams and the band hashes (none without words)."""
+    schema = pa.schema([("doc_id", pa.int64()), ("m", pa.binary()), ("t1", pa.int64()), ("t2", pa.int64()), ("grams", pa.int64()), ("bands", pa.list_(pa.int64()))])
     for b in slices(batches):
         data, offsets = wh.flat(b.column("text"))
-        start, end, _ = wh.words(data, offsets)
-        grams, at, first = gram_hashes(data, offsets)
-        whole = [wh.windows(wh.prefix(wh.word_hashes(data, start, end, m), m), first[:-1], first[1:], m) + np.diff(first).astype(np.uint64) for m in (0, 1)]
+        grams, at, _ = gram_hashes(data, offsets)
+        whole = wh.texts(data, offsets)
         some = np.flatnonzero(np.diff(at))
         least = np.empty((len(some), len(FACTORS)), dtype=np.uint64)
         if len(some):
@@ -91,7 +99,7 @@ def signed_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sizes = np.zeros(b.num_rows + 1, dtype=np.int32)
         sizes[some + 1] = BANDS
         lists = pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), type=pa.int32()), pa.array(wh.signed(bands.reshape(-1))))
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(wh.signed(whole[0])), pa.array(wh.signed(whole[1])), lists], schema=schema)
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("m"), pa.array(whole[:, 0]), pa.array(whole[:, 1]), pa.array(np.diff(at)), lists], schema=schema)
 
 
 def grouped(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
@@ -156,9 +164,12 @@ def overlaps(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray
     if len(a) <= 4 * len(sets):
         return np.array([len(np.intersect1d(sets[x], sets[y], assume_unique=True)) for x, y in zip(a.tolist(), b.tolist(), strict=True)], dtype=np.int64)
     owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    values, column = np.unique(np.concatenate(sets), return_inverse=True)
+    _, column, found = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = found > 1  # an n-gram of one text is in no intersection
+    inside = shared[column]
+    owner, column = owner[inside], (np.cumsum(shared) - 1)[column[inside]]
     by_column = np.argsort(column, kind="stable")
-    edges = np.searchsorted(column[by_column], np.arange(0, len(values) + COLUMNS, COLUMNS))
+    edges = np.searchsorted(column[by_column], np.arange(0, int(shared.sum()) + COLUMNS, COLUMNS))
     total = np.zeros((len(sets), len(sets)), dtype=np.float32)
     for i, (x, y) in enumerate(zip(edges, edges[1:], strict=False)):
         chosen = by_column[x:y]
@@ -180,14 +191,15 @@ def smallest_linked(ids: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray
 
 
 def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """rep, its links found in a group (texts, and documents behind them), and the smallest member reached."""
-    schema = pa.schema([(n, pa.int64()) for n in ("rep", "texts", "documents", "root")])
+    """A representative (rep, m), its links found in a group (texts, and documents behind them), and the smallest member reached."""
+    schema = pa.schema([("rep", pa.int64()), ("m", pa.binary()), ("texts", pa.int64()), ("documents", pa.int64()), ("root", pa.int64()), ("root_m", pa.binary())])
     up, down = THRESHOLD
     for group in grouped(batches, GROUP):
-        _, once = np.unique(group.column("rep").to_numpy(), return_index=True)
+        rows = sorted((key, i) for i, key in enumerate(zip(group.column("rep").to_pylist(), group.column("m").to_pylist(), strict=True)))
+        once = [i for k, (key, i) in enumerate(rows) if not k or key != rows[k - 1][0]]  # equal rows of the table come once
         if len(once) < 2:
             continue
-        group = group.take(pa.array(np.sort(once)))  # rows that repeat a doc_id come once
+        group = group.take(pa.array(once))  # in order of (rep, m), so numbers stand for them
         a, b = own_pairs(group)
         grams, at, _ = gram_hashes(*wh.flat(group.column("text")))
         sets = [np.unique(grams[x:y]) for x, y in zip(at, at[1:], strict=False)]
@@ -199,72 +211,98 @@ def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = a[linked], b[linked]
         if not len(a):
             continue
-        rep, copies = group.column("rep").to_numpy(), group.column("copies").to_numpy()
-        texts = np.bincount(a, minlength=len(rep)) + np.bincount(b, minlength=len(rep))
-        behind = (np.bincount(a, weights=copies[b], minlength=len(rep)) + np.bincount(b, weights=copies[a], minlength=len(rep))).astype(np.int64)
+        n, copies = group.num_rows, group.column("copies").to_numpy()
+        texts = np.bincount(a, minlength=n) + np.bincount(b, minlength=n)
+        behind = (np.bincount(a, weights=copies[b], minlength=n) + np.bincount(b, weights=copies[a], minlength=n)).astype(np.int64)
         some = np.flatnonzero(texts)
-        yield rows_of(schema, rep=rep[some], texts=texts[some], documents=behind[some], root=smallest_linked(rep, a, b)[some])
+        mine, root = pa.array(some), pa.array(smallest_linked(np.arange(n), a, b)[some])
+        rep, m = group.column("rep"), group.column("m")
+        yield rows_of(schema, rep=rep.take(mine), m=m.take(mine), texts=texts[some], documents=behind[some], root=rep.take(root), root_m=m.take(root))
+
+
+def star(edges: DataFrame, larger: bool) -> DataFrame:
+    """One step over distinct edges (a, b) with a > b: every node joins neighbours to the smallest of them and itself.
 
+    With `larger` those above it, else those below it. Each step keeps what is
+    connected; the minimum is an aggregate combined before the shuffle, and a
+    node with very many neighbours is a skewed join that can be split.
+    """
+    if larger:
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("least")).withColumnRenamed("a", "node")
+        made = both.join(least, both["a"] == least["node"]).where("b > a").select(F.col("b").alias("a"), F.col("least").alias("b"))
+    else:
+        least = edges.groupBy("a").agg(F.min("b").alias("least")).withColumnRenamed("a", "node")
+        made = edges.join(least, edges["a"] == least["node"]).select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("least").alias("b")), F.struct("a", F.col("least").alias("b")))).alias("e")).select("e.*")
+    return cut(made.where("a != b").distinct())
 
-def components(edges: DataFrame) -> DataFrame:
+
+def components(edges: DataFrame, told: list[int] | None = None) -> DataFrame:
     """(node, root) of every node of edges (a, b): the smallest node connected with it.
 
-    Each round hooks every node to its smallest neighbour, follows that twice,
-    and contracts the edges; nodes that are no local minimum go, so rounds grow
-    with the logarithm of the nodes.
+    Large-star and small-star steps in turn until nothing changes, when every
+    edge joins a node to its root. They halve the depth of a path with each
+    round, so rounds grow with the logarithm of the nodes. `told` gets the
+    number of edges after each round.
     """
     edges = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct())
-    labels = None
-    while not edges.isEmpty():
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        hooks = cut(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("x"), F.least("a", "b").alias("p")))
-        twice = hooks.alias("h").join(hooks.alias("g"), F.col("h.p") == F.col("g.x")).select(F.col("h.x").alias("x"), F.col("g.p").alias("p"))
-        moved = cut(twice)
-        drop(hooks)
-        if labels is None:
-            grown = cut(moved.select(F.col("x").alias("node"), F.col("p").alias("root")))
-        else:
-            grown = cut(labels.join(moved, labels["root"] == moved["x"], "left").select("node", F.coalesce("p", "root").alias("root")))
-            drop(labels)
-        labels = grown
-        ends = edges.join(moved, edges["a"] == moved["x"]).select(F.col("p").alias("a"), "b")
-        ends = ends.join(moved, ends["b"] == moved["x"]).select("a", F.col("p").alias("b")).where("a != b")
-        left = cut(ends.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    rounds: list[int] = [] if told is None else told
+    before = None
+    while True:
+        now = edges.agg(F.count("*").alias("n"), F.sum(F.hash("a", "b").cast("long")).alias("s"), F.bit_xor(F.xxhash64("a", "b")).alias("x")).first()
+        if now == before or not now["n"]:
+            return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+        before = now
+        large = star(edges, True)
         drop(edges)
-        drop(moved)
-        edges = left
-    if labels is None:
-        return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    return labels
+        edges = star(large, False)
+        drop(large)
+        rounds.append(now["n"])
+
+
+def rows_with_digest(docs: DataFrame) -> DataFrame:
+    """doc_id, text and m, the MD5 of the text: a document's identity is doc_id and m."""
+    return id_text(docs).withColumn("m", F.unhex(F.md5(F.encode("text", "UTF-8"))))
 
 
 def jaccard_classes(docs: DataFrame) -> DataFrame:
-    """doc_id, class_id (the smallest doc_id it is linked with, directly or through others), rep (the smallest doc_id of its word sequence), n_links (documents linked to it directly, copies included) and n_text_links (different texts)."""
-    known = id_text(docs).where("doc_id is not null")
-    signed = cut(known.mapInArrow(signed_texts, "doc_id long, t1 long, t2 long, bands array<long>").dropDuplicates(["doc_id"]))
-    classes = cut(signed.groupBy("t1", "t2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.min("bands").alias("bands")))
-    buckets = classes.select("rep", F.posexplode("bands").alias("band", "bucket"))
-    sizes = cut(buckets.groupBy("bucket", "band").count().where("count > 1"))
+    """doc_id, class_id (the smallest doc_id it is linked with, directly or through others), rep (the smallest doc_id of its word sequence), n_links (documents linked to it directly, copies included), n_text_links (different texts), m (MD5 of the text), first (whether it is the first document of its group) and rows (equal rows of the table)."""
+    known = rows_with_digest(docs)
+    lone = known.where("doc_id is null").select("doc_id", "m")
+    known = known.where("doc_id is not null")
+    signed = known.mapInArrow(signed_texts, "doc_id long, m binary, t1 long, t2 long, grams long, bands array<long>")
+    signed = cut(signed.groupBy("doc_id", "m").agg(F.count("*").alias("rows"), *(F.min(c).alias(c) for c in ("t1", "t2", "grams", "bands"))))
+    classes = signed.groupBy("t1", "t2").agg(F.min(F.struct("doc_id", "m")).alias("first"), F.count("*").alias("copies"), F.min("grams").alias("grams"), F.min("bands").alias("bands"))
+    classes = cut(classes.select("t1", "t2", F.col("first.doc_id").alias("rep"), F.col("first.m").alias("m"), "copies", "grams", "bands"))
+    buckets = classes.select("rep", "m", "grams", F.posexplode("bands").alias("band", "bucket"))
+    sizes = cut(buckets.groupBy("bucket", "band").agg(F.count("*").alias("count"), F.sum("grams").alias("total")).where("count > 1"))
     # merged at every size, and without the lists of bands: only members of shared buckets fetch theirs
-    shared = buckets.join(sizes.hint("merge"), ["bucket", "band"])
-    dealt = shared.join(classes.select("rep", "copies", "bands").hint("merge"), "rep").select("*", F.ceil(F.col("count") / BLOCK).alias("blocks"))
-    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
+    shared = buckets.drop("grams").join(sizes.hint("merge"), ["bucket", "band"])
+    blocks = F.greatest(F.ceil(F.col("count") / BLOCK), F.ceil(F.col("total") / BLOCK_GRAMS))
+    dealt = shared.join(classes.select("rep", "m", "copies", "bands").hint("merge"), ["rep", "m"]).withColumn("blocks", blocks)
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("rep", "m"), F.col("blocks")))
     dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    dealt = dealt.select("bucket", F.least("block", "with").alias("one"), F.greatest("block", "with").alias("other"), "block", "band", "rep", "copies", "bands")
-    fields = "bucket long, one long, other long, block long, band int, rep long, copies long, bands array<long>"
+    dealt = dealt.select("bucket", F.least("block", "with").alias("one"), F.greatest("block", "with").alias("other"), "block", "band", "rep", "m", "copies", "bands")
+    fields = "bucket long, one long, other long, block long, band int, rep long, m binary, copies long, bands array<long>"
     member = cut(dealt.repartition(*GROUP).sortWithinPartitions(*GROUP).mapInArrow(needed, fields))
     drop(sizes)
     # merged at every size: texts are shuffled once, whether or not the members would fit a broadcast
-    with_text = member.hint("merge").join(known, member["rep"] == F.col("doc_id")).drop("doc_id")
-    found = cut(with_text.repartition(*GROUP).sortWithinPartitions(*GROUP).mapInArrow(verified, "rep long, texts long, documents long, root long"))
+    texts = known.select(F.col("doc_id").alias("rep"), "m", "text")
+    with_text = member.hint("merge").join(texts, ["rep", "m"]).select(*member.columns, "text")
+    found = cut(with_text.repartition(*GROUP).sortWithinPartitions(*GROUP).mapInArrow(verified, "rep long, m binary, texts long, documents long, root long, root_m binary"))
     drop(member)
-    links = found.groupBy("rep").agg(F.sum("texts").alias("texts"), F.sum("documents").alias("documents"))
-    roots = components(found.where("rep != root").select(F.col("rep").alias("a"), F.col("root").alias("b")))
-    told = classes.select("t1", "t2", "rep", "copies").join(links, "rep", "left").join(roots, F.col("rep") == F.col("node"), "left")
-    told = cut(told.select("t1", "t2", "rep", F.coalesce("root", "rep").alias("class_id"), (F.coalesce("documents", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("texts", F.lit(0)).alias("n_text_links")))
+    links = found.groupBy("rep", "m").agg(F.sum("texts").alias("texts"), F.sum("documents").alias("documents"))
+    node, root = F.struct(F.col("rep").alias("id"), F.col("m").alias("m")), F.struct(F.col("root").alias("id"), F.col("root_m").alias("m"))
+    roots = components(found.where("rep != root or m != root_m").select(node.alias("a"), root.alias("b")))
+    roots = roots.select(F.col("node.id").alias("rep"), F.col("node.m").alias("m"), "root")
+    told = classes.select("t1", "t2", "rep", "m", "copies").join(links, ["rep", "m"], "left").join(roots, ["rep", "m"], "left")
+    told = told.select("t1", "t2", "rep", F.coalesce("root", F.struct(F.col("rep").alias("id"), F.col("m").alias("m"))).alias("root"), (F.coalesce("documents", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("texts", F.lit(0)).alias("n_text_links"))
+    told = cut(told)
     drop(found)
     drop(classes)
-    per_doc = signed.select("doc_id", "t1", "t2").join(told, ["t1", "t2"]).select(F.col("doc_id").alias("own"), "rep", "class_id", "n_links", "n_text_links")
-    ids = docs.select(docs["doc_id"].cast("long").alias("doc_id"))
-    zero = F.lit(0).cast("long")
-    return ids.join(per_doc, ids["doc_id"] == F.col("own"), "left").select("doc_id", "class_id", "rep", F.coalesce("n_links", zero).alias("n_links"), F.coalesce("n_text_links", zero).alias("n_text_links"))
+    per_doc = signed.select("doc_id", "m", "t1", "t2", "rows").join(told, ["t1", "t2"])
+    first = (F.col("doc_id") == F.col("root.id")) & (F.col("m") == F.col("root.m"))
+    per_doc = per_doc.select("doc_id", F.col("root.id").alias("class_id"), "rep", "n_links", "n_text_links", "m", first.alias("first"), "rows")
+    per_row = per_doc.withColumn("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows")))).drop("row")
+    none, zero = F.lit(None).cast("long"), F.lit(0).cast("long")
+    return per_row.unionByName(lone.select("doc_id", none.alias("class_id"), none.alias("rep"), zero.alias("n_links"), zero.alias("n_text_links"), "m", F.lit(True).alias("first"), F.lit(1).cast("long").alias("rows")))

@@ -47,7 +47,7 @@ def op7_bwt_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.jaccard_classes(table(spark, sf_dir, "documents"))
+    return ngram_join.jaccard_classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "rep", "n_links", "n_text_links")
 
 
 def op9_chat_spans(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -80,7 +80,7 @@ def brute_bytes():
     return want
 
 
-@pytest.mark.parametrize("hot", [bwt_dedup.HOT, 1])
+@pytest.mark.parametrize("hot", [bwt_dedup.HOT, 1, 2])
 def test_common_bytes(docs, monkeypatch, hot):
     monkeypatch.setattr(bwt_dedup, "HOT", hot)
     got = by_id(bwt_dedup.remove_common_digest(docs))
@@ -124,7 +124,71 @@ def test_jaccard(docs, monkeypatch, block):
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 90), (90, 95), (7, 7)]
     got = {r["node"]: r["root"] for r in ngram_join.components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert got == {i: 0 for i in range(41)} | {90: 90, 95: 90, 100: 90}
+    assert got == {i: 0 for i in range(1, 41)} | {95: 90, 100: 90}
+    assert ngram_join.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_components_of_a_long_path(spark):
+    rounds = []
+    found = ngram_join.components(spark.range(4000).selectExpr("id as a", "id + 1 as b"), rounds)
+    assert found.where("root = 0").count() == 4000 and len(rounds) <= 20
+
+
+def thue_morse(n, zero, one):
+    """Two sequences that polynomials modulo a power of two cannot tell apart, whatever their multiplier."""
+    return tuple(" ".join((one if bin(i).count("1") + flip & 1 else zero) for i in range(n)) for flip in (0, 1))
+
+
+def test_hashes_tell_thue_morse_sequences_apart(spark):
+    one, other = thue_morse(1024, "to", "be")
+    long_one, long_other = (x.replace(" ", "") for x in thue_morse(1024, "a", "b"))
+    tail = " " + " ".join(f"t{i}" for i in range(19))
+    rows = spark.createDataFrame([(1, one), (2, other), (3, long_one + tail), (4, long_other + tail)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in ngram_join.jaccard_classes(rows).collect()}
+    assert got[2]["rep"] == 2
+    assert {r["doc_id"]: r["n_removed"] for r in cover_dedup.remove_repeats_digest(rows).where("doc_id > 2").collect()} == {3: 0, 4: 0}
+
+
+def test_jaccard_keeps_rows_that_repeat_an_id(spark):
+    near = PROSE.replace("grey", "blue")
+    texts = [(1, PROSE), (1, "another text of one two three four words that has its own row"), (5, near + " x"), (5, near + " x"), (9, "another text of one two three four words that has its own row")]
+    got = ngram_join.jaccard_classes(spark.createDataFrame(texts, "doc_id long, text string").repartition(3)).collect()
+    assert sorted((r["doc_id"], r["class_id"], r["rep"], r["n_links"], r["first"], r["rows"]) for r in got if r["doc_id"] != 1) == [(5, 5, 5, 0, True, 2), (5, 5, 5, 0, True, 2), (9, 1, 1, 1, False, 1)]
+    assert sorted(r["n_links"] for r in got if r["doc_id"] == 1) == [0, 1]
+
+
+def test_jaccard_recall(spark):
+    """Links of documents with ids divisible by 50, by brute force over all rows of the table."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    g = {r["doc_id"]: grams(r["text"]) for r in docs.collect()}
+    links = {i: sum(bool(g[i] | g[j]) and 5 * len(g[i] & g[j]) >= 4 * len(g[i] | g[j]) or g[i] == g[j] for j in g if j != i) for i in g if i % 50 == 0}
+    got = by_id(ngram_join.jaccard_classes(docs))
+    assert sum(got[i]["n_links"] for i in links) >= 0.99 * sum(links.values()) > 0
+    assert all(got[i]["n_links"] <= n for i, n in links.items())
+
+
+@pytest.mark.parametrize("rows", [1, 300])
+def test_one_hot_line(spark, monkeypatch, rows):
+    """A line in all documents, with other neighbours in each."""
+    monkeypatch.setattr(bwt_dedup, "HOT", 16)
+    line = "this very line of eighty characters stands in each of the documents of the table"
+    texts = {i: f"{i * 7919 % 104729} before it {line} {i * 104729 % 7919} after it " + "z" * (i % 3) for i in range(rows)}
+    seen, want = set(), {}
+    for i, t in texts.items():
+        gone = bytearray(len(t))
+        windows = [t[k : k + 50] for k in range(len(t) - 49)]
+        for k, w in enumerate(windows):
+            if w in seen:
+                gone[k : k + 50] = b"\1" * 50
+        seen.update(windows)
+        want[i] = hashlib.sha256("".join(c for c, x in zip(t, gone) if not x).encode()).hexdigest()
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
+    assert {r["doc_id"]: r["kept_sha256"] for r in bwt_dedup.remove_common_digest(df).collect()} == want
+
+
+@pytest.mark.parametrize("operator", [cover_dedup.remove_repeats_digest, bwt_dedup.remove_common_digest, ngram_join.jaccard_classes])
+def test_empty_tables(docs, operator):
+    assert operator(docs.limit(0)).count() == 0
 
 
 def test_band_shape_reaches_recall():
