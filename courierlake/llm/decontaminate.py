@@ -6,11 +6,16 @@ question with other numbers or names has the template of the original.
 
 1. Windows of WINDOW template tokens are hashed on both sides; the template of a
    window mostly of placeholders says nothing, so its literal words are hashed
-   instead. Items shorter than that are one window of their own length.
-2. Document windows meet item windows in a hash join, which yields candidate
-   documents. The items' windows are broadcast only if their table is below
-   Spark's size threshold, and shuffled otherwise.
-3. Candidates alone are read again with the words behind their placeholders.
+   instead. Items shorter than that are one window of their own length; one with
+   fewer than MIN_WORDS words besides its slots ("42", "5 kg", "Yes") would be
+   found in any text and is not searched.
+2. Document windows (hash, document, place) meet the items' hashes in a semi
+   join, and what is left is gathered by document. The items' hashes are a plain
+   table: broadcast only if it is below Spark's size threshold, and otherwise
+   merged, where the adaptive planner can split a window that a third of all
+   documents share.
+3. Documents with hits alone are read again. The words of each hit are cut out
+   of the text before anything is shuffled by hash, and meet the item's words.
    Matched windows give the share of the item's windows found and the slot pairs
    (item's word, document's word). Both are judged for each occurrence in the
    document: windows of one alignment (place in the document less place in the
@@ -20,12 +25,13 @@ question with other numbers or names has the template of the original.
    item stands for the same word of the document. It is one too if MIN_SHARE of
    the windows, and of those with slots, are found word for word.
 
-Only DataFrame functions. Windows of a document stay in its row until they are
-exploded to (hash, doc_id); a window that a third of all documents share meets
-at most the few items that hold it.
+Only DataFrame functions. Hits of a document are gathered in its row, bounded by
+its own length.
 
 Defined results: null or empty texts hold no window; null ids match nothing;
-rows that repeat a doc_id or item_id count once; other columns are not read.
+equal rows count once; rows that repeat a doc_id or item_id with another text
+are judged apart, and the pair is a leak if one of them is; very long texts are
+read whole; empty tables give no pairs; other columns are not read.
 """
 
 from __future__ import annotations
@@ -33,12 +39,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import cut, id_text
+from .shared import cut, drop, id_text
 
 WINDOW = 8
 MIN_SHARE = 0.3
 MIN_CONSISTENT = 0.7
 MAX_SLOTS = 4
+MIN_WORDS = 3
 # Units of measure and currency after a number.
 UNITS = (
     "kg g mg lb lbs oz km m cm mm mi ft in yd mph kph s sec min h hr hrs l ml gal"
@@ -89,35 +96,50 @@ def literal(at: Column) -> Column:
     return F.xxhash64(F.lit("words"), F.lower(words))
 
 
-def prepared(rows: DataFrame, key: str) -> DataFrame:
-    """key, toks, hashes of template tokens, and long: hashes of windows of WINDOW tokens, of the words where most of one is slots."""
-    own = id_text(rows, key).where("doc_id is not null").select(F.col("doc_id").alias(key), tokens(F.col("text")).alias("toks"))
+def prepared(own: DataFrame, *keys: str) -> DataFrame:
+    """keys, toks, hashes of template tokens, and long: hashes of windows of WINDOW tokens, of the words where most of one is slots."""
+    own = own.select(*keys, tokens(F.col("text")).alias("toks"))
     some = F.exists("toks", lambda t: t.startswith("\x01"))
     hashes = F.transform("toks", lambda t: F.xxhash64(template(t)))
-    out = own.select(key, "toks", hashes.alias("hashes"), F.when(some, F.transform("toks", slot_count)).alias("hidden"))
-    out = out.select(key, "toks", "hashes", F.col("hashes").alias("long"), "hidden")
+    out = own.select(*keys, "toks", hashes.alias("hashes"), F.when(some, F.transform("toks", slot_count)).alias("hidden"))
+    out = out.select(*keys, "toks", "hashes", F.col("hashes").alias("long"), "hidden")
     for step in (1, 2, 4):  # of two, four and eight tokens
-        out = out.select(key, "toks", "hashes", doubled(step).alias("long"), summed(step).alias("hidden"))
-    out = out.select(key, "toks", "hashes", "hidden", F.slice("long", 1, F.greatest(F.size("long") - (WINDOW - 1), F.lit(0))).alias("long"))
+        out = out.select(*keys, "toks", "hashes", doubled(step).alias("long"), summed(step).alias("hidden"))
+    out = out.select(*keys, "toks", "hashes", "hidden", F.slice("long", 1, F.greatest(F.size("long") - (WINDOW - 1), F.lit(0))).alias("long"))
     shown = F.transform("long", lambda h, i: F.when(F.get("hidden", i) <= MAX_SLOTS, h).otherwise(literal(i)))
-    return out.select(key, "toks", "hashes", F.when(F.col("hidden").isNull(), F.col("long")).otherwise(shown).alias("long"))
+    return out.select(*keys, "toks", "hashes", F.when(F.col("hidden").isNull(), F.col("long")).otherwise(shown).alias("long"))
+
+
+def texts_of(rows: DataFrame, key: str, row: str) -> DataFrame:
+    """key, row (a hash of the text, which tells rows of one key apart) and text of rows that have a key."""
+    return id_text(rows, key).where("doc_id is not null").select(F.col("doc_id").alias(key), F.xxhash64("text").alias(row), "text")
 
 
 def window_hashes(size: int) -> Column:
     return F.col("long") if size == WINDOW else short_windows(size)
 
 
-def sizes_of(items: DataFrame) -> list[int]:
+def searched(items: DataFrame) -> DataFrame:
+    """Items that say something: of WINDOW tokens or more, or with MIN_WORDS words besides their slots."""
+    words = F.size(F.filter("toks", lambda t: ~t.startswith("\x01")))
+    return items.where((F.size("toks") >= WINDOW) | (words >= MIN_WORDS))
+
+
+def placed_windows(size: int) -> Column:
+    return F.transform(window_hashes(size), lambda h, i: F.struct(h.alias("h"), i.alias("at"), F.lit(size).alias("size")))
+
+
+def sizes_of(windows: DataFrame) -> list[int]:
     """The window sizes in use: WINDOW, and the lengths of shorter items (so at most WINDOW numbers)."""
-    short = items.where((F.size("toks") < WINDOW) & (F.size("toks") > 0)).select(F.size("toks").alias("n")).distinct()
-    return sorted({WINDOW, *(r["n"] for r in short.collect())})
+    return sorted({WINDOW, *(r["n_toks"] for r in windows.where(F.col("n_toks") < WINDOW).select("n_toks").distinct().collect())})
 
 
 def item_windows(items: DataFrame) -> DataFrame:
-    """item_id, h, where in the item (every place of a window that repeats), and the item's number of tokens."""
+    """item_id, item_row, h, where in the item (every place of a window that repeats), the item's number of tokens, and the window's."""
     cases = [F.when(F.size("toks") == n, window_hashes(n)) for n in range(1, WINDOW)]
     hashes = F.coalesce(*cases, window_hashes(WINDOW))
-    return items.select("item_id", F.size("toks").alias("n_toks"), "toks", F.posexplode(hashes).alias("place", "h"))
+    places = items.select("item_id", "item_row", F.size("toks").alias("n_toks"), "toks", F.posexplode(hashes).alias("place", "h"))
+    return places.select("item_id", "item_row", "h", "place", "n_toks", F.slice("toks", F.col("place") + 1, F.least(F.lit(WINDOW), F.col("n_toks"))).alias("item_toks"))
 
 
 def in_slot(word: Column) -> Column:
@@ -129,10 +151,13 @@ def different(column: str, where: Column | None = None, name: str = "n_windows")
     return F.size(F.collect_set(F.col(column) if where is None else F.when(where, F.col(column)))).alias(name)
 
 
+PAIR = ("doc_id", "doc_row", "item_id", "item_row")
+
+
 def occurrences(seen: DataFrame) -> DataFrame:
     """Each matched window once for every occurrence that it is judged in: its alignment, the alignments near it,
     the whole document, and among the windows found word for word."""
-    pair = Window.partitionBy("doc_id", "item_id")
+    pair = Window.partitionBy(*PAIR)
     order = pair.orderBy("shift")
     room = F.least(F.lit(WINDOW), F.floor(F.col("n_toks") / 2))
     apart = F.coalesce(F.col("shift") - F.lag("shift").over(order) > room, F.lit(False))
@@ -142,41 +167,50 @@ def occurrences(seen: DataFrame) -> DataFrame:
     names = F.when(F.col("several"), F.array(F.concat(F.lit("at "), "shift"), F.concat(F.lit("near "), "near"), F.lit("all"))).otherwise(F.array(F.lit("all")))
     exact = F.forall("pairs", lambda z: z["item_toks"] == z["doc_toks"])
     names = F.when(exact, F.array_append(names, F.lit("exact"))).otherwise(names)
-    return out.withColumn("near", near).select("doc_id", "item_id", "h", "words", "pairs", F.explode(names).alias("part"))
+    return out.withColumn("near", near).select(*PAIR, "h", "words", "pairs", F.explode(names).alias("part"))
+
+
+def hits(texts: DataFrame, windows: DataFrame) -> DataFrame:
+    """doc_id, doc_row and its hits: (h, at, size) of each window that an item has too."""
+    own = prepared(texts, "doc_id", "doc_row")
+    # a plain table, so that a skewed merge can be split
+    wanted = cut(windows.select("h").distinct())
+    every = F.concat(*map(placed_windows, sizes_of(windows)))
+    placed = own.select("doc_id", "doc_row", F.inline(every))
+    out = cut(placed.join(wanted, "h", "left_semi").groupBy("doc_id", "doc_row").agg(F.collect_set(F.struct("h", "at", "size")).alias("hits")))
+    drop(wanted)
+    return out
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Pairs (doc_id, item_id) of leaks, with n_windows (different ones of the item) and, of the occurrence that shows most of it, n_found, n_slots (different item words seen in slots) and consistent (share of them that stand for one document word)."""
-    items = prepared(benchmark, "item_id").dropDuplicates(["item_id"])
-    sizes = sizes_of(items)
-    windows = cut(item_windows(items).select("item_id", "h", "place", "n_toks", F.slice("toks", F.col("place") + 1, F.least(F.lit(WINDOW), F.col("n_toks"))).alias("item_toks")))
-    wanted = windows.select("h").distinct()
-    own = prepared(docs, "doc_id")
-    every = own.select("doc_id", F.explode(F.concat(*(window_hashes(n) for n in sizes))).alias("h"))
-    candidates = cut(every.join(wanted, "h", "left_semi").select("doc_id").distinct())
-    texts = docs.join(candidates.withColumnRenamed("doc_id", "c_id"), docs["doc_id"] == F.col("c_id"), "left_semi")
-    again = prepared(texts, "doc_id").dropDuplicates(["doc_id"])
-    at = [again.select("doc_id", "toks", F.lit(n).alias("size"), F.posexplode(window_hashes(n)).alias("at", "h")) for n in sizes]
-    found = at[0]
-    for more in at[1:]:
-        found = found.unionByName(more)
-    found = found.join(windows, "h").select("doc_id", "item_id", "h", "n_toks", (F.col("at") - F.col("place")).alias("shift"), "item_toks", F.slice("toks", F.col("at") + 1, F.col("size")).alias("doc_toks"))
+    items = searched(prepared(texts_of(benchmark, "item_id", "item_row").distinct(), "item_id", "item_row"))
+    windows = cut(item_windows(items))
+    texts = texts_of(docs, "doc_id", "doc_row")
+    found = hits(texts, windows)
+    # equal rows of the table are one document from here on
+    again = texts.join(found, ["doc_id", "doc_row"]).dropDuplicates(["doc_id", "doc_row"]).select("doc_id", "doc_row", "hits", tokens(F.col("text")).alias("toks"))
+    words_of = F.transform("hits", lambda x: F.struct(x["h"].alias("h"), x["at"].alias("at"), F.slice("toks", x["at"] + 1, x["size"]).alias("doc_toks")))
+    placed = again.select("doc_id", "doc_row", F.inline(words_of)).join(windows, "h")
+    placed = placed.select(*PAIR, "h", "n_toks", (F.col("at") - F.col("place")).alias("shift"), "item_toks", "doc_toks")
     pairs = F.filter(F.arrays_zip("item_toks", "doc_toks"), lambda z: in_slot(z["item_toks"]))
     words = (F.size("item_toks") == WINDOW) & (F.size(F.filter("item_toks", in_slot)) > MAX_SLOTS)
-    seen = cut(found.select("doc_id", "item_id", "h", "n_toks", "shift", words.alias("words"), pairs.alias("pairs")))
+    seen = cut(placed.select(*PAIR, "h", "n_toks", "shift", words.alias("words"), pairs.alias("pairs")))
+    drop(found)
     parts = cut(occurrences(seen))
+    drop(seen)
     slotted = F.exists("item_toks", in_slot)
-    total = windows.groupBy("item_id").agg(different("h"), different("h", ~words, "n_templates"), different("h", slotted, "n_slotted"))
-    key = ["doc_id", "item_id", "part"]
+    total = windows.groupBy("item_id", "item_row").agg(different("h"), different("h", ~words, "n_templates"), different("h", slotted, "n_slotted"))
+    key = [*PAIR, "part"]
     share = parts.groupBy(*key).agg(different("h", name="n_found"), different("h", ~F.col("words"), "found_templates"), different("h", F.size("pairs") > 0, "found_slotted"))
     slots = parts.select(*key, F.explode("pairs").alias("z")).groupBy(*key, F.col("z.item_toks").alias("slot")).agg((F.min("z.doc_toks") == F.max("z.doc_toks")).alias("one"))
     slots = slots.groupBy(*key).agg(F.count("*").alias("n_slots"), F.avg(F.col("one").cast("double")).alias("consistent"))
-    out = share.join(total, "item_id").join(slots, key, "left")
+    out = share.join(total, ["item_id", "item_row"]).join(slots, key, "left")
     out = out.withColumns({"n_slots": F.coalesce("n_slots", F.lit(0)), "consistent": F.coalesce("consistent", F.lit(1.0))})
     # windows of literal words cannot be found in a copy with other values, so the share of templates alone is enough
     templates = (F.col("n_templates") > 0) & (F.col("found_templates") >= MIN_SHARE * F.col("n_templates"))
     enough = ((F.col("n_found") >= MIN_SHARE * F.col("n_windows")) | templates) & (F.col("consistent") >= MIN_CONSISTENT)
     whole = (F.col("part") != "exact") | (F.col("found_slotted") >= MIN_SHARE * F.col("n_slotted"))
-    best = F.max(F.struct("n_found", "consistent", "n_slots")).alias("best")
-    out = out.where(enough & whole).groupBy("doc_id", "item_id", F.col("n_windows").cast("long").alias("n_windows")).agg(best)
-    return out.select("doc_id", "item_id", "n_windows", F.col("best.n_found").cast("long").alias("n_found"), "best.n_slots", "best.consistent")
+    best = F.max(F.struct("n_found", "consistent", "n_slots", F.col("n_windows").cast("long").alias("n_windows"))).alias("best")
+    out = out.where(enough & whole).groupBy("doc_id", "item_id").agg(best)
+    return out.select("doc_id", "item_id", "best.n_windows", F.col("best.n_found").cast("long").alias("n_found"), "best.n_slots", "best.consistent")

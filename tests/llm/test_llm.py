@@ -228,6 +228,43 @@ def test_decontamination_of_items_rich_in_slots(spark):
     assert {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(docs, bench).collect()} == {(1, 10), (2, 11), (5, 12)}
 
 
+def test_items_that_say_nothing_match_nothing(spark):
+    docs = spark.createDataFrame([(1, "It weighed 3 kg and cost 42 in all. Yes, it did."), (2, PROSE), (3, "the capital of France")], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "42"), (2, "5 kg"), (3, "Yes"), (4, "12 kg 13"), (5, "The capital of France")], "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(docs, bench).collect()} == {(3, 5)}
+
+
+def test_decontamination_of_repeats_and_clashing_columns(spark):
+    item = "How many of the 14 red stones did the old miller of the valley keep for the winter that year?"
+    rows = [(1, PROSE, 1, 1, "x", "x"), (1, f"Before. {item} After.", 1, 1, "x", "x"), (1, f"Before. {item} After.", 1, 1, "x", "x"), (2, LONG * 8 + f" {item} " + LONG * 8, 2, 2, "y", "y"), (3, None, 3, 3, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, item_id long, c_id long, h string, hits string").repartition(3)
+    bench = spark.createDataFrame([(7, item, 1, "h"), (7, item, 2, "h"), (7, "another question of nine words that nobody has asked", 3, "h")], "item_id long, text string, doc_id long, place string")
+    got = {(r["doc_id"], r["item_id"]): r for r in decontaminate.leaks(docs, bench).collect()}
+    assert set(got) == {(1, 7), (2, 7)} and all(r["n_found"] == r["n_windows"] for r in got.values())
+
+
+def plain_leaks(texts, items):
+    """Items whose words (without marks and case) stand in a text word for word."""
+    bare = {i: " " + " ".join(re.findall(r"[^\W_]+", t.lower())) + " " for i, t in texts.items()}
+    return {(d, i) for i, q in items.items() for d, t in bare.items() if len(q.split()) >= 3 and " " + " ".join(re.findall(r"[^\W_]+", q.lower())) + " " in t}
+
+
+def test_decontamination_finds_every_verbatim_item(spark):
+    docs, bench = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "benchmark"))
+    want = plain_leaks({r["doc_id"]: r["text"] or "" for r in docs.collect()}, {r["item_id"]: r["text"] for r in bench.collect()})
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(docs, bench).collect()}
+    assert want and want <= got and len(got) <= len(want) + 2
+
+
+def test_decontamination_without_broadcasts(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        docs = spark.createDataFrame([(i, f"{i} " + PROSE) for i in range(40)], "doc_id long, text string")
+        assert decontaminate.leaks(docs, spark.createDataFrame([(4, PROSE)], "item_id long, text string")).count() == 40
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_quality_rules(docs):
     got = by_id(quality_rules.quality_rules(docs))
     for i, t in TEXTS.items():
