@@ -57,9 +57,7 @@ def op9_chat_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
-    written = warc_normalise.cut(warc_normalise.write_archives(table(spark, sf_dir, "pages")))
-    index = warc_normalise.cut(warc_normalise.normalised(written))
-    return warc_normalise.read_records(index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return warc_normalise.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:

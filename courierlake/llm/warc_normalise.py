@@ -6,41 +6,46 @@ cuts it into records by their Content-Length, writes every record as a gzip
 member of its own, and lists (offset, length) of each member in a sidecar
 index. Any record can then be read by inflating its own member alone.
 
-Archives are rows (archive, data) so that they live wherever Spark can write;
-`binaryFile` rows of existing .warc.gz files have the same shape, and
-save_archives() makes files of them. An archive is bounded: a writer task starts
-a new one at ARCHIVE_BYTES of payload, and a single longer payload has one alone.
+Archives are files in a folder that all executors share (any file system that
+Arrow opens by its address). A task writes under a temporary name and renames;
+the tables that name the files come from finished tasks only, so what a lost
+executor left behind is read by nobody. An archive is bounded: a writer task
+starts a new one at ARCHIVE_BYTES of payload, and a single longer payload has
+one alone. A worker holds one record, never an archive.
 
 Equal payloads: of records whose payload has at least `least` bytes, the one
 with the smallest page_id is a response and the others are revisits of it. The
 first holder comes from an aggregate by digest (combined before the shuffle)
-and goes back to the pages by page_id, so a page copied to a third of all rows
-makes no hot key.
+and goes back to the pages by page_id, url and digest, so a page copied to a
+third of all rows makes no hot key.
 
 Defined results: a null html is an empty payload; a null url becomes
 `urn:page:<id>`; a null page_id takes part in no revisit and is written as a
-response; repeated rows of one page_id each give a record, the first a
-response and the others revisits of the same page_id; empty tables give no
-archives; other columns are not read.
+response. Of rows that repeat a page_id with an equal payload, the one with the
+smallest url is the response; of wholly equal rows one is, and the others are
+revisits of the same page_id, however the rows are dealt. Very long payloads
+are written whole; empty tables give no archives; other columns are not read.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import os
 import re
+import uuid
 import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from typing import IO
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.fs as pafs
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import cut, rows_of, slices
+from .shared import cut, drop, rows_of, scratch_path, slices
 
-ARCHIVE_BYTES = 2 << 20
+ARCHIVE_BYTES = 64 << 20
 LEVEL = 1
 BLOCK = 1 << 16
 DATE = "2000-01-01T00:00:00Z"
@@ -95,20 +100,19 @@ def parse(raw: bytes) -> Record:
     return Record(headers, rest[: int(headers["content-length"])])
 
 
-def inflate(data: bytes) -> Iterator[bytes]:
+def inflate(source: IO[bytes]) -> Iterator[bytes]:
     """Pieces of the stream; further members of a mixed archive follow on."""
+    data = source.read(BLOCK)
     while data:
         d = zlib.decompressobj(31)
         while not d.eof:
             piece = d.decompress(data, BLOCK)
-            data = d.unconsumed_tail
+            data = d.unconsumed_tail or (b"" if d.eof else source.read(BLOCK))
             if piece:
                 yield piece
-            elif not data:
-                break
-        if not d.eof:
-            raise ValueError("the gzip stream is cut off")
-        data = d.unused_data
+            elif not data and not d.eof:
+                raise ValueError("the gzip stream is cut off")
+        data = d.unused_data or source.read(BLOCK)
 
 
 def split_records(pieces: Iterable[bytes]) -> Iterator[bytes]:
@@ -142,109 +146,158 @@ def member(raw: bytes) -> bytes:
     return c.compress(raw) + c.flush()
 
 
-def normalise(data: bytes) -> tuple[bytes, list[tuple[int, int]]]:
-    """An archive with a member per record, and its index."""
-    out, index, at = [], [], 0
-    for raw in split_records(inflate(data)):
-        out.append(member(raw))
-        index.append((at, len(out[-1])))
-        at += len(out[-1])
-    return b"".join(out), index
+def normalise(source: IO[bytes], sink: IO[bytes]) -> list[tuple[int, int]]:
+    """Rewrite an archive with a member per record; (offset, length) of each."""
+    index, at = [], 0
+    for raw in split_records(inflate(source)):
+        made = member(raw)
+        sink.write(made)
+        index.append((at, len(made)))
+        at += len(made)
+    return index
 
 
-def with_revisits(pages: DataFrame, least: int) -> DataFrame:
-    """page_id, url, html and refers_to (null: a response)."""
-    own = pages.select(pages["page_id"].cast("long").alias("page_id"), pages["url"].cast("string").alias("url"), F.coalesce(pages["html"].cast("string"), F.lit("")).alias("html"))
-    held = own.where((F.octet_length("html") >= least) & F.col("page_id").isNotNull()).select("page_id", F.unhex(F.sha1(F.encode("html", "UTF-8"))).alias("d"))
-    held = cut(held)
-    first = held.groupBy("d").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("d", "first")
-    revisits = held.join(first, "d").groupBy("page_id").agg(F.min("first").alias("first"), F.count("*").alias("same"))
-    revisits = revisits.where("page_id > first or same > 1").withColumnRenamed("page_id", "r_id")
-    return own.join(revisits, own["page_id"] == revisits["r_id"], "left").select("page_id", "url", "html", F.col("first").alias("first"))
+def new_folder(spark: SparkSession, kind: str) -> str:
+    """A new folder in the shared one, as an address that Arrow opens too."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(scratch_path(spark, kind))
+    whole = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return re.sub(r"^file:/+", "file:///", whole)
+
+
+class Folder:
+    """Files of a folder given by its address."""
+
+    def __init__(self, address: str) -> None:
+        self.files, self.path = pafs.FileSystem.from_uri(address)
+        self.files.create_dir(self.path, recursive=True)
+
+    def opened(self, name: str) -> tuple[str, IO[bytes]]:
+        """A temporary name and its stream."""
+        part = f"{name}.{uuid.uuid4().hex}.part"
+        return part, self.files.open_output_stream(f"{self.path}/{part}", compression=None)
 
+    def finish(self, part: str, name: str) -> None:
+        self.files.move(f"{self.path}/{part}", f"{self.path}/{name}")
 
-def write_archives(pages: DataFrame, least: int = 0) -> DataFrame:
-    """Monolithic archives of all pages: archive (name) and data."""
-    schema = pa.schema([("archive", pa.string()), ("data", pa.binary())])
+
+def read_file(address: str) -> pa.NativeFile:
+    files, path = pafs.FileSystem.from_uri(address)
+    return files.open_input_file(path)
+
+
+def with_revisits(pages: DataFrame, least: int) -> DataFrame:
+    """page_id, url, html and refers_to (null: a response)."""
+    own = pages.select(pages["page_id"].cast("long").alias("page_id"), F.coalesce(pages["url"].cast("string"), F.lit("")).alias("url"), F.coalesce(pages["html"].cast("string"), F.lit("")).alias("html"))
+    own = own.withColumn("d", F.unhex(F.sha1(F.encode("html", "UTF-8"))))
+    row = ["page_id", "url", "d"]
+    held = cut(own.where((F.octet_length("html") >= least) & F.col("page_id").isNotNull()).select(*row))
+    first = held.groupBy("d").agg(F.min(F.struct("page_id", "url")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    first = cut(first.select("d", F.col("first.page_id").alias("first_id"), F.col("first.url").alias("first_url")))
+    told = held.join(first, "d").groupBy(*row).agg(F.min("first_id").alias("first_id"), F.min("first_url").alias("first_url"), F.count("*").alias("same"))
+    is_first = (F.col("page_id") == F.col("first_id")) & (F.col("url") == F.col("first_url"))
+    told = cut(told.withColumn("response", is_first).where("not response or same > 1"))
+    drop(held)
+    drop(first)
+    revisits = told.where("not response").select(*row, F.col("first_id").alias("refers_to"))
+    out = own.join(revisits, row, "left")
+    again = told.where("response").select(*row, "same")
+    if not again.isEmpty():  # equal rows of the response: one of them stays, the others follow
+        one = own.join(again, row).dropDuplicates(row).withColumn("k", F.explode(F.sequence(F.lit(1).cast("long"), "same")))
+        several = one.withColumn("refers_to", F.when(F.col("k") > 1, F.col("page_id")))
+        out = out.join(again, row, "left_anti").select(*own.columns, "refers_to").unionByName(several.select(*own.columns, "refers_to"))
+    return out.select("page_id", "url", "html", "refers_to")
+
+
+def write_archives(pages: DataFrame, folder: str, least: int = 0) -> DataFrame:
+    """Write all pages to monolithic archives of the folder; archive (its address) and records. Nothing is written before the result is used."""
+    schema = pa.schema([("archive", pa.string()), ("records", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c, held, parts = None, 0, []
-        seen: set[int] = set()
+        place = Folder(folder)
+        stream, c, held, n, name, part = None, None, 0, 0, "", ""
 
         def finished() -> pa.RecordBatch:
-            parts.append(c.flush())
-            data = b"".join(parts)
-            return rows_of(schema, archive=[f"pages-{hashlib.sha1(data).hexdigest()}.warc.gz"], data=[data])
+            stream.write(c.flush())
+            stream.close()
+            place.finish(part, name)
+            return rows_of(schema, archive=[f"{folder}/{name}"], records=[n])
 
         for b in slices(batches, "html"):
-            for page_id, url, html, first in zip(*(b.column(n).to_pylist() for n in ("page_id", "url", "html", "first")), strict=True):
-                if c is None:
-                    c, held, parts = zlib.compressobj(LEVEL, zlib.DEFLATED, 31), 0, []
+            for page_id, url, html, refers_to in zip(*(b.column(x).to_pylist() for x in ("page_id", "url", "html", "refers_to")), strict=True):
+                if stream is None:
+                    name = f"pages-{uuid.uuid4().hex}.warc.gz"
+                    part, stream = place.opened(name)
+                    c, held, n = zlib.compressobj(LEVEL, zlib.DEFLATED, 31), 0, 0
                 payload = html.encode()
-                refers_to = first
-                if first is not None and first == page_id and page_id not in seen:
-                    seen.add(page_id)
-                    refers_to = None
-                parts.append(c.compress(record_bytes(page_id, url, payload, digest(payload), refers_to)))
-                held += len(payload)
+                stream.write(c.compress(record_bytes(page_id, url, payload, digest(payload), refers_to)))
+                held, n = held + len(payload), n + 1
                 if held >= ARCHIVE_BYTES:
                     yield finished()
-                    c = None
-        if c is not None:
+                    stream = None
+        if stream is not None:
             yield finished()
 
-    return with_revisits(pages, least).mapInArrow(run, "archive string, data binary")
+    return with_revisits(pages, least).mapInArrow(run, "archive string, records long")
 
 
-def normalised(archives: DataFrame) -> DataFrame:
-    """archive, data (a member per record) and offsets (the sidecar index) of monolithic archives."""
-    spans = pa.list_(pa.struct([("offset", pa.int64()), ("length", pa.int64())]))
-    schema = pa.schema([("archive", pa.string()), ("data", pa.binary()), ("offsets", spans)])
+def normalised(archives: DataFrame, folder: str) -> DataFrame:
+    """Rewrite the named archives, a member per record, to the folder with a sidecar index each: archive, index (addresses) and records."""
+    schema = pa.schema([("archive", pa.string()), ("index", pa.string()), ("records", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = Folder(folder)
         for b in batches:
-            for name, data in zip(b.column("archive").to_pylist(), b.column("data").to_pylist(), strict=True):
-                made, index = normalise(data)
-                yield rows_of(schema, archive=[name], data=[made], offsets=[[{"offset": a, "length": n} for a, n in index]])
+            for address in b.column("archive").to_pylist():
+                name = address.rsplit("/", 1)[1]
+                part, sink = place.opened(name)
+                with read_file(address) as source, sink:
+                    index = normalise(source, sink)
+                listed, lines = place.opened(f"{name}.idx")
+                with lines:
+                    lines.write("".join(f"{at}\t{n}\n" for at, n in index).encode())
+                place.finish(listed, f"{name}.idx")
+                place.finish(part, name)
+                yield rows_of(schema, archive=[f"{folder}/{name}"], index=[f"{folder}/{name}.idx"], records=[len(index)])
 
-    return archives.select("archive", "data").mapInArrow(run, "archive string, data binary, offsets array<struct<offset: long, length: long>>")
+    return archives.select("archive").mapInArrow(run, "archive string, index string, records long")
 
 
 def read_records(archives: DataFrame) -> DataFrame:
-    """What each record of normalised archives says, read through the index, and the digest of the payload it carries (null: a revisit)."""
+    """What each record of normalised archives says, read at its offset in the sidecar index; the payload of a response must have its digest."""
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())])
 
     def number(urn: str | None) -> int | None:
         found = re.fullmatch(r"<urn:page:(-?\d+)>", urn or "")
         return int(found[1]) if found else None
 
+    def read(source: pa.NativeFile, at: int, length: int) -> dict[str, object]:
+        source.seek(at)
+        r = parse(zlib.decompress(source.read(length), 31))
+        told = r.headers["warc-payload-digest"].removeprefix("sha1:")
+        kind, size = r.headers["warc-type"], int(r.headers["x-payload-length"])
+        if kind == "response" and (digest(r.payload) != told or len(r.payload) != size):
+            raise ValueError("a payload does not match its digest")
+        return {"page_id": number(r.headers["warc-record-id"]), "url": r.headers["warc-target-uri"], "payload_bytes": size, "payload_digest": told, "record_type": kind, "refers_to": number(r.headers.get("warc-refers-to"))}
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for name, data, offsets in zip(b.column("archive").to_pylist(), b.column("data").to_pylist(), b.column("offsets").to_pylist(), strict=True):
-                rows = []
-                for at in offsets:
-                    r = parse(b"".join(inflate(data[at["offset"] : at["offset"] + at["length"]])))
-                    told = r.headers["warc-payload-digest"].removeprefix("sha1:")
-                    kind = r.headers["warc-type"]
-                    size = int(r.headers["x-payload-length"])
-                    if kind == "response" and (digest(r.payload) != told or len(r.payload) != size):
-                        raise ValueError(f"{name}: a payload does not match its digest")
-                    rows.append({"page_id": number(r.headers["warc-record-id"]), "url": r.headers["warc-target-uri"], "payload_bytes": size, "payload_digest": told, "record_type": kind, "refers_to": number(r.headers.get("warc-refers-to"))})
-                yield pa.RecordBatch.from_pylist(rows, schema=schema)
-
-    return archives.select("archive", "data", "offsets").mapInArrow(run, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long")
-
-
-def save_archives(archives: DataFrame, folder: str) -> int:
-    """Write normalised archives and their index files to a mounted folder; returns how many. One archive at a time is on the driver."""
-    os.makedirs(folder, exist_ok=True)
-    n = 0
-    for row in archives.toLocalIterator():
-        path = os.path.join(folder, row["archive"])
-        with open(path + ".tmp", "wb") as f:
-            f.write(row["data"])
-        with open(path + ".idx", "w") as f:
-            f.writelines(f"{o['offset']}\t{o['length']}\n" for o in row["offsets"])
-        os.replace(path + ".tmp", path)
-        n += 1
-    return n
+            for address, index in zip(b.column("archive").to_pylist(), b.column("index").to_pylist(), strict=True):
+                with read_file(index) as listed:
+                    places = [tuple(map(int, line.split())) for line in listed.read().splitlines()]
+                with read_file(address) as source:
+                    for first in range(0, len(places), 1024):
+                        yield pa.RecordBatch.from_pylist([read(source, at, n) for at, n in places[first : first + 1024]], schema=schema)
+
+    return archives.select("archive", "index").mapInArrow(run, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long")
+
+
+def round_trip(pages: DataFrame, least: int = 0) -> DataFrame:
+    """The records of all pages, written to monolithic archives in the shared folder, normalised there and read back."""
+    spark = pages.sparkSession
+    whole, own = new_folder(spark, "warc"), new_folder(spark, "warc")
+    written = cut(write_archives(pages, whole, least))
+    index = cut(normalised(written, own))
+    drop(written)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(whole)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return read_records(index)
