@@ -14,11 +14,12 @@ text, so no control string can come from them and unescaping is exact.
 
 A conversation is one record: its turns meet in one row (a shuffle by
 conversation), and rendering prefixes costs the square of its turns in time,
-but memory only for two outputs.
+but memory only for two outputs. A worker holds one conversation at a time.
 
 Defined results: a null text or role is empty; a null conv_id is a
 conversation of its own; turns go by turn number (null first), then role and
-text, so ties and repeated rows have one order; other columns are not read.
+text, so ties and repeated rows have one order; very long texts are formatted
+whole; an empty table gives no conversations; other columns are not read.
 """
 
 from __future__ import annotations
@@ -65,8 +66,11 @@ def read_back(formatted: str) -> list[Turn]:
 
 
 def unused(text: str) -> str:
-    """A private-use character that the text lacks."""
-    return next(c for c in map(chr, range(0xE000, 0xF900)) if c not in text)
+    """A private-use character that the text lacks, or a run of one that is longer than any in it."""
+    for c in map(chr, range(0xE000, 0xF900)):
+        if c not in text:
+            return c
+    return "\ue000" * (1 + max(map(len, re.findall("\ue000+", text))))
 
 
 @dataclass
@@ -104,7 +108,7 @@ def render(turns: list[Turn], template: Template) -> Rendered:
         probe = unused(f"{before}{now}{role}")
         shown = template([*turns[:k], (role, probe)])
         at = shown.find(probe)
-        head, tail = shown[:at], shown[at + 1 :]
+        head, tail = shown[:at], shown[at + len(probe) :]
         if at >= 0 and now.startswith(head) and now.endswith(tail) and len(head) + len(tail) <= len(now):
             out.texts.append((len(head), len(now) - len(tail)))
         else:
@@ -125,20 +129,26 @@ SCHEMA = "conv_id long, formatted string, turn_spans array<struct<start: long, e
 SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
-def format_chats(rows: DataFrame, template: Template = marked, learn: str = "assistant") -> DataFrame:
+def rows(batch: pa.RecordBatch) -> Iterator[dict]:
+    """Rows one by one, so that a worker holds the text of one as Python objects."""
+    for i in range(batch.num_rows):
+        yield batch.slice(i, 1).to_pylist()[0]
+
+
+def format_chats(turns: DataFrame, template: Template = marked, learn: str = "assistant") -> DataFrame:
     """The formatted text of each conversation, its turn spans, and the spans under the loss mask (texts of the role to learn)."""
     schema = pa.schema([("conv_id", pa.int64()), ("formatted", pa.string()), ("turn_spans", SPANS), ("loss_spans", SPANS), ("rewrites_at", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for one in b.to_pylist():
-                turns = list(zip(one["roles"], one["texts"], strict=True))
-                r = render(turns, template)
+            for one in rows(b):
+                said = list(zip(one["roles"], one["texts"], strict=True))
+                r = render(said, template)
                 spans = [{"start": a, "end": z} for a, z in r.turns]
-                loss = [{"start": a, "end": z} for (role, _), (a, z) in zip(turns, r.texts, strict=True) if role == learn]
+                loss = [{"start": a, "end": z} for (role, _), (a, z) in zip(said, r.texts, strict=True) if role == learn]
                 yield pa.RecordBatch.from_pylist([{"conv_id": one["conv_id"], "formatted": r.formatted, "turn_spans": spans, "loss_spans": loss, "rewrites_at": r.rewrites_at}], schema=schema)
 
-    return conversations(rows).mapInArrow(run, SCHEMA)
+    return conversations(turns).mapInArrow(run, SCHEMA)
 
 
 def digests(chats: DataFrame) -> DataFrame:
@@ -148,7 +158,7 @@ def digests(chats: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for one in b.to_pylist():
+            for one in rows(b):
                 text = one["formatted"]
                 turns = [t for s in one["turn_spans"] for t in read_back(text[s["start"] : s["end"]])]
                 loss = "".join(unescape(text[s["start"] : s["end"]]) for s in one["loss_spans"])

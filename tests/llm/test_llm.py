@@ -2,7 +2,10 @@
 
 import base64
 import hashlib
+import io
+import os
 import re
+import zlib
 from collections import Counter
 
 import pytest
@@ -367,21 +370,64 @@ def test_chat(spark):
     assert all(r["rewrites_at"] == -1 for r in chats.collect())
 
 
+def test_chat_edges(spark):
+    every = "".join(map(chr, range(0xE000, 0xF900)))
+    rows = [(1, 0, "user", every + "\ue000" * 3, "c", "c"), (1, 1, "assistant", "yes" + every, "c", "c"), (2, None, "assistant", "b " * 2_000_000, "c", "c"), (2, None, "assistant", "a", "c", "c"), (3, 0, "a: </turn>\n### b", ": x", None, None), (3, 1, None, "", None, None)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, turns string, formatted string").repartition(3)
+    got = {r["conv_id"]: r for r in chat_spans.digests(chat_spans.format_chats(df)).collect()}
+    assert got[1]["loss_sha256"] == hashlib.sha256(("yes" + every).encode()).hexdigest()
+    assert got[2]["loss_sha256"] == hashlib.sha256(("a" + "b " * 2_000_000).encode()).hexdigest()
+    assert got[3]["turns_sha256"] == hashlib.sha256("a: </turn>\n### b\n: x\n\n\n".encode()).hexdigest()
+    assert chat_spans.format_chats(df.limit(0)).count() == 0
+
+
 def test_rewriting_template_is_found():
     last_only = lambda turns: "".join(f"[{r}]" + (t if i == len(turns) - 1 else "...") for i, (r, t) in enumerate(turns))
     assert chat_spans.render([("user", "one"), ("assistant", "two")], last_only).rewrites_at == 1
 
 
-def test_warc(spark, tmp_path):
-    rows = [(3, "u3", "same"), (1, "u\r\n1", "same"), (2, None, None), (4, "u4", ""), (5, "u5", "x" * 70000), (6, "u6", "é"), (None, "u", "same"), (1, "u1", "same")]
-    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
-    index = warc_normalise.normalised(warc_normalise.cut(warc_normalise.write_archives(pages)))
-    got = warc_normalise.read_records(index).collect()
-    assert len(got) == len(rows)
-    assert sorted((r["page_id"], r["refers_to"]) for r in got if r["record_type"] == "revisit") == [(1, 1), (3, 1), (4, 2)]
-    want = base64.b32encode(hashlib.sha1("é".encode()).digest()).decode()
-    assert [r["payload_digest"] for r in got if r["page_id"] == 6] == [want]
-    assert warc_normalise.save_archives(index, str(tmp_path)) == 1
-    assert warc_normalise.write_archives(pages.limit(0)).count() == 0
+def payload_digest(html):
+    return base64.b32encode(hashlib.sha1((html or "").encode()).digest()).decode()
+
+
+@pytest.mark.parametrize("parts", [1, 5])
+def test_warc(spark, parts):
+    rows = [(3, "u3", "same"), (1, "u\r\n1", "same"), (2, None, None), (4, "u4", ""), (5, "u5", "x" * 3_000_000), (6, "u6", "é"), (None, "u", "same"), (1, "u1", "same"), (7, "u7", "own"), (7, "u7", "own"), (7, "u7", "own"), (8, "", "own"), (8, "u8", "other"), (8, "u8", "another")]
+    pages = spark.createDataFrame([(*r, "clash", 1) for r in rows], "page_id long, url string, html string, d string, refers_to long").repartition(parts)
+    got = warc_normalise.round_trip(pages).collect()
+    assert sorted((r["page_id"] or -1, r["payload_digest"]) for r in got) == sorted((i or -1, payload_digest(h)) for i, _, h in rows)
+    assert sorted((r["page_id"], r["refers_to"]) for r in got if r["record_type"] == "revisit") == [(1, 1), (3, 1), (4, 2), (7, 7), (7, 7), (8, 7)]
+    assert warc_normalise.round_trip(pages.limit(0)).count() == 0
+    longer = warc_normalise.round_trip(pages, 4).collect()
+    assert sorted((r["page_id"], r["refers_to"]) for r in longer if r["record_type"] == "revisit") == [(1, 1), (3, 1)]
+
+
+def test_warc_files(spark, tmp_path):
+    pages = spark.createDataFrame([(i, f"u{i}", f"<p>{i % 3} {LONG}") for i in range(9)], "page_id long, url string, html string")
+    first, second = (f"file://{tmp_path}/{x}" for x in ("whole", "cut"))
+    index = warc_normalise.cut(warc_normalise.normalised(warc_normalise.cut(warc_normalise.write_archives(pages, first)), second)).collect()
+    assert sum(r["records"] for r in index) == 9
+    for r in index:
+        data = open(r["archive"].removeprefix("file://"), "rb").read()
+        places = [tuple(map(int, line.split())) for line in open(r["index"].removeprefix("file://"))]
+        assert len(places) == r["records"] and sum(n for _, n in places) == len(data)
+        for at, n in places:
+            raw = zlib.decompress(data[at : at + n], 31)
+            assert raw.startswith(b"WARC/1.1\r\n") and raw.endswith(b"\r\n\r\n")
+    assert not [f for d in ("whole", "cut") for f in os.listdir(tmp_path / d) if f.endswith(".part")]
+
+
+@pytest.mark.parametrize("raw", [b"WARC/1.1\r\nContent-Length: 9\r\n\r\nabc", b"WARC/1.1\r\n\r\n"])
+def test_warc_broken(raw):
+    with pytest.raises(ValueError):
+        warc_normalise.normalise(io.BytesIO(warc_normalise.member(raw)), io.BytesIO())
     with pytest.raises(ValueError):
-        warc_normalise.normalise(warc_normalise.member(b"WARC/1.1\r\nContent-Length: 9\r\n\r\nabc"))
+        warc_normalise.normalise(io.BytesIO(warc_normalise.member(raw * 9)[:-9]), io.BytesIO())
+
+
+def test_warc_of_mixed_members():
+    records = [warc_normalise.record_bytes(i, "u", b"p" * 9 * i, "d", None) for i in range(300)]
+    mixed = warc_normalise.member(b"".join(records[:200])) + b"".join(map(warc_normalise.member, records[200:]))
+    out = io.BytesIO()
+    index = warc_normalise.normalise(io.BytesIO(mixed), out)
+    assert [zlib.decompress(out.getvalue()[at : at + n], 31) for at, n in index] == records
