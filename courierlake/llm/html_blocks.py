@@ -1,30 +1,43 @@
 """Main text of HTML pages by two-pass block rules.
 
 A scanner cuts the page into blocks at block-level tags and notes for each its
-text, link characters, stop words and enclosing containers. The first pass
-decides blocks: containers that hold no article text (menus, headers, footers,
-sidebars, notices, adverts, forms, scripts, styles, comments of readers) are
-out, but not a main element in them, nor an article that is longer than those
-elsewhere, nor a form that holds more text than the rest of the page; much link
-text is out outside article containers; long blocks are in inside an article
-container, and elsewhere by stop-word density, if the page's language has a
-list. Short blocks stay open, and those with much link text in articles. In the
-second pass an open block takes the label of its nearest decided neighbours in
-the same container; where a container has none, an article container is in; in
-any other that has no block that is in, blocks without links are.
+text, link characters and enclosing containers. Two rules of structure come
+first: containers that hold no article text (menus, headers, footers, sidebars,
+notices, adverts, forms, scripts, styles, comments of readers) are out, but not
+a main element in them, nor an article that is longer than those elsewhere, nor
+a form that holds more text than the rest of the page; and where a page has an
+article container, what is outside of it is out. All other blocks are decided
+by their text:
+
+1. First pass, by densities. A block of more than MAX_LINKS link text is out; in
+   an article container it stays open, and a heading is in. A block of LONG
+   characters is in if MIN_STOP of its words are stop words, out if fewer than
+   LOW_STOP are (in an article container it stays open), and open in between. If
+   no list fits the language of the page, length alone decides. Shorter blocks
+   stay open.
+2. Second pass. An open block takes the label of its nearest decided neighbours
+   in the same container; where a container has none, an article container is
+   in; in any other that has no block that is in, blocks without links are.
+
+The scanner reads each character a bounded number of times, whatever is broken:
+tags and their attributes by the rules of HTML (a quote opens a value only after
+an equals sign), open elements counted by name, and inline elements but for
+links not tracked.
 
 One pass over the rows with no shuffle and no key; a worker holds one page and
 its blocks. Defined results: a null or empty page gives an empty text; broken
 or truncated markup is read to its end, past a head or an embedded element that
-is never closed (scripts, styles and text areas run to the end); repeated rows
-repeat; other columns are not read.
+is never closed (scripts, styles, text areas and comments run to the end, and a
+tag that is cut off ends the page); very long pages are read whole; repeated
+rows repeat; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from html import unescape
 
 import pyarrow as pa
@@ -40,7 +53,6 @@ TO_END = frozenset("script style textarea".split())
 # Start tags that can stand in a head; any other ends it.
 HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
 OUT = frozenset("nav footer aside form menu button select dialog fieldset search".split())
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 ARTICLE = frozenset("article main".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 PAGE = frozenset("html head body".split())
@@ -59,11 +71,13 @@ STOP_WORDS = frozenset(
     " au aux avec ce cette dans de des du elle en est et il la le les mais ne pas par plus pour qu que qui se son sur un une"
     " al con como de del el en es esta la las lo los más no para pero por que se sin su sus un una y".split()
 )
-TAG = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
-NAMES = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
-HIDDEN = re.compile(r"(?:^|\s)hidden(?=$|[\s=])|display\s*:\s*none", re.I)
+NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*+)")
+ATTRIBUTE = re.compile(r"[\s/]*+([^\s/>=][^\s/>=]*+|=[^\s/>=]*+)(?:\s*+=\s*+(\"[^\"]*\"|'[^']*'|[^\s>]*+))?")
+TAG_END = re.compile(r"[\s/]*+>")
+NAMING = frozenset(("class", "id", "role"))
+UNSEEN = re.compile(r"display\s*:\s*none", re.I)
 WORD = re.compile(r"[^\W\d_]+")
-LONG, MAX_LINKS, MIN_STOP = 140, 0.5, 0.12
+LONG, MAX_LINKS, MIN_STOP, LOW_STOP = 140, 0.5, 0.12, 0.04
 
 
 @dataclass
@@ -91,6 +105,39 @@ class Level:
     forms: tuple[int, ...] = ()  # open forms outside articles
 
 
+@dataclass
+class Tag:
+    """A tag: its name, whether it closes, where it ends, the names it bears, and whether it is hidden or closes itself."""
+
+    name: str
+    closes: bool
+    end: int
+    names: str = ""
+    hidden: bool = False
+    empty: bool = False
+
+
+def read_tag(html: str, at: int) -> Tag | None:
+    """The tag that begins at a less-than sign and a letter or slash; None if the page ends in it."""
+    m = NAME.match(html, at + 1)
+    tag = Tag(m[2].lower(), bool(m[1]), 0)
+    place, names = m.end(), []
+    while True:
+        end = TAG_END.match(html, place)
+        if end:
+            tag.end, tag.names, tag.empty = end.end(), " ".join(names), html[end.end() - 2] == "/"
+            return tag
+        a = ATTRIBUTE.match(html, place)
+        if not a:
+            return None
+        place = a.end()
+        key, value = a[1].lower(), a[2] or ""
+        if key in NAMING:
+            names.append(value.strip("\"'"))
+        elif key == "hidden" or (key == "style" and UNSEEN.search(value)):
+            tag.hidden = True
+
+
 @dataclass
 class Scan:
     """Blocks of one page, and what is open at the scanner's place."""
@@ -99,50 +146,82 @@ class Scan:
     parts: list[str] = field(default_factory=list)
     linked: int = 0
     groups: int = 0
+    stack: list[Level] = field(default_factory=lambda: [Level("", False, 0, 0, False)])
+    open: Counter = field(default_factory=Counter)
 
-    def end(self, at: Level) -> None:
+    def end(self) -> None:
+        """A block ends here."""
+        at = self.stack[-1]
         text = " ".join("".join(self.parts).split())
         if text:
             self.blocks.append(Block(text, self.linked, at.out, at.article, at.group, at.tag in HEADINGS, at.root, at.saved, at.forms))
         self.parts, self.linked = [], 0
 
+    def add(self, raw: str) -> None:
+        if raw:
+            text = unescape(raw) if "&" in raw else raw
+            self.parts.append(text)
+            if self.stack[-1].link:
+                self.linked += len(text.strip())
+
+    def push(self, level: Level) -> None:
+        self.stack.append(level)
+        self.open[level.tag] += 1
+
+    def pop(self) -> str:
+        tag = self.stack.pop().tag
+        self.open[tag] -= 1
+        return tag
+
 
 def scan(html: str) -> list[Block]:
     """Blocks in page order."""
     s = Scan()
-    stack = [Level("", False, 0, 0, False)]
     ends: dict[str, dict[int, int]] = {}
-    place = 0
-    size = len(html)
-    while place < size:
-        m = TAG.search(html, place)
-        add(s, stack[-1], html[place : m.start() if m else size])
-        if not m:
+    place, text, size = 0, 0, len(html)
+    while True:
+        at = html.find("<", place)
+        if at < 0 or at + 1 >= size:
+            s.add(html[text:])
             break
-        place = m.end()
-        if not m[2]:
+        sign = html[at + 1]
+        if sign in "!?" or (sign == "/" and not html[at + 2 : at + 3].isascii()) or (sign == "/" and not html[at + 2 : at + 3].isalpha()):
+            s.add(html[text:at])
+            close = html.find("-->", at + 2) + 2 if html.startswith("<!--", at) else html.find(">", at + 2)
+            text = place = close + 1 if close > at else size
             continue
-        tag = m[2].lower()
-        if stack[-1].tag == "head" and not m[1] and tag not in HEAD:
-            shut(s, stack, "head")
-        if tag in TO_END:
-            if not m[1] and not m[3].endswith("/"):
-                close = re.compile(rf"</{tag}\s*>", re.I).search(html, place)
-                place = close.end() if close else size
-        elif tag in RAW:
-            if not m[1] and not m[3].endswith("/"):
-                if tag not in ends:
-                    ends[tag] = pairs(html, tag)
-                place = ends[tag].get(m.start(), place)
-        elif tag == "br":
+        if sign != "/" and not (sign.isascii() and sign.isalpha()):
+            place = at + 1  # a less-than sign of the text
+            continue
+        s.add(html[text:at])
+        tag = read_tag(html, at)
+        if tag is None:
+            break
+        text = place = tag.end
+        if s.stack[-1].tag == "head" and not tag.closes and tag.name not in HEAD:
+            shut(s, "head")
+        if tag.name in TO_END:
+            if not tag.closes and not tag.empty:
+                close = re.compile(rf"</{tag.name}\s*+>", re.I).search(html, place)
+                text = place = close.end() if close else size
+        elif tag.name in RAW:
+            if not tag.closes and not tag.empty:
+                if tag.name not in ends:
+                    ends[tag.name] = pairs(html, tag.name)
+                text = place = ends[tag.name].get(at, place)
+        elif tag.name == "br":
             s.parts.append(" ")
-        elif m[1]:
-            shut(s, stack, tag)
-        elif tag not in VOID:
-            start(s, stack, tag, m[3])
-        elif tag == "hr":
-            s.end(stack[-1])
-    s.end(stack[-1])
+        elif tag.name == "hr":
+            s.end()
+        elif tag.closes:
+            shut(s, tag.name)
+        elif tag.name == "a":
+            if s.stack[-1].tag == "a":
+                s.pop()
+            s.push(replace(s.stack[-1], tag="a", link=True))
+        elif tag.name in BLOCK:
+            start(s, tag)
+    s.end()
     return s.blocks
 
 
@@ -150,7 +229,7 @@ def pairs(html: str, tag: str) -> dict[int, int]:
     """Where each element of the tag begins, and where its end tag ends; those without one are left out."""
     found: dict[int, int] = {}
     begun: list[int] = []
-    for m in re.compile(rf"<(/?){tag}(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>", re.I).finditer(html):
+    for m in re.compile(rf"<(/?){tag}(?=[\s/>])[^>]*+>", re.I).finditer(html, 0, html.rfind(">") + 1):
         if not m[1]:
             if not m[0].endswith("/>"):
                 begun.append(m.start())
@@ -159,57 +238,49 @@ def pairs(html: str, tag: str) -> dict[int, int]:
     return found
 
 
-def add(s: Scan, at: Level, raw: str) -> None:
-    if raw:
-        text = unescape(raw) if "&" in raw else raw
-        s.parts.append(text)
-        if at.link:
-            s.linked += len(text.strip())
-
-
-def start(s: Scan, stack: list[Level], tag: str, attributes: str) -> None:
-    top = stack[-1]
-    if tag in BLOCK:
-        s.end(top)
-        if tag in ("p", "li") and any(x.tag == tag for x in stack[-3:]):  # an unclosed one ends here
-            while stack[-1].tag != tag:
-                stack.pop()
-            stack.pop()
-            top = stack[-1]
-    out, article, group, root, saved, forms = top.out, top.article, top.group, top.root, top.saved, top.forms
-    if tag in BLOCK and tag not in PAGE:
-        names = " ".join(n.strip("\"'") for n in NAMES.findall(attributes)) if "=" in attributes else ""
-        named_out = bool(names and OUT_NAMES.search(AROUND.sub(" ", names))) or bool(attributes and HIDDEN.search(attributes))
-        if tag in ARTICLE or (names and not named_out and ARTICLE_NAMES.search(names)):
-            s.groups += 1
-            if not article:
-                root = s.groups
-            if tag in ARTICLE:
-                forms = ()
-            if out and tag == "main" and not any(x.tag in ARTICLE for x in stack):
-                out, saved, root = False, False, s.groups
-            elif out and tag == "article" and not any(x.tag == "article" for x in stack):
-                out, saved, root = False, True, s.groups
-            article, group = article + 1, s.groups
-        elif tag == "form" and not article and not named_out:
+def start(s: Scan, tag: Tag) -> None:
+    """A block element opens."""
+    s.end()
+    name = tag.name
+    if name in ("p", "li") and any(x.tag == name for x in s.stack[-3:]):  # an unclosed one ends here
+        while s.pop() != name:
+            pass
+    top = s.stack[-1]
+    new = replace(top, tag=name)
+    if name not in PAGE:
+        named_out = tag.hidden or bool(tag.names and OUT_NAMES.search(AROUND.sub(" ", tag.names)))
+        if name in ARTICLE or (tag.names and not named_out and ARTICLE_NAMES.search(tag.names)):
             s.groups += 1
-            group, forms = s.groups, (*forms, s.groups)
-        elif tag in OUT or named_out or (tag == "header" and not article):
+            if not top.article:
+                new.root = s.groups
+            if name in ARTICLE:
+                new.forms = ()
+            if top.out and name == "main" and not s.open["article"] and not s.open["main"]:
+                new.out, new.saved, new.root = False, False, s.groups
+            elif top.out and name == "article" and not s.open["article"]:
+                new.out, new.saved, new.root = False, True, s.groups
+            new.article, new.group = top.article + 1, s.groups
+        elif name == "form" and not top.article and not named_out:
+            if not top.forms:  # forms do not nest
+                s.groups += 1
+                new.group, new.forms = s.groups, (s.groups,)
+        elif name in OUT or named_out or (name == "header" and not top.article):
             s.groups += 1
-            out, group = True, s.groups
-    out = out or tag == "head"
-    stack.append(Level(tag, out, article, group, top.link or tag == "a", root, saved, forms))
+            new.out, new.group = True, s.groups
+    new.out = new.out or name == "head"
+    s.push(new)
 
 
-def shut(s: Scan, stack: list[Level], tag: str) -> None:
-    if tag in BLOCK:
-        s.end(stack[-1])
-    for i in range(len(stack) - 1, 0, -1):
-        if stack[i].tag == tag:
-            del stack[i:]
-            return
-        if tag not in BLOCK and stack[i].tag in BLOCK:
-            return  # an inline end tag does not close a block
+def shut(s: Scan, name: str) -> None:
+    """An end tag: elements open inside end with it, and a link ends with its own only."""
+    if name == "a":
+        if s.stack[-1].tag == "a":
+            s.pop()
+    elif name in BLOCK:
+        s.end()
+        if s.open[name]:
+            while s.pop() != name:
+                pass
 
 
 def settle(blocks: list[Block]) -> None:
@@ -243,35 +314,47 @@ def settle(blocks: list[Block]) -> None:
             b.out |= b.saved and sizes.get((True, b.root), 0) <= least
 
 
-def decide(b: Block, has_article: bool, known: bool) -> bool | None:
-    """First pass: in, out or open."""
-    if b.out or (has_article and not b.article):
-        return False
-    if b.linked > MAX_LINKS * len(b.text):
-        return (True if b.head else None) if b.article else False
-    if len(b.text) < LONG:
-        return None
-    return bool(b.article) or not known or fits(b)
+def density(b: Block) -> float:
+    """Share of stop words of the four languages."""
+    words = [w.lower() for w in WORD.findall(b.text)]
+    return sum(w in STOP_WORDS for w in words) / max(1, len(words))
 
 
-def fits(b: Block) -> bool:
-    """Stop words as dense as in prose of the four languages."""
-    words = [w.lower() for w in WORD.findall(b.text)]
-    return sum(w in STOP_WORDS for w in words) >= MIN_STOP * max(1, len(words))
+def decide(b: Block, has_article: bool, known: bool) -> tuple[bool | None, str]:
+    """First pass: in, out or open, and the rule that says so."""
+    if b.out:
+        return False, "container"
+    if has_article and not b.article:
+        return False, "outside"
+    if b.linked > MAX_LINKS * len(b.text):
+        return (True if b.head else None) if b.article else False, "links"
+    if len(b.text) < LONG:
+        return None, "short"
+    if not known:
+        return True, "length"
+    share = density(b)
+    if share >= MIN_STOP:
+        return True, "stop words"
+    return (False if share < LOW_STOP and not b.article else None), "few stop words"
 
 
 def in_known_language(blocks: list[Block]) -> bool:
-    """Whether most long text outside articles has the stop words of a list; if not, they tell nothing about the page."""
-    long = [b for b in blocks if not b.out and not b.article and len(b.text) >= LONG and b.linked <= MAX_LINKS * len(b.text)]
-    return 2 * sum(len(b.text) for b in long if fits(b)) >= sum(len(b.text) for b in long)
+    """Whether most long text has the stop words of a list; if not, they tell nothing about the page."""
+    long = [b for b in blocks if not b.out and len(b.text) >= LONG and b.linked <= MAX_LINKS * len(b.text)]
+    return 2 * sum(len(b.text) for b in long if density(b) >= MIN_STOP) >= sum(len(b.text) for b in long)
 
 
-def labels(blocks: list[Block]) -> list[bool]:
-    """Both passes."""
+def first_pass(blocks: list[Block]) -> list[tuple[bool | None, str]]:
+    """Label and rule of each block."""
     settle(blocks)
     has_article = any(b.article and not b.out for b in blocks)
-    known = has_article or in_known_language(blocks)
-    first = [decide(b, has_article, known) for b in blocks]
+    known = in_known_language(blocks)
+    return [decide(b, has_article, known) for b in blocks]
+
+
+def second_pass(blocks: list[Block], first: list[bool | None]) -> list[bool]:
+    """Labels of all blocks: open ones take those of their neighbours."""
+    first = list(first)
     kept = {b.group for b, label in zip(blocks, first, strict=True) if label}
     for i, b in enumerate(blocks):
         if first[i] is None and not b.article and not b.linked and b.group not in kept:
@@ -301,6 +384,11 @@ def labels(blocks: list[Block]) -> list[bool]:
     return out
 
 
+def labels(blocks: list[Block]) -> list[bool]:
+    """Both passes."""
+    return second_pass(blocks, [label for label, _ in first_pass(blocks)])
+
+
 def main_text(html: str) -> str:
     blocks = scan(html)
     return "\n".join(b.text for b, keep in zip(blocks, labels(blocks), strict=True) if keep)

@@ -359,6 +359,58 @@ def test_html_without_article_container():
     assert html_blocks.main_text(f"<body><p>{PROSE} {PROSE}</p><p>{'buy cheap shoes now ' * 10}</p>") == f"{PROSE} {PROSE}"
 
 
+MARKED = [
+    (f"<nav><ul><li><a href=/a>Home</a><li><a href=/b>News</a></ul></nav><{{0}}><h1>The mill</h1><p>{PROSE}</p><p>{PROSE} {PROSE}</p><p>Short one.</p></{{0}}><footer>(c) 2024 by us</footer>", ["The mill", PROSE, f"{PROSE} {PROSE}", "Short one."]),
+    (f"<header>Site name</header><div class=ad>{PROSE}</div><{{0}}><p>{PROSE} {PROSE}</p><blockquote>Said so.</blockquote></{{0}}><section id=comments><p>{PROSE} {PROSE}</p></section>", [f"{PROSE} {PROSE}", "Said so."]),
+    (f"<{{0}}><p>{PROSE} {PROSE}<p><a href=x>Read more of this</a> <a href=y>and of that</a></p></{{0}}><aside><p>{PROSE} {PROSE}</p></aside><form><p>Your name</p></form>", [f"{PROSE} {PROSE}"]),
+]
+
+
+@pytest.mark.parametrize("page, want", MARKED)
+def test_html_by_densities(page, want):
+    assert html_blocks.main_text(page.format("div")) == "\n".join(want)
+    assert html_blocks.main_text(page.format("article")).startswith("\n".join(want))
+
+
+def test_html_rules(spark):
+    """Densities decide long blocks, in article containers too; without these, two pages lose a block that has no stop word."""
+    rules, other = Counter(), 0
+    for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect():
+        rules.update(rule for _, rule in html_blocks.first_pass(html_blocks.scan(r["html"])))
+        bare = re.sub(r"<(/?)(?:article|main)\b", r"<\1div", r["html"])
+        text, want = html_blocks.main_text(bare).split("\n"), html_blocks.main_text(r["html"]).split("\n")
+        other += text != want
+        assert not Counter(text) - Counter(want)
+    assert other <= 2
+    assert rules["stop words"] > 1000 and rules["stop words"] > 10 * (rules["length"] + rules["few stop words"]) and not rules["outside"]
+
+
+@pytest.mark.parametrize("bad", ['<p class="x>t ', "<b>x ", "<a>x ", "<i><p><b>", "<svg ", "<form>x", "<aside><article>x", "a < b <", "<!-- x", "<p a=b c =\"d\" e = f\">x", "<div><div class=nav>"])
+def test_html_broken_pages_take_linear_time(bad):
+    import time
+
+    took = []
+    for n in (50_000, 400_000):
+        t = time.process_time()
+        html_blocks.main_text(bad * (n // len(bad)))
+        took.append(time.process_time() - t)
+    assert took[1] < 24 * took[0] + 0.5
+
+
+def test_html_attributes():
+    assert html_blocks.main_text('<p class=x">One</p><p title="a > b">Two</p><p "stray>Three</p><p a=\'b\'c>Four</p><p>5 < 6 & 7 > 2') == "One\nTwo\nThree\nFour\n5 < 6 & 7 > 2"
+    assert html_blocks.main_text("<p>One<p><!-- <p>no</p> -->Two<!DOCTYPE x></ >Three<p style='display: none'>no</p><p cl") == "One\nTwoThree"
+
+
+def test_html_rows(spark):
+    rows = [(1, "u", f"<p>{PROSE}</p>", "c", "c"), (1, "u", f"<p>{PROSE}</p>", "c", "c"), (2, None, None, None, None), (None, "v", "", None, None), (3, "w", f"<article>{'<p>' + PROSE + '</p>' + chr(10) * 9}</article>" * 9000, "c", "c")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars string").repartition(3)
+    got = sorted(((r["page_id"] or 0, r["url"] or "", r["text"], r["n_chars"]) for r in html_blocks.extract(pages).collect()))
+    long = "\n".join([PROSE] * 9000)
+    assert got == [(0, "v", "", 0), (1, "u", PROSE, len(PROSE)), (1, "u", PROSE, len(PROSE)), (2, "", "", 0), (3, "w", long, len(long))]
+    assert html_blocks.extract(pages.limit(0)).count() == 0
+
+
 def test_chat(spark):
     rows = [(1, 0, "user", "Hi \\### x: </turn>\n"), (1, 1, "assistant", "</turn> ok\\"), (1, 1, "assistant", "</turn> ok\\"), (2, 0, None, None), (None, 3, "assistant", "é")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
