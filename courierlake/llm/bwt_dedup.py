@@ -329,8 +329,8 @@ def flagged_spans(docs: DataFrame) -> DataFrame:
 
 
 def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts without the flagged bytes; a cut may fall inside a character."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary())])
+    """Texts without the flagged bytes; a cut may fall inside a character. What comes before doc_id is carried along."""
+    fields = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary())]
     bits = np.arange(SPAN)
     for b in slices(batches):
         data, offsets = wh.flat(b.column("text"))
@@ -354,13 +354,21 @@ def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n_removed.append(int(gone.sum()))
             n_spans.append(int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum()))
             kept.append(own[~gone].tobytes())
-        yield rows_of(schema, doc_id=b.column("doc_id"), n_bytes=np.diff(offsets), n_removed=n_removed, n_spans=n_spans, kept=kept)
+        carried = {f.name: b.column(f.name) for f in b.schema if f.name not in ("doc_id", "text", "spans")}
+        schema = pa.schema([*((n, c.type) for n, c in carried.items()), *fields])
+        yield rows_of(schema, **carried, doc_id=b.column("doc_id"), n_bytes=np.diff(offsets), n_removed=n_removed, n_spans=n_spans, kept=kept)
 
 
-def remove_common(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and kept (the remaining bytes)."""
-    joined = id_text(docs).join(flagged_spans(docs), "doc_id", "left")
-    return joined.mapInArrow(cut_out, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+CUT = "doc_id long, n_bytes long, n_removed long, n_spans long"
+
+
+def remove_common(docs: DataFrame, carry: str | None = None) -> DataFrame:
+    """The column to carry along if any, doc_id, n_bytes, n_removed, n_spans and kept (the remaining bytes)."""
+    spans = flagged_spans(docs)
+    own = id_text(docs, carry=carry)
+    joined = own.join(spans.withColumnRenamed("doc_id", "own_id"), own["doc_id"] == F.col("own_id"), "left").drop("own_id")
+    before = f"`{carry}` {docs.schema[carry].dataType.simpleString()}, " if carry else ""
+    return joined.mapInArrow(cut_out, f"{before}{CUT}, kept binary")
 
 
 def remove_common_digest(docs: DataFrame) -> DataFrame:
@@ -373,4 +381,4 @@ def remove_common_digest(docs: DataFrame) -> DataFrame:
             yield rows_of(schema, **same, kept_sha256=[hashlib.sha256(x.as_buffer()).hexdigest() for x in b.column("kept")])
 
     joined = id_text(docs).join(flagged_spans(docs), "doc_id", "left")
-    return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return joined.mapInArrow(run, f"{CUT}, kept_sha256 string")

@@ -171,4 +171,6 @@ def quality_rules(docs: DataFrame, carry: str | None = None) -> DataFrame:
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     fits = F.coalesce(F.col("char_distance") <= MAX_CHAR_DISTANCE, F.lit(True)) & F.coalesce(F.col("word_distance") <= MAX_WORD_DISTANCE, F.lit(True))
     found = measures(docs, carry)
+    # a filter on what follows stays above the generator: pushed below, it would repeat every measure for each of its uses
+    found = found.select(F.explode(F.array(F.struct(*found.columns))).alias("found")).select("found.*")
     return found.select(*found.columns, failed.alias("base_failed"), (~failed & fits).alias("kept"))

@@ -483,3 +483,79 @@ def test_warc_of_mixed_members():
     out = io.BytesIO()
     index = warc_normalise.normalise(io.BytesIO(mixed), out)
     assert [zlib.decompress(out.getvalue()[at : at + n], 31) for at, n in index] == records
+
+
+def brute_pipeline(rows, items):
+    """Texts left by each stage, in plain Python; rules stand as the operator tells them, for they are tested above."""
+    left = {}
+    for i, t in sorted(rows):
+        left.setdefault((i, t), 1)
+    g = {k: grams(k[1]) for k in left}
+    root = {k: k for k in left}
+    for k in left:
+        for j in left:
+            one = g[k] | g[j]
+            if k < j and 5 * len(g[k] & g[j]) >= 4 * len(one):
+                a, b = sorted((root[k], root[j]))
+                root = {x: a if r == b else r for x, r in root.items()}
+    left = {i: t for i, t in left if root[i, t] == (i, t)}
+    seen, cut = set(), {}
+    for i, t in sorted(left.items()):
+        b = t.encode()
+        gone, own = bytearray(len(b)), set()
+        for k in range(len(b) - 49):
+            own.add(b[k : k + 50])
+            if b[k : k + 50] in seen:
+                gone[k : k + 50] = b"\1" * 50
+        seen |= own
+        cut[i] = bytes(c for c, x in zip(b, gone) if not x).decode("utf-8", "ignore")
+    bad = {d for d, _ in plain_leaks(cut, items)}
+    return {i: t for i, t in cut.items() if i not in bad}
+
+
+def test_pipeline(spark, tmp_path):
+    import random
+
+    import corpus_pipeline
+    import public_tokenizers as p
+    import tiktoken
+
+    random.seed(5)
+    usual = PROSE.split()
+    prose = lambda n: " ".join(random.choice(usual) for _ in range(n)) + "."
+    item = "How many of the 14 red stones did the old miller of the valley keep for the winter that year?"
+    shared = prose(30)
+    base = prose(90)
+    rows = [(i, f"{prose(70)} é{i} {shared if i % 5 == 0 else ''} ü {prose(40)}") for i in range(20)]
+    rows += [(40, base), (41, base + " and more"), (42, base), (42, base), (43, f"{prose(60)} {item} {prose(40)}"), (44, "!!! ### " * 200), (45, ""), (46, "short"), (47, base.replace(" ", "  "))]
+    rows += [(50, prose(80)), (51, " ".join(prose(50) for _ in range(600)))]
+    docs = spark.createDataFrame([(*r, "en", None, len(r[1]), "clash") for r in rows] + [(60, None, "en", None, None, "c"), (None, prose(80), "en", "s", 1, "c")], "doc_id long, text string, lang string, source string, n_chars long, m string").repartition(4)
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    bench.write.parquet(f"{tmp_path}/benchmark.parquet")
+    kept = {r["doc_id"] for r in quality_rules.quality_rules(docs).where("kept").collect()}
+    assert {*range(20), 40, 42, 43, 50, 51} <= kept and not kept & {44, 45, 46, 60}
+    want = brute_pipeline([r for r in rows if r[0] in kept], {1: item})
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(p.path("byte_bpe_50k.tiktoken"), "rb"))}
+    own = tiktoken.Encoding("own", pat_str=p.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    got = {r["doc_id"]: r for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    assert set(got) == {*want, None}
+    assert {i: got[i]["decoded_sha256"] for i in want} == {i: hashlib.sha256(t.encode()).hexdigest() for i, t in want.items()}
+    assert {i: got[i]["n_tokens"] for i in want} == {i: len(own.encode_ordinary(t)) for i, t in want.items()}
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0, name
+    again = spark.createDataFrame([(1, base, "en", None, 1), (1, prose(90), "en", None, 1), (1, base, "en", None, 1)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert corpus_pipeline.near_duplicates(spark, again, str(tmp_path)).count() == 2
+    assert corpus_pipeline.common_strings(spark, again, str(tmp_path)).count() == 3
+
+
+def test_bpe_rows(spark):
+    import public_tokenizers as p
+
+    rows = [(1, None, "c"), (1, "", "c"), (2, "a b", "c"), (2, "a b", "c"), (None, "é" * 1_000_000, "c")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, ids string").repartition(3)
+    got = bpe_sentencepiece.round_trip_digests(df, p.path("byte_bpe_50k.tiktoken"), p.PATTERN).collect()
+    assert sorted((r["doc_id"] or 0, r["decoded_sha256"]) for r in got) == sorted((i or 0, hashlib.sha256((t or "").encode()).hexdigest()) for i, t, _ in rows)
+    assert bpe_sentencepiece.round_trip_digests(df.limit(0), p.path("byte_bpe_50k.tiktoken"), p.PATTERN).count() == 0
+    back = bpe_sentencepiece.decode(bpe_sentencepiece.encode(df, p.path("byte_bpe_50k.tiktoken"), p.PATTERN), p.path("byte_bpe_50k.tiktoken"), p.PATTERN)
+    assert {bytes(r["decoded"]) for r in back.collect()} == {(t or "").encode() for _, t, _ in rows}
