@@ -1,7 +1,11 @@
 """The corpus pipeline: stages of documents, each written as Parquet and read again as the next one's input.
 
 Every stage works on all that its predecessor kept and carries documents with
-null ids on. The last stage returns the tokens' digests in place of texts.
+null ids on, empty tables as empty tables, and texts of any length whole. The
+last stage returns the tokens' digests in place of texts. Columns other than
+those of documents are not read. Rows that repeat a doc_id with another text are
+documents of their own for the rules and the near duplicates; a question found
+in one of them removes all rows of that doc_id.
 """
 
 from __future__ import annotations
@@ -27,28 +31,31 @@ def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
     judged = docs.select(F.struct(*COLUMNS).alias("row"), "doc_id", "text")
-    told = quality_rules.quality_rules(judged, carry="row").select("row", "kept", F.spark_partition_id().alias("at"))
-    # the partition number is no function of the row, so the filter stays here;
-    # pushed below, it would repeat every measure for each of its uses
-    return told.where("kept and at >= 0").select("row.*")
+    return quality_rules.quality_rules(judged, carry="row").where("kept").select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group that n-gram similarity links."""
+    """The first document of each group that n-gram similarity links: that with the smallest id, and once if its row repeats."""
     classes = ngram_join.jaccard_classes(docs)
-    later = without(docs.select(*COLUMNS), cut(classes.where("doc_id > class_id").select("doc_id")))
-    known = later.where("doc_id is not null").dropDuplicates(["doc_id"])
-    return known.unionByName(later.where("doc_id is null"))
+    told = cut(classes.where("not first or rows > 1").select("doc_id", "m", "first").distinct())
+    key = ["doc_id", "m"]
+    left = docs.select(*COLUMNS, F.unhex(F.md5(F.encode(F.coalesce("text", F.lit("")), "UTF-8"))).alias("m"))
+    left = left.join(told.where("not first").select(*key), key, "left_anti")
+    again = told.where("first").select(*key)
+    # only documents whose row repeats are shuffled to be kept once
+    once = left.join(again, key, "left_anti").select(*COLUMNS)
+    return once.unionByName(left.join(again, key, "left_semi").dropDuplicates(key).select(*COLUMNS))
 
 
 def common_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the bytes that an earlier document has too; bytes of cut characters go with them."""
-    kept = bwt_dedup.remove_common(docs).select(F.col("doc_id").alias("own"), F.col("n_removed").alias("less"), F.col("kept"))
-    changed = cut(kept.where("less > 0").select("own", F.regexp_replace(F.make_valid_utf8(F.col("kept").cast("string")), "�", "").alias("rest")))
-    joined = docs.select(*COLUMNS).join(changed, docs["doc_id"] == F.col("own"), "left")
-    text = F.when(F.col("own").isNull(), F.col("text")).otherwise(F.col("rest"))
-    size = F.when(F.col("own").isNull(), F.col("n_chars")).otherwise(F.length("rest").cast("long"))
-    return joined.select("doc_id", text.alias("text"), "lang", "source", size.alias("n_chars"))
+    rows = docs.select("doc_id", "text", F.struct("text", "lang", "source", "n_chars").alias("row"))
+    done = bwt_dedup.remove_common(rows, carry="row")
+    rest = F.regexp_replace(F.make_valid_utf8(F.col("kept").cast("string")), "�", "")
+    text = F.when(F.col("n_removed") == 0, F.col("row.text")).otherwise(rest)
+    out = done.select("doc_id", text.alias("text"), "row.lang", "row.source", F.col("row.n_chars").alias("n_chars"), "n_removed")
+    size = F.when(F.col("n_removed") == 0, F.col("n_chars")).otherwise(F.length("text").cast("long"))
+    return out.select("doc_id", "text", "lang", "source", size.alias("n_chars"))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
