@@ -4,16 +4,18 @@ Each whole text gives two histograms: character classes, and the commonest
 words of a language against all other words. Both are compared with references
 of its language (the one of four whose common words it has most of) by
 Jensen-Shannon distance (base 2, so 0 to 1); a text is kept if it lies near
-both references. Short texts say little
-about a distribution: below a minimum length that comparison is passed.
+both references. The shorter a text, the farther its histograms stray by chance,
+so the distance allowed falls with the square root of its length towards a
+floor; below a minimum length a text says nothing and the comparison is passed.
 
 Only DataFrame functions on array columns of one row; no shuffle, so no key,
 source or group of copies can gather in a task. A repeat search inside one
 text is a sort of its own window hashes (n log n).
 
 Defined results: a null or empty text has no words and fails the base rules;
-rows that repeat give repeated results; a null doc_id is kept as it is; other
-columns of the table are not read, whatever their names.
+rows that repeat give repeated results; a null doc_id is kept as it is; very
+long texts are read whole; an empty table gives no rows; other columns of the
+table are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -40,8 +42,9 @@ COMMON_WORDS = {
 }
 SPACES = " \t\n\x0b\x0c\r"
 WINDOW = 8
-MIN_CHARS, MIN_WORDS = 480, 50
-MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE = 0.20, 0.34
+MIN_CHARS, MIN_WORDS = 100, 20
+# Distance allowed: a floor, and what is added for a text of one character or word.
+CHAR_DISTANCE, WORD_DISTANCE = (0.12, 1.4), (0.20, 0.9)
 
 
 def js_distance(p: Column, q: Column) -> Column:
@@ -161,15 +164,21 @@ def measures(docs: DataFrame, carry: str | None = None) -> DataFrame:
         "doc_id",
         *own,
         *longs,
+        F.col("n_chars").cast("long").alias("n_chars"),
         F.when(F.col("n_chars") >= MIN_CHARS, js_distance(F.col("by_class"), F.col("class_reference"))).alias("char_distance"),
         F.when(F.col("n_words") >= MIN_WORDS, js_distance(F.col("by_word"), F.col("word_reference"))).alias("word_distance"),
     )
 
 
+def allowed(distance: tuple[float, float], n: Column) -> Column:
+    """The distance allowed for a text of n characters or words."""
+    return F.lit(distance[0]) + F.lit(distance[1]) / F.sqrt(F.greatest(n, F.lit(1)))
+
+
 def quality_rules(docs: DataFrame, carry: str | None = None) -> DataFrame:
-    """doc_id, base counts, base_failed, kept and the two distances (null: too short to compare), with the column to carry along if any."""
+    """doc_id, base counts, n_chars, base_failed, kept and the two distances (null: too short to compare), with the column to carry along if any."""
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    fits = F.coalesce(F.col("char_distance") <= MAX_CHAR_DISTANCE, F.lit(True)) & F.coalesce(F.col("word_distance") <= MAX_WORD_DISTANCE, F.lit(True))
+    fits = F.coalesce(F.col("char_distance") <= allowed(CHAR_DISTANCE, F.col("n_chars")), F.lit(True)) & F.coalesce(F.col("word_distance") <= allowed(WORD_DISTANCE, F.col("n_words")), F.lit(True))
     found = measures(docs, carry)
     # a filter on what follows stays above the generator: pushed below, it would repeat every measure for each of its uses
     found = found.select(F.explode(F.array(F.struct(*found.columns))).alias("found")).select("found.*")
