@@ -188,8 +188,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     windows = cut(item_windows(items))
     texts = texts_of(docs, "doc_id", "doc_row")
     found = hits(texts, windows)
-    # equal rows of the table are one document from here on
-    again = texts.join(found, ["doc_id", "doc_row"]).dropDuplicates(["doc_id", "doc_row"]).select("doc_id", "doc_row", "hits", tokens(F.col("text")).alias("toks"))
+    # the ids alone are small where few documents have hits: Spark broadcasts them below its threshold, and only the texts they leave are shuffled
+    some = texts.join(cut(found.select("doc_id", "doc_row")), ["doc_id", "doc_row"], "left_semi")
+    # merged at every size; equal rows of the table are one document from here on
+    again = some.hint("merge").join(found, ["doc_id", "doc_row"]).dropDuplicates(["doc_id", "doc_row"]).select("doc_id", "doc_row", "hits", tokens(F.col("text")).alias("toks"))
     words_of = F.transform("hits", lambda x: F.struct(x["h"].alias("h"), x["at"].alias("at"), F.slice("toks", x["at"] + 1, x["size"]).alias("doc_toks")))
     placed = again.select("doc_id", "doc_row", F.inline(words_of)).join(windows, "h")
     placed = placed.select(*PAIR, "h", "n_toks", (F.col("at") - F.col("place")).alias("shift"), "item_toks", "doc_toks")
