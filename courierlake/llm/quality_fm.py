@@ -2,7 +2,10 @@
 
 A text becomes a sparse vector: its words hashed into BUCKETS (log counts,
 length one), structure statistics (shares of character kinds, repeated lines
-and words, word lengths) and metadata (its size). The machine scores it with a
+and words, word lengths) and metadata: what a record says of a text without its
+words, as one feature each for the class of its size in characters, of its
+number of lines, and of its bytes per character. A pair of a word and a size
+class has an interaction of its own. The machine scores it with a
 bias, linear weights and rank-RANK pairwise interactions, in linear time by
 sum_{i<j} <v_i, v_j> x_i x_j = (|sum v_i x_i|^2 - sum |v_i x_i|^2) / 2.
 
@@ -14,8 +17,9 @@ features.
 
 Defined results: a null or empty text has the empty vector with its structure
 statistics and gets a score; labels that are null or of unknown documents are
-not used; with no usable label the score is 0.5; repeated rows repeat; other
-columns are not read.
+not used; of labels or texts that repeat a doc_id the smallest is learned from;
+with no usable label the score is 0.5; repeated rows repeat; very long texts are
+read whole; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -41,6 +45,18 @@ DIGITS = re.compile(r"\d")
 POINTS = re.compile(r"[!?]")
 STOPS = re.compile(r"[.,;:]")
 STRUCTURE = 12
+#: Classes of size in characters and of lines (powers of two), and of bytes per character (quarters).
+SIZES, LINES, WIDTHS = 24, 16, 13
+METADATA = SIZES + LINES + WIDTHS
+FEATURES = BUCKETS + STRUCTURE + METADATA
+
+
+def metadata(text: str) -> list[int]:
+    """Places of the three features that hold, counted from the first of metadata."""
+    n = len(text)
+    lines = text.count("\n") + 1
+    width = 4 * len(text.encode("utf-8", "replace")) // max(1, n)
+    return [min(n.bit_length(), SIZES - 1), SIZES + min(lines.bit_length(), LINES - 1), SIZES + LINES + min(max(width - 4, 0), WIDTHS - 1)]
 
 
 def structure(text: str, words: list[str], counts: Counter) -> list[float]:
@@ -98,16 +114,17 @@ class Featuriser:
         index = np.flatnonzero(n)
         x = np.log1p(n[index])
         x /= max(1e-9, float(np.sqrt(x @ x)))
-        return np.concatenate([index, np.arange(BUCKETS, BUCKETS + STRUCTURE)]), np.concatenate([x, structure(text, words, counts)]).astype(np.float32)
+        told = BUCKETS + STRUCTURE + np.array(metadata(text))
+        return np.concatenate([index, np.arange(BUCKETS, BUCKETS + STRUCTURE), told]), np.concatenate([x, structure(text, words, counts), np.full(3, 0.5)]).astype(np.float32)
 
 
 def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: list[int]) -> Machine:
     """Logistic loss by AdaGrad, one text at a time in a seeded order."""
     random = np.random.default_rng(SEED)
-    size = BUCKETS + STRUCTURE
+    size = FEATURES
     m = Machine(0.0, np.zeros(size), random.normal(0, 0.05, (size, RANK)))
     if not rows:
-        return m
+        return Machine(0.0, np.zeros(size), np.zeros((size, RANK)))
     y = np.array(labels, dtype=np.float64)
     weight = np.where(y > 0, 0.5 / max(1.0, y.sum()), 0.5 / max(1.0, (1 - y).sum())) * len(y) if 0 < y.sum() < len(y) else np.ones(len(y))
     seen_linear, seen_factors, seen_bias = np.full(size, 1e-3), np.full((size, RANK), 1e-3), 1e-3
@@ -149,7 +166,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int) -> tuple[list
             yield rows_of(schema, quality=b.column("quality"), at=[i.astype(np.int32).tobytes() for i, _ in made], x=[x.tobytes() for _, x in made])
 
     # a sample of ids is small by its bound, whatever the tables are
-    texts = id_text(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "quality").dropDuplicates(["doc_id"])
+    texts = id_text(docs).join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("quality").alias("quality"))
     got = texts.orderBy("doc_id").select("text", "quality").mapInArrow(run, "quality int, at binary, x binary").collect()
     return [(np.frombuffer(r["at"], np.int32), np.frombuffer(r["x"], np.float32)) for r in got], [int(r["quality"] > 0) for r in got]
 

@@ -309,10 +309,27 @@ def test_classifier(spark):
     assert quality_fm.classify(rows.drop("quality").limit(0), rows.select("doc_id", "quality").limit(0)).count() == 0
 
 
+def test_classifier_on_held_out_labels(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    told = {r["doc_id"]: r["quality"] for r in labels.collect()}
+    got = [(r["predicted"], told[r["doc_id"]]) for r in quality_fm.classify(docs, labels).collect() if r["held_out"] and r["doc_id"] in told]
+    assert len(got) > 50 and sum(a == b for a, b in got) >= 0.95 * len(got)
+
+
+def test_classifier_rows(spark):
+    rows = [(1, PROSE, "c", 9), (1, "other", "c", 9), (1, PROSE, "c", 9), (2, None, None, None), (3, "", None, None), (4, "x" * 3_000_000 + " y", "c", 9), (None, "a b", "c", 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score string, quality long").repartition(3)
+    labels = spark.createDataFrame([(1, 1, "c"), (1, 0, "c"), (4, 0, "c"), (2, None, "c"), (None, 1, "c"), (77, 1, "c")], "doc_id long, quality int, text string")
+    got = quality_fm.classify(docs, labels).collect()
+    assert len(got) == len(rows) and all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.7) for r in got)
+    assert quality_fm.classify(docs, labels.limit(0)).where("score != 0.5").count() == 0
+
+
 def test_sum_of_squares():
     import numpy as np
 
     rng = np.random.default_rng(1)
+    assert quality_fm.FEATURES == quality_fm.BUCKETS + quality_fm.STRUCTURE + quality_fm.METADATA
     m = quality_fm.Machine(0.3, rng.normal(size=9), rng.normal(size=(9, 4)))
     x = rng.normal(size=9)
     pairs = sum(m.factors[i] @ m.factors[j] * x[i] * x[j] for i in range(9) for j in range(i))
