@@ -8,7 +8,13 @@ from email import message_from_bytes, policy
 from email.utils import getaddresses, parsedate_to_datetime
 from html.parser import HTMLParser
 
-PARSED = "message_id string, subject string, from_email string, `from` string, to_emails string, cc_emails string, bcc_emails string, envelope_reply_to string, envelope_in_reply_to string, envelope_references string, date timestamp, has_attachments boolean, plain_text string, markdown string, parse_error string"
+PARSED = (
+    "message_id string, subject string, from_email string, `from` string, to_emails string, cc_emails string, bcc_emails string, envelope_reply_to string,"
+    " envelope_in_reply_to string, envelope_references string, date timestamp, has_attachments boolean, plain_text string, markdown string, parse_error string,"
+    " told_thrid long, told_msgid long, told_labels string, told_internaldate timestamp, told_size long"
+)
+#: How text is read: "utf8" keeps it, "compat" turns every byte from 0x80 on into a question mark.
+TEXT_MODES = ("utf8", "compat")
 IDS = re.compile(r"<([^<>\s]+)>")
 
 
@@ -68,7 +74,16 @@ def as_json(values: list[str]) -> str | None:
     return json.dumps(values) if values else None
 
 
-def body_text(part) -> str:
+def normalize_utf8(text: str | bytes, text_mode: str = "utf8") -> str:
+    """Valid text: bytes that are no UTF-8 become U+FFFD, or in compat mode every byte from 0x80 on a question mark."""
+    raw = text if isinstance(text, bytes) else text.encode("utf-8", "replace")
+    if text_mode == "compat":
+        return re.sub(rb"[\x80-\xff]", b"?", raw).decode("ascii")
+    return raw.decode("utf-8", "replace")
+
+
+def safe_decode(part) -> str:
+    """The text of a part; of one in an unknown encoding its bytes as UTF-8."""
     if part is None:
         return ""
     try:
@@ -77,19 +92,31 @@ def body_text(part) -> str:
         return (part.get_payload(decode=True) or b"").decode("utf-8", "replace")
 
 
-def parse_message(raw: bytes) -> dict[str, object]:
-    """The parsed columns; a message that can't be read gives its error and nulls."""
+def whole_number(text: object) -> int | None:
+    found = re.fullmatch(r"\s*(\d+)\s*", str(text or ""))
+    return int(found[1]) if found else None
+
+
+def when(text: object):
+    try:
+        return parsedate_to_datetime(str(text)) if text else None
+    except (TypeError, ValueError):
+        return None
+
+
+def parse_message(raw: bytes, text_mode: str = "utf8") -> dict[str, object]:
+    """The parsed columns; a message that can't be read gives its error and nulls. told_*: what headers of an archived file say."""
     names = [n.strip("`") for n in re.findall(r"(`?\w+`?) \w+(?:,|$)", PARSED)]
     row: dict[str, object] = dict.fromkeys(names)
     try:
-        m = message_from_bytes(raw, policy=policy.default)
+        m = message_from_bytes(re.sub(rb"[\x80-\xff]", b"?", raw) if text_mode == "compat" else raw, policy=policy.default)
         ids = IDS.findall(str(m.get("Message-ID", ""))) or [str(m.get("Message-ID", "")).strip()]
         senders = addresses(m, "From")
         plain, html = m.get_body(("plain",)), m.get_body(("html",))
-        text = body_text(plain) if plain is not None else ("" if m.is_multipart() else body_text(m if m.get_content_maintype() == "text" else None))
-        rich = body_text(html)
+        text = safe_decode(plain) if plain is not None else ("" if m.is_multipart() else safe_decode(m if m.get_content_maintype() == "text" else None))
+        rich = safe_decode(html)
         replies = IDS.findall(str(m.get("In-Reply-To", "")))
-        when = parsedate_to_datetime(str(m["Date"])) if m.get("Date") else None
+        labels = m.get("X-GM-LABELS")
         row |= {
             "message_id": ids[0] or None,
             "subject": str(m.get("Subject", "")),
@@ -101,11 +128,17 @@ def parse_message(raw: bytes) -> dict[str, object]:
             "envelope_reply_to": as_json(addresses(m, "Reply-To")),
             "envelope_in_reply_to": replies[0] if replies else None,
             "envelope_references": as_json(IDS.findall(str(m.get("References", "")))),
-            "date": when,
+            "date": when(m.get("Date")),
             "has_attachments": any(True for _ in m.iter_attachments()),
             "plain_text": text,
-            "markdown": to_markdown(rich) if rich.strip() else text,
+            "markdown": to_markdown(rich if rich.strip() else text),
+            "told_thrid": whole_number(m.get("X-GM-THRID")),
+            "told_msgid": whole_number(m.get("X-GM-MSGID")),
+            "told_labels": json.dumps(str(labels).split(), ensure_ascii=False) if labels else None,
+            "told_internaldate": when(m.get("X-IMAP-INTERNALDATE")),
+            "told_size": whole_number(m.get("X-RFC822-SIZE")),
         }
+        row = {k: normalize_utf8(v, text_mode) if isinstance(v, str) else v for k, v in row.items()}
     except Exception as e:  # any malformed part of a message ends here; the raw bytes are kept
         row["parse_error"] = f"{type(e).__name__}: {e}"
         row["has_attachments"] = False

@@ -40,10 +40,27 @@ EMAILS = T.StructType(
         T.StructField("plain_text", T.StringType()),
         T.StructField("markdown", T.StringType()),
         T.StructField("size_bytes", T.LongType()),
+        T.StructField("created_at", T.TimestampType()),
+        T.StructField("updated_at", T.TimestampType()),
     ]
 )
 
 
+#: Version of this schema; a stored table says which it has.
+VERSION = 2
+
+
+def missing(df: DataFrame) -> list[str]:
+    """Columns of the schema that a table lacks or has in another type."""
+    have = {f.name: f.dataType for f in df.schema}
+    return [f.name for f in EMAILS if have.get(f.name) != f.dataType]
+
+
+def migrated(df: DataFrame) -> DataFrame:
+    """A table of an older version with the columns of this one: new ones are null, others are cast."""
+    return df.select(*(F.col(f.name).cast(f.dataType).alias(f.name) if f.name in df.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in EMAILS), *(c for c in df.columns if c not in EMAILS.names))
+
+
 def with_id(df: DataFrame) -> DataFrame:
     """A surrogate key that depends on the identity only, so that a rerun gives it again."""
     return df.withColumn("id", F.xxhash64(*IDENTITY))
