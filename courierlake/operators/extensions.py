@@ -5,14 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.predicates import contains, limit_of, moment
-from .retrieval import body, keyword_list
+from ..functions.predicates import ToolError, contains, epoch_of, filled, integer, limit_of, moment
+from .retrieval import body, keyword_list, newest, predicate
 
 PERIODS = {"daily": "yyyy-MM-dd", "monthly": "yyyy-MM", "yearly": "yyyy"}
 
 
+def period_of(name: str) -> Column:
+    if name not in PERIODS:
+        raise ToolError(f"period must be one of: {', '.join(PERIODS)}")
+    return F.date_format(moment(), PERIODS[name])
+
+
 def volume_by_period(emails: DataFrame, period: str = "monthly", limit=None, most: int = 1000) -> DataFrame:
-    rows = emails.groupBy(F.date_format(moment(), PERIODS[period]).alias("period")).agg(F.count("*").alias("count"))
+    rows = emails.groupBy(period_of(period).alias("period")).agg(F.count("*").alias("count"))
     return rows.orderBy("period").limit(limit_of(limit, 365, most))
 
 
@@ -39,24 +45,123 @@ def duplicate_groups(emails: DataFrame, field: str = "message_id", limit=None, m
     return ids.orderBy(F.desc("count"), field)
 
 
+def count_filtered(emails: DataFrame, most: int = 1000, **filters) -> DataFrame:
+    """count_emails with the arguments of filter_emails."""
+    named = {"from_domain_" if k == "from_domain" else k: v for k, v in filters.items()}
+    return emails.where(predicate(**named)).agg(F.count("*").alias("count"))
+
+
+def find_email(emails: DataFrame, id=None, mailbox=None, uid=None, uidvalidity=None, message_id=None, from_contains=None, subject_contains=None, date=None, order="date_desc", most: int = 1000) -> DataFrame:
+    """One whole row by any of these; date is a year or a day (of receipt, UTC)."""
+    test = predicate(mailbox, from_contains, None, subject_contains)
+    for name, value in (("id", id), ("uid", uid), ("uidvalidity", uidvalidity)):
+        if value not in (None, ""):
+            test &= F.col(name) == integer(value)
+    if message_id:
+        test &= F.col("message_id") == str(message_id).strip("<>")
+    if date:
+        text = str(date).strip()
+        pattern = "yyyy" if len(text) == 4 else "yyyy-MM-dd"
+        if pattern != "yyyy" and epoch_of(text) is None:
+            raise ToolError(f"invalid date format: {text}")
+        test &= F.date_format(moment(), pattern) == text[: 4 if pattern == "yyyy" else 10]
+    by = F.asc("internaldate_epoch") if order == "date_asc" else F.desc("internaldate_epoch")
+    return emails.where(test).orderBy(by, "id").limit(1)
+
+
+def stats_with_tops(emails: DataFrame, top_limit=None, most: int = 1000) -> DataFrame:
+    """How many messages, from when to when, and the commonest senders, domains and folders as lists of (name, count).
+
+    One pass counts each (folder, sender); all lists come from that table.
+    """
+    n = limit_of(top_limit, 10, most)
+    pairs = emails.groupBy("mailbox", "from_email").agg(F.count("*").alias("n"), F.min("internaldate_epoch").alias("first"), F.max("internaldate_epoch").alias("last"))
+    known = pairs.where(filled(F.col("from_email")))
+    keys = {"top_senders": (known, F.col("from_email")), "top_domains": (known, F.expr("substring(from_email, instr(from_email, '@') + 1)")), "mailbox_distribution": (pairs, F.col("mailbox"))}
+    out = pairs.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total_emails"), F.min("first").alias("earliest_epoch"), F.max("last").alias("latest_epoch"))
+    for name, (rows, key) in keys.items():
+        top = rows.groupBy(key.alias("name")).agg(F.sum("n").alias("count")).orderBy(F.desc("count"), "name").limit(n)
+        listed = top.agg(F.to_json(F.transform(F.sort_array(F.collect_list(F.struct((-F.col("count")).alias("less"), "name"))), lambda x: F.struct(x["name"].alias("name"), (-x["less"]).alias("count")))).alias(name))
+        out = out.withColumn("one", F.lit(1)).join(F.broadcast(listed.withColumn("one", F.lit(1))), "one").drop("one")  # one row each
+    return out
+
+
+def heatmap_named(emails: DataFrame, date_from=None, date_to=None) -> DataFrame:
+    """Counts by hour and weekday, with its name, between two times."""
+    rows = emails.where(predicate(date_from=date_from, date_to=date_to))
+    rows = rows.groupBy(F.hour(moment()).alias("hour"), (F.dayofweek(moment()) - 1).alias("day_number"), F.date_format(moment(), "EEEE").alias("day_of_week")).agg(F.count("*").alias("count"))
+    return rows.orderBy("day_number", "hour").select("hour", "day_of_week", "day_number", "count")
+
+
+def sender_periods(emails: DataFrame, sender=None, period: str = "monthly", limit=None, most: int = 1000) -> DataFrame:
+    """Messages of each sender whose address holds the text, by day, month or year."""
+    rows = emails.where(filled(F.col("from_email")))
+    rows = rows.where(contains(F.col("from_email"), str(sender))) if sender else rows
+    found = rows.groupBy(F.col("from_email").alias("from"), period_of(period).alias("period")).agg(F.count("*").alias("count"))
+    return found.orderBy(F.desc("count"), "from", "period").limit(limit_of(limit, 50, most))
+
+
+def seasons(emails: DataFrame, until: int, years_back=None, most: int = 1000) -> DataFrame:
+    """Months of the years up to `until`, with their season in the north."""
+    back = integer(years_back) if integer(years_back) > 0 else 3
+    month = F.month(moment())
+    season = F.when(month.isin(12, 1, 2), "Winter").when(month.isin(3, 4, 5), "Spring").when(month.isin(6, 7, 8), "Summer").otherwise("Fall")
+    rows = emails.where(F.year(moment()).between(until - back + 1, until))
+    rows = rows.groupBy(F.year(moment()).alias("year"), month.alias("month"), season.alias("season"), F.date_format(moment(), "MMMM").alias("month_name")).agg(F.count("*").alias("count"))
+    return rows.orderBy("year", "month")
+
+
+def header_pattern(emails: DataFrame, pattern, limit=None, most: int = 1000) -> DataFrame:
+    """Messages whose raw header, up to the first blank line, holds the text."""
+    if pattern in (None, ""):
+        raise ToolError("header_pattern is required")
+    head = F.regexp_extract(F.make_valid_utf8(F.col("raw").cast("string")), r"(?s)\A(.*?)(?:\r?\n\r?\n|\z)", 1)
+    return newest(emails.where(contains(head, str(pattern))), limit_of(limit, 100, most))
+
+
 def keyword_score(emails: DataFrame, keywords, search_field: str = "plain_text", limit=None, most: int = 1000) -> DataFrame:
-    """Matched terms over all terms, best first."""
+    """Matched terms over all terms, best first, and how often the terms occur."""
     terms = keyword_list(keywords)
-    matched = sum((F.coalesce(contains(body(search_field), t), F.lit(False)).cast("int") for t in terms), F.lit(0))
-    rows = emails.select("id", "internaldate_epoch", matched.alias("matched")).where("matched > 0")
-    return rows.orderBy(F.desc("matched"), F.desc("internaldate_epoch"), "id").select("id", "matched", (F.col("matched") / F.lit(float(len(terms)))).alias("score")).limit(limit_of(limit, 50, most))
+    text = F.lower(F.coalesce(body(search_field), F.lit("")))
+    matched = sum((F.contains(text, F.lit(t.lower())).cast("int") for t in terms), F.lit(0))
+    times = sum(((F.length(text) - F.length(F.replace(text, F.lit(t.lower()), F.lit("")))) / len(t) for t in terms), F.lit(0.0)).cast("long")
+    rows = emails.select("id", "internaldate_epoch", matched.alias("matched"), times.alias("occurrences")).where("matched > 0")
+    return rows.orderBy(F.desc("matched"), F.desc("internaldate_epoch"), "id").select("id", "matched", "occurrences", (F.col("matched") / F.lit(float(len(terms)))).alias("score")).limit(limit_of(limit, 50, most))
 
 
-def vector_topk(vectors: DataFrame, query: list[float], limit=None, most: int = 1000) -> DataFrame:
-    """Rows with the greatest cosine to the query, by exact scan and top-k."""
-
+def cosine_to(query: list[float], v: Column) -> Column:
     def dot(a: Column, b: Column) -> Column:
         return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
     q = F.array(*(F.lit(float(x)) for x in query))
-    v = F.col("embedding")
-    cosine = dot(v, q) / F.nullif(F.sqrt(dot(v, v)) * F.sqrt(dot(q, q)), F.lit(0.0))
-    return vectors.select("vec_id", F.round(cosine, 6).alias("cosine")).orderBy(F.desc("cosine"), "vec_id").limit(limit_of(limit, 10, most))
+    return dot(v, q) / F.nullif(F.sqrt(dot(v, v)) * F.sqrt(dot(q, q)), F.lit(0.0))
+
+
+def vector_topk(vectors: DataFrame, query: list[float], limit=None, most: int = 1000) -> DataFrame:
+    """Rows with the greatest cosine to the query, by exact scan and top-k."""
+    return vectors.select("vec_id", F.round(cosine_to(query, F.col("embedding")), 6).alias("cosine")).orderBy(F.desc("cosine"), "vec_id").limit(limit_of(limit, 10, most))
+
+
+def vector_search(vectors: DataFrame, query: list[float], item_types: list[str] | None = None, limit=None, most: int = 1000) -> DataFrame:
+    """Messages by their nearest variant, nearest first: id, item_type and score (cosine distance) of vectors (id, item_type, embedding)."""
+    rows = vectors.where(F.col("item_type").isin(*item_types)) if item_types else vectors
+    scored = rows.select("id", "item_type", F.round(1 - cosine_to(query, F.col("embedding")), 6).alias("score")).where("score is not null")
+    best = scored.groupBy("id").agg(F.min(F.struct("score", "item_type")).alias("best"))
+    return best.select("id", "best.item_type", "best.score").orderBy("score", "id").limit(limit_of(limit, 100, most))
+
+
+def asof_join(left: DataFrame, right: DataFrame, by: str, at: str, value: str) -> DataFrame:
+    """left with the `value` of the latest row of right that has the same `by` and is not later than `at` (null: none).
+
+    A union and one window, so each key's rows are sorted once and no pair is
+    made. Of rows of right at one time the greatest value counts.
+    """
+    both = left.select("*", F.lit(None).cast(right.schema[value].dataType).alias("_seen"), F.lit(1).alias("_side"))
+    known = right.select(F.col(by), F.col(at), F.col(value).alias("_seen"), F.lit(0).alias("_side"))
+    order = Window.partitionBy(by).orderBy(at, "_side", F.asc_nulls_first("_seen")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = both.unionByName(known, allowMissingColumns=True)
+    found = rows.withColumn(value if value not in left.columns else f"{value}_before", F.last("_seen", ignorenulls=True).over(order))
+    return found.where("_side = 1").drop("_seen", "_side")
 
 
 def variants(emails: DataFrame) -> DataFrame:

@@ -70,8 +70,9 @@ def get_emails_by_date_range(emails: DataFrame, start_date=None, end_date=None,
     return oldest(emails.where(F.col("internaldate_epoch").between(*ends)), limit_of(limit, 100, most))
 
 
-def get_emails_with_attachments(emails: DataFrame, limit=None, most: int = 1000) -> DataFrame:
-    return newest(emails.where("has_attachments"), limit_of(limit, 50, most))
+def get_emails_with_attachments(emails: DataFrame, limit=None, mailbox=None, date_from=None, date_to=None, most: int = 1000) -> DataFrame:
+    rows = emails.where(F.col("has_attachments") & predicate(mailbox, date_from=date_from, date_to=date_to))
+    return newest(rows, limit_of(limit, 50, most))
 
 
 def get_email_thread(emails: DataFrame, x_gm_thrid=None, limit=None, most: int = 1000) -> DataFrame:
@@ -79,10 +80,11 @@ def get_email_thread(emails: DataFrame, x_gm_thrid=None, limit=None, most: int =
 
 
 def get_largest_emails(emails: DataFrame, limit=None, from_domain=None, attachments=None, mailbox=None, most: int = 1000) -> DataFrame:
+    """Whole rows, the longest raw message first."""
     rows = emails.where(predicate(mailbox, None, from_domain))
     if attachments in ("with", "without"):
         rows = rows.where(F.coalesce("has_attachments", F.lit(False)) == F.lit(attachments == "with"))
-    return rows.orderBy(F.desc("size_bytes"), "id").select(*BASE, "size_bytes").limit(limit_of(limit, 5, most))
+    return rows.orderBy(F.desc("size_bytes"), "id").limit(limit_of(limit, 5, most))
 
 
 def get_emails_by_size_range(emails: DataFrame, min_size=None, max_size=None, limit=None, most: int = 1000) -> DataFrame:
@@ -98,7 +100,7 @@ def get_emails_by_size_range(emails: DataFrame, min_size=None, max_size=None, li
 def search_email_headers(emails: DataFrame, query=None, header_field="subject", limit=None, most: int = 1000) -> DataFrame:
     required(query, "query")
     if header_field not in HEADERS:
-        raise ToolError(f"invalid header_field: {header_field}")
+        raise ToolError(f"header_field must be one of: {', '.join(HEADERS)}")
     return newest(emails.where(contains(F.col(header_field), str(query))), limit_of(limit, 50, most))
 
 
@@ -107,7 +109,7 @@ def keyword_list(keywords: object) -> list[str]:
     parts = keywords if isinstance(keywords, list | tuple) else str(required(keywords, "keywords")).split(",")
     found = [str(p).strip() for p in parts if str(p).strip()]
     if not found:
-        raise ToolError("keywords is required")
+        raise ToolError("at least one keyword required")
     return found
 
 
@@ -118,7 +120,7 @@ def body(field: str) -> Column:
 def get_emails_by_keywords(emails: DataFrame, keywords=None, search_field="plain_text", match_all=False, limit=None, most: int = 1000) -> DataFrame:
     terms = keyword_list(keywords)
     if search_field not in BODIES:
-        raise ToolError(f"invalid search_field: {search_field}")
+        raise ToolError(f"search_field must be one of: {', '.join(BODIES)}")
     tests = [contains(body(search_field), t) for t in terms]
     found = tests[0]
     for t in tests[1:]:
@@ -130,7 +132,7 @@ def get_emails_by_keywords(emails: DataFrame, keywords=None, search_field="plain
 def get_duplicate_emails(emails: DataFrame, field="message_id", limit=None, most: int = 1000) -> DataFrame:
     """Rows of the first limit/2 repeated keys in key order; keys are at most that many, so they are broadcast."""
     if field not in ("message_id", "x_gm_msgid"):
-        raise ToolError(f"invalid field: {field}")
+        raise ToolError("field must be 'message_id' or 'x_gm_msgid'")
     n = limit_of(limit, 50, most)
     key = F.col(field)
     present = filled(key) if field == "message_id" else key.isNotNull()

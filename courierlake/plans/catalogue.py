@@ -46,15 +46,53 @@ def join_left(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def join_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers without an open order of high priority."""
     o, c = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
-    return c.join(o, c.c_custkey == o.o_custkey, "left_anti").select("c_custkey")
+    some = o.where((F.col("o_orderstatus") == "O") & F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"))
+    return c.join(some, c.c_custkey == some.o_custkey, "left_anti").select("c_custkey")
+
+
+def join_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers and suppliers by nation, where either has any."""
+    c = table(spark, sf_dir, "customer").where("c_acctbal < 0").groupBy(F.col("c_nationkey").alias("nation")).agg(F.count("*").alias("customers"))
+    s = table(spark, sf_dir, "supplier").where("s_acctbal < 0").groupBy(F.col("s_nationkey").alias("nation")).agg(F.count("*").alias("suppliers"))
+    return c.join(s, "nation", "full").select("nation", F.coalesce("customers", F.lit(0)).alias("customers"), F.coalesce("suppliers", F.lit(0)).alias("suppliers"))
+
+
+def join_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events in price bands: a condition of inequalities against a table of three rows."""
+    e = table(spark, sf_dir, "events").select("event_id", "value")
+    bands = spark.createDataFrame([("low", 0.0, 50.0), ("mid", 50.0, 100.0), ("all", 0.0, 1e9)], "band string, least double, below double")
+    return e.join(F.broadcast(bands), (e["value"] >= bands["least"]) & (e["value"] < bands["below"])).groupBy("band").agg(F.count("*").alias("events"))
+
+
+def join_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each purchase with the latest click of its user at that time or before."""
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"), "event_type")
+    clicks = e.where("event_type = 'click'").select("user_id", "ts", F.col("event_id").alias("click_id"))
+    return x.asof_join(e.where("event_type = 'purchase'").select("event_id", "user_id", "ts"), clicks, "user_id", "ts", "click_id").select("event_id", "user_id", "click_id")
 
 
 def reply_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Messages that share a Message-ID, oldest against the others: a self equi-join."""
-    e = emails(spark, sf_dir).where("message_id is not null").select("id", "message_id")
-    b = e.select(F.col("id").alias("other"), F.col("message_id").alias("m"))
-    return e.join(b, (e.message_id == b.m) & (e.id < b.other)).select("id", "other", "message_id")
+    """Replies and the messages that they answer, by In-Reply-To."""
+    e = emails(spark, sf_dir)
+    first = e.where("message_id is not null").select(F.col("id").alias("original"), F.col("message_id").alias("m"))
+    return e.select(F.col("id").alias("reply"), "envelope_in_reply_to").join(first, F.col("envelope_in_reply_to") == F.col("m")).select("reply", "original", F.col("m").alias("message_id"))
+
+
+def window_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Running and sliding sums, and quarters, of sizes in each folder."""
+    by = Window.partitionBy("mailbox").orderBy("internaldate_epoch", "id")
+    size = F.sum("size_bytes")
+    rows = emails(spark, sf_dir).where("x_gm_thrid = 0").select("mailbox", "id", "internaldate_epoch", "size_bytes")
+    return rows.select("id", size.over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("running"), size.over(by.rowsBetween(-2, Window.currentRow)).alias("last_three"), F.ntile(4).over(by).alias("quarter"))
+
+
+def vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages of three variants each, by the nearest of two kinds."""
+    kind = F.element_at(F.array(*map(F.lit, ("subject", "plain_text", "markdown"))), (F.col("vec_id") % 3 + 1).cast("int"))
+    v = table(spark, sf_dir, "embeddings").select(F.expr("vec_id div 3").alias("id"), kind.alias("item_type"), "embedding")
+    return x.vector_search(v, QUERY_VECTOR, ["subject", "markdown"], limit=50)
 
 
 def window_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,13 +100,13 @@ def window_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return emails(spark, sf_dir).select("mailbox", "id", "size_bytes", F.row_number().over(by).alias("rank")).where("rank <= 3")
 
 
-def senders(spark: SparkSession, sf_dir: str, mailbox: str) -> DataFrame:
-    return emails(spark, sf_dir).where((F.col("mailbox") == mailbox) & F.col("from_email").isNotNull()).select("from_email")
+def column_of(spark: SparkSession, sf_dir: str, mailbox: str, column: str) -> DataFrame:
+    return emails(spark, sf_dir).where((F.col("mailbox") == mailbox) & F.col(column).isNotNull()).select(column)
 
 
-def setop(kind: str) -> Query:
+def setop(kind: str, column: str = "from_email") -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        left, right = senders(spark, sf_dir, "INBOX"), senders(spark, sf_dir, "Work")
+        left, right = column_of(spark, sf_dir, "INBOX", column), column_of(spark, sf_dir, "Work", column)
         return {"union": left.union(right).distinct(), "intersect": left.intersect(right), "except": left.subtract(right), "union_all": left.union(right)}[kind]
 
     return run
@@ -82,20 +120,30 @@ def cube(spark: SparkSession, sf_dir: str) -> DataFrame:
     return emails(spark, sf_dir).cube("mailbox", "has_attachments").agg(F.count("*").alias("count"))
 
 
-def sql_passthrough(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return execute_sql_query({"emails": emails(spark, sf_dir)}, PASSED)
-
-
 def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return x.vector_topk(table(spark, sf_dir, "embeddings"), [1.0 if i % 2 else -0.5 for i in range(64)])
+    return x.vector_topk(table(spark, sf_dir, "embeddings"), QUERY_VECTOR)
 
 
 def slug(spark: SparkSession, sf_dir: str) -> DataFrame:
     return emails(spark, sf_dir).select("mailbox").distinct().select("mailbox", x.folder_slug(F.col("mailbox")).alias("slug"))
 
 
-def full_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return r.get_email_full(emails(spark, sf_dir), id=42).drop("raw")
+def full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole row, its bytes as hexadecimal digits for the comparison."""
+    return r.get_email_full(emails(spark, sf_dir), id=42).withColumn("raw", F.hex("raw"))
+
+
+def largest(**args) -> Query:
+    """Whole rows without their bytes."""
+    return lambda spark, sf_dir: r.get_largest_emails(emails(spark, sf_dir), **args).drop("raw")
+
+
+def found_email(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return x.find_email(emails(spark, sf_dir), mailbox="Work", from_contains="user1", date="2024", order="date_asc").drop("raw")
+
+
+def sql_tool(sql: str) -> Query:
+    return lambda spark, sf_dir: execute_sql_query({"emails": emails(spark, sf_dir)}, sql)
 
 
 def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,7 +154,10 @@ def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SLUG = "CASE WHEN length(s) < 3 THEN 'nm' ELSE s END"
-SETS = {k: f"(SELECT from_email FROM emails WHERE mailbox = '{m}' AND from_email IS NOT NULL)" for k, m in (("l", "INBOX"), ("r", "Work"))}
+SETS = {k + c[0]: f"(SELECT {c} FROM emails WHERE mailbox = '{m}' AND {c} IS NOT NULL)" for c in ("from_email", "message_id") for k, m in (("l", "INBOX"), ("r", "Work"))}
+QUERY_VECTOR = [1.0 if i % 2 else -0.5 for i in range(64)]
+VECTOR = "[CASE WHEN i % 2 = 1 THEN 1.0 ELSE -0.5 END FOR i IN range(64)]::DOUBLE[]"
+TIMES = "SELECT strftime('%Y-%m', internaldate_epoch, 'unixepoch') AS month, count(*) AS n FROM emails WHERE subject LIKE '%CLICK%' AND date(internaldate_epoch, 'unixepoch') >= '2024-01-03' GROUP BY 1"
 
 
 def entries() -> dict[str, tuple[Query, str | None]]:
@@ -115,7 +166,7 @@ def entries() -> dict[str, tuple[Query, str | None]]:
     latency = "SELECT id, x_gm_thrid, lag(from_email) OVER w AS replied_to, from_email, internaldate_epoch - lag(internaldate_epoch) OVER w AS latency_seconds FROM emails WHERE x_gm_thrid IS NOT NULL AND x_gm_thrid != 0 WINDOW w AS (PARTITION BY x_gm_thrid ORDER BY internaldate_epoch, id)"
     return {
         "list_earliest": (on_emails(r.list_earliest_emails), f"SELECT {COLS} FROM emails ORDER BY date NULLS FIRST, internaldate_epoch, id LIMIT 100"),
-        "email_full_meta": (full_meta, "SELECT * EXCLUDE (raw) FROM emails WHERE id = 42"),
+        "email_full": (full, "SELECT * REPLACE (hex(raw) AS raw) FROM emails WHERE id = 42"),
         "filter_mailbox": (on_emails(r.filter_emails, mailbox="Work"), f"SELECT {COLS} FROM emails WHERE mailbox = 'Work' {NEWEST} 100"),
         "filter_from_contains": (on_emails(r.filter_emails, from_contains="User1"), f"""SELECT {COLS} FROM emails WHERE {q.format('"from"', 'user1')} OR {q.format('from_email', 'user1')} {NEWEST} 100"""),
         "filter_from_domain": (on_emails(r.filter_emails, from_domain="@example.com", limit=500), f"SELECT {COLS} FROM emails WHERE {q.format('from_email', '@example.com')} {NEWEST} 500"),
@@ -130,8 +181,8 @@ def entries() -> dict[str, tuple[Query, str | None]]:
         "top_senders": (on_emails(a.get_top_senders), f'SELECT from_email AS "from", {COUNT} FROM emails WHERE {FILLED} GROUP BY 1 ORDER BY count DESC, 1 LIMIT 20'),
         "top_senders_mailbox": (on_emails(a.get_top_senders, mailbox="Work"), f"SELECT from_email AS \"from\", {COUNT} FROM emails WHERE {FILLED} AND mailbox = 'Work' GROUP BY 1 ORDER BY count DESC, 1 LIMIT 20"),
         "top_domains": (on_emails(a.get_top_domains), f"SELECT substring(from_email, strpos(from_email, '@') + 1) AS domain, {COUNT} FROM emails WHERE {FILLED} GROUP BY 1 ORDER BY count DESC, 1 LIMIT 10"),
-        "largest": (on_emails(r.get_largest_emails), f"SELECT {COLS}, size_bytes FROM emails ORDER BY size_bytes DESC, id LIMIT 5"),
-        "largest_filtered": (on_emails(r.get_largest_emails, from_domain="example.com", attachments="without", limit=20), f"SELECT {COLS}, size_bytes FROM emails WHERE {q.format('from_email', '@example.com')} AND NOT coalesce(has_attachments, false) ORDER BY size_bytes DESC, id LIMIT 20"),
+        "largest": (largest(), "SELECT * EXCLUDE (raw) FROM emails ORDER BY size_bytes DESC, id LIMIT 5"),
+        "largest_filtered": (largest(from_domain="example.com", attachments="without", limit=20), f"SELECT * EXCLUDE (raw) FROM emails WHERE {q.format('from_email', '@example.com')} AND NOT coalesce(has_attachments, false) ORDER BY size_bytes DESC, id LIMIT 20"),
         "mailbox_stats": (on_emails(a.get_mailbox_stats), f"SELECT mailbox, {COUNT} FROM emails GROUP BY 1"),
         "date_range": (on_emails(r.get_emails_by_date_range, start_date="2024-01-05", end_date="2024-01-20"), f"SELECT {COLS} FROM emails WHERE internaldate_epoch BETWEEN 1704412800 AND 1705708800 {OLDEST} 100"),
         "with_attachments": (on_emails(r.get_emails_with_attachments), f"SELECT {COLS} FROM emails WHERE has_attachments {NEWEST} 50"),
@@ -152,24 +203,46 @@ def entries() -> dict[str, tuple[Query, str | None]]:
         "keywords_any": (on_emails(r.get_emails_by_keywords, keywords="that, schl"), f"SELECT {COLS} FROM emails WHERE {q.format('plain_text', 'that')} OR {q.format('plain_text', 'schl')} {NEWEST} 50"),
         "keywords_all": (on_emails(r.get_emails_by_keywords, keywords=["that", "tion"], match_all=True, search_field="markdown"), f"SELECT {COLS} FROM emails WHERE {q.format('markdown', 'that')} AND {q.format('markdown', 'tion')} {NEWEST} 50"),
         "keywords_raw": (on_emails(r.get_emails_by_keywords, keywords="subject: th", search_field="raw"), f"SELECT {COLS} FROM emails WHERE {q.format('decode(raw)', 'subject: th')} {NEWEST} 50"),
-        "sql_passthrough": (sql_passthrough, "SELECT mailbox, count(*) AS n, CAST(sum(size_bytes) AS BIGINT) AS bytes FROM emails GROUP BY 1"),
+        "sql_times": (sql_tool(TIMES), f"SELECT strftime({TS}, '%Y-%m') AS month, count(*) AS n FROM emails WHERE subject ILIKE '%CLICK%' AND strftime({TS}, '%Y-%m-%d') >= '2024-01-03' GROUP BY 1"),
+        "sql_passthrough": (sql_tool(PASSED), "SELECT mailbox, count(*) AS n, CAST(sum(size_bytes) AS BIGINT) AS bytes FROM emails GROUP BY 1"),
         "join_inner": (join_inner, "SELECT c_mktsegment, count(*) AS orders FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1"),
         "join_left": (join_left, "SELECT c_custkey, count(o_orderkey) AS orders FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1"),
-        "join_anti": (join_anti, "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)"),
-        "reply_graph": (reply_graph, "SELECT e.id, b.id AS other, e.message_id FROM emails e JOIN emails b ON e.message_id = b.message_id AND e.id < b.id"),
+        "join_anti": (join_anti, "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'O' AND o_orderpriority IN ('1-URGENT', '2-HIGH'))"),
+        "join_full": (join_full, "SELECT coalesce(c.k, s.k) AS nation, coalesce(customers, 0) AS customers, coalesce(suppliers, 0) AS suppliers FROM (SELECT c_nationkey AS k, count(*) AS customers FROM customer WHERE c_acctbal < 0 GROUP BY 1) c FULL JOIN (SELECT s_nationkey AS k, count(*) AS suppliers FROM supplier WHERE s_acctbal < 0 GROUP BY 1) s ON c.k = s.k"),
+        "join_range": (join_range, "SELECT band, count(*) AS events FROM events JOIN (VALUES ('low', 0, 50), ('mid', 50, 100), ('all', 0, 1000000000)) b (band, least, below) ON value >= least AND value < below GROUP BY 1"),
+        "join_asof": (join_asof, "SELECT p.event_id, p.user_id, (SELECT max(c.event_id) FROM events c WHERE c.event_type = 'click' AND c.user_id = p.user_id AND c.ts = (SELECT max(b.ts) FROM events b WHERE b.event_type = 'click' AND b.user_id = p.user_id AND b.ts <= p.ts)) AS click_id FROM events p WHERE p.event_type = 'purchase'"),
+        "reply_graph": (reply_graph, "SELECT e.id AS reply, b.id AS original, b.message_id FROM emails e JOIN emails b ON e.envelope_in_reply_to = b.message_id"),
+        "window_frames": (window_frames, "SELECT id, CAST(sum(size_bytes) OVER (w ROWS UNBOUNDED PRECEDING) AS BIGINT) AS running, CAST(sum(size_bytes) OVER (w ROWS 2 PRECEDING) AS BIGINT) AS last_three, CAST(ntile(4) OVER w AS INTEGER) AS quarter FROM emails WHERE x_gm_thrid = 0 WINDOW w AS (PARTITION BY mailbox ORDER BY internaldate_epoch, id)"),
         "window_rank": (window_rank, "SELECT mailbox, id, size_bytes, CAST(k AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY mailbox ORDER BY size_bytes DESC, id) AS k FROM emails) WHERE k <= 3"),
         "window_lag_latency": (on_emails(x.reply_latency), f"SELECT id, x_gm_thrid, replied_to, from_email, latency_seconds FROM ({latency}) WHERE from_email != replied_to ORDER BY latency_seconds, id LIMIT 50"),
-        "setop_union": (setop("union"), f"SELECT * FROM {SETS['l']} UNION SELECT * FROM {SETS['r']}"),
-        "setop_union_all": (setop("union_all"), f"SELECT * FROM {SETS['l']} UNION ALL SELECT * FROM {SETS['r']}"),
-        "setop_intersect": (setop("intersect"), f"SELECT * FROM {SETS['l']} INTERSECT SELECT * FROM {SETS['r']}"),
-        "setop_except": (setop("except"), f"SELECT * FROM {SETS['l']} EXCEPT SELECT * FROM {SETS['r']}"),
+        "setop_union": (setop("union"), f"SELECT * FROM {SETS['lf']} UNION SELECT * FROM {SETS['rf']}"),
+        "setop_union_all": (setop("union_all"), f"SELECT * FROM {SETS['lf']} UNION ALL SELECT * FROM {SETS['rf']}"),
+        "setop_intersect": (setop("intersect"), f"SELECT * FROM {SETS['lf']} INTERSECT SELECT * FROM {SETS['rf']}"),
+        "setop_except": (setop("except", "message_id"), f"SELECT * FROM {SETS['lm']} EXCEPT SELECT * FROM {SETS['rm']}"),
         "rollup": (rollup, f"SELECT mailbox, has_attachments, {COUNT}, CAST(grouping_id(mailbox, has_attachments) AS BIGINT) AS level FROM emails GROUP BY ROLLUP (mailbox, has_attachments)"),
         "cube": (cube, f"SELECT mailbox, has_attachments, {COUNT} FROM emails GROUP BY CUBE (mailbox, has_attachments)"),
         "period_volume": (on_emails(x.volume_by_period, period="daily"), f"SELECT strftime({TS}, '%Y-%m-%d') AS period, {COUNT} FROM emails GROUP BY 1 ORDER BY 1 LIMIT 365"),
         "size_class": (on_emails(x.size_classes), "SELECT 'small' AS size_class, count(*) FILTER (size_bytes < 10240) AS count FROM emails UNION ALL SELECT 'medium', count(*) FILTER (size_bytes BETWEEN 10240 AND 102400) FROM emails UNION ALL SELECT 'large', count(*) FILTER (size_bytes > 102400) FROM emails UNION ALL SELECT 'huge', count(*) FILTER (size_bytes > 1048576) FROM emails"),
         "dup_groups": (on_emails(x.duplicate_groups), f"SELECT message_id, {COUNT}, '[' || string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) || ']' AS ids FROM emails WHERE message_id IS NOT NULL AND message_id != '' GROUP BY 1 HAVING count(*) > 1 ORDER BY count DESC, message_id LIMIT 50"),
-        "keyword_score": (on_emails(x.keyword_score, keywords="that,schl,tion"), f"SELECT id, matched, matched / 3.0::DOUBLE AS score FROM (SELECT id, internaldate_epoch, CAST({' + '.join('CAST(' + q.format('plain_text', w) + ' AS INTEGER)' for w in ('that', 'schl', 'tion'))} AS INTEGER) AS matched FROM emails) WHERE matched > 0 ORDER BY matched DESC, internaldate_epoch DESC, id LIMIT 50"),
-        "vector_topk": (vector_topk, "SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], [CASE WHEN i % 2 = 1 THEN 1.0 ELSE -0.5 END FOR i IN range(64)]::DOUBLE[]), 6) AS cosine FROM embeddings ORDER BY cosine DESC, vec_id LIMIT 10"),
+        "keyword_score": (on_emails(x.keyword_score, keywords="that,schl,tion"), f"SELECT id, matched, occurrences, matched / 3.0::DOUBLE AS score FROM (SELECT id, internaldate_epoch, CAST({' + '.join('CAST(' + q.format('plain_text', w) + ' AS INTEGER)' for w in ('that', 'schl', 'tion'))} AS INTEGER) AS matched, CAST({' + '.join(f"(length(lower(plain_text)) - length(replace(lower(plain_text), '{w}', ''))) // 4" for w in ('that', 'schl', 'tion'))} AS BIGINT) AS occurrences FROM emails) WHERE matched > 0 ORDER BY matched DESC, internaldate_epoch DESC, id LIMIT 50"),
+        "count_filtered": (on_emails(x.count_filtered, from_domain="example.com", date_from="2024-01-05", subject_contains="click"), f"SELECT {COUNT} FROM emails WHERE {q.format('from_email', '@example.com')} AND internaldate_epoch >= 1704412800 AND {q.format('subject', 'click')}"),
+        "attachments_filtered": (on_emails(r.get_emails_with_attachments, mailbox="Work", date_from="2024-01-03", limit=200), f"SELECT {COLS} FROM emails WHERE has_attachments AND mailbox = 'Work' AND internaldate_epoch >= 1704240000 {NEWEST} 200"),
+        "find_email": (found_email, f"""SELECT * EXCLUDE (raw) FROM emails WHERE mailbox = 'Work' AND ({q.format('"from"', 'user1')} OR {q.format('from_email', 'user1')}) AND year({TS}) = 2024 {OLDEST} 1"""),
+        "stats_with_tops": (
+            on_emails(x.stats_with_tops, top_limit=5),
+            "SELECT count(*) AS total_emails, min(internaldate_epoch) AS earliest_epoch, max(internaldate_epoch) AS latest_epoch, "
+            + ", ".join(
+                f"""(SELECT '[' || string_agg('{{{{"name":"' || k || '","count":' || n || '}}}}', ',' ORDER BY n DESC, k) || ']' FROM (SELECT {key} AS k, count(*) AS n FROM emails{test} GROUP BY 1 ORDER BY n DESC, 1 LIMIT 5)) AS {name}""".replace("{{", "{").replace("}}", "}")
+                for name, key, test in (("top_senders", "from_email", f" WHERE {FILLED}"), ("top_domains", "substring(from_email, strpos(from_email, '@') + 1)", f" WHERE {FILLED}"), ("mailbox_distribution", "mailbox", ""))
+            )
+            + " FROM emails",
+        ),
+        "heatmap_named": (on_emails(x.heatmap_named, date_from="2024-01-03", date_to="2024-02-01"), f"SELECT CAST(hour({TS}) AS INTEGER) AS hour, dayname({TS}) AS day_of_week, CAST(dayofweek({TS}) AS INTEGER) AS day_number, {COUNT} FROM emails WHERE internaldate_epoch BETWEEN 1704240000 AND 1706745600 GROUP BY 1, 2, 3"),
+        "sender_periods": (on_emails(x.sender_periods, sender="user1", period="daily"), f"SELECT from_email AS \"from\", strftime({TS}, '%Y-%m-%d') AS period, {COUNT} FROM emails WHERE {q.format('from_email', 'user1')} GROUP BY 1, 2 ORDER BY count DESC, 1, 2 LIMIT 50"),
+        "seasons": (on_emails(x.seasons, until=2024, years_back=2), f"SELECT CAST(year({TS}) AS INTEGER) AS year, CAST(month({TS}) AS INTEGER) AS month, CASE WHEN month({TS}) IN (12, 1, 2) THEN 'Winter' WHEN month({TS}) < 6 THEN 'Spring' WHEN month({TS}) < 9 THEN 'Summer' ELSE 'Fall' END AS season, monthname({TS}) AS month_name, {COUNT} FROM emails WHERE year({TS}) BETWEEN 2023 AND 2024 GROUP BY 1, 2, 3, 4"),
+        "header_pattern": (on_emails(x.header_pattern, pattern="of user 1"), f"SELECT {COLS} FROM emails WHERE {q.format("split_part(decode(raw), chr(10) || chr(10), 1)", 'of user 1')} {NEWEST} 100"),
+        "vector_search": (vector_search, f"SELECT id, arg_min(item_type, (score, item_type)) AS item_type, min(score) AS score FROM (SELECT vec_id // 3 AS id, ['subject', 'plain_text', 'markdown'][vec_id % 3 + 1] AS item_type, round(1 - list_cosine_similarity(embedding::DOUBLE[], {VECTOR}), 6) AS score FROM embeddings) WHERE item_type IN ('subject', 'markdown') GROUP BY 1 ORDER BY score, 1 LIMIT 50"),
+        "vector_topk": (vector_topk, f"SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], {VECTOR}), 6) AS cosine FROM embeddings ORDER BY cosine DESC, vec_id LIMIT 10"),
         "variants": (on_emails(x.variants), "SELECT id, uidvalidity || ':' || uid || ':' || t AS variant_id, k AS item_type, d AS document FROM (SELECT id, uidvalidity, uid, 'subject' AS t, 'subject' AS k, subject AS d FROM emails UNION ALL SELECT id, uidvalidity, uid, 'text', 'plain_text', plain_text FROM emails UNION ALL SELECT id, uidvalidity, uid, 'markdown', 'markdown', markdown FROM emails) WHERE trim(d) != ''"),
         "slug": (slug, f"SELECT mailbox, {SLUG} AS slug FROM (SELECT mailbox, trim(regexp_replace(regexp_replace(lower(mailbox), '[^a-z0-9_-]+', '-', 'g'), '-+', '-', 'g'), '-_') AS s FROM emails GROUP BY 1)"),
         "event_windows": (event_windows, "SELECT epoch_us(date_trunc('hour', ts)) // 1000000 AS start_epoch, event_type, count(*) AS count FROM events GROUP BY 1, 2"),

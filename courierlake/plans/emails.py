@@ -1,4 +1,8 @@
-"""The emails relation of the test tables, as one text for Spark and for DuckDB."""
+"""The emails relation of the test tables, as one text for Spark and for DuckDB.
+
+Every event is a message; its body is the whole text of a document, and each
+document is the body of some (doc_ids run from 0 without gaps).
+"""
 
 from __future__ import annotations
 
@@ -25,9 +29,12 @@ def emails_cte(dialect: str) -> str:
     d = DIALECTS[dialect]
     message = "concat('Subject: ', subj, chr(10), chr(10), body)"
     size = f"CAST(octet_length({d['bytes'](message)}) AS BIGINT)"
-    return f"""WITH base AS (
-  SELECT e.event_id, e.user_id, e.event_type, e.value, {d["epoch"]} AS ep, d.text AS body, substring(d.text, 1, 40) AS subj
-  FROM events e JOIN documents d ON d.doc_id = e.event_id % 200
+    return f"""WITH dealt AS (
+  SELECT e.event_id, e.user_id, e.event_type, e.value, {d["epoch"]} AS ep, e.event_id % (SELECT count(*) FROM documents c) AS k FROM events e
+), base AS (
+  SELECT b.event_id, b.user_id, b.event_type, b.value, b.ep, d.text AS body,
+    concat('The ', b.event_type, ' of user ', b.user_id, CASE WHEN b.event_id % 31 = 0 THEN ' 100% x_y' ELSE '' END) AS subj
+  FROM dealt b JOIN documents d ON d.doc_id = b.k
 ), mail AS (
   SELECT b.*,
     CASE WHEN event_id % 19 = 0 THEN NULL WHEN event_id % 23 = 0 THEN '' WHEN event_id % 29 = 0 THEN 'no-at-sign'
@@ -41,6 +48,8 @@ def emails_cte(dialect: str) -> str:
     CAST(1 AS BIGINT) AS uidvalidity, event_id AS uid,
     CASE WHEN event_id % 11 = 0 THEN NULL
          ELSE concat('m', CASE WHEN event_id % 10 = 3 THEN event_id - 1 ELSE event_id END, '@mail.example') END AS message_id,
+    CASE WHEN event_id % 4 = 1 AND (event_id - 1) % 11 != 0
+         THEN concat('m', CASE WHEN (event_id - 1) % 10 = 3 THEN event_id - 2 ELSE event_id - 1 END, '@mail.example') END AS envelope_in_reply_to,
     CASE WHEN event_id % 13 = 0 THEN NULL WHEN event_id % 17 = 0 THEN CAST(0 AS BIGINT)
          ELSE user_id * 100 + event_id % 20 END AS x_gm_thrid,
     9000000000 + CASE WHEN event_id % 20 = 7 THEN event_id - 1 ELSE event_id END AS x_gm_msgid,
@@ -59,5 +68,5 @@ def emails_cte(dialect: str) -> str:
 def emails(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The derived relation as a DataFrame."""
     own = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("events", "documents")}
-    text = emails_cte("spark").replace("FROM events e JOIN documents d", "FROM {events} e JOIN {documents} d")
+    text = emails_cte("spark").replace("FROM events e", "FROM {events} e").replace("JOIN documents d", "JOIN {documents} d").replace("FROM documents c", "FROM {documents} c")
     return spark.sql(text + " SELECT * FROM emails", **own)

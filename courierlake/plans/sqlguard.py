@@ -1,13 +1,23 @@
-"""Read-only SQL over registered views.
-
-The text is checked with string literals and comments masked, parsed by Spark
-and searched for commands at any depth, run in a session of its own that sees
-only the given views and no files, and always limited by the plan.
+"""Read-only SQL over registered views, with what SQLite has and Spark lacks.
+
+The text is checked with literals, quoted names and comments masked. Spark's
+parser then gives its plan, and every node of it is looked at, in subqueries
+and common table expressions too: commands and statements that write are
+refused, and so are functions that run code and relations other than the given
+views and the statement's own names. It runs in a session of its own, where a
+division by zero is null, without files, and is always limited by the plan.
+
+SQLite: strftime, date, datetime and time with a moment as epoch seconds
+('unixepoch') or text; LIKE without regard to case; CAST AS TEXT; has_attachments
+compared with 0 or 1; double-quoted names. Not taken over: `/` of two integers
+gives a fraction (div gives the integer), bare columns beside aggregates, GLOB,
+group_concat (string_agg).
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 
@@ -15,17 +25,24 @@ from ..functions.predicates import MAX_LIMIT, ToolError
 
 # Words that no read-only statement needs.
 FORBIDDEN = "insert update delete drop create alter truncate pragma begin commit rollback vacuum attach detach replace merge".split()
-# Functions that run code outside SQL.
-UNSAFE = "reflect java_method try_reflect".split()
-COMMAND = re.compile(r"\b(?:\w*Command|InsertIntoStatement|UpdateTable|DeleteFromTable|MergeIntoTable|(?:Create|Replace|Drop|Alter|Truncate|Describe|Show|Cache|Uncache|Refresh|Load|Set|Use|Comment|Analyze)\w*(?:Table|View|Namespace|Function|Tables|Columns|Partitions)\w*)\b")
-MASKED = re.compile(r"'(?:[^'\\]|\\.|'')*'|--[^\n]*|/\*.*?\*/", re.S)
-#: REPLACE and friends are functions too; as functions they stay allowed.
+# Functions that run code outside SQL, or read what is no view.
+UNSAFE = frozenset("reflect java_method try_reflect read_files python_worker_logs input_file_name".split())
+#: Functions that may stand in place of a relation.
+TABLE_FUNCTIONS = frozenset("range explode explode_outer posexplode posexplode_outer inline inline_outer stack".split())
+QUOTED = r"'(?:[^'\\]|\\.|'')*'|\"(?:[^\"]|\"\")*\"|`(?:[^`]|``)*`|--[^\n]*|/\*.*?\*/"
+MASKED = re.compile(QUOTED, re.S)
+#: REPLACE is a function too; as a function it stays allowed.
 CALL = re.compile(r"\breplace\s*\(", re.I)
+LOGICAL = "org.apache.spark.sql.catalyst.plans.logical"
+MOMENT = "CASE WHEN modifier = 'unixepoch' THEN timestamp_seconds(CAST(moment AS DOUBLE)) ELSE CAST(moment AS TIMESTAMP) END"
+# What SQLite's format letters stand for, as Spark's patterns.
+LETTERS = {"%Y": "yyyy", "%m": "MM", "%d": "dd", "%H": "HH", "%M": "mm", "%S": "ss", "%j": "DDD"}
+PATTERNS = {"date": "yyyy-MM-dd", "datetime": "yyyy-MM-dd HH:mm:ss", "time": "HH:mm:ss"}
 
 
 def masked(sql: str) -> str:
-    """The text with the insides of literals and comments blanked."""
-    return MASKED.sub(lambda m: "''" if m[0][0] == "'" else " ", sql)
+    """The text with literals, quoted names and comments blanked."""
+    return MASKED.sub(lambda m: {"'": "''", '"': "x", "`": "x"}.get(m[0][0], " "), sql)
 
 
 def checked(sql: object) -> str:
@@ -42,31 +59,90 @@ def checked(sql: object) -> str:
         raise ToolError("multiple statements not allowed")
     if not re.match(r"\(*\s*(?:select|with)\b", bare, re.I):
         raise ToolError("only SELECT/WITH allowed")
-    words = set(re.findall(r"\w+", CALL.sub("(", bare).lower()))
-    if words & set(FORBIDDEN) or words & set(UNSAFE):
+    if set(re.findall(r"\w+", CALL.sub("(", bare).lower())) & (set(FORBIDDEN) | UNSAFE):
         raise ToolError("forbidden keyword detected")
     return text
 
 
-def identifiers(sql: str) -> str:
-    """Double-quoted identifiers as back-quoted ones; literals and comments stay."""
-    return re.sub(r"('(?:[^'\\]|\\.|'')*'|--[^\n]*|/\*.*?\*/)|\"([^\"]+)\"", lambda m: m[1] or f"`{m[2]}`", sql, flags=re.S)
+def translated(sql: str) -> str:
+    """SQLite's spelling as Spark's, outside literals and comments."""
+    out, place = [], 0
+
+    def plain(text: str) -> str:
+        text = re.sub(r"\blike\b", "ILIKE", text, flags=re.I)
+        text = re.sub(r"\b(date|datetime|time)\s*\(", r"sqlite_\1(", text, flags=re.I)
+        text = re.sub(r"\bas\s+text\b(?=\s*\))", "AS STRING", text, flags=re.I)
+        return re.sub(r"((?:\b\w+\.)?\bhas_attachments\b)(?=\s*(?:=|==|!=|<>)\s*[01]\b)", r"CAST(\1 AS INT)", text, flags=re.I)
+
+    for m in MASKED.finditer(sql):
+        out.append(plain(sql[place : m.start()]))
+        out.append(f"`{m[0][1:-1].replace('`', '``')}`" if m[0][0] == '"' else m[0])
+        place = m.end()
+    return "".join([*out, plain(sql[place:])])
+
+
+def each(seq) -> Iterator:
+    for i in range(seq.length()):
+        yield seq.apply(i)
+
+
+def is_a(node, kind: str) -> bool:
+    loader = node.getClass().getClassLoader()
+    return loader is not None and loader.loadClass(kind).isInstance(node)
+
+
+def inspect_plan(node, visible: frozenset[str]) -> None:
+    """Refuse what a read-only statement over the visible names does not hold, at any depth."""
+    kind = node.getClass().getSimpleName()
+    if is_a(node, f"{LOGICAL}.Command") or is_a(node, f"{LOGICAL}.ParsedStatement"):
+        raise ToolError("forbidden keyword detected")
+    if kind == "UnresolvedRelation":
+        parts = list(each(node.multipartIdentifier()))
+        if len(parts) != 1 or parts[0].lower() not in visible:
+            raise ToolError(f"no such table: {'.'.join(parts)}")
+    elif kind == "UnresolvedFunction" and {p.lower() for p in each(node.nameParts())} & UNSAFE:
+        raise ToolError("forbidden keyword detected")
+    elif kind == "UnresolvedTableValuedFunction" and list(each(node.name()))[-1].lower() not in TABLE_FUNCTIONS:
+        raise ToolError(f"no such table: {list(each(node.name()))[-1]}")
+    elif "UnresolvedIdentifier" in kind:
+        raise ToolError("forbidden keyword detected")
+    inner = list(each(node.innerChildren()))
+    if kind == "UnresolvedWith":  # its names are seen inside it only
+        visible = visible | {x.alias().lower() for x in inner}
+    below = [*each(node.children()), *inner]
+    if is_a(node, f"{LOGICAL}.LogicalPlan"):
+        below += each(node.expressions())
+    elif is_a(node, "org.apache.spark.sql.catalyst.expressions.PlanExpression"):
+        below.append(node.plan())
+    for x in below:
+        if is_a(x, "org.apache.spark.sql.catalyst.trees.TreeNode"):
+            inspect_plan(x, visible)
+
+
+def functions(session) -> None:
+    """SQLite's time functions, in this session."""
+    text = "replace(form, '%%', chr(1))"
+    for letter, pattern in LETTERS.items():
+        text = f"replace({text}, '{letter}', date_format({MOMENT}, '{pattern}'))"
+    text = f"replace({text}, '%w', CAST(dayofweek({MOMENT}) - 1 AS STRING))"
+    text = f"replace(replace({text}, '%s', CAST(unix_seconds({MOMENT}) AS STRING)), chr(1), '%')"
+    session.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION strftime(form STRING, moment STRING, modifier STRING DEFAULT NULL) RETURNS STRING RETURN {text}")
+    for name, pattern in PATTERNS.items():
+        session.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION sqlite_{name}(moment STRING, modifier STRING DEFAULT NULL) RETURNS STRING RETURN date_format({MOMENT}, '{pattern}')")
 
 
 def execute_sql_query(views: dict[str, DataFrame], sql_query: object, most: int = MAX_LIMIT) -> DataFrame:
     """Rows of a guarded statement over the views, at most `most`."""
-    text = identifiers(checked(sql_query))
-    spark = next(iter(views.values())).sparkSession
-    own = spark.newSession()
+    text = translated(checked(sql_query))
+    own = next(iter(views.values())).sparkSession.newSession()
     own.conf.set("spark.sql.runSQLOnFiles", "false")
+    own.conf.set("spark.sql.ansi.enabled", "false")
     try:
-        parsed = own._jsparkSession.sessionState().sqlParser().parsePlan(text).toString()
-    except AttributeError:
-        parsed = ""  # no JVM parser on a remote session: the textual checks stand alone
+        plan = own._jsparkSession.sessionState().sqlParser().parsePlan(text)
     except Exception as e:
         raise ToolError(f"SQL error: {str(e).splitlines()[0]}") from e
-    if COMMAND.search(re.sub(r"'[^']*'", "", parsed)):
-        raise ToolError("forbidden keyword detected")
+    inspect_plan(plan, frozenset(v.lower() for v in views))
+    functions(own)
     for name, df in views.items():
         _register(own._jsparkSession, df, name)
     return own.sql(text).limit(most)

@@ -3,17 +3,19 @@
 import io
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from courierlake.functions.mail import inject_headers, parse_message, to_markdown
 from courierlake.ingest import purge, stored, upsert
 from courierlake.plans.emails import emails
+from courierlake.schema import EMAILS
 from courierlake.server import Server
 from courierlake.sources.eml import read_eml
 from courierlake.streaming.incremental import ingest_new
 
-ONE = b"From: From <from@test.dev>\r\nTo: A@x.y\r\nReply-To: reply@test.dev\r\nMessage-ID: <m1@test.dev>\r\nSubject: Hello A\r\nDate: Tue, 14 Nov 2023 22:13:20 +0000\r\n\r\nBody\r\n"
-TWO = b'From: from@test.dev\r\nMessage-ID: <m2@test.dev>\r\nIn-Reply-To: <m1@test.dev>\r\nReferences: <m1@test.dev> <m0@test.dev>\r\nSubject: Hello B\r\nMIME-Version: 1.0\r\nContent-Type: multipart/mixed; boundary="b"\r\n\r\n--b\r\nContent-Type: text/plain\r\n\r\ntext\r\n--b\r\nContent-Type: text/plain\r\nContent-Disposition: attachment; filename="a.txt"\r\n\r\nfile\r\n--b--\r\n'
+HAIL = b"From: Ida Vane <Ida@Quay.example>\r\nTo: Wharf@Quay.example\r\nReply-To: desk@quay.example\r\nMessage-ID: <hail-5@quay.example>\r\nSubject: Crane booked\r\nDate: Mon, 06 May 2024 09:15:00 +0200\r\n\r\nThe crane comes at noon.\r\n"
+REPLY = b'From: wharf@quay.example\r\nMessage-ID: <echo-6@quay.example>\r\nIn-Reply-To: <hail-5@quay.example>\r\nReferences: <hail-5@quay.example> <root-1@quay.example>\r\nSubject: Re: Crane booked\r\nMIME-Version: 1.0\r\nContent-Type: multipart/mixed; boundary="sep"\r\n\r\n--sep\r\nContent-Type: text/plain\r\n\r\nNoon it is.\r\n--sep\r\nContent-Type: text/csv\r\nContent-Disposition: attachment; filename="loads.csv"\r\n\r\n7,9\r\n--sep--\r\n'
 
 
 def put(base, uid, raw, uidvalidity=7):
@@ -23,49 +25,52 @@ def put(base, uid, raw, uidvalidity=7):
 
 
 def test_parse():
-    one, two = parse_message(ONE), parse_message(TWO)
-    assert (one["message_id"], one["subject"], one["from_email"], one["envelope_reply_to"], one["to_emails"]) == ("m1@test.dev", "Hello A", "from@test.dev", '["reply@test.dev"]', '["a@x.y"]')
-    assert (two["envelope_in_reply_to"], json.loads(two["envelope_references"]), two["has_attachments"]) == ("m1@test.dev", ["m1@test.dev", "m0@test.dev"], True)
-    assert not one["has_attachments"] and two["plain_text"].strip() == "text"
-    assert parse_message(b"")["subject"] == ""
-    assert "hello world" in to_markdown("<p>Hello <b>world</b></p>").replace("*", "").lower()
+    hail, reply = parse_message(HAIL), parse_message(REPLY)
+    assert (hail["message_id"], hail["from_email"], hail["subject"]) == ("hail-5@quay.example", "ida@quay.example", "Crane booked")
+    assert json.loads(hail["envelope_reply_to"]) == ["desk@quay.example"] and json.loads(hail["to_emails"]) == ["wharf@quay.example"]
+    assert reply["envelope_in_reply_to"] == hail["message_id"] and json.loads(reply["envelope_references"])[-1] == "root-1@quay.example"
+    assert reply["has_attachments"] and not hail["has_attachments"] and reply["plain_text"].split() == ["Noon", "it", "is."]
+    assert hail["date"].isoformat() == "2024-05-06T09:15:00+02:00"
+    assert parse_message(b"")["subject"] == "" and parse_message(b"Date: soon\n\n")["date"] is None
+    assert to_markdown("<h2>Tides</h2><ul><li>low <i>six</i><li>high</ul><a href=t>table</a>") == "## Tides\n\n- low *six*\n- high[table](t)"
 
 
 def test_headers():
-    raw = b"From: test@example.com\r\nSubject: Test\r\n\r\nTest body"
-    out = inject_headers(raw, {"X-GM-THRID": "t1", "X-GM-LABELS": ["INBOX", "Important"], "subject": "no"})
-    assert out == b"From: test@example.com\r\nSubject: Test\r\nX-GM-THRID: t1\r\nX-GM-LABELS: INBOX Important\r\n\r\nTest body"
-    assert inject_headers(b"A: b", {"X": 1}) == b"A: b\nX: 1"
+    raw = b"Subject: Pier 4\nX-Old: kept\n\nropes"
+    assert inject_headers(raw, {"X-New": [1, "b"], "x-old": "other", "X-None": None}) == b"Subject: Pier 4\nX-Old: kept\nX-New: 1 b\n\nropes"
+    assert inject_headers(b"Subject: no end", {"X-New": 7}) == b"Subject: no end\nX-New: 7"
+    assert inject_headers(b"A: 1\r\n\r\n", {"B": 2}) == b"A: 1\r\nB: 2\r\n\r\n"
 
 
 def test_ingest(spark, tmp_path):
     base, table = tmp_path / "eml", str(tmp_path / "emails")
-    put(base, 1, ONE)
-    put(base, 2, TWO)
+    put(base, 1, HAIL)
+    put(base, 2, REPLY)
     for _ in range(2):
         upsert(read_eml(spark, str(base)), table)
     assert stored(spark, table).count() == 2
-    put(base, 1, ONE.replace(b"Hello A", b"NEW"))
+    put(base, 1, HAIL.replace(b"Crane booked", b"Crane moved"))
     upsert(read_eml(spark, str(base)), table)
-    assert stored(spark, table).where("subject = 'NEW'").count() == 0
+    assert stored(spark, table).where("subject = 'Crane moved'").count() == 0
     upsert(read_eml(spark, str(base)), table, recreate=True)
-    assert [r["subject"] for r in stored(spark, table).orderBy("uid").collect()] == ["NEW", "Hello B"]
+    assert [r["subject"] for r in stored(spark, table).orderBy("uid").collect()] == ["Crane moved", "Re: Crane booked"]
     purge(spark, table, "me@example.com", "inbox", 7)
     assert stored(spark, table) is None or stored(spark, table).where("uidvalidity = 7").count() == 0
 
 
 def test_incremental(spark, tmp_path):
     base, table, state = tmp_path / "eml", str(tmp_path / "emails"), str(tmp_path / "state")
-    put(base, 1, ONE)
+    put(base, 1, HAIL)
     for n in (1, 2, 2):
         if n == 2:
-            put(base, 2, TWO) if stored(spark, table).count() == 1 else None
+            put(base, 2, REPLY) if stored(spark, table).count() == 1 else None
         ingest_new(spark, str(base), table, state)
         assert stored(spark, table).count() == n
 
 
 def test_server(spark):
-    server = Server(emails(spark, "/root/testdata/sf0.001").where(F.col("id") < 50).cache(), 100)
+    log = io.StringIO()
+    server = Server(emails(spark, "/root/testdata/sf0.001").where(F.col("id") < 50).cache(), 100, log)
     asks = [
         {"id": 1, "method": "initialize"},
         {"method": "notifications/initialized"},
@@ -81,6 +86,27 @@ def test_server(spark):
     server.serve(io.StringIO("no json\n" + "\n".join(map(json.dumps, asks))), out)
     got = {r["id"]: r for r in map(json.loads, out.getvalue().splitlines())}
     said = lambda k: json.loads(got[k]["result"]["content"][0]["text"])
-    assert len(got[2]["result"]["tools"]) == 22 and said(3) == {"count": 50}
+    tools = {t["name"]: t for t in got[2]["result"]["tools"]}
+    assert len(tools) == 22 and all(t["description"] and p["description"] for t in tools.values() for p in t["inputSchema"]["properties"].values())
+    assert tools["db.get_email_full"]["inputSchema"]["required"] == ["id"] and tools["db.get_emails_by_size_range"]["inputSchema"]["properties"]["min_size"]["type"] == "integer"
+    assert said(3) == {"count": 50}
     assert said(4) == {"error": "email not found with id: -1"} and said(5) == {"error": "Unknown tool: db.nothing"}
     assert "error" in said(6) and got[7]["error"]["code"] == -32601 and got[8]["result"] == {}
+    assert [json.loads(x)["tool"] for x in log.getvalue().splitlines()] == ["db.count_emails", "db.get_email_full", "db.nothing", "db.execute_sql_query"]
+
+
+@pytest.mark.parametrize(
+    "name, args, message",
+    [
+        ("search_email_headers", {"query": "x", "header_field": "raw"}, "header_field must be one of: subject, from, to_emails, cc_emails, bcc_emails, message_id"),
+        ("get_emails_by_keywords", {"keywords": " , "}, "at least one keyword required"),
+        ("get_emails_by_keywords", {}, "keywords is required"),
+        ("get_emails_by_keywords", {"keywords": ["x"], "search_field": "from"}, "search_field must be one of: plain_text, markdown, subject, raw"),
+        ("get_duplicate_emails", {"field": "subject"}, "field must be 'message_id' or 'x_gm_msgid'"),
+        ("get_email_thread", {}, "x_gm_thrid is required"),
+        ("execute_sql_query", {"sql_query": "select 1; select 2"}, "multiple statements not allowed"),
+        ("execute_sql_query", {"sql_query": "explain select 1"}, "only SELECT/WITH allowed"),
+    ],
+)
+def test_errors(spark, name, args, message):
+    assert Server(spark.createDataFrame([], EMAILS)).call(f"db.{name}", args) == {"error": message}

@@ -16,15 +16,15 @@ from courierlake.schema import EMAILS
 
 SF = "/root/testdata/sf0.001"
 ROWS = [
-    (1, "INBOX", "alice@test.dev", "Hello A", 1700000000, "m1", 7, 50, False),
-    (2, "INBOX", "bob@test.dev", "Report", 1700000100, "m2", 7, 150, True),
-    (3, "Work", "alice@test.dev", "Hello B", 1700000200, "m1", 0, 2500, True),
-    (4, "Work", None, None, 0, None, None, 0, False),
-    (5, "Work", "", "100% a_b", 1700000200, "", 8, 10, False),
-    (6, "Work", "no-at-sign", "b\\c", 1700000300, "m6", 8, 11, False),
-    (7, "Work", "a@b@c", "École", 1700000400, "m7", 9, 12, False),
-    (8, "Work", "u@x.com.evil", "x", 1700000500, "m8", 9, 13, False),
-    (9, "Work", "u@sub.x.com", "y", 1700000600, "m9", 9, 14, False),
+    (1, "INBOX", "ida@quay.example", "Crane booked", 1709360000, "c5", 41, 320, False),
+    (2, "INBOX", "otto@reef.example", "Rope bill", 1709360300, "r2", 41, 75, True),
+    (3, "Store", "ida@quay.example", "crane, again", 1709361000, "c5", 0, 4096, True),
+    (4, "Store", None, None, 0, None, None, 0, False),
+    (5, "Store", "", "7% of x_y", 1709361000, "", 52, 21, False),
+    (6, "Store", "nobody", "back\\slash", 1709362000, "n6", 52, 22, False),
+    (7, "Store", "p@q@r", "Über", 1709363000, "p7", 63, 23, False),
+    (8, "Store", "v@sea.org.fake", "k", 1709364000, "v8", 63, 24, False),
+    (9, "Store", "v@low.sea.org", "l", 1709365000, "v9", 63, 25, False),
 ]
 
 
@@ -40,20 +40,22 @@ def ids(df):
 
 
 def test_filters(emails):
-    assert ids(retrieval.filter_emails(emails, subject_contains="hello", order="date_asc")) == [1, 3]
-    assert ids(retrieval.filter_emails(emails, from_domain="x.com")) == [8]
-    assert ids(retrieval.filter_emails(emails, subject_contains="%")) == [5]
-    assert ids(retrieval.filter_emails(emails, subject_contains="b\\c")) == [6]
-    assert ids(retrieval.filter_emails(emails, subject_contains="éc")) == [7]
-    assert len(ids(retrieval.filter_emails(emails, date_from="rubbish"))) == 9
+    def found(**given):
+        return ids(retrieval.filter_emails(emails, **given))
+
+    assert found(subject_contains="CRANE", order="date_asc") == [1, 3] and found(subject_contains="CRANE") == [3, 1]
+    assert found(from_domain="@sea.org") == [8]
+    assert (found(subject_contains="%"), found(subject_contains="x_y"), found(subject_contains="k\\s"), found(subject_contains="über")) == ([5], [5], [6], [7])
+    assert len(found(date_from="no date")) == 9 and found(date_from="2024-03-02T07:20:00Z", mailbox="Store") == [9, 8]
 
 
 def test_counts(emails):
     assert analytics.count_emails(emails, mailbox="").first()["count"] == 0
-    assert [tuple(r) for r in analytics.get_top_senders(emails, limit=1).collect()] == [("alice@test.dev", 2)]
-    assert {r["domain"] for r in analytics.get_top_domains(emails).collect()} == {"test.dev", "no-at-sign", "b@c", "x.com.evil", "sub.x.com"}
+    assert [tuple(r) for r in analytics.get_top_senders(emails, limit=1).collect()] == [("ida@quay.example", 2)]
+    assert {r["domain"] for r in analytics.get_top_domains(emails).collect()} == {"quay.example", "reef.example", "nobody", "q@r", "sea.org.fake", "low.sea.org"}
     stats = analytics.get_email_stats(emails).first()
-    assert (stats["total_emails"], stats["unique_senders"], stats["total_size_bytes"], stats["average_size_bytes"]) == (9, 6, 2760, 306)
+    sizes = [r[7] for r in ROWS]
+    assert (stats["total_emails"], stats["unique_senders"], stats["total_size_bytes"], stats["average_size_bytes"]) == (9, 6, sum(sizes), sum(sizes) // 9)
     assert analytics.get_email_stats(emails.limit(0)).first()["average_size_bytes"] == 0
 
 
@@ -79,7 +81,7 @@ def test_arguments(emails):
 
 
 def test_slug(spark):
-    names = {"My Folder": "my-folder", "INBOX": "inbox", "Test@#$%": "test", "[Gmail]/Sent Mail": "gmail-sent-mail", "a--b": "a-b", "-test-": "test", "": "nm", "a": "nm", "a" * 100: "a" * 63}
+    names = {"Old Rope": "old-rope", "Quay": "quay", "Tide!?": "tide", "(Sea)/Low Tide": "sea-low-tide", "x--y": "x-y", "_reef_": "reef", "": "nm", "q": "nm", "z" * 90: "z" * 63}
     df = spark.createDataFrame([(k,) for k in names], "n string")
     assert {r[0]: r[1] for r in df.select("n", extensions.folder_slug(F.col("n"))).collect()} == names
 
@@ -98,12 +100,49 @@ def test_guard_rejects(sql):
 def test_sql_is_limited_and_sees_views_only(emails):
     assert execute_sql_query({"emails": emails}, "select * from emails limit 999999 -- x", 4).count() == 4
     assert execute_sql_query({"emails": emails}, 'select "from" from emails', 4).columns == ["from"]
-    with pytest.raises(Exception, match="TABLE_OR_VIEW_NOT_FOUND|not found"):
+    with pytest.raises(ToolError, match="no such table"):
         execute_sql_query({"emails": emails}, f"select * from parquet.`{SF}/events.parquet`").collect()
 
 
+HIDDEN = ["select * from global_temp.secret", "select * from stored", "select * from stored as stored", "select id from emails where id in (select id from stored)", "select (select max(id) from stored) from emails", "select * from (with stored as (select 1 as id) select * from stored) a, stored", "with q as (select * from stored) select * from q", "select * from identifier('stored')"]
+
+
+@pytest.mark.parametrize("sql", HIDDEN)
+def test_sql_reads_no_other_relation(spark, emails, sql, tmp_path):
+    spark.range(3).createOrReplaceGlobalTempView("secret")
+    spark.range(3).createOrReplaceTempView("stored")
+    with pytest.raises(ToolError):
+        execute_sql_query({"emails": emails}, sql)
+
+
+@pytest.mark.parametrize("sql", ["select `reflect`('java.lang.System', 'exit', '0')", "select id from emails where `java_method`('a', 'b') = 'c'", "with q as (select 1) insert into emails select * from q"])
+def test_sql_runs_no_code(emails, sql):
+    with pytest.raises(ToolError, match="forbidden keyword detected"):
+        execute_sql_query({"emails": emails}, sql)
+
+
+@pytest.mark.parametrize(
+    "sql",
+    [
+        "select id, strftime('%Y-%m-%d %H:%M:%S %w %j %s %%', internaldate_epoch, 'unixepoch') from emails",
+        "select id, date(internaldate_epoch, 'unixepoch'), time(internaldate_epoch, 'unixepoch'), datetime('2024-02-29 01:02:03') from emails",
+        "select id as \"update\" from emails where subject like 'CRANE%'",
+        "select id, 1 / 0, cast(id as text) from emails where has_attachments = 1",
+        "with a as (select id, mailbox from emails), b as (select mailbox, count(*) as n from a group by mailbox) select * from b",
+        "select instr(subject, 'o'), substr(subject, 2, 3), ifnull(subject, '-'), length(subject) from emails where subject is not null",
+    ],
+)
+def test_sql_agrees_with_sqlite(emails, sql):
+    db = sqlite3.connect(":memory:")
+    db.execute("create table emails (id, mailbox, from_email, subject, internaldate_epoch integer, message_id, x_gm_thrid, size_bytes, has_attachments)")
+    db.executemany("insert into emails values (?,?,?,?,?,?,?,?,?)", ROWS)
+    want = db.execute(sql)
+    got = execute_sql_query({"emails": emails}, sql)
+    assert sorted(map(repr, (tuple(r) for r in got.collect()))) == sorted(map(repr, want.fetchall()))
+
+
 def test_contains_is_literal(emails):
-    assert ids(emails.where(contains(F.col("subject"), "a_b"))) == [5]
+    assert ids(emails.where(contains(F.col("subject"), "x_y"))) == [5]
 
 
 def value(x):
