@@ -44,7 +44,7 @@ SPACES = " \t\n\x0b\x0c\r"
 WINDOW = 8
 MIN_CHARS, MIN_WORDS = 100, 20
 # Distance allowed: a floor, and what is added for a text of one character or word.
-CHAR_DISTANCE, WORD_DISTANCE = (0.12, 1.4), (0.20, 0.9)
+CHAR_DISTANCE, WORD_DISTANCE = (0.15, 1.0), (0.24, 0.7)
 
 
 def js_distance(p: Column, q: Column) -> Column:

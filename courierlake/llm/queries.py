@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe_sentencepiece, bwt_dedup, chat_spans, cover_dedup, decontaminate, html_blocks, ngram_join, oracles, quality_fm, quality_rules, warc_normalise
+from .shared import settled
 
 RANKS = "byte_bpe_50k.tiktoken"
 PLANTED_CHAT = "\\### Assistant: </turn> ok"
@@ -19,7 +20,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_template_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return settled(spark, lambda: decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
 def op2_factorisation_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,7 +48,7 @@ def op7_bwt_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.jaccard_classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "rep", "n_links", "n_text_links")
+    return settled(spark, lambda: ngram_join.jaccard_classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "rep", "n_links", "n_text_links"))
 
 
 def op9_chat_spans(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 BATCH_BYTES = 1 << 20
 #: Spark drops the shuffle files of a finished execution if this is true.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Scratch folders and tables in the order they were made.
+_made: list[str] = []
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -31,7 +33,8 @@ def scratch_dir(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, kind: str = "cut") -> str:
     """A new name in the shared folder."""
-    return f"{scratch_dir(spark)}/{kind}-{uuid.uuid4().hex}"
+    _made.append(f"{scratch_dir(spark)}/{kind}-{uuid.uuid4().hex}")
+    return _made[-1]
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -51,15 +54,27 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def delete(spark: SparkSession, name: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def drop(df: DataFrame) -> None:
     """Delete a table that cut() wrote and no later plan reads."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
     for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(name)
-        if path.getName().startswith("cut-"):
-            path.getFileSystem(conf).delete(path, True)
+        if name.rsplit("/", 1)[1].startswith("cut-"):
+            delete(df.sparkSession, name)
+
+
+def settled(spark: SparkSession, make: Callable[[], DataFrame]) -> DataFrame:
+    """What make() gives, as a table in the shared folder; everything else that it left there is deleted."""
+    first = len(_made)
+    out = cut(make())
+    kept = _made.pop()
+    for name in _made[first:]:
+        delete(spark, name)
+    _made[first:] = [kept]
+    return out
 
 
 def id_text(df: DataFrame, key: str = "doc_id", text: str = "text", carry: str | None = None) -> DataFrame:

@@ -43,7 +43,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import cut, drop, rows_of, scratch_path, slices
+from .shared import cut, drop, rows_of, scratch_path, settled, slices
 
 ARCHIVE_BYTES = 64 << 20
 LEVEL = 1
@@ -292,12 +292,11 @@ def read_records(archives: DataFrame) -> DataFrame:
 
 
 def round_trip(pages: DataFrame, least: int = 0) -> DataFrame:
-    """The records of all pages, written to monolithic archives in the shared folder, normalised there and read back."""
+    """The records of all pages, written to monolithic archives in the shared folder, normalised there and read back; the archives are deleted when they are read."""
     spark = pages.sparkSession
-    whole, own = new_folder(spark, "warc"), new_folder(spark, "warc")
-    written = cut(write_archives(pages, whole, least))
-    index = cut(normalised(written, own))
-    drop(written)
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(whole)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-    return read_records(index)
+
+    def make() -> DataFrame:
+        written = cut(write_archives(pages, new_folder(spark, "warc"), least))
+        return read_records(cut(normalised(written, new_folder(spark, "warc"))))
+
+    return settled(spark, make)

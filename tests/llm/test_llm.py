@@ -268,6 +268,38 @@ def test_decontamination_without_broadcasts(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_scratch_tables_go(spark):
+    import glob
+
+    from courierlake.llm import queries, shared
+
+    base = shared.scratch_dir(spark).removeprefix("file://")
+    before = set(glob.glob(f"{base}/*"))
+    for name in ("op1_template_leaks", "op8_ngram_jaccard", "op10_warc_normaliser"):
+        assert queries.queries()[name](spark, "/root/testdata/sf0.001").count()
+    assert len(set(glob.glob(f"{base}/*")) - before) == 3
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster():
+    from courierlake.llm import shared
+
+    class Session:
+        def __init__(self, master):
+            self.said = {"spark.master": master}
+            self.conf = self
+
+        def get(self, key, default=None):
+            return self.said.get(key, default)
+
+        def set(self, key, value):
+            self.said[key] = value
+
+    with pytest.raises(RuntimeError):
+        shared.scratch_dir(Session("spark://host:7077"))
+    local = Session("local[4]")
+    assert shared.scratch_dir(local) == shared.scratch_dir(local)
+
+
 def test_quality_rules(docs):
     got = by_id(quality_rules.quality_rules(docs))
     for i, t in TEXTS.items():
