@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from courierlake.llm import bpe_sentencepiece, bwt_dedup, decontaminate, ngram_join, quality_rules
-from courierlake.llm.shared import cut
+from courierlake.llm.shared import cut, settled
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -79,11 +79,13 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir))
-    return STAGES[-1][1](spark, docs, sf_dir)
+    """All stages over documents; each stage's table goes when the next one's is there."""
+
+    def to(last: int) -> DataFrame:
+        docs = settled(spark, lambda: to(last - 1)) if last else spark.read.parquet(f"{sf_dir}/documents.parquet")
+        return STAGES[last][1](spark, docs, sf_dir)
+
+    return to(len(STAGES) - 1)
 
 
 #: Stages 2, 3 and 5 have no SQL; tests hold them against brute force.
