@@ -33,6 +33,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import small_batches
+
 Turn = tuple[str, str]
 Template = Callable[[list[Turn]], str]
 SPECIAL = re.compile(r"[\\#<]")
@@ -120,6 +122,7 @@ def render(turns: list[Turn], template: Template) -> Rendered:
 
 def conversations(rows: DataFrame) -> DataFrame:
     """conv_id and its turns in order."""
+    small_batches(rows.sparkSession)
     turn = F.struct(rows["turn"].cast("long").alias("turn"), F.coalesce(rows["role"].cast("string"), F.lit("")).alias("role"), F.coalesce(rows["text"].cast("string"), F.lit("")).alias("text"))
     grouped = rows.select(rows["conv_id"].cast("long").alias("conv_id"), turn.alias("t")).groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
     return grouped.select("conv_id", F.transform("turns", lambda t: t["role"]).alias("roles"), F.transform("turns", lambda t: t["text"]).alias("texts"))

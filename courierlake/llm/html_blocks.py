@@ -44,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import rows_of, slices
+from .shared import rows_of, slices, small_batches
 
 # Elements of HTML by what they mean for text.
 BLOCK = frozenset("address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header head hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead tr ul".split())
@@ -403,5 +403,6 @@ def extract(pages: DataFrame) -> DataFrame:
             texts = [main_text(h) for h in b.column("html").to_pylist()]
             yield rows_of(schema, page_id=b.column("page_id"), url=b.column("url"), text=texts, n_chars=[len(t) for t in texts])
 
+    small_batches(pages.sparkSession)
     own = pages.select(pages["page_id"].cast("long").alias("page_id"), pages["url"].cast("string").alias("url"), F.coalesce(pages["html"].cast("string"), F.lit("")).alias("html"))
     return own.mapInArrow(run, "page_id long, url string, text string, n_chars long")

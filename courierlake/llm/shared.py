@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 BATCH_BYTES = 1 << 20
 #: Spark drops the shuffle files of a finished execution if this is true.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Bytes of an Arrow batch between Spark and a Python worker; each is held several times on both sides.
+ARROW_BYTES = 4 << 20
+BATCHES = "spark.sql.execution.arrow.maxBytesPerBatch"
 #: Scratch folders and tables in the order they were made.
 _made: list[str] = []
 
@@ -77,8 +80,16 @@ def settled(spark: SparkSession, make: Callable[[], DataFrame]) -> DataFrame:
     return out
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Keep Arrow batches to ARROW_BYTES: Spark's own bound is sixteen times that, and texts reach it."""
+    now = spark.conf.get(BATCHES, "")
+    if now != str(ARROW_BYTES):
+        spark.conf.set(BATCHES, str(ARROW_BYTES))
+
+
 def id_text(df: DataFrame, key: str = "doc_id", text: str = "text", carry: str | None = None) -> DataFrame:
     """The columns an operator reads, whatever else the table has; a null text is empty."""
+    small_batches(df.sparkSession)
     return df.select(
         *([df[carry]] if carry else []),
         df[key].cast("long").alias("doc_id"),

@@ -43,7 +43,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import cut, drop, rows_of, scratch_path, settled, slices
+from .shared import cut, drop, rows_of, scratch_path, settled, slices, small_batches
 
 ARCHIVE_BYTES = 64 << 20
 LEVEL = 1
@@ -187,6 +187,7 @@ def read_file(address: str) -> pa.NativeFile:
 
 def with_revisits(pages: DataFrame, least: int) -> DataFrame:
     """page_id, url, html and refers_to (null: a response)."""
+    small_batches(pages.sparkSession)
     own = pages.select(pages["page_id"].cast("long").alias("page_id"), F.coalesce(pages["url"].cast("string"), F.lit("")).alias("url"), F.coalesce(pages["html"].cast("string"), F.lit("")).alias("html"))
     own = own.withColumn("d", F.unhex(F.sha1(F.encode("html", "UTF-8"))))
     row = ["page_id", "url", "d"]
