@@ -40,8 +40,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     told = cut(classes.where("not first or rows > 1").select("doc_id", "m", "first").distinct())
     key = ["doc_id", "m"]
     left = docs.select(*COLUMNS, F.unhex(F.md5(F.encode(F.coalesce("text", F.lit("")), "UTF-8"))).alias("m"))
-    left = left.join(told.where("not first").select(*key), key, "left_anti")
-    again = told.where("first").select(*key)
+    # merged at every size: texts are shuffled once, whether or not the keys would fit a broadcast
+    left = left.join(told.where("not first").select(*key).hint("merge"), key, "left_anti")
+    again = cut(told.where("first").select(*key))
+    if again.isEmpty():
+        return left.select(*COLUMNS)
     # only documents whose row repeats are shuffled to be kept once
     once = left.join(again, key, "left_anti").select(*COLUMNS)
     return once.unionByName(left.join(again, key, "left_semi").dropDuplicates(key).select(*COLUMNS))
