@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from datetime import UTC, datetime
 
+from dateutil import parser
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -33,9 +34,17 @@ def required(value: object, name: str) -> object:
     return value
 
 
-def contains(column: Column, term: str) -> Column:
+ASCII_CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
+def folded(column: Column, ascii_only: bool = False) -> Column:
+    """Lower case of all letters, or of ASCII ones only, as SQLite has it."""
+    return F.translate(column, ASCII_CAPITALS, ASCII_CAPITALS.lower()) if ascii_only else F.lower(column)
+
+
+def contains(column: Column, term: str, ascii_only: bool = False) -> Column:
     """Case-insensitive literal containment; %, _ and backslash are ordinary characters."""
-    return F.contains(F.lower(column), F.lit(term.lower()))
+    return F.contains(folded(column, ascii_only), F.lit(term.lower()))
 
 
 def from_domain(domain: str) -> Column:
@@ -48,20 +57,19 @@ def filled(column: Column) -> Column:
 
 
 def epoch_of(text: str) -> int | None:
-    """Epoch seconds of a date or time, UTC unless it names an offset; None if it can't be read."""
+    """Epoch seconds of a date or time in any usual spelling, UTC unless it names an offset; what it leaves out is today's, at midnight. None if it can't be read."""
     for form in (str(text).strip().replace("Z", "+00:00"), str(text).strip()):
         try:
             when = datetime.fromisoformat(form)
         except ValueError:
             continue
         return int((when if when.tzinfo else when.replace(tzinfo=UTC)).timestamp())
-    for form in ("%Y/%m/%d", "%d %b %Y", "%b %d %Y", "%Y/%m/%d %H:%M:%S", "%a, %d %b %Y %H:%M:%S %z"):
-        try:
-            when = datetime.strptime(str(text).strip(), form)
-        except ValueError:
-            continue
-        return int((when if when.tzinfo else when.replace(tzinfo=UTC)).timestamp())
-    return None
+    today = datetime.now(UTC).replace(hour=0, minute=0, second=0, microsecond=0, tzinfo=None)
+    try:
+        when = parser.parse(str(text).strip(), default=today)
+    except (ValueError, OverflowError):
+        return None
+    return int((when if when.tzinfo else when.replace(tzinfo=UTC)).timestamp())
 
 
 def moment() -> Column:

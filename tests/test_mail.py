@@ -74,7 +74,8 @@ def test_duplicates(emails):
 
 def test_arguments(emails):
     assert [limit_of(x, 20, 100) for x in (-1, 0, None, "x", "5", 500)] == [20, 20, 20, 20, 5, 100]
-    assert epoch_of("2025-01-31") == 1738281600 and epoch_of("never") is None
+    assert epoch_of("2025-01-31") == 1738281600 and epoch_of("never") is None and epoch_of("x") is None and epoch_of("") is None
+    assert epoch_of("31 Jan 2025") == epoch_of("2025/01/31") == epoch_of("Fri, 31 Jan 2025 02:00:00 +0200") == epoch_of("January 31, 2025 00:00") == 1738281600
     for call in (lambda: retrieval.get_email_full(emails), lambda: retrieval.get_emails_by_date_range(emails, "x", "y"), lambda: retrieval.get_emails_by_size_range(emails, 5, 5), lambda: retrieval.get_emails_by_keywords(emails, " , ")):
         with pytest.raises(ToolError):
             call()
@@ -141,6 +142,11 @@ def test_sql_agrees_with_sqlite(emails, sql):
     assert sorted(map(repr, (tuple(r) for r in got.collect()))) == sorted(map(repr, want.fetchall()))
 
 
+def test_ascii_folding(emails):
+    assert ids(emails.where(contains(F.col("subject"), "über"))) == [7] and ids(emails.where(contains(F.col("subject"), "über", ascii_only=True))) == []
+    assert ids(emails.where(contains(F.col("subject"), "CRANE", ascii_only=True))) == [1, 3]
+
+
 def test_contains_is_literal(emails):
     assert ids(emails.where(contains(F.col("subject"), "x_y"))) == [5]
 
