@@ -11,7 +11,8 @@ One pass over the rows with no shuffle; a worker holds the model, a bounded
 cache of pre-tokens and about a megabyte of text. Nothing depends on a key.
 
 Defined results: a null or empty text has no tokens and decodes to no bytes;
-repeated rows repeat; other columns are not read.
+repeated rows repeat; very long texts, and pre-tokens of any length, are encoded
+whole; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -28,8 +29,8 @@ from pyspark.sql import DataFrame
 
 from .shared import id_text, rows_of, slices
 
-#: Pre-tokens whose ids a worker keeps; beyond that it starts afresh.
-CACHE = 200_000
+#: Pre-tokens whose ids a worker keeps; beyond that it starts afresh. Longer ones than LONG characters are not kept.
+CACHE, LONG = 200_000, 64
 SCHEMA = "doc_id long, ids binary"
 
 
@@ -102,7 +103,11 @@ class Codec:
             mapped = [t.encode().decode("latin-1").translate(self.letters) for t in new]
             for t, ids in zip(new, self.model.encode(mapped, num_threads=1), strict=True):
                 cache[t] = np.asarray(ids, dtype="<u4").tobytes()
-        return b"".join(map(cache.__getitem__, found))
+        out = b"".join(map(cache.__getitem__, found))
+        for t in new:
+            if len(t) > LONG:
+                del cache[t]
+        return out
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.pieces.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))

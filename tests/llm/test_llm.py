@@ -328,6 +328,7 @@ def test_bpe_equals_ranks():
     for t in ["", "a" * 3000, "\x1c\x1d a\x1fb", "▁▁ x▁", "日本語🎉", "  \n\n x", "<unk> </s>", "é\x00 'LL", *filter(None, TEXTS.values())]:
         assert np.frombuffer(c.encode(t), "<u4").tolist() == own.encode_ordinary(t)
         assert c.decode(c.encode(t)) == t.encode()
+    assert all(len(t) <= bpe_sentencepiece.LONG for t in c.cache)
 
 
 def test_classifier(spark):
