@@ -1,4 +1,4 @@
-"""Commands: mailbox list, download, archive; db import, serve.
+"""Commands: mailbox list, download, archive; db import, ingest, serve.
 
 Exit codes: 0 done, 1 bad arguments, 2 the mail server, 3 anything else.
 """
@@ -11,11 +11,12 @@ from collections.abc import Sequence
 from typing import IO
 
 from . import server, sync
-from .ingest import upsert
+from .ingest import delete, upsert
 from .session import session
 from .settings import Settings, SettingsError, from_environment
 from .sources.imap import ERRORS, Mailbox
 from .sources.sqlite import read_sqlite
+from .streaming.incremental import ingest_new
 
 OK, BAD_ARGUMENTS, BAD_SERVER, FAILED = range(4)
 
@@ -62,6 +63,11 @@ def parser() -> Parser:
     load.add_argument("--sqlite", required=True)
     load.add_argument("--table")
     load.add_argument("--strict", action="store_true")
+    tree = db.add_parser("ingest", help="messages of an .eml tree that came since the last run")
+    tree.add_argument("--base", required=True)
+    tree.add_argument("--table")
+    tree.add_argument("--checkpoint", required=True)
+    tree.add_argument("--fresh", action="store_true", help="forget the last run")
     return top
 
 
@@ -96,6 +102,12 @@ def run(args: argparse.Namespace, source: IO[str], sink: IO[str]) -> None:
             spark, table = session(), table_of(args)
             upsert(read_sqlite(spark, args.sqlite), table, strict=args.strict)
             return
+        if args.command == "ingest":
+            spark, table = session(), table_of(args)
+            if args.fresh:
+                delete(spark, args.checkpoint)
+            ingest_new(spark, args.base, table, args.checkpoint)
+            return
         server.main(table_of(args), args.max_limit, args.quiet, source, sink)
         return
     given = {"host": args.host, "port": args.port, "tls": False if args.plain else None}

@@ -145,6 +145,17 @@ def parse_message(raw: bytes, text_mode: str = "utf8") -> dict[str, object]:
     return row
 
 
+def variants_for(raw: bytes, uidvalidity: int, uid: int, meta: dict[str, object] | None = None, strict: bool = False, text_mode: str = "utf8") -> list[tuple[str, str, dict[str, object]]]:
+    """Up to three documents of one message, as extensions.variants() gives them for a table: (id, text, metadata with item_type); blank ones are left out."""
+    row = parse_message(raw, text_mode)
+    if row["parse_error"]:
+        if strict:
+            raise ValueError(row["parse_error"])
+        return []
+    kinds = (("subject", "subject", "subject"), ("text", "plain_text", "plain_text"), ("markdown", "markdown", "markdown"))
+    return [(f"{uidvalidity}:{uid}:{short}", row[column], (meta or {}) | {"item_type": kind}) for short, kind, column in kinds if (row[column] or "").strip()]
+
+
 def inject_headers(raw: bytes, headers: dict[str, object]) -> bytes:
     """Add the headers that the message lacks before its blank line, or at the end if it has none."""
     for line in ("\r\n", "\n"):

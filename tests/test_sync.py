@@ -9,7 +9,7 @@ from imap_server import Server
 from pyspark.sql import functions as F
 
 from courierlake import cli, sync
-from courierlake.functions.mail import normalize_utf8, parse_message
+from courierlake.functions.mail import normalize_utf8, parse_message, variants_for
 from courierlake.ingest import IngestError, SchemaVersionError, compact, stored, upsert, version
 from courierlake.schema import EMAILS, missing
 from courierlake.settings import FetchSizeError, NoValidityError, Settings, SettingsError
@@ -162,6 +162,10 @@ def test_commands(settings, tmp_path):
     assert "removed=4" in run("mailbox", "download", *account, "--table", table, "--purge-uidvalidity", "31", answer="DELETE\n")[1]
     assert run("mailbox", "download", *account, "--mailbox", "Odd", "--table", table)[0] == 3
     assert run("mailbox", "archive", *account, "--output", str(tmp_path / "tree"))[0] == 0
+    for extra in ([], [], ["--fresh"]):
+        assert run("db", "ingest", "--base", str(tmp_path / "tree"), "--table", str(tmp_path / "again"), "--checkpoint", str(tmp_path / "state"), *extra)[0] == 0
+    ask = json.dumps({"id": 1, "method": "tools/call", "params": {"name": "db.count_emails"}}) + "\n"
+    assert '"count\\": 4' in run("db", "serve", "--table", str(tmp_path / "again"), "--quiet", answer=ask)[1]
     ask = json.dumps({"id": 1, "method": "tools/call", "params": {"name": "db.count_emails"}}) + "\n"
     code, out, _ = run("db", "serve", "--table", table, "--quiet", answer=ask)
     assert code == 0 and json.loads(json.loads(out)["result"]["content"][0]["text"]) == {"count": 0}
@@ -202,6 +206,12 @@ def test_schema_version_and_ties(spark, tmp_path):
         upsert(rows.withColumn("parse_error", F.lit("bad")), f"{table}9", strict=True)
 
 
+def test_variants_of_a_message():
+    found = variants_for(letter(7), 31, 7, {"address": "a"})
+    assert [(i, m["item_type"]) for i, _, m in found] == [("31:7:subject", "subject"), ("31:7:text", "plain_text"), ("31:7:markdown", "markdown")]
+    assert found[0][1:] == ("Tide table 7", {"address": "a", "item_type": "subject"}) and variants_for(b"From: a@b.example\n\n", 1, 1) == []
+
+
 def test_text_modes():
     assert normalize_utf8("é", "compat") == "??" and normalize_utf8(b"\xffa") == "�a" and normalize_utf8("é") == "é"
     raw = "From: a@b.example\nSubject: Über\nContent-Type: text/plain; charset=utf-8\nContent-Transfer-Encoding: 8bit\n\nschön <b>fett</b>\n".encode()
