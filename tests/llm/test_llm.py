@@ -313,6 +313,10 @@ def test_quality_rules(docs):
         assert r["base_failed"] == (len(w) < 20 or 100 * len(covered) > 30 * len(w))
         assert not (r["kept"] and r["base_failed"])
     assert got[1]["kept"] and not got[12]["kept"]
+    assert quality_rules.quality_rules(docs.limit(0)).count() == 0
+    # fewer than 50 words of junk fail too: the guard is a minimum length, not a pass
+    junk = quality_rules.quality_rules(docs.sparkSession.createDataFrame([(1, " ".join(f"###{i}" for i in range(49)))], "doc_id long, text string")).first()
+    assert not junk["base_failed"] and not junk["kept"]
 
 
 def test_bpe_equals_ranks():
