@@ -39,6 +39,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -190,16 +191,32 @@ def smallest_linked(ids: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray
             return root
 
 
+def once(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
+    """Sorted rows without those that repeat the keys of the row before, so that a document whose row repeats is held once."""
+    last: tuple | None = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        new = np.ones(b.num_rows, dtype=bool)
+        new[1:] = False
+        for k in keys:
+            c = b.column(k)
+            new[1:] |= pc.not_equal(c.slice(1), c.slice(0, len(c) - 1)).to_numpy(zero_copy_only=False)
+        first, end = (tuple(b.column(k)[i].as_py() for k in keys) for i in (0, b.num_rows - 1))
+        new[0] = first != last
+        last = end
+        if new.any():
+            yield b if new.all() else b.filter(pa.array(new))
+
+
 def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A representative (rep, m), its links found in a group (texts, and documents behind them), and the smallest member reached."""
     schema = pa.schema([("rep", pa.int64()), ("m", pa.binary()), ("texts", pa.int64()), ("documents", pa.int64()), ("root", pa.int64()), ("root_m", pa.binary())])
     up, down = THRESHOLD
-    for group in grouped(batches, GROUP):
-        rows = sorted((key, i) for i, key in enumerate(zip(group.column("rep").to_pylist(), group.column("m").to_pylist(), strict=True)))
-        once = [i for k, (key, i) in enumerate(rows) if not k or key != rows[k - 1][0]]  # equal rows of the table come once
-        if len(once) < 2:
+    for group in grouped(once(batches, (*GROUP, "rep", "m")), GROUP):
+        if group.num_rows < 2:
             continue
-        group = group.take(pa.array(once))  # in order of (rep, m), so numbers stand for them
+        # rows are in order of (rep, m), so their numbers stand for them
         a, b = own_pairs(group)
         grams, at, _ = gram_hashes(*wh.flat(group.column("text")))
         sets = [np.unique(grams[x:y]) for x, y in zip(at, at[1:], strict=False)]
@@ -289,7 +306,7 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     # merged at every size: texts are shuffled once, whether or not the members would fit a broadcast
     texts = known.select(F.col("doc_id").alias("rep"), "m", "text")
     with_text = member.hint("merge").join(texts, ["rep", "m"]).select(*member.columns, "text")
-    found = cut(with_text.repartition(*GROUP).sortWithinPartitions(*GROUP).mapInArrow(verified, "rep long, m binary, texts long, documents long, root long, root_m binary"))
+    found = cut(with_text.repartition(*GROUP).sortWithinPartitions(*GROUP, "rep", "m").mapInArrow(verified, "rep long, m binary, texts long, documents long, root long, root_m binary"))
     drop(member)
     links = found.groupBy("rep", "m").agg(F.sum("texts").alias("texts"), F.sum("documents").alias("documents"))
     node, root = F.struct(F.col("rep").alias("id"), F.col("m").alias("m")), F.struct(F.col("root").alias("id"), F.col("root_m").alias("m"))

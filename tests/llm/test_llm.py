@@ -160,6 +160,15 @@ def test_jaccard_keeps_rows_that_repeat_an_id(spark):
     assert sorted(r["n_links"] for r in got if r["doc_id"] == 1) == [0, 1]
 
 
+def test_jaccard_of_rows_that_repeat_often(spark):
+    near = PROSE.replace("grey", "blue")
+    rows = [(1, PROSE)] * 300 + [(2, near)] * 200 + [(3, near + " x")]
+    got = ngram_join.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    g = {i: grams(t) for i, t in set(rows)}
+    linked = {i: sum(5 * len(g[i] & g[j]) >= 4 * len(g[i] | g[j]) for j in g if j != i) for i in g}
+    assert Counter((r["doc_id"], r["n_links"], r["rows"]) for r in got) == {(1, linked[1], 300): 300, (2, linked[2], 200): 200, (3, linked[3], 1): 1}
+
+
 def test_jaccard_recall(spark):
     """Links of documents with ids divisible by 50, by brute force over all rows of the table."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
