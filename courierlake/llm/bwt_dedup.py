@@ -291,12 +291,15 @@ def split(hot: DataFrame, least: int) -> DataFrame:
     if not several.where(F.col("n") > least).isEmpty():
         masks = masks.unionByName(split(first.join(several.where(F.col("n") > least), "h", "left_semi"), least))
     told = first.select(F.col("h").alias("part_h"), F.col("k").alias("part_k"), F.col("doc_id").alias("first_doc"))
-    told = told.join(masks.select(F.col("h").alias("part_h"), F.col("k").alias("part_k"), "mask"), ["part_h", "part_k"], "left")
+    # a plain table, so that the merge with the parts of a common string can be split
+    told = cut(told.join(masks.select(F.col("h").alias("part_h"), F.col("k").alias("part_k"), "mask"), ["part_h", "part_k"], "left"))
+    for done in (first, several):
+        drop(done)
     inside = F.expr("shiftleft(1L, length(segment) - {}) - 1".format(LEAST - 1))
     own = F.when(F.col("doc_id") > F.col("first_doc"), inside).otherwise(F.coalesce("mask", F.lit(0).cast("long")))
-    told = parts.join(told, ["part_h", "part_k"]).select("h", "k", own.alias("own"), "shift").where("own != 0")
-    out = cut(told.select("h", "k", F.expr("shiftleft(own, shift)").alias("mask")))
-    for done in (parts, first, several):
+    marked = parts.join(told, ["part_h", "part_k"]).select("h", "k", own.alias("own"), "shift").where("own != 0")
+    out = cut(marked.select("h", "k", F.expr("shiftleft(own, shift)").alias("mask")))
+    for done in (parts, told):
         drop(done)
     return out
 
