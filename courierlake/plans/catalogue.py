@@ -204,6 +204,7 @@ def entries() -> dict[str, tuple[Query, str | None]]:
         "keywords_all": (on_emails(r.get_emails_by_keywords, keywords=["that", "tion"], match_all=True, search_field="markdown"), f"SELECT {COLS} FROM emails WHERE {q.format('markdown', 'that')} AND {q.format('markdown', 'tion')} {NEWEST} 50"),
         "keywords_raw": (on_emails(r.get_emails_by_keywords, keywords="subject: th", search_field="raw"), f"SELECT {COLS} FROM emails WHERE {q.format('decode(raw)', 'subject: th')} {NEWEST} 50"),
         "sql_times": (sql_tool(TIMES), f"SELECT strftime({TS}, '%Y-%m') AS month, count(*) AS n FROM emails WHERE subject ILIKE '%CLICK%' AND strftime({TS}, '%Y-%m-%d') >= '2024-01-03' GROUP BY 1"),
+        "sql_division": (sql_tool("SELECT mailbox, sum(size_bytes) / count(*) AS average, count(*) / 2.0 AS half FROM emails GROUP BY mailbox"), "SELECT mailbox, CAST(sum(size_bytes) // count(*) AS BIGINT) AS average, count(*) / 2.0::DOUBLE AS half FROM emails GROUP BY mailbox"),
         "sql_passthrough": (sql_tool(PASSED), "SELECT mailbox, count(*) AS n, CAST(sum(size_bytes) AS BIGINT) AS bytes FROM emails GROUP BY 1"),
         "join_inner": (join_inner, "SELECT c_mktsegment, count(*) AS orders FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1"),
         "join_left": (join_left, "SELECT c_custkey, count(o_orderkey) AS orders FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1"),

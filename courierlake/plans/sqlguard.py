@@ -9,9 +9,8 @@ division by zero is null, without files, and is always limited by the plan.
 
 SQLite: strftime, date, datetime and time with a moment as epoch seconds
 ('unixepoch') or text; LIKE without regard to case; CAST AS TEXT; has_attachments
-compared with 0 or 1; double-quoted names. Not taken over: `/` of two integers
-gives a fraction (div gives the integer), bare columns beside aggregates, GLOB,
-group_concat (string_agg).
+compared with 0 or 1; double-quoted names; `/` of two integers, which is whole;
+fractions as floating point; group_concat. Not taken over: bare columns beside aggregates, and GLOB.
 """
 
 from __future__ import annotations
@@ -71,6 +70,7 @@ def translated(sql: str) -> str:
     def plain(text: str) -> str:
         text = re.sub(r"\blike\b", "ILIKE", text, flags=re.I)
         text = re.sub(r"\b(date|datetime|time)\s*\(", r"sqlite_\1(", text, flags=re.I)
+        text = re.sub(r"(?<![\w.])(\d+\.\d*|\.\d+)(?![\w.])", r"\1D", text)  # a fraction is no decimal number
         text = re.sub(r"\bas\s+text\b(?=\s*\))", "AS STRING", text, flags=re.I)
         return re.sub(r"((?:\b\w+\.)?\bhas_attachments\b)(?=\s*(?:=|==|!=|<>)\s*[01]\b)", r"CAST(\1 AS INT)", text, flags=re.I)
 
@@ -81,6 +81,35 @@ def translated(sql: str) -> str:
     return "".join([*out, plain(sql[place:])])
 
 
+def closing(bare: str, at: int) -> int:
+    """Where the bracket that opens at `at` closes, in a masked text."""
+    depth = 0
+    for i in range(at, len(bare)):
+        depth += (bare[i] == "(") - (bare[i] == ")")
+        if not depth:
+            return i
+    return len(bare)
+
+
+def blank(sql: str) -> str:
+    """The text at its own length, with literals, quoted names and comments as spaces."""
+    return MASKED.sub(lambda m: " " * len(m[0]), sql)
+
+
+def joined_groups(sql: str) -> str:
+    """group_concat as string_agg, with a comma where no separator is given."""
+    for m in reversed(list(re.finditer(r"\bgroup_concat\s*\(", blank(sql), re.I))):
+        bare = blank(sql)
+        first, last = m.end() - 1, closing(bare, m.end() - 1)
+        inner, depth = bare[first + 1 : last], 0
+        alone = True
+        for c in inner:
+            depth += (c == "(") - (c == ")")
+            alone &= not (c == "," and not depth)
+        sql = f"{sql[: m.start()]}string_agg({sql[first + 1 : last]}{', ' + chr(39) + ',' + chr(39) if alone else ''}{sql[last:]}"
+    return sql
+
+
 def each(seq) -> Iterator:
     for i in range(seq.length()):
         yield seq.apply(i)
@@ -119,6 +148,50 @@ def inspect_plan(node, visible: frozenset[str]) -> None:
             inspect_plan(x, visible)
 
 
+INTEGRAL = frozenset("byte short integer long".split())
+
+
+def whole(e, user_cast) -> bool:
+    """Whether an operand is an integer that Spark itself made a fraction of."""
+    return e.getClass().getSimpleName() == "Cast" and e.child().dataType().typeName() in INTEGRAL and e.getTagValue(user_cast).isEmpty()
+
+
+def divisions(node, user_cast) -> Iterator[tuple[int, int]]:
+    """Where the text has divisions of two integers, from an analysed plan."""
+    if node.getClass().getSimpleName() == "Divide" and whole(node.left(), user_cast) and whole(node.right(), user_cast):
+        where = node.origin()
+        if where.startIndex().isDefined() and where.stopIndex().isDefined():
+            yield where.startIndex().get(), where.stopIndex().get()
+    below = [*each(node.children()), *each(node.innerChildren())]
+    if is_a(node, f"{LOGICAL}.LogicalPlan"):
+        below += each(node.expressions())
+    elif is_a(node, "org.apache.spark.sql.catalyst.expressions.PlanExpression"):
+        below.append(node.plan())
+    for x in below:
+        if is_a(x, "org.apache.spark.sql.catalyst.trees.TreeNode"):
+            yield from divisions(x, user_cast)
+
+
+def whole_divisions(own, sql: str) -> str:
+    """The statement with `div` for each division of two integers: the last sign outside brackets in its span."""
+    user_cast = own._jvm.org.apache.spark.sql.catalyst.expressions.Cast.USER_SPECIFIED_CAST()
+    for _ in range(blank(sql).count("/")):
+        bare, signs = blank(sql), set()
+        for first, last in divisions(own._jsparkSession.sql(sql).queryExecution().analyzed(), user_cast):
+            depth, sign = 0, None
+            for i in range(first, last + 1):
+                depth += (bare[i] == "(") - (bare[i] == ")")
+                if bare[i] == "/" and not depth:
+                    sign = i
+            if sign is not None:
+                signs.add(sign)
+        if not signs:
+            break
+        for i in sorted(signs, reverse=True):
+            sql = f"{sql[:i]} div {sql[i + 1 :]}"
+    return sql
+
+
 def functions(session) -> None:
     """SQLite's time functions, in this session."""
     text = "replace(form, '%%', chr(1))"
@@ -133,7 +206,7 @@ def functions(session) -> None:
 
 def execute_sql_query(views: dict[str, DataFrame], sql_query: object, most: int = MAX_LIMIT) -> DataFrame:
     """Rows of a guarded statement over the views, at most `most`."""
-    text = translated(checked(sql_query))
+    text = joined_groups(translated(checked(sql_query)))
     own = next(iter(views.values())).sparkSession.newSession()
     own.conf.set("spark.sql.runSQLOnFiles", "false")
     own.conf.set("spark.sql.ansi.enabled", "false")
@@ -145,7 +218,7 @@ def execute_sql_query(views: dict[str, DataFrame], sql_query: object, most: int
     functions(own)
     for name, df in views.items():
         _register(own._jsparkSession, df, name)
-    return own.sql(text).limit(most)
+    return own.sql(whole_divisions(own, text)).limit(most)
 
 
 def _register(session, df: DataFrame, name: str) -> None:

@@ -130,6 +130,10 @@ def test_sql_runs_no_code(emails, sql):
         "select id as \"update\" from emails where subject like 'CRANE%'",
         "select id, 1 / 0, cast(id as text) from emails where has_attachments = 1",
         "with a as (select id, mailbox from emails), b as (select mailbox, count(*) as n from a group by mailbox) select * from b",
+        "select id, 5/2, 7 / 2.0, cast(7 as real) / 2, -7/2, 9/2/2, (id + 3) / 2 * 2, id * 3 / 2, '/' , size_bytes / nullif(id - 3, 0) from emails -- 1/2",
+        "select mailbox, count(*) / 2, sum(size_bytes) / count(*), avg(size_bytes) / 2 from emails group by mailbox having count(*) / 2 > 0",
+        "select mailbox, group_concat(id), group_concat(id, '; ') from (select mailbox, max(id) as id from emails group by mailbox) group by mailbox",
+        "select x / 2 from (select count(*) / 3 as x from emails where id in (select id / 1 from emails))",
         "select instr(subject, 'o'), substr(subject, 2, 3), ifnull(subject, '-'), length(subject) from emails where subject is not null",
     ],
 )
