@@ -84,7 +84,9 @@ def get_largest_emails(emails: DataFrame, limit=None, from_domain=None, attachme
     rows = emails.where(predicate(mailbox, None, from_domain))
     if attachments in ("with", "without"):
         rows = rows.where(F.coalesce("has_attachments", F.lit(False)) == F.lit(attachments == "with"))
-    return rows.orderBy(F.desc("size_bytes"), "id").limit(limit_of(limit, 5, most))
+    # the keys first, at most a limit of them: whole rows are read for these alone
+    keys = rows.orderBy(F.desc("size_bytes"), "id").select("id").limit(limit_of(limit, 5, most))
+    return emails.join(F.broadcast(keys), "id", "left_semi").orderBy(F.desc("size_bytes"), "id")
 
 
 def get_emails_by_size_range(emails: DataFrame, min_size=None, max_size=None, limit=None, most: int = 1000) -> DataFrame:

@@ -13,12 +13,14 @@ DIALECTS = {
         "epoch": "unix_seconds(CAST(e.ts AS TIMESTAMP))",
         "from": "`from`",
         "bytes": lambda x: f"encode({x}, 'UTF-8')",
+        "size": lambda x: f"CAST(octet_length({x}) AS BIGINT)",
         "time": lambda x: f"CAST(timestamp_seconds({x}) AS TIMESTAMP_NTZ)",
     },
     "duckdb": {
         "epoch": "CAST(epoch_us(e.ts)//1000000 AS BIGINT)",
         "from": '"from"',
         "bytes": lambda x: f"encode({x})",
+        "size": lambda x: f"CAST(octet_length(encode({x})) AS BIGINT)",
         "time": lambda x: f"make_timestamp(CAST(({x}) AS BIGINT) * 1000000)",
     },
 }
@@ -28,13 +30,13 @@ def emails_cte(dialect: str) -> str:
     """WITH ..., emails AS (...); events and documents are views of those names."""
     d = DIALECTS[dialect]
     message = "concat('Subject: ', subj, chr(10), chr(10), body)"
-    size = f"CAST(octet_length({d['bytes'](message)}) AS BIGINT)"
+    size = f"{d['size']('subj')} + body_size + 11"  # the rest of message; bodies are measured before the join, which then needs no text
     return f"""WITH dealt AS (
   SELECT e.event_id, e.user_id, e.event_type, e.value, {d["epoch"]} AS ep, e.event_id % (SELECT count(*) FROM documents c) AS k FROM events e
 ), base AS (
-  SELECT b.event_id, b.user_id, b.event_type, b.value, b.ep, d.text AS body,
+  SELECT b.event_id, b.user_id, b.event_type, b.value, b.ep, d.text AS body, d.n AS body_size,
     concat('The ', b.event_type, ' of user ', b.user_id, CASE WHEN b.event_id % 31 = 0 THEN ' 100% x_y' ELSE '' END) AS subj
-  FROM dealt b JOIN documents d ON d.doc_id = b.k
+  FROM dealt b JOIN (SELECT x.doc_id, x.text, {d["size"]("x.text")} AS n FROM documents x) d ON d.doc_id = b.k
 ), mail AS (
   SELECT b.*,
     CASE WHEN event_id % 19 = 0 THEN NULL WHEN event_id % 23 = 0 THEN '' WHEN event_id % 29 = 0 THEN 'no-at-sign'
@@ -68,5 +70,5 @@ def emails_cte(dialect: str) -> str:
 def emails(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The derived relation as a DataFrame."""
     own = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("events", "documents")}
-    text = emails_cte("spark").replace("FROM events e", "FROM {events} e").replace("JOIN documents d", "JOIN {documents} d").replace("FROM documents c", "FROM {documents} c")
+    text = emails_cte("spark").replace("FROM events e", "FROM {events} e").replace("FROM documents x", "FROM {documents} x").replace("FROM documents c", "FROM {documents} c")
     return spark.sql(text + " SELECT * FROM emails", **own)
