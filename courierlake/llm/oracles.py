@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import cover_dedup, ngram_join
+from . import cover_dedup, ngram_join, spelling_variants
 from . import quality_rules as rules
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -108,3 +108,27 @@ def divergence() -> str:
     d AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS failed, CASE WHEN n_chars >= {rules.MIN_CHARS} THEN {distance('by_class', 'class_reference')} END AS char_distance, CASE WHEN n_words >= {rules.MIN_WORDS} THEN {distance('by_word', 'word_reference')} END AS word_distance FROM r)
     SELECT doc_id, {', '.join(f'CAST({c} AS BIGINT) AS {c}' for c in ('n_words', 'word_chars', 'n_symbols', 'n_dup_lines', 'n_repeat_words'))}, failed AS base_failed,
       NOT failed AND coalesce(char_distance <= {allowed(rules.CHAR_DISTANCE, 'n_chars')}, true) AND coalesce(word_distance <= {allowed(rules.WORD_DISTANCE, 'n_words')}, true) AS kept FROM d"""
+
+
+def checksums(source: str, key: str) -> str:
+    """CTEs `bits` and `summed`: source's rows with h, the CRC-32 of the UTF-8 of column `key` (code points below U+0800)."""
+    step = "CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END"
+    return f"""bits AS (SELECT list(list_reduce([i::UBIGINT] || [0::UBIGINT FOR k IN range(8)], lambda c, k: {step}) ORDER BY i) AS t FROM range(256) AS r(i)),
+    summed AS (SELECT *, xor(list_reduce([4294967295::UBIGINT] || flatten([CASE WHEN unicode(x) < 128 THEN [unicode(x)::UBIGINT] ELSE [(192 | (unicode(x) >> 6))::UBIGINT, (128 | (unicode(x) & 63))::UBIGINT] END FOR x IN string_split({key}, '')]),
+      lambda c, b: xor(c >> 8, t[CAST(xor(c, b) & 255::UBIGINT AS BIGINT) + 1])), 4294967295::UBIGINT) AS h FROM {source}, bits)"""
+
+
+def spelling() -> str:
+    """op12: words that agree but for one place, or but for one left out; forms followed to the last."""
+    least, count = spelling_variants.LEAST_CHARS, spelling_variants.LEAST_COUNT
+    return rf"""WITH RECURSIVE runs AS (SELECT doc_id, run, count(*) AS times, coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run AS key FROM (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{spelling_variants.UPPER}', '{spelling_variants.UPPER.lower()}'), '[a-z\x{{C0}}-\x{{FF}}]+')) AS run FROM documents) GROUP BY 1, 2),
+    {checksums('runs', 'key')},
+    v AS (SELECT word, CAST(sum(times) AS BIGINT) AS n FROM (SELECT times, CASE WHEN h % 97 = 0 THEN left(run, CAST(h % length(run) AS BIGINT)) || substr(run, CAST(h % length(run) AS BIGINT) + 2) ELSE run END AS word FROM summed) WHERE length(word) >= {least} GROUP BY 1 HAVING sum(times) >= {count}),
+    less AS (SELECT word, n, i, left(word, i) || substr(word, i + 2) AS rest FROM (SELECT word, n, unnest(range(length(word))) AS i FROM v)),
+    near AS (SELECT a.word, b.word AS near, b.n FROM less a JOIN less b ON a.rest = b.rest AND a.i = b.i AND a.word != b.word
+      UNION SELECT less.word, v.word, v.n FROM less JOIN v ON rest = v.word UNION SELECT v.word, less.word, less.n FROM less JOIN v ON rest = v.word),
+    best AS (SELECT word, count(*) AS n_near, min(struct_pack(less := -n, near := near)) AS b FROM near GROUP BY 1),
+    told AS (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN -b.less >= 2 * n THEN b.near END AS form, CASE WHEN -b.less >= 2 * n THEN -b.less END AS form_n FROM v LEFT JOIN best USING (word)),
+    follow AS (SELECT word, form AS root FROM told WHERE form IS NOT NULL UNION ALL SELECT follow.word, told.form FROM follow JOIN told ON root = told.word WHERE told.form IS NOT NULL),
+    last AS (SELECT follow.word, root FROM follow JOIN told ON root = told.word WHERE told.form IS NULL)
+    SELECT told.word, n, n_near, form, form_n, coalesce(root, told.word) AS root FROM told LEFT JOIN last USING (word)"""
