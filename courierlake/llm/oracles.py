@@ -132,3 +132,36 @@ def spelling() -> str:
     follow AS (SELECT word, form AS root FROM told WHERE form IS NOT NULL UNION ALL SELECT follow.word, told.form FROM follow JOIN told ON root = told.word WHERE told.form IS NOT NULL),
     last AS (SELECT follow.word, root FROM follow JOIN told ON root = told.word WHERE told.form IS NULL)
     SELECT told.word, n, n_near, form, form_n, coalesce(root, told.word) AS root FROM told LEFT JOIN last USING (word)"""
+
+
+def repairs() -> str:
+    """op13: per row and state the least (cost, audit, repaired rows), with up to two inserts after each row."""
+    # (state, letter, state after, cost, role that comes out; null: the row's own, '': none)
+    moves = [(q, "D", q, 2, "") for q in range(4)] + [(q, "R", to, 1, role) for q, to, role in ((0, 2, "user"), (1, 2, "user"), (2, 3, "assistant"), (3, 2, "user"))]
+    keeps = [(q, f"K{who}", to, 0, None) for q, who, to in ((0, "s", 1), (0, "u", 2), (1, "u", 2), (3, "u", 2), (2, "a", 3))]
+    after = {0: ("user", "assistant"), 1: ("user", "assistant"), 2: ("assistant", "user"), 3: ("user", "assistant")}
+    inserts = [(q, "I" * k, (q, *(2 if r == "user" else 3 for r in after[q]))[k], 5 * k, "".join(f"\\n{r}:" for r in after[q][:k])) for q in range(4) for k in range(3)]
+
+    def values(rows: list[tuple]) -> str:
+        shown = [", ".join("NULL" if x is None else str(x) if isinstance(x, int) else f"E'{x}'" for x in row) for row in rows]
+        return "VALUES " + ", ".join(f"({x})" for x in shown)
+
+    return rf"""WITH RECURSIVE own AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key FROM conversations),
+    {checksums('own', 'key')},
+    harmed AS (SELECT conv_id, turn, CASE WHEN h % 20 = 4 THEN 'user' ELSE role END AS role, CASE h % 20 WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE h % 20 WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM summed),
+    placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i FROM harmed),
+    coded AS (SELECT *, left(role, 1) AS who, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate' WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 'truncated' ELSE '' END AS fault,
+      lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS previous, count(*) OVER (PARTITION BY conv_id) AS n FROM placed),
+    moves(q, letter, past, price, says) AS ({values(moves + keeps)}),
+    inserts(q, letters, past, price, says) AS ({values(inserts)}),
+    walk AS (SELECT conv_id, n, 0::BIGINT AS i, past AS q, struct_pack(cost := price, audit := letters, rows := says) AS b FROM (SELECT DISTINCT conv_id, n FROM coded) JOIN inserts ON q = 0
+      UNION ALL
+      SELECT w.conv_id, w.n, w.i + 1, inserts.past, min(struct_pack(cost := b.cost + moves.price + inserts.price + CASE WHEN fault = 'truncated' AND letter != 'D' THEN 5 ELSE 0 END, audit := b.audit || left(letter, 1) || letters,
+        rows := b.rows || CASE WHEN letter = 'D' THEN '' ELSE chr(10) || coalesce(moves.says, role) || ':' || text END || inserts.says))
+      FROM walk w JOIN coded c ON w.conv_id IS NOT DISTINCT FROM c.conv_id AND c.i = w.i + 1 JOIN moves ON moves.q = w.q AND (letter IN ('D', 'R') OR letter = 'K' || who) AND (letter = 'D' OR fault NOT IN ('blank', 'duplicate')) JOIN inserts ON inserts.q = moves.past
+      GROUP BY 1, 2, 3, 4),
+    best AS (SELECT conv_id, min(b) AS b FROM walk WHERE i = n AND q IN (0, 3) GROUP BY 1),
+    told AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+      count(*) FILTER (i > 1 AND previous || who NOT IN ('su', 'ua', 'au')) AS illegal FROM coded GROUP BY 1)
+    SELECT o.conv_id, {', '.join(f'CAST(coalesce({c}, 0) AS BIGINT) AS {c}' for c in ('gaps', 'blank', 'duplicate', 'truncated', 'illegal'))}, CAST(coalesce(b.cost, 0) AS BIGINT) AS cost, coalesce(b.audit, '') AS audit, sha256(coalesce(substr(b.rows, 2), '')) AS repaired_sha256
+    FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN told ON o.conv_id IS NOT DISTINCT FROM told.conv_id LEFT JOIN best ON o.conv_id IS NOT DISTINCT FROM best.conv_id"""

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_sentencepiece, bwt_dedup, chat_spans, cover_dedup, decontaminate, html_blocks, ngram_join, oracles, quality_fm, quality_rules, spelling_variants, warc_normalise
+from . import bpe_sentencepiece, bwt_dedup, chat_spans, conversation_repair, cover_dedup, decontaminate, html_blocks, ngram_join, oracles, quality_fm, quality_rules, spelling_variants, warc_normalise
 from .shared import settled
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -65,6 +65,10 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return settled(spark, lambda: spelling_variants.variants(table(spark, sf_dir, "documents")))
 
 
+def op13_bucket_queue_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return settled(spark, lambda: conversation_repair.repair(table(spark, sf_dir, "conversations")))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -72,7 +76,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_template_leaks, op2_factorisation_machine, op3_html_blocks, op4_cover_anchors, op5_sentencepiece_bpe, op6_distribution_rules, op7_bwt_intervals, op8_ngram_jaccard, op9_chat_spans, op10_warc_normaliser, op12_spelling_variants, pipeline)}
+    return {f.__name__: f for f in (op1_template_leaks, op2_factorisation_machine, op3_html_blocks, op4_cover_anchors, op5_sentencepiece_bpe, op6_distribution_rules, op7_bwt_intervals, op8_ngram_jaccard, op9_chat_spans, op10_warc_normaliser, op12_spelling_variants, op13_bucket_queue_repair, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -85,4 +89,5 @@ def oracle_sql() -> dict[str, str]:
         "op9_chat_spans": oracles.chats(PLANTED_CHAT),
         "op10_warc_normaliser": oracles.warc(),
         "op12_spelling_variants": oracles.spelling(),
+        "op13_bucket_queue_repair": oracles.repairs(),
     }
