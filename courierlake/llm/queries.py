@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_sentencepiece, bwt_dedup, chat_spans, conversation_repair, cover_dedup, decontaminate, html_blocks, ngram_join, oracles, quality_fm, quality_rules, spelling_variants, warc_normalise
+from . import bpe_sentencepiece, bwt_dedup, chat_spans, conversation_repair, cover_dedup, decontaminate, html_blocks, ngram_join, oracles, pii_spans, quality_fm, quality_rules, spelling_variants, warc_normalise
 from .shared import settled
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -61,6 +61,10 @@ def op10_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_normalise.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return settled(spark, lambda: pii_spans.digests(pii_spans.find(table(spark, sf_dir, "documents"))))
+
+
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return settled(spark, lambda: spelling_variants.variants(table(spark, sf_dir, "documents")))
 
@@ -76,7 +80,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_template_leaks, op2_factorisation_machine, op3_html_blocks, op4_cover_anchors, op5_sentencepiece_bpe, op6_distribution_rules, op7_bwt_intervals, op8_ngram_jaccard, op9_chat_spans, op10_warc_normaliser, op12_spelling_variants, op13_bucket_queue_repair, pipeline)}
+    return {f.__name__: f for f in (op1_template_leaks, op2_factorisation_machine, op3_html_blocks, op4_cover_anchors, op5_sentencepiece_bpe, op6_distribution_rules, op7_bwt_intervals, op8_ngram_jaccard, op9_chat_spans, op10_warc_normaliser, op11_weak_supervision, op12_spelling_variants, op13_bucket_queue_repair, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
