@@ -33,10 +33,10 @@ part is one window and a shard holds one string. All shards are expanded in the
 same way. Hash joins read plain tables, so hot keys can be split.
 
 Defined results: a null or empty text has no bytes; a null doc_id is left as it
-is and matches nothing; rows that repeat a doc_id count as one document (bytes
-flagged at a place in one are flagged there in all that are long enough); very
-long texts are read whole, cut into segments piece by piece; an empty table
-gives no rows; other columns are not read.
+is and matches nothing; rows that repeat a doc_id with another text are
+documents of their own, neither earlier than the other; equal rows are one
+document, and each comes back; very long texts are read whole, cut into segments
+piece by piece; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -51,7 +51,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import wordhash as wh
-from .shared import cut, drop, id_text, rows_of, slices
+from .shared import KEY, cut, drop, rows_of, slices, told_apart
 
 LEAST = 50
 K = 20
@@ -107,10 +107,10 @@ def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Segments: anchor hash h, own hash k, document, and start * 64 + number of starts."""
-    schema = pa.schema([(n, pa.int64()) for n in ("h", "k", "doc_id", "at")])
+    schema = pa.schema([(n, pa.int64()) for n in ("h", "k", *KEY, "at")])
     for b in slices(batches):
         h, k, text, start, count = segments(*wh.flat(b.column("text")))
-        yield rows_of(schema, h=wh.signed(h), k=wh.signed(k), doc_id=b.column("doc_id").to_numpy()[text], at=start * 64 + count)
+        yield rows_of(schema, h=wh.signed(h), k=wh.signed(k), **{n: b.column(n).to_numpy()[text] for n in KEY}, at=start * 64 + count)
 
 
 def texts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -304,16 +304,15 @@ def split(hot: DataFrame, least: int) -> DataFrame:
     return out
 
 
-def flagged_spans(docs: DataFrame) -> DataFrame:
-    """doc_id and spans: (at, mask), at = start * 64 + number of starts, bit i of mask: the string at start + i goes."""
-    known = id_text(docs).where("doc_id is not null")
+def flagged_spans(known: DataFrame) -> DataFrame:
+    """KEY and spans of rows that are told apart: (at, mask), at = start * 64 + number of starts, bit i of mask: the string at start + i goes."""
     kept = cut(known.select("text").mapInArrow(anchors, "h long").groupBy("h").count().where("count > 1").select("h"))
-    found = cut(known.mapInArrow(places, "h long, k long, doc_id long, at long").join(kept, "h", "left_semi"))
+    found = cut(known.mapInArrow(places, "h long, k long, doc_id long, twin long, at long").join(kept, "h", "left_semi"))
     drop(kept)
-    first = cut(found.groupBy("h", "k").agg(F.min(F.struct("doc_id", "at")).alias("first")).select("h", "k", F.col("first.doc_id").alias("doc_id"), F.col("first.at").alias("at")))
+    first = cut(found.groupBy("h", "k").agg(F.min(F.struct(*KEY, "at")).alias("first")).select("h", "k", "first.*"))
     several = cut(first.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"))
-    wanted = first.join(several, "h").groupBy("doc_id").agg(F.collect_list(F.struct("h", "k", "at", (F.col("n") > HOT).alias("hot"))).alias("wanted"))
-    pieces = cut(known.join(wanted, "doc_id").mapInArrow(texts_of, "h long, k long, doc_id long, segment binary, hot boolean"))
+    wanted = first.join(several, "h").groupBy(*KEY).agg(F.collect_list(F.struct("h", "k", "at", (F.col("n") > HOT).alias("hot"))).alias("wanted"))
+    pieces = cut(known.join(wanted, KEY).mapInArrow(texts_of, "h long, k long, doc_id long, segment binary, hot boolean"))
     masks = expanded(pieces.where("not hot"))
     if not several.where(F.col("n") > HOT).isEmpty():
         whole = pieces.where("hot").select("h", "k", "doc_id", "segment", F.lit(None).cast("int").alias("anchor"), F.lit(0).alias("low"), F.lit(LEAST - K).alias("high"))
@@ -324,15 +323,23 @@ def flagged_spans(docs: DataFrame) -> DataFrame:
     told = cut(first.select("h", "k", F.col("doc_id").alias("first_doc")).join(masks, ["h", "k"], "left"))
     drop(first)
     drop(masks)
-    spans = found.join(told, ["h", "k"]).select("doc_id", "at", F.when(F.col("doc_id") > F.col("first_doc"), F.lit(-1).cast("long")).otherwise(F.col("mask")).alias("mask")).where("mask is not null")
-    out = cut(spans.groupBy("doc_id").agg(F.collect_list(F.struct("at", "mask")).alias("spans")))
+    spans = found.join(told, ["h", "k"]).select(*KEY, "at", F.when(F.col("doc_id") > F.col("first_doc"), F.lit(-1).cast("long")).otherwise(F.col("mask")).alias("mask")).where("mask is not null")
+    out = cut(spans.groupBy(*KEY).agg(F.collect_list(F.struct("at", "mask")).alias("spans")))
     drop(found)
     drop(told)
     return out
 
 
-def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts without the flagged bytes; a cut may fall inside a character. What comes before doc_id is carried along."""
+def of_characters(own: np.ndarray, gone: np.ndarray) -> np.ndarray:
+    """gone, spread to all bytes of each character that loses one."""
+    owner = np.cumsum((own & 0xC0) != 0x80)
+    hit = np.zeros(len(own) + 2, dtype=bool)
+    hit[owner[gone]] = True
+    return hit[owner]
+
+
+def cut_out(batches: Iterator[pa.RecordBatch], characters: bool = False) -> Iterator[pa.RecordBatch]:
+    """Texts without the flagged bytes; a cut may fall inside a character unless whole characters go. What comes before doc_id is carried along."""
     fields = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary())]
     bits = np.arange(SPAN)
     for b in slices(batches):
@@ -349,15 +356,16 @@ def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             count = at % 64
             hit = (mask[:, None] >> bits & 1).astype(bool) & (bits < count[:, None])
             start = (at[:, None] // 64 + bits)[hit]
-            start = start[start + LEAST <= len(own)]
             edge = np.zeros(len(own) + 1, dtype=np.int64)
             np.add.at(edge, start, 1)
             np.add.at(edge, start + LEAST, -1)
             gone = np.cumsum(edge)[:-1] > 0
+            if characters:
+                gone = of_characters(own, gone)
             n_removed.append(int(gone.sum()))
             n_spans.append(int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum()))
             kept.append(own[~gone].tobytes())
-        carried = {f.name: b.column(f.name) for f in b.schema if f.name not in ("doc_id", "text", "spans")}
+        carried = {f.name: b.column(f.name) for f in b.schema if f.name not in (*KEY, "text", "spans")}
         schema = pa.schema([*((n, c.type) for n, c in carried.items()), *fields])
         yield rows_of(schema, **carried, doc_id=b.column("doc_id"), n_bytes=np.diff(offsets), n_removed=n_removed, n_spans=n_spans, kept=kept)
 
@@ -365,13 +373,17 @@ def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 CUT = "doc_id long, n_bytes long, n_removed long, n_spans long"
 
 
-def remove_common(docs: DataFrame, carry: str | None = None) -> DataFrame:
-    """The column to carry along if any, doc_id, n_bytes, n_removed, n_spans and kept (the remaining bytes)."""
-    spans = flagged_spans(docs)
-    own = id_text(docs, carry=carry)
-    joined = own.join(spans.withColumnRenamed("doc_id", "own_id"), own["doc_id"] == F.col("own_id"), "left").drop("own_id")
+def remove_common(docs: DataFrame, carry: str | None = None, characters: bool = False) -> DataFrame:
+    """The column to carry along if any, doc_id, n_bytes, n_removed, n_spans and kept (the remaining bytes).
+
+    characters: a character that loses a byte goes as a whole, so that what is kept is text.
+    """
+    own, known = told_apart(docs, carry)
+    joined = own.join(flagged_spans(known), KEY, "left")
+    if carry:
+        joined = joined.select(carry, *(c for c in joined.columns if c != carry))
     before = f"`{carry}` {docs.schema[carry].dataType.simpleString()}, " if carry else ""
-    return joined.mapInArrow(cut_out, f"{before}{CUT}, kept binary")
+    return joined.mapInArrow(lambda batches: cut_out(batches, characters), f"{before}{CUT}, kept binary")
 
 
 def remove_common_digest(docs: DataFrame) -> DataFrame:
@@ -383,5 +395,5 @@ def remove_common_digest(docs: DataFrame) -> DataFrame:
             same = {n: b.column(n) for n in ("doc_id", "n_bytes", "n_removed", "n_spans")}
             yield rows_of(schema, **same, kept_sha256=[hashlib.sha256(x.as_buffer()).hexdigest() for x in b.column("kept")])
 
-    joined = id_text(docs).join(flagged_spans(docs), "doc_id", "left")
-    return joined.mapInArrow(run, f"{CUT}, kept_sha256 string")
+    own, known = told_apart(docs)
+    return own.join(flagged_spans(known), KEY, "left").mapInArrow(run, f"{CUT}, kept_sha256 string")

@@ -11,8 +11,9 @@ the same offset from their starts, whatever their positions.
 3. Extend each anchor to the windows around it. Count these by a 64-bit hash and
    keep the windows found twice, with 128-bit hashes: most windows around a
    shared anchor occur once and are not worth storing or sorting.
-4. Find each window's first occurrence (smallest doc_id, then start); other
-   occurrences are flagged, gathered by document, and their words removed.
+4. Find each window's first document (smallest doc_id). Occurrences in others,
+   and those that come later in their own text, are flagged, gathered by
+   document, and their words removed.
 
 Each phase ends in a table in the shared folder. Phases 2, 3 and 4 join by hash
 with nothing hashed before, so the adaptive planner can split a hash that a
@@ -20,8 +21,10 @@ third of all documents share; every aggregate before a shuffle is a partial
 one, and what a document gathers is bounded by its own length.
 
 Defined results: a null or empty text has no words; a null doc_id is left as it
-is and matches nothing; rows that repeat a doc_id count as one document (a
-start flagged in one is flagged in all); other columns are not read.
+is and matches nothing; rows that repeat a doc_id with another text are
+documents of their own, neither earlier than the other; equal rows are one
+document, and each comes back; very long texts are read whole; an empty table
+gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -36,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import wordhash as wh
-from .shared import cut, drop, id_text, rows_of, slices
+from .shared import KEY, cut, drop, rows_of, slices, told_apart
 
 WINDOW = 20
 PERIOD = 13
@@ -65,10 +68,10 @@ def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("h", pa.int64()), ("doc_id", pa.int64()), ("place", pa.int32())])
+    schema = pa.schema([("h", pa.int64()), ("doc_id", pa.int64()), ("twin", pa.int64()), ("place", pa.int32())])
     for b in slices(batches):
         h, text, place = anchors(b.column("text"))
-        yield rows_of(schema, h=wh.signed(h), doc_id=b.column("doc_id").to_numpy()[text], place=place.astype(np.int32))
+        yield rows_of(schema, h=wh.signed(h), doc_id=b.column("doc_id").to_numpy()[text], twin=b.column("twin").to_numpy()[text], place=place.astype(np.int32))
 
 
 def around(b: pa.RecordBatch, which: tuple[int, ...]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
@@ -95,30 +98,34 @@ def window_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def extended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """128-bit hashes and places of all windows around shared anchors."""
-    schema = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int32())])
+    """128-bit hashes and places of all windows around shared anchors; a start is less than 0 (by one more) if its text has the window before."""
+    schema = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("doc_id", pa.int64()), ("twin", pa.int64()), ("start", pa.int32())])
     for b in slices(batches):
         (k1, k2), owner, start = around(b, (0, 1))
-        yield rows_of(schema, k1=k1, k2=k2, doc_id=b.column("doc_id").to_numpy()[owner], start=start.astype(np.int32))
+        own = k1 ^ wh.signed(wh.finish(owner.astype(np.uint64)))
+        order = np.lexsort((k2, own))  # stable: equal windows of a text stay in order
+        again = np.zeros(len(order), dtype=bool)
+        again[order[1:]] = (own[order[1:]] == own[order[:-1]]) & (k2[order[1:]] == k2[order[:-1]])
+        start = np.where(again, -1 - start, start)
+        yield rows_of(schema, k1=k1, k2=k2, doc_id=b.column("doc_id").to_numpy()[owner], twin=b.column("twin").to_numpy()[owner], start=start.astype(np.int32))
 
 
-def flagged_starts(docs: DataFrame) -> DataFrame:
-    """doc_id and the sorted starts of its windows whose words also start earlier."""
-    known = id_text(docs).where("doc_id is not null")
+def flagged_starts(known: DataFrame) -> DataFrame:
+    """KEY and the sorted starts of its windows whose words also start earlier, of rows that are told apart."""
     kept = cut(known.select("text").mapInArrow(hashes, "h long").groupBy("h").count().where("count > 1").select("h"))
-    found = known.mapInArrow(places, "h long, doc_id long, place int").join(kept, "h", "left_semi")
-    shared = cut(found.groupBy("doc_id").agg(F.collect_list("place").alias("places")))
+    found = known.mapInArrow(places, "h long, doc_id long, twin long, place int").join(kept, "h", "left_semi")
+    shared = cut(found.groupBy(*KEY).agg(F.collect_list("place").alias("places")))
     drop(kept)
-    texts = cut(known.join(shared, "doc_id"))
+    texts = cut(known.join(shared, KEY))
     drop(shared)
     twice = cut(texts.mapInArrow(window_hashes, "k1 long").groupBy("k1").count().where("count > 1").select("k1"))
-    windows = cut(texts.mapInArrow(extended, "k1 long, k2 long, doc_id long, start int").join(twice, "k1", "left_semi"))
+    windows = cut(texts.mapInArrow(extended, "k1 long, k2 long, doc_id long, twin long, start int").join(twice, "k1", "left_semi"))
     drop(texts)
     drop(twice)
-    first = windows.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    first = cut(first.select("k1", "k2", F.col("first.doc_id").alias("first_doc"), F.col("first.start").alias("first_start")))
-    later = windows.join(first, ["k1", "k2"]).where("doc_id != first_doc or start != first_start")
-    out = cut(later.groupBy("doc_id").agg(F.array_sort(F.collect_set("start")).alias("starts")))
+    first = cut(windows.groupBy("k1", "k2").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("n")).where("n > 1").drop("n"))
+    later = windows.join(first, ["k1", "k2"]).where("doc_id > first_doc or start < 0")
+    start = F.when(F.col("start") < 0, -1 - F.col("start")).otherwise(F.col("start"))
+    out = cut(later.groupBy(*KEY).agg(F.array_sort(F.collect_list(start)).alias("starts")))
     drop(windows)
     drop(first)
     return out
@@ -138,7 +145,6 @@ def removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             stay = np.ones(n, dtype=bool)
             if starts.is_valid:
                 s = starts.values.to_numpy()
-                s = s[s + WINDOW <= n]
                 edge = np.zeros(n + 1, dtype=np.int64)
                 np.add.at(edge, s, 1)
                 np.add.at(edge, s + WINDOW, -1)
@@ -151,8 +157,8 @@ def removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed and kept (the words that stay, joined by one space, in UTF-8)."""
-    joined = id_text(docs).join(flagged_starts(docs), "doc_id", "left")
-    return joined.mapInArrow(removed, "doc_id long, n_words long, n_removed long, kept binary")
+    own, known = told_apart(docs)
+    return own.join(flagged_starts(known), KEY, "left").mapInArrow(removed, "doc_id long, n_words long, n_removed long, kept binary")
 
 
 def remove_repeats_digest(docs: DataFrame) -> DataFrame:
@@ -164,5 +170,5 @@ def remove_repeats_digest(docs: DataFrame) -> DataFrame:
             digests = [hashlib.sha256(k.as_buffer()).hexdigest() for k in b.column("kept")]
             yield rows_of(schema, doc_id=b.column("doc_id"), n_words=b.column("n_words"), n_removed=b.column("n_removed"), kept_sha256=digests)
 
-    joined = id_text(docs).join(flagged_starts(docs), "doc_id", "left")
-    return joined.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    own, known = told_apart(docs)
+    return own.join(flagged_starts(known), KEY, "left").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")

@@ -112,7 +112,7 @@ def prepared(own: DataFrame, *keys: str) -> DataFrame:
 
 def texts_of(rows: DataFrame, key: str, row: str) -> DataFrame:
     """key, row (a hash of the text, which tells rows of one key apart) and text of rows that have a key."""
-    return id_text(rows, key).where("doc_id is not null").select(F.col("doc_id").alias(key), F.xxhash64("text").alias(row), "text")
+    return id_text(rows, key).where("doc_id is not null").select(F.col("doc_id").alias(key), row_of(F.col("text")).alias(row), "text")
 
 
 def window_hashes(size: int) -> Column:
@@ -182,8 +182,13 @@ def hits(texts: DataFrame, windows: DataFrame) -> DataFrame:
     return out
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Pairs (doc_id, item_id) of leaks, with n_windows (different ones of the item) and, of the occurrence that shows most of it, n_found, n_slots (different item words seen in slots) and consistent (share of them that stand for one document word)."""
+def row_of(text: Column) -> Column:
+    """What tells rows of one key apart."""
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, by_row: bool = False) -> DataFrame:
+    """Pairs (doc_id, item_id) of leaks (with doc_row if by_row), with n_windows (different ones of the item) and, of the occurrence that shows most of it, n_found, n_slots (different item words seen in slots) and consistent (share of them that stand for one document word)."""
     items = searched(prepared(texts_of(benchmark, "item_id", "item_row").distinct(), "item_id", "item_row"))
     windows = cut(item_windows(items))
     texts = texts_of(docs, "doc_id", "doc_row")
@@ -214,5 +219,6 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     enough = ((F.col("n_found") >= MIN_SHARE * F.col("n_windows")) | templates) & (F.col("consistent") >= MIN_CONSISTENT)
     whole = (F.col("part") != "exact") | (F.col("found_slotted") >= MIN_SHARE * F.col("n_slotted"))
     best = F.max(F.struct("n_found", "consistent", "n_slots", F.col("n_windows").cast("long").alias("n_windows"))).alias("best")
-    out = out.where(enough & whole).groupBy("doc_id", "item_id").agg(best)
-    return out.select("doc_id", "item_id", "best.n_windows", F.col("best.n_found").cast("long").alias("n_found"), "best.n_slots", "best.consistent")
+    key = ["doc_id", "doc_row", "item_id"] if by_row else ["doc_id", "item_id"]
+    out = out.where(enough & whole).groupBy(*key).agg(best)
+    return out.select(*key, "best.n_windows", F.col("best.n_found").cast("long").alias("n_found"), "best.n_slots", "best.consistent")

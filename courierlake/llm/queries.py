@@ -32,7 +32,7 @@ def op3_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_cover_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cover_dedup.remove_repeats_digest(table(spark, sf_dir, "documents"))
+    return settled(spark, lambda: cover_dedup.remove_repeats_digest(table(spark, sf_dir, "documents")))
 
 
 def op5_sentencepiece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,7 +44,7 @@ def op6_distribution_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_bwt_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bwt_dedup.remove_common_digest(table(spark, sf_dir, "documents"))
+    return settled(spark, lambda: bwt_dedup.remove_common_digest(table(spark, sf_dir, "documents")))
 
 
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

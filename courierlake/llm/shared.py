@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextvars import ContextVar
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -18,8 +19,8 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Bytes of an Arrow batch between Spark and a Python worker; each is held several times on both sides.
 ARROW_BYTES = 4 << 20
 BATCHES = "spark.sql.execution.arrow.maxBytesPerBatch"
-#: Scratch folders and tables in the order they were made.
-_made: list[str] = []
+#: Scratch folders and tables of the settled() call in progress; each thread has its own.
+_made: ContextVar[list[str] | None] = ContextVar("made", default=None)
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -36,8 +37,11 @@ def scratch_dir(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, kind: str = "cut") -> str:
     """A new name in the shared folder."""
-    _made.append(f"{scratch_dir(spark)}/{kind}-{uuid.uuid4().hex}")
-    return _made[-1]
+    path = f"{scratch_dir(spark)}/{kind}-{uuid.uuid4().hex}"
+    made = _made.get()
+    if made is not None:
+        made.append(path)
+    return path
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -70,13 +74,23 @@ def drop(df: DataFrame) -> None:
 
 
 def settled(spark: SparkSession, make: Callable[[], DataFrame]) -> DataFrame:
-    """What make() gives, as a table in the shared folder; everything else that it left there is deleted."""
-    first = len(_made)
-    out = cut(make())
-    kept = _made.pop()
-    for name in _made[first:]:
-        delete(spark, name)
-    _made[first:] = [kept]
+    """What make() gives, as a table in the shared folder; everything else that it left there is deleted, and all of it if it fails.
+
+    Calls may be nested, and other threads may make calls of their own.
+    """
+    outer, own = _made.get(), []
+    token = _made.set(own)
+    kept = None
+    try:
+        out = cut(make())
+        kept = own[-1]
+    finally:
+        _made.reset(token)
+        for name in own:
+            if name != kept:
+                delete(spark, name)
+    if outer is not None:
+        outer.append(kept)
     return out
 
 
@@ -95,6 +109,28 @@ def id_text(df: DataFrame, key: str = "doc_id", text: str = "text", carry: str |
     )
 
 
+KEY = ["doc_id", "twin"]
+
+
+def told_apart(docs: DataFrame, carry: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """All rows as id_text() with `twin`, which tells rows of one doc_id with other texts apart; and rows with a doc_id, equal ones once.
+
+    Where no doc_id repeats, twin is 0. Otherwise it is a hash of the text, and
+    only texts whose row repeats are shuffled to be kept once.
+    """
+    own = id_text(docs, carry=carry)
+    if own.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
+        own = own.withColumn("twin", F.lit(0).cast("long"))
+        return own, own.where("doc_id is not null").select(*KEY, "text")
+    own = own.withColumn("twin", F.xxhash64("text"))
+    known = own.where("doc_id is not null").select(*KEY, "text")
+    again = cut(known.groupBy(*KEY).count().where("count > 1").select(*KEY))
+    if again.isEmpty():
+        return own, known
+    once = known.join(again, KEY, "left_anti")
+    return own, cut(once.unionByName(known.join(again, KEY, "left_semi").dropDuplicates(KEY)))
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that the named column holds about `most` bytes in each."""
     for batch in batches:
