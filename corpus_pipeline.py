@@ -4,8 +4,7 @@ Every stage works on all that its predecessor kept and carries documents with
 null ids on, empty tables as empty tables, and texts of any length whole. The
 last stage returns the tokens' digests in place of texts. Columns other than
 those of documents are not read. Rows that repeat a doc_id with another text are
-documents of their own for the rules and the near duplicates; a question found
-in one of them removes all rows of that doc_id.
+documents of their own in every stage.
 """
 
 from __future__ import annotations
@@ -22,12 +21,6 @@ from courierlake.llm.shared import cut, settled
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
-def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """docs but for the doc_ids of gone; a null doc_id stays."""
-    gone = gone.select(F.col("doc_id").alias("gone_id")).where("gone_id is not null").distinct()
-    return docs.join(gone, docs["doc_id"] == F.col("gone_id"), "left_anti")
-
-
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
     judged = docs.select(F.struct(*COLUMNS).alias("row"), "doc_id", "text")
@@ -51,20 +44,21 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def common_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the bytes that an earlier document has too; bytes of cut characters go with them."""
+    """Texts without the bytes that an earlier document has too; a character that loses a byte goes with them."""
     rows = docs.select("doc_id", "text", F.struct("text", "lang", "source", "n_chars").alias("row"))
-    done = bwt_dedup.remove_common(rows, carry="row")
-    rest = F.regexp_replace(F.make_valid_utf8(F.col("kept").cast("string")), "�", "")
-    text = F.when(F.col("n_removed") == 0, F.col("row.text")).otherwise(rest)
+    done = bwt_dedup.remove_common(rows, carry="row", characters=True)
+    text = F.when(F.col("n_removed") == 0, F.col("row.text")).otherwise(F.col("kept").cast("string"))
     out = done.select("doc_id", text.alias("text"), "row.lang", "row.source", F.col("row.n_chars").alias("n_chars"), "n_removed")
     size = F.when(F.col("n_removed") == 0, F.col("n_chars")).otherwise(F.length("text").cast("long"))
     return out.select("doc_id", "text", "lang", "source", size.alias("n_chars"))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no question of the benchmark."""
-    found = decontaminate.leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return without(docs.select(*COLUMNS), cut(found.select("doc_id").distinct()))
+    """Documents that hold no question of the benchmark; a null doc_id stays."""
+    found = decontaminate.leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), by_row=True)
+    gone = cut(found.select("doc_id", "doc_row").distinct())
+    own = docs.select(*COLUMNS, decontaminate.row_of(F.col("text")).alias("doc_row"))
+    return own.join(gone, ["doc_id", "doc_row"], "left_anti").select(*COLUMNS)
 
 
 def tokenised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
