@@ -6,8 +6,13 @@ first: containers that hold no article text (menus, headers, footers, sidebars,
 notices, adverts, forms, scripts, styles, comments of readers) are out, but not
 a main element in them, nor an article that is longer than those elsewhere, nor
 a form that holds more text than the rest of the page; and where a page has an
-article container, what is outside of it is out. All other blocks are decided
-by their text:
+article container, what is outside of it is out, but for the page's one h1
+before it if it has none itself. A class, id or role says so by itself only if
+all its parts do or are words of layout (comment-list), or if its last part can
+mean nothing else (fb-comments). Other names with such a part
+(elementor-widget-container) are evidence beside the densities: what bears one
+is out unless it holds most of the page's text; on an element of running text
+and on headings they say nothing. All other blocks are decided by their text:
 
 1. First pass, by densities. A block of more than MAX_LINKS link text is out; in
    an article container it stays open, and a heading is in. A block of LONG
@@ -56,11 +61,24 @@ OUT = frozenset("nav footer aside form menu button select dialog fieldset search
 ARTICLE = frozenset("article main".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 PAGE = frozenset("html head body".split())
+# Elements of running text: a doubtful name on one says nothing.
+TEXT = frozenset("p pre blockquote li td th dd dt caption figcaption".split())
 # Words in class, id and role names that mark what is not article text.
-OUT_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|adbox|banner|sponsor(?:ed)?|promo(?:tion)?|sidebar|side-bar|nav|navbar|navigation|menu|breadcrumbs?|footer|masthead|topbar|header|cookies?|consent|notice|alert|popup|modal|overlay|newsletter|subscribe|signup|login|share|sharing|social|related|recommended|comments?|disqus|replies|respond|widget|toolbar|pagination|pager|complementary|contentinfo|search)(?:$|[\s_-])",
-    re.I,
+OUT_WORDS = frozenset(
+    "ad ads advert adverts advertisement advertisements adbox banner sponsor sponsored promo promotion sidebar nav navbar navigation menu breadcrumb breadcrumbs"
+    " footer masthead topbar header cookie cookies consent notice alert popup modal overlay newsletter subscribe signup login share sharing social related recommended"
+    " comment comments disqus replies respond widget toolbar pagination pager complementary contentinfo search".split()
 )
+# Those that say so whatever they are the last part of: fb-comments.
+LAST_WORDS = frozenset("ads adverts advertisement advertisements sidebar navbar navigation breadcrumb breadcrumbs footer cookies newsletter comments disqus replies pagination".split())
+# Words of layout, which leave the meaning of a name to its other parts: comment-list.
+LAYOUT_WORDS = frozenset(
+    "site page main global top bottom left right upper lower inner outer first last primary secondary mobile desktop sticky fixed wide small large"
+    " area bar block body box btn button buttons card cell col column container content cta group icon icons inline item items label layer line link links list module pane panel region row section side"
+    " slot space strip text title unit view wrap wrapper form field input post posts article articles entry story page pages user reader author tag tags js id ul li div".split()
+)
+# Before header or title these say that it is the article's own: entry-header.
+OWN_WORDS = frozenset("article articles entry page post story content section chapter".split())
 # Names that say what surrounds the element rather than what it is: has-sidebar.
 AROUND = re.compile(r"(?<![^\s_-])(?:has|with|without|no)[_-]+[a-z]+", re.I)
 ARTICLE_NAMES = re.compile(r"(?:^|[\s_-])(?:article|articlebody|post|post-body|entry|entry-content|content|main|main-content|story|story-body|text)(?:$|[\s_-])", re.I)
@@ -75,6 +93,8 @@ NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*+)")
 ATTRIBUTE = re.compile(r"[\s/]*+([^\s/>=][^\s/>=]*+|=[^\s/>=]*+)(?:\s*+=\s*+(\"[^\"]*\"|'[^']*'|[^\s>]*+))?")
 TAG_END = re.compile(r"[\s/]*+>")
 NAMING = frozenset(("class", "id", "role"))
+TITLE_WORDS = frozenset("header title".split())
+PARTS = re.compile("[-_]+")
 UNSEEN = re.compile(r"display\s*:\s*none", re.I)
 WORD = re.compile(r"[^\W\d_]+")
 LONG, MAX_LINKS, MIN_STOP, LOW_STOP = 140, 0.5, 0.12, 0.04
@@ -91,6 +111,8 @@ class Block:
     root: int = 0
     saved: bool = False
     forms: tuple[int, ...] = ()
+    doubtful: tuple[str, ...] = ()
+    title: bool = False
 
 
 @dataclass
@@ -103,6 +125,7 @@ class Level:
     root: int = 0  # the outermost article container
     saved: bool = False  # an article inside what holds no article text
     forms: tuple[int, ...] = ()  # open forms outside articles
+    doubtful: tuple[str, ...] = ()  # names around that may mark what is no article text
 
 
 @dataclass
@@ -154,7 +177,7 @@ class Scan:
         at = self.stack[-1]
         text = " ".join("".join(self.parts).split())
         if text:
-            self.blocks.append(Block(text, self.linked, at.out, at.article, at.group, at.tag in HEADINGS, at.root, at.saved, at.forms))
+            self.blocks.append(Block(text, self.linked, at.out, at.article, at.group, at.tag in HEADINGS, at.root, at.saved, at.forms, at.doubtful, at.tag == "h1"))
         self.parts, self.linked = [], 0
 
     def add(self, raw: str) -> None:
@@ -238,6 +261,19 @@ def pairs(html: str, tag: str) -> dict[int, int]:
     return found
 
 
+def standing(names: str) -> tuple[bool, tuple[str, ...]]:
+    """Whether a name says by itself that an element holds no article text, and the names that may say so."""
+    doubtful = []
+    for name in AROUND.sub(" ", names).lower().replace("side-bar", "sidebar").split():
+        parts = [p for p in PARTS.split(name) if p]
+        if not any(p in OUT_WORDS for p in parts) or (len(parts) > 1 and parts[-1] in TITLE_WORDS and parts[-2] in OWN_WORDS):
+            continue
+        if parts[-1] in LAST_WORDS or all(p in OUT_WORDS or p in LAYOUT_WORDS or p.isdigit() for p in parts):
+            return True, ()
+        doubtful.append(name)
+    return False, tuple(doubtful)
+
+
 def start(s: Scan, tag: Tag) -> None:
     """A block element opens."""
     s.end()
@@ -248,8 +284,9 @@ def start(s: Scan, tag: Tag) -> None:
     top = s.stack[-1]
     new = replace(top, tag=name)
     if name not in PAGE:
-        named_out = tag.hidden or bool(tag.names and OUT_NAMES.search(AROUND.sub(" ", tag.names)))
-        if name in ARTICLE or (tag.names and not named_out and ARTICLE_NAMES.search(tag.names)):
+        named, doubtful = standing(tag.names) if tag.names and name not in HEADINGS else (False, ())
+        named_out = tag.hidden or named
+        if name in ARTICLE or (tag.names and not named_out and not doubtful and ARTICLE_NAMES.search(tag.names)):
             s.groups += 1
             if not top.article:
                 new.root = s.groups
@@ -267,6 +304,9 @@ def start(s: Scan, tag: Tag) -> None:
         elif name in OUT or named_out or (name == "header" and not top.article):
             s.groups += 1
             new.out, new.group = True, s.groups
+        elif doubtful and name not in TEXT:
+            s.groups += 1
+            new.doubtful, new.group = (*top.doubtful, *doubtful), s.groups
     new.out = new.out or name == "head"
     s.push(new)
 
@@ -289,6 +329,17 @@ def settle(blocks: list[Block]) -> None:
     def plain(b: Block) -> int:
         return 0 if b.linked > MAX_LINKS * len(b.text) else len(b.text)
 
+    if any(b.doubtful for b in blocks):
+        # a name that stands for most of the page's text, by the first pass, is no evidence
+        named: Counter = Counter()
+        whole = 0
+        for b in blocks:
+            if not b.out and plain(b) and (len(b.text) < LONG or density(b) >= LOW_STOP):
+                whole += len(b.text)
+                for name in set(b.doubtful):
+                    named[name] += len(b.text)
+        for b in blocks:
+            b.out |= any(2 * named[name] <= whole for name in b.doubtful)
     if any(b.forms for b in blocks):
         # characters and number of blocks, of all and of those in article containers; key 0 is the page
         sums: dict[int, list[int]] = {}
@@ -314,6 +365,15 @@ def settle(blocks: list[Block]) -> None:
             b.out |= b.saved and sizes.get((True, b.root), 0) <= least
 
 
+def own_title(blocks: list[Block]) -> None:
+    """Leave the mark of a title only to the page's one h1 before an article container that has none."""
+    first = next((i for i, b in enumerate(blocks) if b.article and not b.out), 0)
+    inside = any(b.title and b.article and not b.out for b in blocks)
+    found = [i for i, b in enumerate(blocks[:first]) if b.title and not b.out and b.linked <= MAX_LINKS * len(b.text)]
+    for i, b in enumerate(blocks):
+        b.title = not inside and found == [i]
+
+
 def density(b: Block) -> float:
     """Share of stop words of the four languages."""
     words = [w.lower() for w in WORD.findall(b.text)]
@@ -325,7 +385,7 @@ def decide(b: Block, has_article: bool, known: bool) -> tuple[bool | None, str]:
     if b.out:
         return False, "container"
     if has_article and not b.article:
-        return False, "outside"
+        return (True, "title") if b.title else (False, "outside")
     if b.linked > MAX_LINKS * len(b.text):
         return (True if b.head else None) if b.article else False, "links"
     if len(b.text) < LONG:
@@ -348,6 +408,7 @@ def first_pass(blocks: list[Block]) -> list[tuple[bool | None, str]]:
     """Label and rule of each block."""
     settle(blocks)
     has_article = any(b.article and not b.out for b in blocks)
+    own_title(blocks)
     known = in_known_language(blocks)
     return [decide(b, has_article, known) for b in blocks]
 

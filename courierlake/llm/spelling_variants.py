@@ -91,7 +91,7 @@ def buckets_of(word: str, longer: bool) -> Iterator[tuple[bytes, str, str, bool]
     """
     size = len(word) - longer
     name = f"{size}:".encode()
-    if len(word) <= LONG:
+    if size <= LONG:
         for low in range(0, size, WINDOW):
             high = min(low + WINDOW, size)
             key = name + f"{low}:{word[:low]}*{word[high + longer :]}".encode()
