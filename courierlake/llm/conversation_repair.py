@@ -43,6 +43,7 @@ from .shared import cut, drop, small_batches
 SPACES = " \t\n\x0b\x0c\r"
 DELETE, INSERT, REROLE, CUT_OFF = 2, 5, 1, 5
 FRAGMENT = 1 << 16
+HEAD = 128
 START, SYSTEM, USER, ASSISTANT = range(4)
 STATES = 4
 #: State after an inserted or reroled row, and the states that such a row can follow.
@@ -177,8 +178,7 @@ def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Least costs between the states at both ends of each fragment."""
     schema = pa.schema([("c", pa.string()), ("at", pa.int64()), ("nth", pa.int64()), ("costs", pa.list_(pa.int64()))])
     for b in batches:
-        for row in b.to_pylist():
-            yield table([(row["c"], row["at"], row["nth"], between(row["codes"]))], schema)
+        yield table([(row["c"], row["at"], row["nth"], between(row["codes"])) for row in b.to_pylist()], schema)
 
 
 def composed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,6 +202,7 @@ LEGAL = {(0, 1), (1, 2), (2, 1)}
 def walked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Walks of fragments (c, at, nth, codes, ends, opens, closes): from the start if it opens its conversation, else from every state."""
     for b in batches:
+        out = []
         for row in b.to_pylist():
             codes = row["codes"]
             dist = distances(codes, row["ends"])
@@ -209,7 +210,8 @@ def walked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             whos = [x & 3 for x in codes]
             legal = sum(pair in LEGAL for pair in zip(whos, whos[1:]))
             faults = [sum(bool(x & flag) for x in codes) for flag in (BLANK, REPEATED, TRUNCATED)]
-            yield table([(row["c"], row["at"], row["nth"], dist[START], [x[0] for x in walks], [x[1] for x in walks], whos[0], whos[-1], len(codes), legal, *faults)], WALKS_SCHEMA)
+            out.append((row["c"], row["at"], row["nth"], dist[START], [x[0] for x in walks], [x[1] for x in walks], whos[0], whos[-1], len(codes), legal, *faults))
+        yield table(out, WALKS_SCHEMA)
 
 
 def damaged(rows: DataFrame) -> DataFrame:
@@ -244,7 +246,9 @@ def in_order(rows: DataFrame) -> DataFrame:
     found = counted.withColumn("digest", digest).join(again.drop("n"), ["c", "role", "digest"], "left")
     first = F.col("first").isNull() | F.col("first.turn").eqNullSafe(F.col("turn"))
     found = found.select("c", "turn", "role", "text", "copies", coded(first).alias("code"))
-    dealt = found.repartitionByRange("c", "turn", "role", "text").sortWithinPartitions("c", "turn", "role", "text")
+    # samples of the key go through the driver, so long texts are dealt by their beginnings; these sort as the texts do
+    head = F.substring("text", 1, HEAD)
+    dealt = found.repartitionByRange("c", "turn", F.substring("role", 1, HEAD), head).sortWithinPartitions("c", "turn", "role", "text")
     out = cut(dealt.select("c", F.monotonically_increasing_id().alias("at"), "role", "text", "code", "copies"))
     drop(counted)
     return out
@@ -307,7 +311,9 @@ def solved(pieces: DataFrame) -> DataFrame:
     ends = parts.mapInArrow(composed, "c string, at long, nth long, ends array<long>")
     here = F.struct("at", "nth")
     known = pieces.join(whole, "c").join(ends, PART, "left").select(*PART, "codes", F.coalesce("ends", F.array(*(F.lit(x).cast("long") for x in ENDS))).alias("ends"), (here == F.col("first")).alias("opens"), (here == F.col("last")).alias("closes"))
-    return known.mapInArrow(walked, WALKS)
+    # bytes say little about the work here: as many tasks as the session sets, not as few as hold the bytes
+    dealt = known.repartition(int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions")), *PART)
+    return dealt.mapInArrow(walked, WALKS)
 
 
 def chained(walks: DataFrame) -> DataFrame:
