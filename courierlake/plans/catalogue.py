@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import analytics as a
 from ..operators import extensions as x
 from ..operators import retrieval as r
+from ..operators import rangejoin
+from ..operators import textindex as t
+from ..operators import vectorindex
 from ..schema import BASE
+from ..scratch import kept
 from .emails import emails, emails_cte
 from .sqlguard import execute_sql_query
 
@@ -142,6 +146,79 @@ def found_email(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.find_email(emails(spark, sf_dir), mailbox="Work", from_contains="user1", date="2024", order="date_asc").drop("raw")
 
 
+def word_index(spark: SparkSession, sf_dir: str) -> str:
+    """The index of all documents' words; made by the first query that asks for it."""
+    return kept(spark, f"document-words-{t.VERSION}", [f"{sf_dir}/documents.parquet"], lambda path: t.append_words(table(spark, sf_dir, "documents"), path))
+
+
+def text_search(query: str, **args) -> Query:
+    return lambda spark, sf_dir: t.search_words(spark, word_index(spark, sf_dir), query, **args)
+
+
+def search_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages by the words of subject and text."""
+    e = emails(spark, sf_dir)
+    sources = [f"{sf_dir}/{name}.parquet" for name in ("events", "documents")]
+    index = kept(spark, f"message-words-{t.VERSION}", sources, lambda path: t.append_words(e.select("id", F.concat_ws(" ", "subject", "plain_text").alias("text")), path, "id"))
+    return r.search_emails(e, query="purchase of user 17 schlich", limit=25, index=index)
+
+
+def substring_search(pattern: str) -> Query:
+    """Documents that hold a text anywhere, by the grams of all documents."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        index = kept(spark, f"document-grams-{t.VERSION}", [f"{sf_dir}/documents.parquet"], lambda path: t.append_grams(table(spark, sf_dir, "documents"), path))
+        return t.holding(spark, index, pattern).select("doc", F.length("text").cast("long").alias("chars"))
+
+    return run
+
+
+def vector_index(spark: SparkSession, sf_dir: str) -> str:
+    return kept(spark, f"vector-cells-{vectorindex.VERSION}", [f"{sf_dir}/embeddings.parquet"], lambda path: vectorindex.build(table(spark, sf_dir, "embeddings"), path))
+
+
+def asked_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").where("vec_id % 50 = 0")
+
+
+def vector_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest of all vectors to every fiftieth, by probing cells."""
+    return vectorindex.search(spark, vector_index(spark, sf_dir), asked_vectors(spark, sf_dir))
+
+
+def vector_cells_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether probing finds nine in ten of the true neighbours."""
+    truth = vectorindex.exact(table(spark, sf_dir, "embeddings"), asked_vectors(spark, sf_dir))
+    return vectorindex.recall(vector_cells(spark, sf_dir), truth).select("wanted", (F.col("found") >= 0.9 * F.col("wanted")).alias("reached"))
+
+
+def vector_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectorindex.exact(table(spark, sf_dir, "embeddings"), asked_vectors(spark, sf_dir))
+
+
+def day(column: str) -> Column:
+    return F.unix_date(F.col(column).cast("date")).cast("long")
+
+
+def ways(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of the largest quantity, each on its way for as many days as its number says."""
+    return table(spark, sf_dir, "lineitem").where("l_quantity >= 50").select("l_orderkey", "l_linenumber", "l_returnflag", day("l_shipdate").alias("sent"), (day("l_shipdate") + F.col("l_linenumber")).alias("there"))
+
+
+def join_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders placed while lines were on their way, by priority and flag."""
+    o = table(spark, sf_dir, "orders").select("o_orderpriority", day("o_orderdate").alias("placed"))
+    return rangejoin.points_in_ranges(o, ways(spark, sf_dir), "placed", "sent", "there").groupBy("o_orderpriority", "l_returnflag").agg(F.count("*").alias("orders"))
+
+
+def join_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For first lines, how many second lines were on their way with them."""
+    w = ways(spark, sf_dir)
+    left = w.where("l_linenumber = 1").select(F.col("l_orderkey").alias("first"), F.col("sent").alias("a"), F.col("there").alias("z"))
+    right = w.where("l_linenumber = 2").select(F.col("l_orderkey").alias("second"), F.col("sent").alias("b"), F.col("there").alias("y"))
+    return rangejoin.overlaps(left, right, ("a", "z"), ("b", "y")).groupBy("first").agg(F.count("*").alias("pairs"), F.min("second").alias("least"))
+
+
 def sql_tool(sql: str) -> Query:
     return lambda spark, sf_dir: execute_sql_query({"emails": emails(spark, sf_dir)}, sql)
 
@@ -157,9 +234,19 @@ SLUG = "CASE WHEN length(s) < 3 THEN 'nm' ELSE s END"
 SETS = {k + c[0]: f"(SELECT {c} FROM emails WHERE mailbox = '{m}' AND {c} IS NOT NULL)" for c in ("from_email", "message_id") for k, m in (("l", "INBOX"), ("r", "Work"))}
 QUERY_VECTOR = [1.0 if i % 2 else -0.5 for i in range(64)]
 VECTOR = "[CASE WHEN i % 2 = 1 THEN 1.0 ELSE -0.5 END FOR i IN range(64)]::DOUBLE[]"
+WAYS = "SELECT l_orderkey, l_linenumber, l_returnflag, CAST(l_shipdate AS DATE) AS sent, CAST(l_shipdate AS DATE) + CAST(l_linenumber AS INTEGER) AS there FROM lineitem WHERE l_quantity >= 50"
 TIMES = "SELECT strftime('%Y-%m', internaldate_epoch, 'unixepoch') AS month, count(*) AS n FROM emails WHERE subject LIKE '%CLICK%' AND date(internaldate_epoch, 'unixepoch') >= '2024-01-03' GROUP BY 1"
 
 
+def ranked(source: str, key: str, text: str, query: str, limit: int, match_all: bool = False) -> str:
+    """BM25 over the rows of source; gives doc and score."""
+    terms = sorted(set(query.split()))
+    listed = ", ".join(f"'{w}'" for w in terms)
+    return rf"""SELECT doc, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * {t.K1 + 1} / (tf + {t.K1} * ({1 - t.B} + {t.B} * len * n / total))), 6) AS score
+      FROM (SELECT doc, len, term, count(*) AS tf, count(*) OVER (PARTITION BY term) AS df, count(*) OVER (PARTITION BY doc) AS held FROM (SELECT {key} AS doc, len(regexp_extract_all(lower(coalesce({text}, '')), '[\p{{L}}\p{{N}}]+')) AS len, unnest(regexp_extract_all(lower(coalesce({text}, '')), '[\p{{L}}\p{{N}}]+')) AS term FROM {source}) WHERE term IN ({listed}) GROUP BY doc, len, term),
+      (SELECT count(*) AS n, sum(len(regexp_extract_all(lower(coalesce({text}, '')), '[\p{{L}}\p{{N}}]+'))) AS total FROM {source}){f" WHERE held = {len(terms)}" if match_all else ""} GROUP BY doc ORDER BY score DESC, doc LIMIT {limit}"""
+
+
 def entries() -> dict[str, tuple[Query, str | None]]:
     """Name -> (query, SQL after the emails relation; base-table SQL starts with a plain SELECT too)."""
     q = 'strpos(lower(coalesce({}, \'\')), \'{}\') > 0'
@@ -246,6 +333,16 @@ def entries() -> dict[str, tuple[Query, str | None]]:
         "vector_topk": (vector_topk, f"SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], {VECTOR}), 6) AS cosine FROM embeddings ORDER BY cosine DESC, vec_id LIMIT 10"),
         "variants": (on_emails(x.variants), "SELECT id, uidvalidity || ':' || uid || ':' || t AS variant_id, k AS item_type, d AS document FROM (SELECT id, uidvalidity, uid, 'subject' AS t, 'subject' AS k, subject AS d FROM emails UNION ALL SELECT id, uidvalidity, uid, 'text', 'plain_text', plain_text FROM emails UNION ALL SELECT id, uidvalidity, uid, 'markdown', 'markdown', markdown FROM emails) WHERE trim(d) != ''"),
         "slug": (slug, f"SELECT mailbox, {SLUG} AS slug FROM (SELECT mailbox, trim(regexp_replace(regexp_replace(lower(mailbox), '[^a-z0-9_-]+', '-', 'g'), '-+', '-', 'g'), '-_') AS s FROM emails GROUP BY 1)"),
+        "text_search": (text_search("apache license version thing heitlich", limit=20), ranked("documents", "doc_id", "text", "apache license version thing heitlich", 20)),
+        "text_search_all": (text_search("the and lich", limit=50, match_all=True), ranked("documents", "doc_id", "text", "the and lich", 50, True)),
+        "search_messages": (search_messages, f"SELECT {COLS}, score FROM emails JOIN ({ranked('emails', 'id', 'concat(subject, chr(32), plain_text)', 'purchase of user 17 schlich', 25)}) ON id = doc"),
+        "substring_search": (substring_search("Mail7.Example"), "SELECT doc_id AS doc, length(text) AS chars FROM documents WHERE contains(lower(text), 'mail7.example')"),
+        "substring_search_short": (substring_search("#"), "SELECT doc_id AS doc, length(text) AS chars FROM documents WHERE contains(text, '#')"),
+        "vector_cells": (vector_cells, None),
+        "vector_cells_recall": (vector_cells_recall, "SELECT 10 * count(*) AS wanted, true AS reached FROM embeddings WHERE vec_id % 50 = 0"),
+        "vector_exact": (vector_exact, "SELECT query, vec_id, cosine FROM (SELECT q.vec_id AS query, e.vec_id, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) AS cosine, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) DESC, e.vec_id) AS k FROM embeddings q, embeddings e WHERE q.vec_id % 50 = 0) WHERE k <= 10"),
+        "join_interval": (join_interval, f"WITH w AS ({WAYS}) SELECT o_orderpriority, l_returnflag, count(*) AS orders FROM orders JOIN w ON CAST(o_orderdate AS DATE) BETWEEN sent AND there GROUP BY 1, 2"),
+        "join_overlap": (join_overlap, f"WITH w AS ({WAYS}) SELECT x.l_orderkey AS first, count(*) AS pairs, min(k.l_orderkey) AS least FROM w x JOIN w k ON x.sent <= k.there AND k.sent <= x.there WHERE x.l_linenumber = 1 AND k.l_linenumber = 2 GROUP BY 1"),
         "event_windows": (event_windows, "SELECT epoch_us(date_trunc('hour', ts)) // 1000000 AS start_epoch, event_type, count(*) AS count FROM events GROUP BY 1, 2"),
     }
 

@@ -159,7 +159,7 @@ def value(x):
     return f"{x:.9g}" if isinstance(x, float) else str(x)
 
 
-@pytest.mark.parametrize("name", sorted(catalogue.queries()))
+@pytest.mark.parametrize("name", sorted(catalogue.oracle_sql()))
 def test_against_duckdb(spark, name):
     db = duckdb.connect()
     for path in glob.glob(f"{SF}/*.parquet"):
