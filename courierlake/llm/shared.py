@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextvars import ContextVar
@@ -12,6 +11,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import scratch_dir
+
 #: Text bytes that a Python worker handles at once; a longer text is a batch of its own.
 BATCH_BYTES = 1 << 20
 #: Spark drops the shuffle files of a finished execution if this is true.
@@ -23,18 +24,6 @@ BATCHES = "spark.sql.execution.arrow.maxBytesPerBatch"
 _made: ContextVar[list[str] | None] = ContextVar("made", default=None)
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; a temporary one only where that is unset and all tasks run on this machine."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        master = spark.conf.get("spark.master", "")
-        if master != "local" and not master.startswith("local["):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="courierlake-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
 def scratch_path(spark: SparkSession, kind: str = "cut") -> str:
     """A new name in the shared folder."""
     path = f"{scratch_dir(spark)}/{kind}-{uuid.uuid4().hex}"
