@@ -97,6 +97,19 @@ def whole_number(text: object) -> int | None:
     return int(found[1]) if found else None
 
 
+#: A label in a header: bare, or in quotes if it holds blanks, quotes or backslashes.
+LABEL = re.compile(r'"((?:[^"\\]|\\.)*)"|(\S+)')
+
+
+def label_text(labels: list[str]) -> str:
+    """Labels as one header line."""
+    return " ".join('"' + re.sub(r'(["\\])', r"\\\1", x) + '"' if re.search(r'[\s"\\]', x) or not x else x for x in labels)
+
+
+def read_labels(text: str) -> list[str]:
+    return [re.sub(r"\\(.)", r"\1", m[1]) if m[1] is not None else m[2] for m in LABEL.finditer(text)]
+
+
 def when(text: object):
     try:
         return parsedate_to_datetime(str(text)) if text else None
@@ -134,7 +147,7 @@ def parse_message(raw: bytes, text_mode: str = "utf8") -> dict[str, object]:
             "markdown": to_markdown(rich if rich.strip() else text),
             "told_thrid": whole_number(m.get("X-GM-THRID")),
             "told_msgid": whole_number(m.get("X-GM-MSGID")),
-            "told_labels": json.dumps(str(labels).split(), ensure_ascii=False) if labels else None,
+            "told_labels": json.dumps(read_labels(str(labels)), ensure_ascii=False) if labels else None,
             "told_internaldate": when(m.get("X-IMAP-INTERNALDATE")),
             "told_size": whole_number(m.get("X-RFC822-SIZE")),
         }
@@ -164,5 +177,5 @@ def inject_headers(raw: bytes, headers: dict[str, object]) -> bytes:
             break
     head = raw if end < 0 else raw[:end]
     present = {x.partition(b":")[0].strip().lower() for x in head.splitlines()}
-    new = "".join(f"{line}{k}: {' '.join(map(str, v)) if isinstance(v, list | tuple) else v}" for k, v in headers.items() if v is not None and k.lower().encode() not in present).encode()
+    new = "".join(f"{line}{k}: {label_text([*map(str, v)]) if isinstance(v, list | tuple) else v}" for k, v in headers.items() if v is not None and k.lower().encode() not in present).encode()
     return head + new + (raw[end:] if end >= 0 else b"")

@@ -13,6 +13,7 @@ from .schema import IDENTITY, VERSION, migrated
 
 #: Where a table keeps its schema version; Spark passes over names that begin with an underscore.
 VERSION_FILE = "_courierlake.json"
+STAGED = ".staged-"
 
 
 class IngestError(Exception):
@@ -84,13 +85,37 @@ def latest(rows: DataFrame, *first: str) -> DataFrame:
 
 
 def replace(spark: SparkSession, rows: DataFrame, path: str) -> None:
-    """Overwrite the partitions of rows by way of a staged copy, so a plan may read what it replaces."""
-    staged = f"{path.rstrip('/')}.staged-{uuid.uuid4().hex}"
+    """Overwrite the partitions of rows by way of a staged copy, so a plan may read what it replaces.
+
+    The copy goes when its rows are in place. If they can't be written, it stays, and
+    restore() puts them in place later.
+    """
+    staged = f"{path.rstrip('/')}{STAGED}{uuid.uuid4().hex}"
     rows.write.parquet(staged)
+    put(spark, staged, path)
+
+
+def put(spark: SparkSession, staged: str, path: str) -> None:
+    """Overwrite the partitions that a staged copy has rows for, then drop the copy."""
     try:
-        spark.read.schema(rows.schema).parquet(staged).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("address", "mailbox").parquet(path)
-    finally:
-        delete(spark, staged)
+        spark.read.parquet(staged).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("address", "mailbox").parquet(path)
+    except Exception as e:
+        raise IngestError(f"{path} may be incomplete; its rows are in {staged}, and restore() puts them back") from e
+    delete(spark, staged)
+
+
+def restore(spark: SparkSession, path: str) -> int:
+    """Put in place the whole staged copies that failed runs left beside the table at path; returns how many."""
+    files, p = hadoop_path(spark, path)
+    found = [str(f.getPath()) for f in files.globStatus(hadoop_path(spark, f"{path.rstrip('/')}{STAGED}*")[1]) or []]
+    n = 0
+    for staged in found:
+        if files.exists(hadoop_path(spark, f"{staged}/_SUCCESS")[1]):
+            put(spark, staged, path)
+            n += 1
+        else:  # never finished, and nothing was overwritten
+            delete(spark, staged)
+    return n
 
 
 def upsert(rows: DataFrame, path: str, recreate: bool = False, strict: bool = False) -> None:

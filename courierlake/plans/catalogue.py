@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.predicates import epoch_of
 from ..operators import analytics as a
 from ..operators import extensions as x
 from ..operators import retrieval as r
-from ..operators import rangejoin
+from ..operators import lookup, rangejoin
 from ..operators import textindex as t
 from ..operators import vectorindex
 from ..schema import BASE
@@ -219,6 +220,41 @@ def join_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rangejoin.overlaps(left, right, ("a", "z"), ("b", "y")).groupBy("first").agg(F.count("*").alias("pairs"), F.min("second").alias("least"))
 
 
+def looked_up(f: Callable[..., DataFrame], **args) -> Query:
+    """A tool over the lookup copy of all messages, from the days that its dates name alone."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        sources = [f"{sf_dir}/{name}.parquet" for name in ("events", "documents")]
+        path = kept(spark, "message-days", sources, lambda folder: lookup.append(emails(spark, sf_dir), folder))
+        ends = [epoch_of(args[k]) if k in args else None for k in ("start_date", "end_date")]
+        return f(lookup.read(spark, path, *ends), **args)
+
+    return run
+
+
+def sketch_senders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Senders of each folder and month by daily sketches, beside the exact count, and whether they agree to one in twenty."""
+    e = emails(spark, sf_dir)
+    told = x.merged_sketches(x.sketches(e)).select("mailbox", "period", "count", F.hll_sketch_estimate("senders").alias("told"))
+    exact = e.groupBy("mailbox", F.date_format(F.timestamp_seconds("internaldate_epoch"), "yyyy-MM").alias("period")).agg(F.count_distinct("from_email").alias("exact"))
+    return told.join(exact, ["mailbox", "period"]).select("mailbox", "period", "count", "exact", (F.abs(F.col("told") - F.col("exact")) <= 0.05 * F.col("exact") + 1).alias("near"))
+
+
+def sketch_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Median size of each folder by daily sketches: whether between 48 and 52 in a hundred messages are smaller or as large."""
+    e = emails(spark, sf_dir).select("mailbox", "internaldate_epoch", "from_email", "size_bytes")
+    told = x.merged_sketches(x.sketches(e), 0).select("mailbox", "count", F.kll_sketch_get_quantile_bigint("sizes", F.lit(0.5)).alias("median"))
+    ranks = e.join(F.broadcast(told), "mailbox").groupBy("mailbox", "count").agg(F.count_if(F.col("size_bytes") < F.col("median")).alias("below"), F.count_if(F.col("size_bytes") <= F.col("median")).alias("upto"))
+    return ranks.select("mailbox", "count", ((F.col("below") <= 0.52 * F.col("count")) & (F.col("upto") >= 0.48 * F.col("count"))).alias("near"))
+
+
+def join_lateral(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each customer's two dearest orders; planned as one window over the orders of a customer, limited before the shuffle."""
+    c, o = table(spark, sf_dir, "customer").alias("c"), table(spark, sf_dir, "orders")
+    top = o.where(F.col("o_custkey") == F.col("c.c_custkey").outer()).orderBy(F.desc("o_totalprice"), "o_orderkey").limit(2).select("o_orderkey", "o_totalprice")
+    return c.lateralJoin(top).select("c_custkey", "o_orderkey", "o_totalprice")
+
+
 def sql_tool(sql: str) -> Query:
     return lambda spark, sf_dir: execute_sql_query({"emails": emails(spark, sf_dir)}, sql)
 
@@ -343,6 +379,13 @@ def entries() -> dict[str, tuple[Query, str | None]]:
         "vector_exact": (vector_exact, "SELECT query, vec_id, cosine FROM (SELECT q.vec_id AS query, e.vec_id, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) AS cosine, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) DESC, e.vec_id) AS k FROM embeddings q, embeddings e WHERE q.vec_id % 50 = 0) WHERE k <= 10"),
         "join_interval": (join_interval, f"WITH w AS ({WAYS}) SELECT o_orderpriority, l_returnflag, count(*) AS orders FROM orders JOIN w ON CAST(o_orderdate AS DATE) BETWEEN sent AND there GROUP BY 1, 2"),
         "join_overlap": (join_overlap, f"WITH w AS ({WAYS}) SELECT x.l_orderkey AS first, count(*) AS pairs, min(k.l_orderkey) AS least FROM w x JOIN w k ON x.sent <= k.there AND k.sent <= x.there WHERE x.l_linenumber = 1 AND k.l_linenumber = 2 GROUP BY 1"),
+        "thread_indexed": (looked_up(r.get_email_thread, x_gm_thrid="1203"), f"SELECT {COLS} FROM emails WHERE x_gm_thrid = 1203 {OLDEST} 50"),
+        "date_range_indexed": (looked_up(r.get_emails_by_date_range, start_date="2024-01-05", end_date="2024-01-20"), f"SELECT {COLS} FROM emails WHERE internaldate_epoch BETWEEN 1704412800 AND 1705708800 {OLDEST} 100"),
+        "dup_members": (on_emails(x.duplicate_members), "SELECT message_id, count, id FROM (SELECT message_id, count(*) AS count FROM emails WHERE message_id IS NOT NULL AND message_id != '' GROUP BY 1 HAVING count(*) > 1 ORDER BY count DESC, message_id LIMIT 50) JOIN emails USING (message_id)"),
+        "sender_days": (on_emails(x.sender_days, sender="user17@", date_from="2024-01-01", date_to="2024-03-31"), f"SELECT strftime(d, '%Y-%m-%d') AS date, count(id) AS count FROM (SELECT unnest(generate_series(DATE '2024-01-01', DATE '2024-03-31', INTERVAL 1 DAY)) AS d) LEFT JOIN emails ON date_trunc('day', {TS}) = d AND {q.format('from_email', 'user17@')} GROUP BY 1"),
+        "sketch_senders": (sketch_senders, f"SELECT mailbox, strftime({TS}, '%Y-%m') AS period, count(*) AS count, count(DISTINCT from_email) AS exact, true AS near FROM emails GROUP BY 1, 2"),
+        "sketch_sizes": (sketch_sizes, "SELECT mailbox, count(*) AS count, true AS near FROM emails GROUP BY 1"),
+        "join_lateral": (join_lateral, "SELECT c_custkey, o_orderkey, o_totalprice FROM customer c, LATERAL (SELECT o_orderkey, o_totalprice FROM orders o WHERE o.o_custkey = c.c_custkey ORDER BY o_totalprice DESC, o_orderkey LIMIT 2)"),
         "event_windows": (event_windows, "SELECT epoch_us(date_trunc('hour', ts)) // 1000000 AS start_epoch, event_type, count(*) AS count FROM events GROUP BY 1, 2"),
     }
 

@@ -71,7 +71,6 @@ def translated(sql: str) -> str:
         text = re.sub(r"\blike\b", "ILIKE", text, flags=re.I)
         text = re.sub(r"\b(date|datetime|time)\s*\(", r"sqlite_\1(", text, flags=re.I)
         text = re.sub(r"(?<![\w.])(\d+\.\d*|\.\d+)(?![\w.])", r"\1D", text)  # a fraction is no decimal number
-        text = re.sub(r"\bas\s+text\b(?=\s*\))", "AS STRING", text, flags=re.I)
         return re.sub(r"((?:\b\w+\.)?\bhas_attachments\b)(?=\s*(?:=|==|!=|<>)\s*[01]\b)", r"CAST(\1 AS INT)", text, flags=re.I)
 
     for m in MASKED.finditer(sql):
@@ -110,6 +109,18 @@ def joined_groups(sql: str) -> str:
     return sql
 
 
+def text_casts(sql: str) -> str:
+    """CAST(... AS TEXT) as a cast to string; other uses of the word stay."""
+    for m in reversed(list(re.finditer(r"\bcast\s*\(", blank(sql), re.I))):
+        bare = blank(sql)
+        last = closing(bare, m.end() - 1)
+        kind = re.search(r"\bas\s+(text)\s*$", bare[m.end() : last], re.I)
+        if kind:
+            at = m.end() + kind.start(1)
+            sql = f"{sql[:at]}STRING{sql[at + 4 :]}"
+    return sql
+
+
 def each(seq) -> Iterator:
     for i in range(seq.length()):
         yield seq.apply(i)
@@ -206,7 +217,7 @@ def functions(session) -> None:
 
 def execute_sql_query(views: dict[str, DataFrame], sql_query: object, most: int = MAX_LIMIT) -> DataFrame:
     """Rows of a guarded statement over the views, at most `most`."""
-    text = joined_groups(translated(checked(sql_query)))
+    text = text_casts(joined_groups(translated(checked(sql_query))))
     own = next(iter(views.values())).sparkSession.newSession()
     own.conf.set("spark.sql.runSQLOnFiles", "false")
     own.conf.set("spark.sql.ansi.enabled", "false")

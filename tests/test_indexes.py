@@ -83,6 +83,15 @@ def test_substrings_in_many_blocks(spark, indexed, monkeypatch):
     assert got == sum("mill the" in t.lower() for d, t, *_ in rows if d is not None and t)
 
 
+def test_a_rare_substring_reads_few_texts(spark, tmp_path):
+    rng = random.Random(6)
+    rows = [(i, " ".join(rng.choices(["mill", "river", "stone", "bread"], k=30)), "c", 1) for i in range(20_000)] + [(9_000, "zebra crossing", "c", 1)]
+    textindex.append_grams(spark.createDataFrame(rows, SCHEMA), f"{tmp_path}/grams")
+    found = textindex.holding(spark, f"{tmp_path}/grams", "ZEBRA CROSS")
+    assert [r["doc"] for r in found.collect()] == [9_000]
+    assert scanned(found)["numOutputRows"] < 20_000 / 2  # of texts and postings together
+
+
 def test_empty_index(spark, tmp_path):
     df = spark.createDataFrame([], SCHEMA)
     textindex.append_words(df, f"{tmp_path}/words")
@@ -155,3 +164,49 @@ def test_range_joins(spark):
 def test_recall_of_the_table(spark):
     row = catalogue.queries()["vector_cells_recall"](spark, "/root/testdata/sf0.01").first()
     assert row["reached"] and row["wanted"] == 100
+
+
+def scanned(df):
+    """Files and rows that the scans of a query read."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan()
+    leaves, found = [plan], {"numFiles": 0, "numOutputRows": 0}
+    while leaves:
+        node = leaves.pop()
+        kind = node.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            leaves.append(node.executedPlan())
+            continue
+        if kind.endswith("QueryStageExec"):
+            leaves.append(node.plan())
+            continue
+        children = node.children()
+        leaves += [children.apply(i) for i in range(children.size())]
+        if kind == "FileSourceScanExec":
+            for name in found:
+                found[name] += node.metrics().apply(name).value()
+    return found
+
+
+def test_lookups_read_little(spark, tmp_path):
+    from courierlake.operators import lookup, retrieval
+    from courierlake.plans.emails import emails
+
+    e = emails(spark, "/root/testdata/sf0.001").select(*[c for c in emails(spark, "/root/testdata/sf0.001").columns if c not in ("plain_text", "markdown", "raw")])
+    path = str(tmp_path / "days")
+    lookup.append(e, path)
+    whole = scanned(lookup.read(spark, path))
+    assert whole["numOutputRows"] == e.count() and whole["numFiles"] >= 20
+    first, last = 1704412800, 1704672000
+    few = retrieval.get_emails_by_date_range(lookup.read(spark, path, first, last), "2024-01-05", "2024-01-08")
+    read = scanned(few)
+    assert 0 < read["numFiles"] <= 6 < whole["numFiles"] and read["numOutputRows"] < whole["numOutputRows"] / 4
+    thread = retrieval.get_email_thread(lookup.read(spark, path), x_gm_thrid="1203")
+    want = sorted(map(str, retrieval.get_email_thread(e, x_gm_thrid="1203").collect()))
+    assert scanned(thread)["numOutputRows"] < whole["numOutputRows"] / 2 and sorted(map(str, thread.collect())) == want and want
+    assert scanned(lookup.read(spark, path).where("message_id = 'none'"))["numOutputRows"] < whole["numOutputRows"] / 10
+
+
+def test_lateral_plan(spark):
+    plan = catalogue.queries()["join_lateral"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan and "WindowGroupLimit" in plan

@@ -110,3 +110,35 @@ def test_server(spark):
 )
 def test_errors(spark, name, args, message):
     assert Server(spark.createDataFrame([], EMAILS)).call(f"db.{name}", args) == {"error": message}
+
+
+def test_labels_come_back():
+    from courierlake.functions.mail import inject_headers, label_text, parse_message, read_labels
+
+    for labels in (["[Gmail]/Sent Mail", "Work"], ['a "b" c', "back\\slash", "é ü", ""], ["\\Inbox", "x"], ["one"]):
+        assert read_labels(label_text(labels)) == labels
+    raw = inject_headers(b"Subject: s\r\n\r\nbody", {"X-GM-LABELS": ["[Gmail]/Sent Mail", "Work"]})
+    import json
+
+    assert json.loads(parse_message(raw)["told_labels"]) == ["[Gmail]/Sent Mail", "Work"]
+
+
+def test_a_failed_overwrite_keeps_the_rows(spark, tmp_path, monkeypatch):
+    from courierlake import ingest
+
+    path = str(tmp_path / "mail")
+    rows = spark.createDataFrame([("a", "INBOX", 1), ("a", "INBOX", 2)], "address string, mailbox string, uid int")
+    rows.write.partitionBy("address", "mailbox").parquet(path)
+    before = ingest.put
+
+    def fails(s, staged, p):
+        s.read.parquet(p).where("uid = 1").write.mode("append").parquet(str(tmp_path / "other"))
+        ingest.delete(s, p)  # the old files are gone when the commit fails
+        raise ingest.IngestError("lost")
+
+    monkeypatch.setattr(ingest, "put", fails)
+    with pytest.raises(ingest.IngestError):
+        ingest.replace(spark, rows, path)
+    monkeypatch.setattr(ingest, "put", before)
+    assert ingest.restore(spark, path) == 1 and ingest.restore(spark, path) == 0
+    assert sorted(r["uid"] for r in spark.read.parquet(path).collect()) == [1, 2]

@@ -134,6 +134,8 @@ def test_sql_runs_no_code(emails, sql):
         "select mailbox, count(*) / 2, sum(size_bytes) / count(*), avg(size_bytes) / 2 from emails group by mailbox having count(*) / 2 > 0",
         "select mailbox, group_concat(id), group_concat(id, '; ') from (select mailbox, max(id) as id from emails group by mailbox) group by mailbox",
         "select x / 2 from (select count(*) / 3 as x from emails where id in (select id / 1 from emails))",
+        "select text from (select 'x' as text)",
+        "select cast(cast(id as text) as text) as text, cast('a as text)' as text) from emails",
         "select instr(subject, 'o'), substr(subject, 2, 3), ifnull(subject, '-'), length(subject) from emails where subject is not null",
     ],
 )
