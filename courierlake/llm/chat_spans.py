@@ -16,8 +16,8 @@ A conversation is one record: its turns meet in one row (a shuffle by
 conversation), and rendering prefixes costs the square of its turns in time,
 but memory only for two outputs. A worker holds one conversation at a time.
 
-Defined results: a null text or role is empty; a null conv_id is a
-conversation of its own; turns go by turn number (null first), then role and
+Defined results: a null text or role is empty; each row with a null conv_id is
+a conversation of its own, as no two are known to belong together; turns go by turn number (null first), then role and
 text, so ties and repeated rows have one order; very long texts are formatted
 whole; an empty table gives no conversations; other columns are not read.
 """
@@ -124,7 +124,9 @@ def conversations(rows: DataFrame) -> DataFrame:
     """conv_id and its turns in order."""
     small_batches(rows.sparkSession)
     turn = F.struct(rows["turn"].cast("long").alias("turn"), F.coalesce(rows["role"].cast("string"), F.lit("")).alias("role"), F.coalesce(rows["text"].cast("string"), F.lit("")).alias("text"))
-    grouped = rows.select(rows["conv_id"].cast("long").alias("conv_id"), turn.alias("t")).groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
+    own = rows.select(rows["conv_id"].cast("long").alias("conv_id"), turn.alias("t"))
+    grouped = own.where("conv_id is not null").groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
+    grouped = grouped.unionByName(own.where("conv_id is null").select("conv_id", F.array("t").alias("turns")))
     return grouped.select("conv_id", F.transform("turns", lambda t: t["role"]).alias("roles"), F.transform("turns", lambda t: t["text"]).alias("texts"))
 
 

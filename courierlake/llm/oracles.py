@@ -56,11 +56,11 @@ def chats(planted: str) -> str:
     def escaped(column: str, signs: str) -> str:
         return f"2 * length({column}) - length(regexp_replace({column}, '{signs}', '', 'g'))"
 
-    return rf"""WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-      UNION ALL VALUES (-7, 0, 'user', '{said}'), (-7, 1, 'assistant', '{said}'))
+    return rf"""WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS alone FROM conversations
+      UNION ALL VALUES (-7, 0, 'user', '{said}', NULL), (-7, 1, 'assistant', '{said}', NULL))
     SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' {order})) AS turns_sha256,
       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(text, '' {order}) FILTER (role = 'assistant'), '')) AS loss_sha256,
-      CAST(sum({escaped('role', r'[\\#<:]')} + {escaped('text', r'[\\#<]')} + {len('### : </turn>') + 1}) AS BIGINT) AS formatted_chars FROM c GROUP BY conv_id"""
+      CAST(sum({escaped('role', r'[\\#<:]')} + {escaped('text', r'[\\#<]')} + {len('### : </turn>') + 1}) AS BIGINT) AS formatted_chars FROM c GROUP BY conv_id, alone"""
 
 
 def warc() -> str:
