@@ -57,7 +57,9 @@ LEAST = 50
 K = 20
 SPAN = LEAST - K + 1
 HOT = 2048
-SHARD_BYTES = 1 << 19
+SHARD_BYTES = 1 << 18
+#: Codes in the first sort key of suffixes.
+KEY = 7
 PIECE = 1 << 22
 PLACE_BITS = 24
 
@@ -165,17 +167,19 @@ def halves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield rows_of(schema, **dict(zip(numbers, map(list, zip(*out)), strict=True)))
 
 
-def suffix_array(codes: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes in order of their first `depth` codes or more, by prefix doubling from nine-bit codes; the last code is the only 0.
+def suffix_array(codes: np.ndarray, depth: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Suffixes in order of their first `depth` codes or more, and which of them share less than `width` codes with the one before it.
+
+    By prefix doubling from keys of `width` nine-bit codes; the last code is the only 0.
 
     Suffixes that agree that far may stand in any order: the expansion stops
     before it could tell. Each round sorts only those that still agree with a
     neighbour.
     """
     n = len(codes)
-    padded = np.concatenate([codes.astype(np.int64), np.zeros(7, dtype=np.int64)])
+    padded = np.concatenate([codes.astype(np.int64), np.zeros(width, dtype=np.int64)])
     key = padded[:n].copy()
-    for j in range(1, 7):
+    for j in range(1, width):
         key = key << 9 | padded[j : j + n]
     order = np.argsort(key)
     ordered = key[order]
@@ -183,7 +187,8 @@ def suffix_array(codes: np.ndarray, depth: int) -> np.ndarray:
     first[1:] = ordered[1:] != ordered[:-1]
     rank = np.full(n + 1, -1, dtype=np.int64)  # where the suffix's group begins; -1 past the end
     rank[order] = np.maximum.accumulate(np.where(first, np.arange(n), 0))
-    step = 7
+    apart = first.copy()
+    step = width
     while step < depth:
         tied = np.flatnonzero(~(first & np.append(first[1:], True)))
         if not len(tied):
@@ -197,11 +202,11 @@ def suffix_array(codes: np.ndarray, depth: int) -> np.ndarray:
         first[tied] = new
         rank[order[tied]] = np.maximum.accumulate(np.where(new, tied, 0))
         step *= 2
-    return order
+    return order, apart
 
 
-def interval_starts(order: np.ndarray, codes: np.ndarray, least: int) -> np.ndarray:
-    """True where a suffix shares less than `least` codes with the one before it.
+def interval_starts(order: np.ndarray, apart: np.ndarray, codes: np.ndarray, width: int, least: int) -> np.ndarray:
+    """True where a suffix shares less than `least` codes with the one before it; apart: where less than `width`, with which the expansion begins.
 
     A boundary between neighbours that begin with the same code c lies, one
     backward step earlier, between two successive occurrences of c in the
@@ -211,21 +216,21 @@ def interval_starts(order: np.ndarray, codes: np.ndarray, least: int) -> np.ndar
     """
     n = len(order)
     transform = codes[order - 1]
-    by_code = np.argsort(transform, kind="stable")
+    by_code = np.argsort(transform, kind="stable").astype(np.int32)
     left, right = by_code[:-1], by_code[1:]
-    decided = np.zeros(n, dtype=bool)
-    decided[0] = True
-    level = np.zeros(n, dtype=bool)
-    level[1:] = transform[left] != transform[right]
-    level[0] = True
-    open_ = np.flatnonzero(~level[1:]) + 1
-    for _ in range(least - 1):
+    decided, level = apart.copy(), apart
+    open_ = np.flatnonzero(~apart[1:]).astype(np.int32)
+    left, right, open_ = left[open_], right[open_], open_ + 1
+    for _ in range(least - width):
         decided |= level
         passed = np.cumsum(level, dtype=np.int32)
-        hit = passed[right[open_ - 1]] > passed[left[open_ - 1]]
+        hit = passed[right] != passed[left]
         level = np.zeros(n, dtype=bool)
         level[open_[hit]] = True
-        open_ = open_[~hit]
+        if not hit.any():  # no boundary of this level: none of a later one
+            break
+        rest = ~hit
+        open_, left, right = open_[rest], left[rest], right[rest]
         if not len(open_):
             break
     return decided | level
@@ -245,8 +250,9 @@ def flags(pieces: list[bytes], docs: np.ndarray, least: int = LEAST) -> np.ndarr
     whole = inside + least <= sizes[owner]
     doc = np.full(len(codes), np.iinfo(np.int64).max)
     doc[place[whole]] = docs[owner[whole]]
-    order = suffix_array(codes, least + 1)
-    new = interval_starts(order, codes, least)
+    width = min(KEY, least - 1)
+    order, apart = suffix_array(codes, least + 1, width)
+    new = interval_starts(order, apart, codes, width, least)
     ordered = doc[order]
     smallest = np.minimum.reduceat(ordered, np.flatnonzero(new))
     flagged = np.zeros(len(codes), dtype=bool)
