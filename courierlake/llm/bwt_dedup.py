@@ -59,7 +59,7 @@ SPAN = LEAST - K + 1
 HOT = 2048
 SHARD_BYTES = 1 << 18
 #: Codes in the first sort key of suffixes.
-KEY = 7
+FIRST_CODES = 7
 PIECE = 1 << 22
 PLACE_BITS = 24
 
@@ -250,7 +250,7 @@ def flags(pieces: list[bytes], docs: np.ndarray, least: int = LEAST) -> np.ndarr
     whole = inside + least <= sizes[owner]
     doc = np.full(len(codes), np.iinfo(np.int64).max)
     doc[place[whole]] = docs[owner[whole]]
-    width = min(KEY, least - 1)
+    width = min(FIRST_CODES, least - 1)
     order, apart = suffix_array(codes, least + 1, width)
     new = interval_starts(order, apart, codes, width, least)
     ordered = doc[order]
