@@ -14,23 +14,29 @@ question with other numbers or names has the template of the original.
    table: broadcast only if it is below Spark's size threshold, and otherwise
    merged, where the adaptive planner can split a window that a third of all
    documents share.
-3. Documents with hits alone are read again. The words of each hit are cut out
-   of the text before anything is shuffled by hash, and meet the item's words.
-   Matched windows give the share of the item's windows found and the slot pairs
-   (item's word, document's word). Both are judged for each occurrence in the
+3. Items of one template are one class: equal tokens, and slots that repeat in
+   the same places. A class has each of its template windows once, so a document
+   with a question that the benchmark has ten thousand variants of meets one class
+   and not each variant; only the words of each variant are kept apart, as hashes.
+4. Documents with hits alone are read again. The words of each hit are cut out
+   of the text before anything is shuffled by hash, and meet the class's window.
+   Matched windows give the share of the class's windows found and the slot pairs
+   (slot of the class, document's word). Both are judged for each occurrence in the
    document: windows of one alignment (place in the document less place in the
    item), windows of alignments a few tokens apart (a word put in or left out),
    and all windows of the pair. A pair is a leak if in one of these the share
-   reaches MIN_SHARE and slots are consistent: as a rule the same word of the
-   item stands for the same word of the document. It is one too if MIN_SHARE of
-   the windows, and of those with slots, are found word for word.
+   reaches MIN_SHARE and slots are consistent: as a rule the same slot stands for the same word of the
+   document. It is one too if MIN_SHARE of the windows, and of those with slots,
+   are found word for word as items of the class have them.
 
 Only DataFrame functions. Hits of a document are gathered in its row, bounded by
 its own length.
 
 Defined results: null or empty texts hold no window; null ids match nothing;
 equal rows count once; rows that repeat a doc_id or item_id with another text
-are judged apart, and the pair is a leak if one of them is; very long texts are
+are judged apart, and the pair is a leak if one of them is; items of one
+template are told by the smallest id, and template_classes() tells which these
+are; very long texts are
 read whole; empty tables give no pairs; other columns are not read.
 """
 
@@ -134,12 +140,42 @@ def sizes_of(windows: DataFrame) -> list[int]:
     return sorted({WINDOW, *(r["n_toks"] for r in windows.where(F.col("n_toks") < WINDOW).select("n_toks").distinct().collect())})
 
 
+def canonical() -> Column:
+    """Tokens of an item with each slot named by its type and the place of its word among the item's slots."""
+    slots = F.array_distinct(F.filter("toks", in_slot))
+    return F.transform("toks", lambda t: F.when(in_slot(t), F.concat(F.substring(t, 1, 2), F.array_position(slots, t))).otherwise(F.lower(t)))
+
+
+def classed(items: DataFrame) -> DataFrame:
+    """Items with c, the class of their template, and its tokens."""
+    return items.withColumn("canon", canonical()).withColumn("c", F.unhex(F.md5(F.array_join("canon", " "))))
+
+
+def slot_words(names: Column, words: Column) -> Column:
+    """Hash of the words in the slots of a window; null if it has none."""
+    found = F.filter(F.arrays_zip(names.alias("name"), words.alias("word")), lambda z: in_slot(z["name"]))
+    return F.when(F.size(found) > 0, F.xxhash64(F.transform(found, lambda z: z["word"])))
+
+
 def item_windows(items: DataFrame) -> DataFrame:
-    """item_id, item_row, h, where in the item (every place of a window that repeats), the item's number of tokens, and the window's."""
+    """c, h, where in the item (every place of a window that repeats), its number of tokens, the window's tokens as the class has them, whether h is of words, w (what tells windows of the class apart), and e (hash of the words in its slots)."""
     cases = [F.when(F.size("toks") == n, window_hashes(n)) for n in range(1, WINDOW)]
     hashes = F.coalesce(*cases, window_hashes(WINDOW))
-    places = items.select("item_id", "item_row", F.size("toks").alias("n_toks"), "toks", F.posexplode(hashes).alias("place", "h"))
-    return places.select("item_id", "item_row", "h", "place", "n_toks", F.slice("toks", F.col("place") + 1, F.least(F.lit(WINDOW), F.col("n_toks"))).alias("item_toks"))
+    places = items.select("c", F.size("toks").alias("n_toks"), "toks", "canon", F.posexplode(hashes).alias("place", "h"))
+    cut_out = [F.slice(t, F.col("place") + 1, F.least(F.lit(WINDOW), F.col("n_toks"))).alias(n) for t, n in (("canon", "item_toks"), ("toks", "own_toks"))]
+    places = places.select("c", "h", "place", "n_toks", *cut_out)
+    words = (F.size("item_toks") == WINDOW) & (F.size(F.filter("item_toks", in_slot)) > MAX_SLOTS)
+    places = places.withColumn("words", words)
+    # windows of words differ from item to item of a class; their places do not
+    w = F.when(F.col("words"), F.xxhash64(F.lit("place"), "place")).otherwise(F.col("h"))
+    return places.select("c", "h", "place", "n_toks", "item_toks", "words", w.alias("w"), slot_words(F.col("item_toks"), F.col("own_toks")).alias("e"))
+
+
+def template_classes(benchmark: DataFrame) -> DataFrame:
+    """item_id and class_item (the smallest item_id of its template) of all items that are searched for."""
+    items = classed(searched(prepared(texts_of(benchmark, "item_id", "item_row").distinct(), "item_id", "item_row")))
+    first = items.groupBy("c").agg(F.min("item_id").alias("class_item"))
+    return items.select("item_id", "c").distinct().join(first, "c").select("item_id", "class_item").distinct()
 
 
 def in_slot(word: Column) -> Column:
@@ -151,7 +187,7 @@ def different(column: str, where: Column | None = None, name: str = "n_windows")
     return F.size(F.collect_set(F.col(column) if where is None else F.when(where, F.col(column)))).alias(name)
 
 
-PAIR = ("doc_id", "doc_row", "item_id", "item_row")
+PAIR = ("doc_id", "doc_row", "c")
 
 
 def occurrences(seen: DataFrame) -> DataFrame:
@@ -165,9 +201,8 @@ def occurrences(seen: DataFrame) -> DataFrame:
     out = seen.withColumns({"apart": apart.cast("long"), "several": several})
     near = F.sum("apart").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     names = F.when(F.col("several"), F.array(F.concat(F.lit("at "), "shift"), F.concat(F.lit("near "), "near"), F.lit("all"))).otherwise(F.array(F.lit("all")))
-    exact = F.forall("pairs", lambda z: z["item_toks"] == z["doc_toks"])
-    names = F.when(exact, F.array_append(names, F.lit("exact"))).otherwise(names)
-    return out.withColumn("near", near).select(*PAIR, "h", "words", "pairs", F.explode(names).alias("part"))
+    names = F.when(F.col("exact"), F.array_append(names, F.lit("exact"))).otherwise(names)
+    return out.withColumn("near", near).select(*PAIR, "w", "words", "pairs", F.explode(names).alias("part"))
 
 
 def hits(texts: DataFrame, windows: DataFrame) -> DataFrame:
@@ -188,37 +223,41 @@ def row_of(text: Column) -> Column:
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, by_row: bool = False) -> DataFrame:
-    """Pairs (doc_id, item_id) of leaks (with doc_row if by_row), with n_windows (different ones of the item) and, of the occurrence that shows most of it, n_found, n_slots (different item words seen in slots) and consistent (share of them that stand for one document word)."""
-    items = searched(prepared(texts_of(benchmark, "item_id", "item_row").distinct(), "item_id", "item_row"))
-    windows = cut(item_windows(items))
+    """Leaks: doc_id (with doc_row if by_row), item_id (the smallest of the template's class) and n_items of the class, with n_windows (different ones of the class) and, of the occurrence that shows most of it, n_found, n_slots (different slots seen) and consistent (share of them that stand for one document word)."""
+    items = classed(searched(prepared(texts_of(benchmark, "item_id", "item_row").distinct(), "item_id", "item_row")))
+    every = cut(item_windows(items))
+    windows = every.drop("e").distinct()
+    words = every.where("e is not null").select("c", "place", "e").distinct()
     texts = texts_of(docs, "doc_id", "doc_row")
-    found = hits(texts, windows)
+    found = hits(texts, every)
     # the ids alone are small where few documents have hits: Spark broadcasts them below its threshold, and only the texts they leave are shuffled
     some = texts.join(cut(found.select("doc_id", "doc_row")), ["doc_id", "doc_row"], "left_semi")
     # merged at every size; equal rows of the table are one document from here on
     again = some.hint("merge").join(found, ["doc_id", "doc_row"]).dropDuplicates(["doc_id", "doc_row"]).select("doc_id", "doc_row", "hits", tokens(F.col("text")).alias("toks"))
     words_of = F.transform("hits", lambda x: F.struct(x["h"].alias("h"), x["at"].alias("at"), F.slice("toks", x["at"] + 1, x["size"]).alias("doc_toks")))
     placed = again.select("doc_id", "doc_row", F.inline(words_of)).join(windows, "h")
-    placed = placed.select(*PAIR, "h", "n_toks", (F.col("at") - F.col("place")).alias("shift"), "item_toks", "doc_toks")
+    placed = placed.select(*PAIR, "w", "n_toks", "place", (F.col("at") - F.col("place")).alias("shift"), "words", "item_toks", "doc_toks", slot_words(F.col("item_toks"), F.col("doc_toks")).alias("e"))
     pairs = F.filter(F.arrays_zip("item_toks", "doc_toks"), lambda z: in_slot(z["item_toks"]))
-    words = (F.size("item_toks") == WINDOW) & (F.size(F.filter("item_toks", in_slot)) > MAX_SLOTS)
-    seen = cut(placed.select(*PAIR, "h", "n_toks", "shift", words.alias("words"), pairs.alias("pairs")))
+    placed = placed.join(words.withColumn("said", F.lit(True)), ["c", "place", "e"], "left")
+    seen = cut(placed.select(*PAIR, "w", "n_toks", "shift", "words", pairs.alias("pairs"), (F.col("e").isNull() | F.col("said").isNotNull()).alias("exact")))
     drop(found)
     parts = cut(occurrences(seen))
     drop(seen)
     slotted = F.exists("item_toks", in_slot)
-    total = windows.groupBy("item_id", "item_row").agg(different("h"), different("h", ~words, "n_templates"), different("h", slotted, "n_slotted"))
+    total = windows.groupBy("c").agg(different("w"), different("w", ~F.col("words"), "n_templates"), different("w", slotted, "n_slotted"))
     key = [*PAIR, "part"]
-    share = parts.groupBy(*key).agg(different("h", name="n_found"), different("h", ~F.col("words"), "found_templates"), different("h", F.size("pairs") > 0, "found_slotted"))
+    share = parts.groupBy(*key).agg(different("w", name="n_found"), different("w", ~F.col("words"), "found_templates"), different("w", F.size("pairs") > 0, "found_slotted"))
     slots = parts.select(*key, F.explode("pairs").alias("z")).groupBy(*key, F.col("z.item_toks").alias("slot")).agg((F.min("z.doc_toks") == F.max("z.doc_toks")).alias("one"))
     slots = slots.groupBy(*key).agg(F.count("*").alias("n_slots"), F.avg(F.col("one").cast("double")).alias("consistent"))
-    out = share.join(total, ["item_id", "item_row"]).join(slots, key, "left")
+    out = share.join(total, "c").join(slots, key, "left")
     out = out.withColumns({"n_slots": F.coalesce("n_slots", F.lit(0)), "consistent": F.coalesce("consistent", F.lit(1.0))})
     # windows of literal words cannot be found in a copy with other values, so the share of templates alone is enough
     templates = (F.col("n_templates") > 0) & (F.col("found_templates") >= MIN_SHARE * F.col("n_templates"))
     enough = ((F.col("n_found") >= MIN_SHARE * F.col("n_windows")) | templates) & (F.col("consistent") >= MIN_CONSISTENT)
     whole = (F.col("part") != "exact") | (F.col("found_slotted") >= MIN_SHARE * F.col("n_slotted"))
-    best = F.max(F.struct("n_found", "consistent", "n_slots", F.col("n_windows").cast("long").alias("n_windows"))).alias("best")
+    classes = items.groupBy("c").agg(F.min("item_id").alias("item_id"), F.count_distinct("item_id").alias("n_items"))
+    out = out.where(enough & whole).join(classes, "c")
     key = ["doc_id", "doc_row", "item_id"] if by_row else ["doc_id", "item_id"]
-    out = out.where(enough & whole).groupBy(*key).agg(best)
-    return out.select(*key, "best.n_windows", F.col("best.n_found").cast("long").alias("n_found"), "best.n_slots", "best.consistent")
+    best = F.max(F.struct("n_found", "consistent", "n_slots", F.col("n_windows").cast("long").alias("n_windows"), "n_items")).alias("best")
+    out = out.groupBy(*key).agg(best)
+    return out.select(*key, "best.n_items", "best.n_windows", F.col("best.n_found").cast("long").alias("n_found"), "best.n_slots", "best.consistent")

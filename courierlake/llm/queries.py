@@ -23,6 +23,11 @@ def op1_template_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return settled(spark, lambda: decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def benchmark_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which items share a template; op1 names each template by its smallest item."""
+    return decontaminate.template_classes(table(spark, sf_dir, "benchmark"))
+
+
 def op2_factorisation_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_fm.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -80,7 +85,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_template_leaks, op2_factorisation_machine, op3_html_blocks, op4_cover_anchors, op5_sentencepiece_bpe, op6_distribution_rules, op7_bwt_intervals, op8_ngram_jaccard, op9_chat_spans, op10_warc_normaliser, op11_weak_supervision, op12_spelling_variants, op13_bucket_queue_repair, pipeline)}
+    return {f.__name__: f for f in (op1_template_leaks, op2_factorisation_machine, op3_html_blocks, op4_cover_anchors, op5_sentencepiece_bpe, op6_distribution_rules, op7_bwt_intervals, op8_ngram_jaccard, op9_chat_spans, op10_warc_normaliser, op11_weak_supervision, op12_spelling_variants, op13_bucket_queue_repair, benchmark_classes, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
