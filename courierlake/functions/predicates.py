@@ -44,7 +44,8 @@ def folded(column: Column, ascii_only: bool = False) -> Column:
 
 def contains(column: Column, term: str, ascii_only: bool = False) -> Column:
     """Case-insensitive literal containment; %, _ and backslash are ordinary characters."""
-    return F.contains(folded(column, ascii_only), F.lit(term.lower()))
+    low = term.translate(str.maketrans(ASCII_CAPITALS, ASCII_CAPITALS.lower())) if ascii_only else term.lower()
+    return F.contains(folded(column, ascii_only), F.lit(low))
 
 
 def from_domain(domain: str) -> Column:

@@ -196,20 +196,6 @@ def vector_search(vectors: DataFrame, query: list[float], item_types: list[str]
     return best.select("id", "best.item_type", "best.score").orderBy("score", "id").limit(limit_of(limit, 100, most))
 
 
-def asof_join(left: DataFrame, right: DataFrame, by: str, at: str, value: str) -> DataFrame:
-    """left with the `value` of the latest row of right that has the same `by` and is not later than `at` (null: none).
-
-    A union and one window, so each key's rows are sorted once and no pair is
-    made. Of rows of right at one time the greatest value counts.
-    """
-    both = left.select("*", F.lit(None).cast(right.schema[value].dataType).alias("_seen"), F.lit(1).alias("_side"))
-    known = right.select(F.col(by), F.col(at), F.col(value).alias("_seen"), F.lit(0).alias("_side"))
-    order = Window.partitionBy(by).orderBy(at, "_side", F.asc_nulls_first("_seen")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = both.unionByName(known, allowMissingColumns=True)
-    found = rows.withColumn(value if value not in left.columns else f"{value}_before", F.last("_seen", ignorenulls=True).over(order))
-    return found.where("_side = 1").drop("_seen", "_side")
-
-
 def variants(emails: DataFrame) -> DataFrame:
     """Up to three documents a message: subject, text and markdown; blank ones are left out."""
 

@@ -37,17 +37,18 @@ def predicate(
     subject_contains: str | None = None,
     date_from: str | None = None,
     date_to: str | None = None,
+    ascii_only: bool = False,
 ) -> Column:
-    """The conjunction of the given filters; a blank one is absent and a date that can't be read is dropped."""
+    """The conjunction of the given filters; a blank one is absent and a date that can't be read is dropped. ascii_only: only A to Z lose their case."""
     found = F.lit(True)
     if mailbox:
         found &= F.col("mailbox") == mailbox
     if from_contains:
-        found &= contains(F.col("from"), from_contains) | contains(F.col("from_email"), from_contains)
+        found &= contains(F.col("from"), from_contains, ascii_only) | contains(F.col("from_email"), from_contains, ascii_only)
     if from_domain_:
         found &= from_domain(from_domain_)
     if subject_contains:
-        found &= contains(F.col("subject"), subject_contains)
+        found &= contains(F.col("subject"), subject_contains, ascii_only)
     for text, bound in ((date_from, "ge"), (date_to, "le")):
         at = epoch_of(text) if text else None
         if at is not None:
@@ -55,8 +56,8 @@ def predicate(
     return found
 
 
-def filter_emails(emails: DataFrame, mailbox=None, from_contains=None, from_domain=None, subject_contains=None, date_from=None, date_to=None, order=None, limit=None, most: int = 1000) -> DataFrame:
-    rows = emails.where(predicate(mailbox, from_contains, from_domain, subject_contains, date_from, date_to))
+def filter_emails(emails: DataFrame, mailbox=None, from_contains=None, from_domain=None, subject_contains=None, date_from=None, date_to=None, order=None, limit=None, most: int = 1000, ascii_only: bool = False) -> DataFrame:
+    rows = emails.where(predicate(mailbox, from_contains, from_domain, subject_contains, date_from, date_to, ascii_only))
     return (oldest if order == "date_asc" else newest)(rows, limit_of(limit, 100, most))
 
 
@@ -100,11 +101,11 @@ def get_emails_by_size_range(emails: DataFrame, min_size=None, max_size=None, li
     return rows.orderBy(F.desc("size_bytes"), "id").select(*BASE, "size_bytes").limit(limit_of(limit, 50, most))
 
 
-def search_email_headers(emails: DataFrame, query=None, header_field="subject", limit=None, most: int = 1000) -> DataFrame:
+def search_email_headers(emails: DataFrame, query=None, header_field="subject", limit=None, most: int = 1000, ascii_only: bool = False) -> DataFrame:
     required(query, "query")
     if header_field not in HEADERS:
         raise ToolError(f"header_field must be one of: {', '.join(HEADERS)}")
-    return newest(emails.where(contains(F.col(header_field), str(query))), limit_of(limit, 50, most))
+    return newest(emails.where(contains(F.col(header_field), str(query), ascii_only)), limit_of(limit, 50, most))
 
 
 def keyword_list(keywords: object) -> list[str]:
@@ -120,11 +121,11 @@ def body(field: str) -> Column:
     return F.make_valid_utf8(F.col("raw").cast("string")) if field == "raw" else F.col(field)
 
 
-def get_emails_by_keywords(emails: DataFrame, keywords=None, search_field="plain_text", match_all=False, limit=None, most: int = 1000) -> DataFrame:
+def get_emails_by_keywords(emails: DataFrame, keywords=None, search_field="plain_text", match_all=False, limit=None, most: int = 1000, ascii_only: bool = False) -> DataFrame:
     terms = keyword_list(keywords)
     if search_field not in BODIES:
         raise ToolError(f"search_field must be one of: {', '.join(BODIES)}")
-    tests = [contains(body(search_field), t) for t in terms]
+    tests = [contains(body(search_field), t, ascii_only) for t in terms]
     found = tests[0]
     for t in tests[1:]:
         found = found & t if match_all is True else found | t

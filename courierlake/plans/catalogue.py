@@ -11,7 +11,7 @@ from ..functions.predicates import epoch_of
 from ..operators import analytics as a
 from ..operators import extensions as x
 from ..operators import retrieval as r
-from ..operators import lookup, rangejoin
+from ..operators import lookup, rangejoin, running
 from ..operators import textindex as t
 from ..operators import vectorindex
 from ..schema import BASE
@@ -75,7 +75,7 @@ def join_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each purchase with the latest click of its user at that time or before."""
     e = table(spark, sf_dir, "events").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"), "event_type")
     clicks = e.where("event_type = 'click'").select("user_id", "ts", F.col("event_id").alias("click_id"))
-    return x.asof_join(e.where("event_type = 'purchase'").select("event_id", "user_id", "ts"), clicks, "user_id", "ts", "click_id").select("event_id", "user_id", "click_id")
+    return running.asof_join(e.where("event_type = 'purchase'").select("event_id", "user_id", "ts"), clicks, "user_id", "ts", "click_id").select("event_id", "user_id", "click_id")
 
 
 def reply_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,11 +86,9 @@ def reply_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def window_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Running and sliding sums, and quarters, of sizes in each folder."""
-    by = Window.partitionBy("mailbox").orderBy("internaldate_epoch", "id")
-    size = F.sum("size_bytes")
+    """Running and sliding sums, and quarters, of sizes in each folder; folders are few, so their rows are split."""
     rows = emails(spark, sf_dir).where("x_gm_thrid = 0").select("mailbox", "id", "internaldate_epoch", "size_bytes")
-    return rows.select("id", size.over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("running"), size.over(by.rowsBetween(-2, Window.currentRow)).alias("last_three"), F.ntile(4).over(by).alias("quarter"))
+    return running.running(rows, "mailbox", ("internaldate_epoch", "id"), "size_bytes").select("id", "running", "last_three", F.col("tile").alias("quarter"))
 
 
 def vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -369,6 +367,7 @@ def entries() -> dict[str, tuple[Query, str | None]]:
         "vector_topk": (vector_topk, f"SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], {VECTOR}), 6) AS cosine FROM embeddings ORDER BY cosine DESC, vec_id LIMIT 10"),
         "variants": (on_emails(x.variants), "SELECT id, uidvalidity || ':' || uid || ':' || t AS variant_id, k AS item_type, d AS document FROM (SELECT id, uidvalidity, uid, 'subject' AS t, 'subject' AS k, subject AS d FROM emails UNION ALL SELECT id, uidvalidity, uid, 'text', 'plain_text', plain_text FROM emails UNION ALL SELECT id, uidvalidity, uid, 'markdown', 'markdown', markdown FROM emails) WHERE trim(d) != ''"),
         "slug": (slug, f"SELECT mailbox, {SLUG} AS slug FROM (SELECT mailbox, trim(regexp_replace(regexp_replace(lower(mailbox), '[^a-z0-9_-]+', '-', 'g'), '-+', '-', 'g'), '-_') AS s FROM emails GROUP BY 1)"),
+        "keywords_ascii": (on_emails(r.get_emails_by_keywords, keywords="Ñ, ÉTION", ascii_only=True), f"SELECT {COLS} FROM emails WHERE contains(plain_text, 'Ñ') OR contains(translate(plain_text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), 'Étion') {NEWEST} 50"),
         "text_search": (text_search("apache license version thing heitlich", limit=20), ranked("documents", "doc_id", "text", "apache license version thing heitlich", 20)),
         "text_search_all": (text_search("the and lich", limit=50, match_all=True), ranked("documents", "doc_id", "text", "the and lich", 50, True)),
         "search_messages": (search_messages, f"SELECT {COLS}, score FROM emails JOIN ({ranked('emails', 'id', 'concat(subject, chr(32), plain_text)', 'purchase of user 17 schlich', 25)}) ON id = doc"),
