@@ -93,8 +93,12 @@ def schema_of(tool: str, names: list[str]) -> dict[str, object]:
     return found | {"additionalProperties": False}
 
 
+#: Parameters of tools that the server sets, not the caller; `index` names a path.
+OWN = ("emails", "most", "index", "ascii_only")
+
+
 def arguments(f: Callable) -> list[str]:
-    return [p for p in inspect.signature(f).parameters if p not in ("emails", "most")]
+    return [p for p in inspect.signature(f).parameters if p not in OWN]
 
 
 def plain(value: object) -> object:
@@ -107,8 +111,8 @@ def plain(value: object) -> object:
 
 
 class Server:
-    def __init__(self, emails: DataFrame, most: int = MAX_LIMIT, log: IO[str] | None = None):
-        self.emails, self.most, self.log = emails, most if most > 0 else MAX_LIMIT, log
+    def __init__(self, emails: DataFrame, most: int = MAX_LIMIT, log: IO[str] | None = None, index: str | None = None):
+        self.emails, self.most, self.log, self.index = emails, most if most > 0 else MAX_LIMIT, log, index
 
     def tools(self) -> list[dict[str, object]]:
         named = {n: operator(n) for n in NAMES}
@@ -127,8 +131,10 @@ class Server:
             if short not in NAMES:
                 return {"error": f"Unknown tool: {name}"}
             f = operator(short)
-            known = inspect.signature(f).parameters
-            rows = self.rows(f(self.emails, **{k: v for k, v in args.items() if k in known and k not in ("emails", "most")}, most=self.most))
+            given = {k: v for k, v in args.items() if k in arguments(f)}
+            if "index" in inspect.signature(f).parameters:
+                given["index"] = self.index
+            rows = self.rows(f(self.emails, **given, most=self.most))
             if short == "get_email_full" and not rows:
                 raise ToolError(f"email not found with id: {args.get('id')}")
             return rows[0] if short in SINGLE else rows

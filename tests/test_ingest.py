@@ -142,3 +142,18 @@ def test_a_failed_overwrite_keeps_the_rows(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(ingest, "put", before)
     assert ingest.restore(spark, path) == 1 and ingest.restore(spark, path) == 0
     assert sorted(r["uid"] for r in spark.read.parquet(path).collect()) == [1, 2]
+
+
+def test_search_tool_reads_the_servers_index_only(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from courierlake.operators.textindex import append_words
+    from courierlake.plans.emails import emails
+    from courierlake.server import Server
+
+    e = emails(spark, "/root/testdata/sf0.001").where(F.col("id") < 60)
+    append_words(e.select("id", F.concat_ws(" ", "subject", "plain_text").alias("text")), str(tmp_path / "words"), "id")
+    hits = Server(e, index=str(tmp_path / "words")).call("db.search_emails", {"query": "purchase", "limit": 3})
+    assert len(hits) == 3 and all("purchase" in h["subject"] for h in hits) and hits[0]["score"] >= hits[2]["score"]
+    assert Server(e).call("db.search_emails", {"query": "purchase", "index": str(tmp_path / "words")}) == []
+    assert all("index" not in t["inputSchema"]["properties"] for t in Server(e).tools())
