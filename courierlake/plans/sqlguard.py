@@ -33,7 +33,7 @@ MASKED = re.compile(QUOTED, re.S)
 #: REPLACE is a function too; as a function it stays allowed.
 CALL = re.compile(r"\breplace\s*\(", re.I)
 LOGICAL = "org.apache.spark.sql.catalyst.plans.logical"
-MOMENT = "CASE WHEN modifier = 'unixepoch' THEN timestamp_seconds(CAST(moment AS DOUBLE)) ELSE CAST(moment AS TIMESTAMP) END"
+MOMENT = "CASE WHEN modifier = 'unixepoch' THEN timestamp_seconds(CAST(moment AS DOUBLE)) WHEN modifier IS NOT NULL THEN raise_error('time modifier not understood') ELSE CAST(moment AS TIMESTAMP) END"
 # What SQLite's format letters stand for, as Spark's patterns.
 LETTERS = {"%Y": "yyyy", "%m": "MM", "%d": "dd", "%H": "HH", "%M": "mm", "%S": "ss", "%j": "DDD"}
 PATTERNS = {"date": "yyyy-MM-dd", "datetime": "yyyy-MM-dd HH:mm:ss", "time": "HH:mm:ss"}
@@ -210,6 +210,7 @@ def functions(session) -> None:
         text = f"replace({text}, '{letter}', date_format({MOMENT}, '{pattern}'))"
     text = f"replace({text}, '%w', CAST(dayofweek({MOMENT}) - 1 AS STRING))"
     text = f"replace(replace({text}, '%s', CAST(unix_seconds({MOMENT}) AS STRING)), chr(1), '%')"
+    text = f"CASE WHEN regexp_like(replace(form, '%%', ''), '%([^YmdHMSjws]|$)') THEN raise_error('format letter not understood') ELSE {text} END"
     session.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION strftime(form STRING, moment STRING, modifier STRING DEFAULT NULL) RETURNS STRING RETURN {text}")
     for name, pattern in PATTERNS.items():
         session.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION sqlite_{name}(moment STRING, modifier STRING DEFAULT NULL) RETURNS STRING RETURN date_format({MOMENT}, '{pattern}')")

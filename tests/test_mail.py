@@ -148,6 +148,14 @@ def test_sql_agrees_with_sqlite(emails, sql):
     assert sorted(map(repr, (tuple(r) for r in got.collect()))) == sorted(map(repr, want.fetchall()))
 
 
+@pytest.mark.parametrize("sql", ["select date('2024-01-02', '-1 day')", "select strftime('%W', '2024-01-02')", "select strftime('100%', '2024-01-02')"])
+def test_sql_refuses_what_it_does_not_know(emails, sql):
+    from pyspark.errors import PySparkException
+
+    with pytest.raises(PySparkException, match="not understood"):
+        execute_sql_query({"emails": emails}, sql).collect()
+
+
 def test_ascii_folding(emails):
     assert ids(emails.where(contains(F.col("subject"), "über"))) == [7] and ids(emails.where(contains(F.col("subject"), "über", ascii_only=True))) == []
     assert ids(emails.where(contains(F.col("subject"), "CRANE", ascii_only=True))) == [1, 3]
