@@ -6,7 +6,6 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from . import bpe_sentencepiece, bwt_dedup, chat_spans, conversation_repair, cover_dedup, decontaminate, html_blocks, ngram_join, oracles, pii_spans, quality_fm, quality_rules, spelling_variants, warc_normalise
 from .shared import settled
