@@ -67,26 +67,32 @@ PLACE_BITS = 24
 def segments(data: np.ndarray, offsets: np.ndarray, named: bool = True) -> tuple[np.ndarray, ...]:
     """(anchor hash, segment hash if named, text number, first start in the text, number of starts) of all segments."""
     sums = wh.prefix(data.astype(np.uint64) + np.uint64(1))
-    ends = np.maximum(offsets[1:] - LEAST + 1, offsets[:-1])
+    _, inverse = wh.powers(0, len(sums))
+    sizes = np.diff(offsets)
+    # a start is whole if LEAST bytes of its text follow; in a text too short for one none is
+    whole = np.repeat(sizes >= LEAST, sizes)
+    tails = np.minimum(sizes, LEAST - 1)
+    whole[wh.ranges(offsets[1:] - tails, offsets[1:])] = False
     found = []
     for low in range(0, max(1, len(data) - LEAST + 1), PIECE):
         high = min(low + PIECE, len(data) - LEAST + 1)
         if high <= low:
             break
-        at = np.arange(low, high + SPAN - 1)
-        h = wh.windows(sums, at, at + K)
-        key = (h >> np.uint64(PLACE_BITS) << np.uint64(PLACE_BITS)) | (at - low).astype(np.uint64)
+        end = high + SPAN - 1
+        h = wh.finish((sums[low + K : end + K] - sums[low:end]) * inverse[low:end])  # of the grams that begin from low to end
+        key = (h >> np.uint64(PLACE_BITS) << np.uint64(PLACE_BITS)) | np.arange(end - low, dtype=np.uint64)
         for width in (1, 2, 4, 8):
             key = np.minimum(key[:-width], key[width:])
         key = np.minimum(key[: len(key) - 15], key[15:])  # minima over SPAN = 16 + 15 grams
-        starts = wh.ranges(np.clip(offsets[:-1], low, high), np.clip(ends, low, high))
-        anchor = (key[starts - low] & np.uint64((1 << PLACE_BITS) - 1)).astype(np.int64)
-        text = np.searchsorted(offsets, starts, side="right") - 1
-        new = np.ones(len(starts), dtype=bool)
-        new[1:] = (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1])
+        good = whole[low:high]
+        new = good.copy()
+        new[1:] &= (key[1:] != key[:-1]) | ~good[:-1]  # between texts lie starts that are not whole
         run = np.flatnonzero(new)
-        count = np.diff(np.append(run, len(starts)))
-        found.append((h[anchor[run]], starts[run], text[run], count))
+        if not len(run):
+            continue
+        count = np.add.reduceat(good, run, dtype=np.int64)
+        anchor = (key[run] & np.uint64((1 << PLACE_BITS) - 1)).astype(np.int64)
+        found.append((h[anchor], run + low, np.searchsorted(offsets, run + low, side="right") - 1, count))
     if not found:
         none = np.zeros(0, dtype=np.int64)
         return none.astype(np.uint64), none.astype(np.uint64), none, none, none
@@ -313,7 +319,7 @@ def split(hot: DataFrame, least: int) -> DataFrame:
 def flagged_spans(known: DataFrame) -> DataFrame:
     """KEY and spans of rows that are told apart: (at, mask), at = start * 64 + number of starts, bit i of mask: the string at start + i goes."""
     kept = cut(known.select("text").mapInArrow(anchors, "h long").groupBy("h").count().where("count > 1").select("h"))
-    found = cut(known.mapInArrow(places, "h long, k long, doc_id long, twin long, at long").join(kept, "h", "left_semi"))
+    found = cut(known.mapInArrow(places, "h long, k long, doc_id long, twin long, at long").join(kept.hint("shuffle_hash"), "h", "left_semi"))
     drop(kept)
     first = cut(found.groupBy("h", "k").agg(F.min(F.struct(*KEY, "at")).alias("first")).select("h", "k", "first.*"))
     several = cut(first.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"))
