@@ -5,6 +5,9 @@ A range of time opens the directories of its days; for equality on the columns o
 BLOOMED, Parquet keeps a Bloom filter for each row group, so row groups that
 can't hold the value are passed over. Messages of one thread or conversation are
 near in time as a rule, so few row groups are left. The copy grows by appending.
+
+It has the columns that tools list, filter and measure by, not the bodies: these
+are nearly all bytes of a mail table and are read there, by id.
 """
 
 from __future__ import annotations
@@ -14,10 +17,13 @@ from pyspark.sql import functions as F
 
 from ..functions.predicates import moment
 
+#: Of the copy's layout; kept copies of another are made anew.
+VERSION = 2
 #: Columns that are looked up by value.
 BLOOMED = ("id", "x_gm_thrid", "x_gm_msgid", "message_id", "from_email")
+BODIES = ("raw", "plain_text", "markdown")
 ROW_GROUP_BYTES = 16 << 20
-#: Different values of a column in a row group that its filter is sized for.
+#: Rows of a row group, for as many values of a column its filter is sized.
 VALUES = 20_000
 
 
@@ -26,17 +32,17 @@ def day_of(at: Column) -> Column:
 
 
 def append(emails: DataFrame, path: str) -> None:
-    """Add messages to the lookup copy at path."""
-    rows = emails.withColumn("day", day_of(moment()))
+    """Add messages to the lookup copy at path, without their bodies."""
+    rows = emails.drop(*BODIES).withColumn("day", day_of(moment()))
     writer = rows.repartitionByRange("day", "internaldate_epoch", "id").sortWithinPartitions("day", "internaldate_epoch", "id").write
-    writer = writer.mode("append").partitionBy("day").option("parquet.block.size", ROW_GROUP_BYTES)
+    writer = writer.mode("append").partitionBy("day").option("parquet.block.size", ROW_GROUP_BYTES).option("parquet.block.row.count.limit", VALUES)
     for name in BLOOMED:
         writer = writer.option(f"parquet.bloom.filter.enabled#{name}", "true").option(f"parquet.bloom.filter.expected.ndv#{name}", VALUES)
     writer.parquet(path)
 
 
 def read(spark: SparkSession, path: str, first: int | None = None, last: int | None = None) -> DataFrame:
-    """The mail table at path; with epochs, the days from `first` to `last` alone (filters on the times themselves stay the caller's)."""
+    """The lookup copy at path; with epochs, the days from `first` to `last` alone (filters on the times themselves stay the caller's)."""
     rows = spark.read.option("mergeSchema", "false").parquet(path).withColumn("day", F.col("day").cast("string"))
     for at, test in ((first, "ge"), (last, "le")):
         if at is not None:

@@ -212,6 +212,18 @@ def test_lookups_read_little(spark, tmp_path):
     assert scanned(lookup.read(spark, path).where("message_id = 'none'"))["numOutputRows"] < whole["numOutputRows"] / 10
 
 
+def test_lookups_copy_no_bodies(spark, tmp_path):
+    """The copy grows with the number of messages, not with their texts."""
+    from courierlake.operators import lookup, retrieval
+    from courierlake.plans.emails import emails
+
+    e = emails(spark, "/root/testdata/sf0.001")
+    lookup.append(e, str(tmp_path / "days"))
+    stored = lookup.read(spark, str(tmp_path / "days"))
+    assert set(stored.columns) == set(e.columns) - {"raw", "plain_text", "markdown"} and stored.count() == e.count()
+    assert retrieval.get_email_thread(stored, x_gm_thrid="1203").collect() == retrieval.get_email_thread(e, x_gm_thrid="1203").collect()
+
+
 def test_lateral_plan(spark):
     plan = catalogue.queries()["join_lateral"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan and "WindowGroupLimit" in plan
