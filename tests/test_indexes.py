@@ -222,6 +222,8 @@ def test_lookups_copy_no_bodies(spark, tmp_path):
     stored = lookup.read(spark, str(tmp_path / "days"))
     assert set(stored.columns) == set(e.columns) - {"raw", "plain_text", "markdown"} and stored.count() == e.count()
     assert retrieval.get_email_thread(stored, x_gm_thrid="1203").collect() == retrieval.get_email_thread(e, x_gm_thrid="1203").collect()
+    ends = {"start_date": "2024-01-05", "end_date": "2024-01-20"}
+    assert retrieval.get_emails_by_date_range(stored, **ends).collect() == retrieval.get_emails_by_date_range(e, **ends).collect()
 
 
 def test_lateral_plan(spark):
