@@ -11,6 +11,12 @@ An index is a folder of tables that grow by appending:
 - stats: for each append, the number of documents and their total length.
 - texts (substring index only): the documents themselves, sorted by block.
 
+Postings are made from documents dealt by block: a task has all ids of its blocks,
+so what is shuffled after that is a row for each term and block, ids as their
+places in the block, and no row for each word or gram of a document. Rows go to
+tasks by bucket of the term and slice of SLICE blocks, which bounds a hot term's share.
+A term and block may have rows of several, as with appends.
+
 Ranked search (BM25) goes by score bounds. A block's bound is the sum over the
 terms of what the greatest count in the shortest document would score; those
 columns alone are read first. The documents of the best few blocks give a score
@@ -30,13 +36,20 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Of the tables of an index; kept indexes of another are made anew.
-VERSION = 1
-BLOCK = 1024
+VERSION = 2
+#: 2**SHIFT ids.
+SHIFT = 10
+BLOCK = 1 << SHIFT
+#: Blocks of a term that one task sorts.
+SLICE = 256
 BUCKETS = 64
 K1, B = 1.2, 0.75
 #: Blocks that are scored first, to learn a score to beat.
@@ -52,15 +65,8 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(WORD), 0)
 
 
-def grams(text: Column) -> Column:
-    """All runs of GRAM characters of the lower-cased text, each once."""
-    low = F.lower(text)
-    every = F.transform(F.sequence(F.lit(1), F.length(low) - (GRAM - 1)), lambda i: F.substring(low, i, F.lit(GRAM)))
-    return F.when(F.length(low) >= GRAM, F.array_distinct(every)).otherwise(F.array().cast("array<string>"))
-
-
 def block_of(doc: Column) -> Column:
-    return F.floor(doc / BLOCK).cast("long")
+    return F.shiftright(doc, SHIFT)
 
 
 def bucket_of(term: Column) -> Column:
@@ -72,6 +78,40 @@ def sorted_by(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.repartitionByRange(*keys).sortWithinPartitions(*keys)
 
 
+def by_block(docs: DataFrame) -> DataFrame:
+    """Documents with those of a block in one task, sorted by id."""
+    return docs.repartition("block").sortWithinPartitions("block", "doc")
+
+
+def write_postings(rows: DataFrame, path: str) -> None:
+    """Append rows, sorted by term within the directory of a bucket."""
+    rows = rows.withColumn("bucket", bucket_of(F.col("term")))
+    dealt = rows.repartition("bucket", F.floor(F.col("block") / SLICE)).sortWithinPartitions("bucket", "term", "block")
+    dealt.write.mode("append").partitionBy("bucket").parquet(f"{path}/postings")
+
+
+def cuts(blocks: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of at most BLOCK rows that end where a block does, if any of them can."""
+    low, edges = 0, np.append(np.flatnonzero(np.diff(blocks)) + 1, len(blocks))
+    while low < len(blocks):
+        at = np.searchsorted(edges, low + BLOCK, "right") - 1
+        high = int(edges[at]) if at >= 0 and edges[at] > low else min(low + BLOCK, len(blocks))
+        yield low, high
+        low = high
+
+
+def changes(*columns: np.ndarray) -> np.ndarray:
+    """Whether a row differs from the one before."""
+    found = np.ones(len(columns[0]), bool)
+    if len(found):
+        found[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    return found
+
+
+def listed(starts: np.ndarray, values: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.append(starts, len(values)).astype(np.int32)), pa.array(values))
+
+
 def append_words(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> None:
     """Add documents to the index for ranked search at path; their ids must be new to it."""
     own = docs.select(docs[key].cast("long").alias("doc"), words(F.coalesce(docs[text].cast("string"), F.lit(""))).alias("terms")).where("doc is not null")
@@ -138,14 +178,36 @@ def search_words(spark: SparkSession, path: str, query: str, limit: int = 10, ma
     return scored(rows.join(open_, "block", "left_semi"))
 
 
+def gram_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each run of GRAM characters and block, with the places of the documents that hold it."""
+    for batch in batches:
+        docs = batch["doc"].to_numpy()
+        for low, high in cuts(docs >> SHIFT):
+            own = []
+            for text in batch["text"][low:high].to_pylist():
+                c = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.int64)
+                own.append(np.unique(c[:-2] << 42 | c[1:-1] << 21 | c[2:]) if len(c) >= GRAM else c[:0])
+            doc, gram = np.repeat(docs[low:high], [len(g) for g in own]), np.concatenate(own)
+            order = np.argsort(gram, kind="stable")
+            doc, gram = doc[order], gram[order]
+            again = np.zeros(len(gram), bool)  # a repeated id has its grams once
+            again[1:] = (gram[1:] == gram[:-1]) & (doc[1:] == doc[:-1])
+            doc, gram = doc[~again], gram[~again]
+            starts = np.flatnonzero(changes(gram, doc >> SHIFT))
+            if len(starts):
+                told = gram[starts]
+                every = np.stack([told >> 42, told >> 21 & 0x1FFFFF, told & 0x1FFFFF], 1).astype(np.uint32).tobytes().decode("utf-32-le")
+                terms = [every[i : i + GRAM] for i in range(0, len(every), GRAM)]
+                yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array(doc[starts] >> SHIFT), listed(starts, (doc & (BLOCK - 1)).astype(np.int16))], ["term", "block", "at"])
+
+
 def append_grams(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> None:
     """Add documents to the substring index at path; their ids must be new to it."""
     own = docs.select(docs[key].cast("long").alias("doc"), F.coalesce(docs[text].cast("string"), F.lit("")).alias("text")).where("doc is not null")
     texts = own.select(block_of(F.col("doc")).alias("block"), "doc", "text")
     sorted_by(texts, "block", "doc").write.mode("append").option("parquet.block.size", 1 << 22).parquet(f"{path}/texts")
-    hits = own.select("doc", F.explode(grams(F.col("text"))).alias("term")).groupBy("term", block_of(F.col("doc")).alias("block")).agg(F.array_sort(F.collect_set("doc")).alias("docs"))
-    rows = hits.select(bucket_of(F.col("term")).alias("bucket"), "term", "block", "docs")
-    sorted_by(rows, "bucket", "term", "block").write.mode("append").partitionBy("bucket").parquet(f"{path}/postings")
+    rows = by_block(texts).select("doc", F.lower("text").alias("text")).mapInArrow(gram_rows, "term string, block long, at array<smallint>")
+    write_postings(rows, path)
 
 
 def holding(spark: SparkSession, path: str, pattern: str) -> DataFrame:
@@ -159,7 +221,8 @@ def holding(spark: SparkSession, path: str, pattern: str) -> DataFrame:
     rows = postings_of(spark, path, wanted)
     # blocks that hold all grams first: of the others no ids are read
     full = rows.select("term", "block").distinct().groupBy("block").count().where(F.col("count") == len(wanted)).select("block")
-    ids = rows.join(full, "block", "left_semi").select("block", F.explode("docs").alias("doc")).groupBy("block", "doc").count().where(F.col("count") == len(wanted)).select("block", "doc")
+    ids = rows.join(full, "block", "left_semi").select("term", "block", F.explode("at").alias("at")).withColumn("doc", F.col("block") * BLOCK + F.col("at"))
+    ids = ids.groupBy("block", "doc").agg(F.count_distinct("term").alias("count")).where(F.col("count") == len(wanted)).select("block", "doc")
     blocks = [r["block"] for r in ids.select("block").distinct().limit(NAMED + 1).collect()]
     if not blocks:
         return texts.where(F.lit(False))

@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -97,6 +98,19 @@ def test_a_rare_substring_reads_few_texts(spark, tmp_path):
     assert scanned(found)["numOutputRows"] < 20_000 / 2  # of texts and postings together
 
 
+def test_grams_of_a_long_text(spark, tmp_path):
+    """Work in proportion to the text: taking each run from the start of the text costs the square."""
+    rng = random.Random(8)
+    long = "".join(rng.choices("abcdefgh \U0001f600\0É", k=1_500_000))
+    rows = [(-1, long), (2**60 + 1, "abc"), (2**60 + 1, "ABCABC"), (3, long[700_000:700_040])]
+    started = time.monotonic()
+    textindex.append_grams(spark.createDataFrame(rows, "doc_id long, text string"), f"{tmp_path}/grams")
+    assert time.monotonic() - started < 60
+    for pattern in (long[700_000:700_030], "ABC", "c\0é"):
+        got = sorted(r["doc"] for r in textindex.holding(spark, f"{tmp_path}/grams", pattern).collect())
+        assert got == sorted(d for d, t in rows if pattern.lower() in t.lower())
+
+
 def test_empty_index(spark, tmp_path):
     df = spark.createDataFrame([], SCHEMA)
     textindex.append_words(df, f"{tmp_path}/words")
