@@ -2,9 +2,9 @@
 
 An index is a folder of tables that grow by appending:
 
-- postings: a row for each term and block of BLOCK document ids, with the ids, how
-  often each holds the term, the lengths of the documents, and from these the
-  greatest count and the least length. Rows are sorted by term within a
+- postings: a row for each term and block of BLOCK document ids, with the ids' places
+  in the block, how often each holds the term, the lengths of the documents, and from
+  these the greatest count and the least length. Rows are sorted by term within a
   directory for each bucket of terms, so a query opens the directories of its
   terms and of these the row groups whose range holds them. A term that all
   documents share is many rows, dealt to many tasks.
@@ -112,24 +112,66 @@ def listed(starts: np.ndarray, values: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.append(starts, len(values)).astype(np.int32)), pa.array(values))
 
 
+def counted(docs: np.ndarray, terms: pa.StringArray, tf: np.ndarray) -> tuple[np.ndarray, np.ndarray, pa.StringArray, np.ndarray]:
+    """Sums of tf for each term and document, in the order of terms' codes, then of documents: ids, codes, the terms by code, sums."""
+    coded = terms.dictionary_encode()
+    ids, place = np.unique(docs, return_inverse=True)
+    key = coded.indices.to_numpy().astype(np.int64) * len(ids) + place
+    order = np.argsort(key, kind="stable")
+    starts = np.flatnonzero(changes(key[order]))
+    key = key[order[starts]]
+    return ids[key % len(ids)], key // len(ids), coded.dictionary, np.add.reduceat(tf[order], starts)
+
+
+def word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each term and block of documents that come sorted by id; rows of one id are one document."""
+
+    def told(docs: np.ndarray, codes: np.ndarray, terms: pa.StringArray, tf: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if len(docs):
+            ids, place = np.unique(docs, return_inverse=True)
+            lengths = np.bincount(place, tf).astype(np.int64)[place]
+            blocks = docs >> SHIFT
+            starts = np.flatnonzero(changes(codes, blocks))
+            columns = {
+                "term": terms.take(pa.array(codes[starts])),
+                "block": pa.array(blocks[starts]),
+                "n": pa.array(np.diff(np.append(starts, len(docs))).astype(np.int32)),
+                "max_tf": pa.array(np.maximum.reduceat(tf, starts).astype(np.int32)),
+                "min_len": pa.array(np.minimum.reduceat(lengths, starts)),
+                "at": listed(starts, (docs & (BLOCK - 1)).astype(np.int16)),
+                "tf": listed(starts, tf.astype(np.int32)),
+                "len": listed(starts, lengths),
+            }
+            yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+
+    # the words of the last document so far, which may go on
+    held = np.zeros(0, np.int64), pa.array([], pa.string()), np.zeros(0, np.int64)
+    for batch in batches:
+        every = batch["doc"].to_numpy()
+        for low, high in cuts(every >> SHIFT):
+            words_, n = batch["terms"][low:high], every[low:high]
+            docs = np.append(held[0], np.repeat(n, words_.value_lengths().to_numpy()))
+            terms = pa.concat_arrays([held[1], words_.flatten().cast(pa.string())])
+            if not len(docs):
+                continue
+            docs, codes, known, tf = counted(docs, terms, np.append(held[2], np.ones(len(docs) - len(held[2]), np.int64)))
+            last = docs == n[-1]
+            held = docs[last], known.take(pa.array(codes[last])), tf[last]
+            yield from told(docs[~last], codes[~last], known, tf[~last])
+    if len(held[0]):
+        yield from told(*counted(*held))
+
+
+ROWS = "term string, block long, n int, max_tf int, min_len long, at array<smallint>, tf array<int>, len array<long>"
+
+
 def append_words(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> None:
     """Add documents to the index for ranked search at path; their ids must be new to it."""
-    own = docs.select(docs[key].cast("long").alias("doc"), words(F.coalesce(docs[text].cast("string"), F.lit(""))).alias("terms")).where("doc is not null")
-    counts = own.select("doc", F.explode("terms").alias("term")).groupBy("doc", "term").agg(F.count("*").alias("tf"))
-    lengths = own.groupBy("doc").agg(F.sum(F.size("terms")).cast("long").alias("len"))
-    lengths.agg(F.count("*").alias("docs"), F.coalesce(F.sum("len"), F.lit(0)).alias("length")).write.mode("append").parquet(f"{path}/stats")
-    hits = counts.join(lengths, "doc").select("term", block_of(F.col("doc")).alias("block"), F.struct("doc", F.col("tf").cast("int").alias("tf"), "len").alias("hit"))
-    rows = hits.groupBy("term", "block").agg(F.array_sort(F.collect_list("hit")).alias("hits"))
-    rows = rows.select(
-        bucket_of(F.col("term")).alias("bucket"),
-        "term",
-        "block",
-        F.size("hits").alias("n"),
-        F.array_max(F.col("hits.tf")).alias("max_tf"),
-        F.array_min(F.col("hits.len")).alias("min_len"),
-        "hits",
-    )
-    sorted_by(rows, "bucket", "term", "block").write.mode("append").partitionBy("bucket").parquet(f"{path}/postings")
+    own = docs.select(docs[key].cast("long").alias("doc"), F.coalesce(docs[text].cast("string"), F.lit("")).alias("text")).where("doc is not null")
+    length = F.regexp_count(F.lower("text"), F.lit(WORD))
+    own.agg(F.count_distinct("doc").alias("docs"), F.coalesce(F.sum(length), F.lit(0)).cast("long").alias("length")).write.mode("append").parquet(f"{path}/stats")
+    dealt = by_block(own.withColumn("block", block_of(F.col("doc"))))
+    write_postings(dealt.select("doc", words(F.col("text")).alias("terms")).mapInArrow(word_rows, ROWS), path)
 
 
 def score(tf: Column, length: Column, idf: Column, average: float) -> Column:
@@ -165,7 +207,7 @@ def search_words(spark: SparkSession, path: str, query: str, limit: int = 10, ma
         bounds = bounds.where(F.col("terms") == len(terms))
 
     def scored(some: DataFrame) -> DataFrame:
-        hits = some.select("term", F.inline("hits")).select("doc", score(F.col("tf"), F.col("len"), idf, average).alias("part"))
+        hits = some.select("term", "block", F.inline(F.arrays_zip("at", "tf", "len"))).select((F.col("block") * BLOCK + F.col("at")).alias("doc"), score(F.col("tf"), F.col("len"), idf, average).alias("part"))
         told = hits.groupBy("doc").agg(F.sum("part").alias("score"), F.count("*").alias("terms"))
         if match_all:
             told = told.where(F.col("terms") == len(terms))

@@ -60,6 +60,23 @@ def test_ranked_search(spark, indexed, query, limit, match_all):
     assert got == brute_scores(rows, query, limit, match_all)
 
 
+def shuffled(spark):
+    """Rows written to shuffles by the session so far."""
+    jvm, sc = spark.sparkContext._jvm, spark.sparkContext
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+@pytest.mark.parametrize("append", [textindex.append_words, textindex.append_grams])
+def test_no_row_for_each_word_is_shuffled(spark, tmp_path, append):
+    """Rows of documents, and of terms in blocks; not of words or grams in documents."""
+    rows = [(i, " ".join(f"w{(i * 7 + j) % 300}" for j in range(100)), "c", 1) for i in range(3000)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    before = shuffled(spark)
+    append(df, str(tmp_path))
+    assert shuffled(spark) - before < 60_000  # words in documents are 300,000
+
+
 def test_a_rare_word_reads_little(spark, indexed):
     path, _ = indexed
     rows = textindex.postings_of(spark, f"{path}/words", ["x1"])
