@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.predicates import ToolError, contains, epoch_of, filled, from_domain, integer, limit_of, required
 from ..schema import BASE
-from .textindex import search_words
+from .textindex import search_shared, search_words
 
 HEADERS = ("subject", "from", "to_emails", "cc_emails", "bcc_emails", "message_id")
 BODIES = ("plain_text", "markdown", "subject", "raw")
@@ -144,11 +144,14 @@ def get_duplicate_emails(emails: DataFrame, field="message_id", limit=None, most
     return oldest(emails.join(F.broadcast(keys), field, "left_semi"), n)
 
 
-def search_emails(emails: DataFrame, query=None, limit=None, most: int = 1000, index: str | None = None) -> DataFrame:
-    """The messages that score most for the words of the query, by an index of theirs at a path; without one it answers nothing, as the tool catalogue has it."""
+def search_emails(emails: DataFrame, query=None, limit=None, most: int = 1000, index: str | None = None, shared: bool = False) -> DataFrame:
+    """The messages that score most for the words of the query, by an index of theirs at a path; without one it answers nothing, as the tool catalogue has it.
+
+    shared: the index has bodies apart (textindex.append_shared).
+    """
     if index is None:
         return emails.select(*BASE).limit(0)
-    hits = search_words(emails.sparkSession, index, str(required(query, "query")), limit_of(limit, 100, most))
+    hits = (search_shared if shared else search_words)(emails.sparkSession, index, str(required(query, "query")), limit_of(limit, 100, most))
     # at most a limit of hits
     found = emails.select(*BASE).join(F.broadcast(hits), F.col("id") == F.col("doc")).drop("doc")
     return found.orderBy(F.desc("score"), "id")

@@ -23,6 +23,11 @@ columns alone are read first. The documents of the best few blocks give a score
 that the k-th hit has at least, and only blocks with a bound that high are
 opened.
 
+Messages whose bodies are shared are indexed in parts (append_shared): one index of
+heads, one of bodies with each once, and members, a row for each message with its
+body and whole length. A message's count of a term is the sum of both. So texts
+are dealt once for each body; a search reads all members, a few bytes a message.
+
 Substring search looks up the pattern's three-character grams, keeps the
 documents that hold all of them, and tests the pattern on these.
 
@@ -220,6 +225,44 @@ def search_words(spark: SparkSession, path: str, query: str, limit: int = 10, ma
     return scored(rows.join(open_, "block", "left_semi"))
 
 
+def append_shared(messages: DataFrame, bodies: DataFrame, path: str) -> None:
+    """Add messages (doc, body, text: the head) and the bodies they name (body, text) to the index at path; ids must be new to it and not repeat, every body must be there."""
+    own = messages.select(F.col("doc").cast("long"), F.col("body").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
+    append_words(own, f"{path}/heads", "doc")
+    append_words(bodies, f"{path}/bodies", "body")
+    length = F.regexp_count(F.lower("text"), F.lit(WORD)).cast("long")
+    long = bodies.select(F.col("body").cast("long"), F.coalesce(F.regexp_count(F.lower("text"), F.lit(WORD)).cast("long"), F.lit(0)).alias("more"))
+    members = own.select("doc", "body", length.alias("len")).join(long, "body").select("doc", "body", (F.col("len") + F.col("more")).alias("len"))
+    members.write.mode("append").parquet(f"{path}/members")
+
+
+def search_shared(spark: SparkSession, path: str, query: str, limit: int = 10, match_all: bool = False) -> DataFrame:
+    """As search_words(), of an index made by append_shared()."""
+    terms = sorted(set(re.findall(r"[^\W_]+", query.lower())))
+    members = spark.read.parquet(f"{path}/members")
+    size = members.agg(F.count("*").alias("docs"), F.sum("len").alias("length")).first()
+    if not terms or not size["length"]:
+        return spark.createDataFrame([], EMPTY)
+    average = size["length"] / size["docs"]
+    names = range(len(terms))
+
+    def counts(part: str, key: str) -> DataFrame:
+        """A row for each id of a part that holds a term, with how often it holds each."""
+        hits = postings_of(spark, f"{path}/{part}", terms).select("term", "block", F.inline(F.arrays_zip("at", "tf")))
+        hits = hits.withColumn(key, F.col("block") * BLOCK + F.col("at"))
+        return hits.groupBy(key).agg(*(F.sum(F.when(F.col("term") == t, F.col("tf")).otherwise(0)).alias(f"{part}{i}") for i, t in zip(names, terms)))
+
+    told = members.join(counts("bodies", "body"), "body", "left").join(counts("heads", "doc"), "doc", "left")
+    told = told.select("doc", "len", *((F.coalesce(f"bodies{i}", F.lit(0)) + F.coalesce(f"heads{i}", F.lit(0))).alias(f"tf{i}") for i in names))
+    df = told.agg(*(F.count_if(F.col(f"tf{i}") > 0) for i in names)).first()
+    if match_all and 0 in df:
+        return spark.createDataFrame([], EMPTY)
+    held = [F.col(f"tf{i}") > 0 for i in names]
+    found = told.where(F.forall(F.array(*held), lambda x: x) if match_all else F.exists(F.array(*held), lambda x: x))
+    parts = (score(F.col(f"tf{i}"), F.col("len"), F.lit(math.log(1 + (size["docs"] - df[i] + 0.5) / (df[i] + 0.5))), average) for i in names)
+    return found.select("doc", F.round(sum(parts, F.lit(0.0)), 6).alias("score")).orderBy(F.desc("score"), "doc").limit(limit)
+
+
 def gram_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each run of GRAM characters and block, with the places of the documents that hold it."""
     for batch in batches:

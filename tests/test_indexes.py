@@ -77,6 +77,23 @@ def test_no_row_for_each_word_is_shuffled(spark, tmp_path, append):
     assert shuffled(spark) - before < 60_000  # words in documents are 300,000
 
 
+def test_shared_bodies(spark, tmp_path):
+    """Messages of the same body score as if each had its own, and postings of bodies do not grow with messages."""
+    rng = random.Random(9)
+    bodies = [(i, t) for i, t, *_ in made(rng, 60)] + [(-5, None), (-6, "")]
+    heads = [(i, rng.choice(bodies)[0], rng.choice(["the mill", "Stone w5", "", None, "x1 x1"])) for i in range(-20, 3000)]
+    for part in (heads[:1000], heads[1000:]):  # bodies of a second append are its own
+        first = 0 if part[0] == heads[0] else 10_000
+        m = spark.createDataFrame([(d, b + first, t) for d, b, t in part], "doc long, body long, text string").repartition(3)
+        textindex.append_shared(m, spark.createDataFrame([(b + first, t) for b, t in bodies], "body long, text string"), str(tmp_path))
+    whole = dict(bodies)
+    rows = [(d, f"{t or ''} {whole[b] or ''}") for d, b, t in heads]
+    for query, limit, match_all in (("the mill river stone", 40, False), ("x1 w5 none", 4000, False), ("the mill", 30, True), ("mill none", 5, True), ("!", 5, False)):
+        got = [tuple(r) for r in textindex.search_shared(spark, str(tmp_path), query, limit, match_all).collect()]
+        assert got == brute_scores(rows, query, limit, match_all)
+    assert spark.read.parquet(f"{tmp_path}/bodies/postings").agg(F.sum("n")).first()[0] <= 2 * sum(len(set((t or "").lower().split())) for _, t in bodies)
+
+
 def test_a_rare_word_reads_little(spark, indexed):
     path, _ = indexed
     rows = textindex.postings_of(spark, f"{path}/words", ["x1"])
