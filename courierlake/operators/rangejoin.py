@@ -9,6 +9,10 @@ Whatever the lengths of ranges, a range is at most two rows and no row meets all
 others. Bins are hash-joined from plain tables, so that a hot one (a day with a
 third of all rows) is split by the adaptive planner.
 
+Where pairs are only counted, points and ranges with the same ends and groups are
+one row with a number each before they meet (paired_counts). Pairs of days then grow
+with the calendar and not with the product of the tables.
+
 Two ranges overlap if the start of one lies in the other: the starts of the
 left in ranges of the right, and the starts of the right in ranges of the left
 that begin before it, are all pairs once each.
@@ -62,3 +66,19 @@ def overlaps(left: DataFrame, right: DataFrame, left_ends: tuple[str, str], righ
     one = points_in_ranges(sound_left, sound_right, a, b, y)
     two = points_in_ranges(sound_right, sound_left, b, a, z, after_start=True)
     return one.unionByName(two.select(*one.columns))
+
+
+def paired_counts(points: DataFrame, ranges: DataFrame, at: str, low: str, high: str, point_group: str, range_group: str) -> DataFrame:
+    """How many pairs points_in_ranges() has for each group of points and of ranges: the two columns and pairs."""
+    # ends that hold nothing first, as null keys and empty ranges would be groups too
+    ones = points.where(F.col(at).isNotNull()).groupBy(at, point_group).agg(F.count("*").alias("_points"))
+    some = ranges.where(F.col(low) <= F.col(high)).groupBy(low, high, range_group).agg(F.count("*").alias("_ranges"))
+    return points_in_ranges(ones, some, at, low, high).groupBy(point_group, range_group).agg(F.sum(F.col("_points") * F.col("_ranges")).alias("pairs"))
+
+
+def overlap_counts(left: DataFrame, right: DataFrame, left_ends: tuple[str, str], right_ends: tuple[str, str], key: str, value: str) -> DataFrame:
+    """For each key of left with a pair of overlaps(): key, its pairs, and the least value of right in them."""
+    ends = [*left_ends]
+    ones = right.where(F.col(right_ends[0]) <= F.col(right_ends[1])).groupBy(*right_ends).agg(F.count("*").alias("_rows"), F.min(value).alias("_least"))
+    met = overlaps(left.select(*ends).distinct(), ones, left_ends, right_ends).groupBy(*ends).agg(F.sum("_rows").alias("_rows"), F.min("_least").alias("_least"))
+    return left.join(met, ends).groupBy(key).agg(F.sum("_rows").alias("pairs"), F.min("_least").alias("least"))

@@ -214,6 +214,27 @@ def test_range_joins(spark):
     assert rangejoin.points_in_ranges(p, r.limit(0), "at", "low", "high").count() == 0
 
 
+def test_counts_of_pairs(spark):
+    """The same counts as from all pairs, of which there are too many here to make (16 thousand million)."""
+    rng = random.Random(4)
+    points = [(rng.choice("xy"), rng.choice([5, 5, 9, 30, None])) for _ in range(400)] + [(None, 5)]
+    ranges = [(rng.choice("fg"), low, low + rng.choice([-1, 0, 3, 40])) for low in (rng.randrange(-5, 12) for _ in range(400))] + [("f", None, 9), (None, 5, 5)]
+    p, r = spark.createDataFrame(points, "p string, at long"), spark.createDataFrame(ranges, "r string, low long, high long")
+    args = ("at", "low", "high")
+    want = Counter((a, b) for a, at in points for b, low, high in ranges if None not in (at, low, high) and low <= at <= high)
+    assert {(x["p"], x["r"]): x["pairs"] for x in rangejoin.paired_counts(p, r, *args, "p", "r").collect()} == want
+    times = spark.range(1000).select(F.col("id").alias("n"))
+    many = rangejoin.paired_counts(p.crossJoin(times), r.crossJoin(times), *args, "p", "r")
+    assert {(x["p"], x["r"]): x["pairs"] for x in many.collect()} == {k: n * 1_000_000 for k, n in want.items()}
+    left = [(i % 50, low, high) for i, (_, low, high) in enumerate(ranges)]
+    right = [(i, b, b + rng.choice([-2, 0, 7])) for i, b in enumerate(rng.randrange(-9, 50) for _ in range(100))]
+    told = rangejoin.overlap_counts(spark.createDataFrame(left, "k long, a long, z long"), spark.createDataFrame(right, "v long, b long, y long"), ("a", "z"), ("b", "y"), "k", "v")
+    pairs = defaultdict(list)
+    for k, a, z in left:
+        pairs[k] += [v for v, b, y in right if a is not None and a <= z and b <= y and a <= y and b <= z]
+    assert {x["k"]: (x["pairs"], x["least"]) for x in told.collect()} == {k: (len(v), min(v)) for k, v in pairs.items() if v}
+
+
 def test_recall_of_the_table(spark):
     row = catalogue.queries()["vector_cells_recall"](spark, "/root/testdata/sf0.01").first()
     assert row["reached"] and row["wanted"] == 100
