@@ -41,6 +41,8 @@ CELLS = 4096
 SEED = 7
 #: Vectors whose true neighbours are found to choose how many cells are probed, and the share of these to be found.
 TUNED, TARGET, NEIGHBOURS = 200, 0.95, 10
+#: Rows that a task compares with a part, or with the centres, at once: what numpy holds is STEP times PART or CELLS numbers.
+STEP = 128
 FOUND = "query long, vec_id long, cosine double"
 
 
@@ -63,6 +65,34 @@ def nearest(centres: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
     return np.take_along_axis(some, np.argsort(np.take_along_axis(d, some, 1), axis=1, kind="stable"), 1)
 
 
+def nearest_by_steps(centres: np.ndarray, vectors: pd.Series, n: int) -> Iterator[tuple[slice, np.ndarray]]:
+    """As nearest(), for STEP rows at a time, with the rows that these are."""
+    for low in range(0, len(vectors), STEP):
+        some = slice(low, min(low + STEP, len(vectors)))
+        yield some, nearest(centres, np.stack(vectors.iloc[some].to_numpy()), n)
+
+
+def best_of(asked: pd.DataFrame, stored: pd.DataFrame, limit: int) -> pd.DataFrame:
+    """The `limit` nearest of stored (vec_id, v) to each of asked (query, q); ties go by id."""
+    out = [pd.DataFrame({"query": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "cosine": np.zeros(0)})]
+    if not len(asked) or not len(stored):
+        return out[0]
+    stored = stored.sort_values("vec_id", kind="stable")
+    ids, v = stored["vec_id"].to_numpy(), np.stack(stored["v"].to_numpy()).T
+    n = min(limit, len(ids))
+    for low in range(0, len(asked), STEP):
+        some = asked.iloc[low : low + STEP]
+        cosine = np.round(np.stack(some["q"].to_numpy()) @ v, 6)
+        least = np.partition(cosine, len(ids) - n, axis=1)[:, len(ids) - n]
+        rows, at = np.nonzero(cosine >= least[:, None])  # n of each row, and ties with the last of them
+        told = cosine[rows, at]
+        order = np.lexsort((at, -told, rows))
+        rows, at, told = rows[order], at[order], told[order]
+        kept = np.arange(len(rows)) - np.searchsorted(rows, rows) < n
+        out.append(pd.DataFrame({"query": some["query"].to_numpy()[rows[kept]], "vec_id": ids[at[kept]], "cosine": told[kept]}))
+    return pd.concat(out)
+
+
 def build(vectors: DataFrame, path: str, key: str = "vec_id", column: str = "embedding", cells: int | None = None) -> None:
     """Write the index of vectors to path: centres, and vectors by cell and part."""
     spark = vectors.sparkSession
@@ -80,7 +110,7 @@ def build(vectors: DataFrame, path: str, key: str = "vec_id", column: str = "emb
     def assigned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if len(b):
-                b["cell"] = nearest(centres, np.stack(b["v"].to_numpy()), 1)[:, 0].astype(np.int32)
+                b["cell"] = np.concatenate([near[:, 0] for _, near in nearest_by_steps(centres, b["v"], 1)]).astype(np.int32)
                 yield b
 
     dealt = own.mapInPandas(assigned, "vec_id long, v array<double>, cell int")
@@ -94,9 +124,8 @@ def build(vectors: DataFrame, path: str, key: str = "vec_id", column: str = "emb
 
     def ranked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            if len(b):
-                cells = nearest(centres, np.stack(b["v"].to_numpy()), len(centres))
-                yield pd.DataFrame({"query": np.repeat(b["vec_id"].to_numpy(), cells.shape[1]), "cell": cells.ravel().astype(np.int32), "rank": np.tile(np.arange(cells.shape[1], dtype=np.int32), len(cells))})
+            for some, cells in nearest_by_steps(centres, b["v"], len(centres)):
+                yield pd.DataFrame({"query": np.repeat(b["vec_id"].to_numpy()[some], cells.shape[1]), "cell": cells.ravel().astype(np.int32), "rank": np.tile(np.arange(cells.shape[1], dtype=np.int32), len(cells))})
 
     truth = exact(stored, some, column="v", limit=NEIGHBOURS).join(stored.select("vec_id", "cell"), "vec_id")
     ranks = truth.join(some.mapInPandas(ranked, "query long, cell int, rank int"), ["query", "cell"]).groupBy("rank").count()
@@ -117,31 +146,21 @@ def search(spark: SparkSession, path: str, queries: DataFrame, key: str = "vec_i
 
     def probed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            if len(b):
-                cells = nearest(centres, np.stack(b["v"].to_numpy()), probe)
-                out = b.loc[b.index.repeat(cells.shape[1])]
-                yield pd.DataFrame({"query": out["vec_id"].to_numpy(), "q": out["v"].to_numpy(), "cell": cells.ravel().astype(np.int32)})
+            for some, cells in nearest_by_steps(centres, b["v"], probe):
+                yield pd.DataFrame({"query": b["vec_id"].to_numpy()[some], "q": b["v"].to_numpy()[some], "cells": list(cells.astype(np.int32))})
 
-    asked = usable(queries, key, column, centres.shape[1]).mapInPandas(probed, "query long, q array<double>, cell int")
+    asked = usable(queries, key, column, centres.shape[1]).mapInPandas(probed, "query long, q array<double>, cells array<int>")
+    # a task holds a part of the vectors and of the queries
+    sides = max(1, -(-queries.count() // PART))
+    asked = asked.withColumn("a", F.pmod(F.xxhash64("query"), F.lit(sides))).select("query", "q", "a", F.explode("cells").alias("cell"))
     parts = spark.read.parquet(f"{path}/cells").select("cell", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     asked = asked.join(F.broadcast(parts), "cell")  # a row for each part, at most the vectors over PART plus CELLS
-    stored = spark.read.parquet(f"{path}/vectors")
+    stored = spark.read.parquet(f"{path}/vectors").withColumn("a", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(sides - 1).cast("long"))))
+
+    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        return best_of(left, right, limit)
 
-    def best(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"query": [], "vec_id": [], "cosine": []}).astype({"query": "int64", "vec_id": "int64", "cosine": "float64"})
-        ids, v = right["vec_id"].to_numpy(), np.stack(right["v"].to_numpy())
-        order = np.argsort(ids, kind="stable")
-        ids, v = ids[order], v[order]
-        out = []
-        asked_ids, q = left["query"].to_numpy(), np.stack(left["q"].to_numpy())
-        for low in range(0, len(q), 256):
-            cosine = np.round(q[low : low + 256] @ v.T, 6)
-            top = np.argsort(-cosine, axis=1, kind="stable")[:, :limit]
-            out.append(pd.DataFrame({"query": np.repeat(asked_ids[low : low + 256], top.shape[1]), "vec_id": ids[top].ravel(), "cosine": np.take_along_axis(cosine, top, 1).ravel()}))
-        return pd.concat(out)
-
-    found = asked.groupBy("cell", "part").cogroup(stored.groupBy("cell", "part")).applyInPandas(best, FOUND)
+    found = asked.groupBy("cell", "part", "a").cogroup(stored.groupBy("cell", "part", "a")).applyInPandas(best, FOUND)
     order = Window.partitionBy("query").orderBy(F.desc("cosine"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).select("query", "vec_id", "cosine")
 
@@ -157,13 +176,8 @@ def exact(vectors: DataFrame, queries: DataFrame, key: str = "vec_id", column: s
     left = left.withColumn("a", F.pmod(F.xxhash64("query"), F.lit(sides))).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     right = right.withColumn("b", F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks)).cast("int")).withColumn("a", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(sides - 1).cast("long"))))
 
-    def best(pair: tuple, qs: pd.DataFrame, vs: pd.DataFrame) -> pd.DataFrame:
-        if not len(qs) or not len(vs):
-            return pd.DataFrame({"query": [], "vec_id": [], "cosine": []}).astype({"query": "int64", "vec_id": "int64", "cosine": "float64"})
-        vs = vs.sort_values("vec_id", kind="stable")
-        cosine = np.round(np.stack(qs["q"].to_numpy()) @ np.stack(vs["v"].to_numpy()).T, 6)
-        top = np.argsort(-cosine, axis=1, kind="stable")[:, :limit]
-        return pd.DataFrame({"query": np.repeat(qs["query"].to_numpy(), top.shape[1]), "vec_id": vs["vec_id"].to_numpy()[top].ravel(), "cosine": np.take_along_axis(cosine, top, 1).ravel()})
+    def best(qs: pd.DataFrame, vs: pd.DataFrame) -> pd.DataFrame:
+        return best_of(qs, vs, limit)
 
     found = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInPandas(best, FOUND)
     order = Window.partitionBy("query").orderBy(F.desc("cosine"), "vec_id")
