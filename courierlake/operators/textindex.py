@@ -13,8 +13,10 @@ An index is a folder of tables that grow by appending:
 
 Postings are made from documents dealt by block: a task has all ids of its blocks,
 so what is shuffled after that is a row for each term and block, ids as their
-places in the block, and no row for each word or gram of a document. Rows go to
-tasks by bucket of the term and slice of SLICE blocks, which bounds a hot term's share.
+places in the block, and no row for each word or gram of a document. Most of these
+rows have a few ids, so they are shuffled as compressed Arrow streams of many
+rows, one for each bucket of terms. Streams go to tasks by bucket and by the group
+of GROUP tasks that made them, which bounds a hot term's share.
 A term and block may have rows of several, as with appends.
 
 Ranked search (BM25) goes by score bounds. A block's bound is the sum over the
@@ -41,7 +43,8 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -49,13 +52,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Of the tables of an index; kept indexes of another are made anew.
-VERSION = 2
+VERSION = 3
 #: 2**SHIFT ids.
 SHIFT = 10
 BLOCK = 1 << SHIFT
-#: Blocks of a term that one task sorts.
-SLICE = 256
+#: Tasks whose postings of a bucket one task sorts.
+GROUP = 32
 BUCKETS = 64
+#: Bytes of postings that a task holds before it makes streams of them.
+HELD = 16 << 20
 K1, B = 1.2, 0.75
 #: Blocks that are scored first, to learn a score to beat.
 FIRST = 8
@@ -75,7 +80,7 @@ def block_of(doc: Column) -> Column:
 
 
 def bucket_of(term: Column) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+    return (F.crc32(term.cast("binary")) % BUCKETS).cast("int")
 
 
 def sorted_by(rows: DataFrame, *keys: str) -> DataFrame:
@@ -88,11 +93,48 @@ def by_block(docs: DataFrame) -> DataFrame:
     return docs.repartition("block").sortWithinPartitions("block", "doc")
 
 
-def write_postings(rows: DataFrame, path: str) -> None:
-    """Append rows, sorted by term within the directory of a bucket."""
-    rows = rows.withColumn("bucket", bucket_of(F.col("term")))
-    dealt = rows.repartition("bucket", F.floor(F.col("block") / SLICE)).sortWithinPartitions("bucket", "term", "block")
-    dealt.write.mode("append").partitionBy("bucket").parquet(f"{path}/postings")
+def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with a term as compressed streams, one for each bucket that they are of."""
+
+    def told(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        rows = pa.Table.from_batches(held)
+        buckets = np.array([zlib.crc32(t) % BUCKETS for t in rows["term"].cast(pa.binary()).to_pylist()], np.int32)
+        order = np.argsort(buckets, kind="stable")
+        rows, (found, starts) = rows.take(pa.array(order)), np.unique(buckets[order], return_index=True)
+        streams = []
+        for low, high in zip(starts, np.append(starts[1:], len(order))):
+            stream = pa.BufferOutputStream()
+            with pa.ipc.new_stream(stream, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_table(rows[low:high].combine_chunks())
+            streams.append(stream.getvalue().to_pybytes())
+        return pa.RecordBatch.from_arrays([pa.array(found), pa.array(streams, pa.binary())], ["bucket", "stream"])
+
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= HELD:
+            yield told(held)
+            held, size = [], 0
+    if held:
+        yield told(held)
+
+
+def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of streams, with their bucket."""
+    for batch in batches:
+        for bucket, stream in zip(batch["bucket"], batch["stream"]):
+            for rows in pa.ipc.open_stream(stream.as_buffer()):
+                yield rows.append_column("bucket", pa.repeat(bucket, len(rows)))
+
+
+def write_postings(docs: DataFrame, make: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, path: str) -> None:
+    """Append the rows that make() makes of documents dealt by block, sorted by term within the directory of a bucket."""
+    streams = docs.mapInArrow(lambda batches: packed(make(batches)), "bucket int, stream binary").withColumn("group", F.floor(F.spark_partition_id() / GROUP))
+    # so many tasks whatever the streams' bytes, of which their rows have several times as many
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = streams.repartition(tasks, "bucket", "group").select("bucket", "stream").mapInArrow(unpacked, f"{schema}, bucket int")
+    rows.sortWithinPartitions("bucket", "term", "block").write.mode("append").partitionBy("bucket").parquet(f"{path}/postings")
 
 
 def cuts(blocks: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -176,7 +218,7 @@ def append_words(docs: DataFrame, path: str, key: str = "doc_id", text: str = "t
     length = F.regexp_count(F.lower("text"), F.lit(WORD))
     own.agg(F.count_distinct("doc").alias("docs"), F.coalesce(F.sum(length), F.lit(0)).cast("long").alias("length")).write.mode("append").parquet(f"{path}/stats")
     dealt = by_block(own.withColumn("block", block_of(F.col("doc"))))
-    write_postings(dealt.select("doc", words(F.col("text")).alias("terms")).mapInArrow(word_rows, ROWS), path)
+    write_postings(dealt.select("doc", words(F.col("text")).alias("terms")), word_rows, ROWS, path)
 
 
 def score(tf: Column, length: Column, idf: Column, average: float) -> Column:
@@ -291,8 +333,7 @@ def append_grams(docs: DataFrame, path: str, key: str = "doc_id", text: str = "t
     own = docs.select(docs[key].cast("long").alias("doc"), F.coalesce(docs[text].cast("string"), F.lit("")).alias("text")).where("doc is not null")
     texts = own.select(block_of(F.col("doc")).alias("block"), "doc", "text")
     sorted_by(texts, "block", "doc").write.mode("append").option("parquet.block.size", 1 << 22).parquet(f"{path}/texts")
-    rows = by_block(texts).select("doc", F.lower("text").alias("text")).mapInArrow(gram_rows, "term string, block long, at array<smallint>")
-    write_postings(rows, path)
+    write_postings(by_block(texts).select("doc", F.lower("text").alias("text")), gram_rows, "term string, block long, at array<smallint>", path)
 
 
 def holding(spark: SparkSession, path: str, pattern: str) -> DataFrame:

@@ -79,6 +79,23 @@ def test_no_row_for_each_word_is_shuffled(spark, tmp_path, append):
     assert shuffled(spark) - before < 60_000  # words in documents are 300,000
 
 
+def bytes_shuffled(spark):
+    """Bytes written to shuffles by the session so far."""
+    jvm, sc = spark.sparkContext._jvm, spark.sparkContext
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_rare_words_are_shuffled_in_streams(spark, tmp_path):
+    """A row for each of 180,000 words of one document would be more bytes than the documents."""
+    rows = [(i, " ".join(f"w{i * 60 + j:07}" for j in range(60)), "c", 1) for i in range(3000)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    before = bytes_shuffled(spark)
+    textindex.append_words(df, str(tmp_path))
+    assert bytes_shuffled(spark) - before < 1.6 * sum(len(t) for _, t, *_ in rows)  # documents and postings
+    assert tuple(spark.read.parquet(f"{tmp_path}/postings").agg(F.sum("n"), F.count("*")).first()) == (180_000, 180_000)
+
+
 def test_shared_bodies(spark, tmp_path):
     """Messages of the same body score as if each had its own, and postings of bodies do not grow with messages."""
     rng = random.Random(9)
