@@ -31,7 +31,8 @@ body and whole length. A message's count of a term is the sum of both. So texts
 are dealt once for each body; a search reads all members, a few bytes a message.
 
 Substring search looks up the pattern's three-character grams, keeps the
-documents that hold all of them, and tests the pattern on these.
+documents that hold all of them, and tests the pattern on these. A shorter pattern
+has no gram: all documents are tested, and none need be indexed for it (holding_short).
 
 Defined results: a null or empty text has no terms; a null id is not indexed;
 rows that repeat an id are one document with the terms of all; scores are
@@ -328,22 +329,38 @@ def gram_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array(doc[starts] >> SHIFT), listed(starts, (doc & (BLOCK - 1)).astype(np.int16))], ["term", "block", "at"])
 
 
+def texts_of(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """block, doc and text of documents, as the substring index holds them."""
+    own = docs.select(docs[key].cast("long").alias("doc"), F.coalesce(docs[text].cast("string"), F.lit("")).alias("text")).where("doc is not null")
+    return own.select(block_of(F.col("doc")).alias("block"), "doc", "text")
+
+
 def append_grams(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> None:
     """Add documents to the substring index at path; their ids must be new to it."""
-    own = docs.select(docs[key].cast("long").alias("doc"), F.coalesce(docs[text].cast("string"), F.lit("")).alias("text")).where("doc is not null")
-    texts = own.select(block_of(F.col("doc")).alias("block"), "doc", "text")
+    texts = texts_of(docs, key, text)
     sorted_by(texts, "block", "doc").write.mode("append").option("parquet.block.size", 1 << 22).parquet(f"{path}/texts")
     write_postings(by_block(texts).select("doc", F.lower("text").alias("text")), gram_rows, "term string, block long, at array<smallint>", path)
 
 
+def grams_of(pattern: str) -> list[str]:
+    low = pattern.lower()
+    return sorted({low[i : i + GRAM] for i in range(len(low) - GRAM + 1)})
+
+
+def tested(texts: DataFrame, pattern: str) -> DataFrame:
+    return texts.where(F.contains(F.lower("text"), F.lit(pattern.lower())))
+
+
+def holding_short(docs: DataFrame, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """As holding(), of a pattern without grams and of documents that need no index."""
+    return tested(texts_of(docs, key, text), pattern)
+
+
 def holding(spark: SparkSession, path: str, pattern: str) -> DataFrame:
     """block, doc and text of the documents that hold the pattern, whatever its case."""
-    texts = spark.read.parquet(f"{path}/texts")
-    low = pattern.lower()
-    test = F.contains(F.lower("text"), F.lit(low))
-    wanted = sorted({low[i : i + GRAM] for i in range(len(low) - GRAM + 1)})
+    texts, wanted = spark.read.parquet(f"{path}/texts"), grams_of(pattern)
     if not wanted:
-        return texts.where(test)
+        return tested(texts, pattern)
     rows = postings_of(spark, path, wanted)
     # blocks that hold all grams first: of the others no ids are read
     full = rows.select("term", "block").distinct().groupBy("block").count().where(F.col("count") == len(wanted)).select("block")
@@ -354,4 +371,4 @@ def holding(spark: SparkSession, path: str, pattern: str) -> DataFrame:
         return texts.where(F.lit(False))
     if len(blocks) <= NAMED:
         texts = texts.where(F.col("block").isin(*blocks))
-    return texts.join(ids, ["block", "doc"], "left_semi").where(test)
+    return tested(texts.join(ids, ["block", "doc"], "left_semi"), pattern)

@@ -164,6 +164,18 @@ def test_grams_of_a_long_text(spark, tmp_path):
         assert got == sorted(d for d, t in rows if pattern.lower() in t.lower())
 
 
+@pytest.mark.parametrize("pattern, made", [("m", False), ("ÜB", False), ("#", False), ("", False), ("\U0001f600c", False), ("ill", True)])
+def test_a_pattern_without_a_gram_makes_no_index(spark, tmp_path, monkeypatch, pattern, made):
+    """Its rows are those of the indexed table, tested in the table itself: nothing is written or shuffled."""
+    rows = [(1, "the Mill #"), (1, "über m"), (2, None), (3, ""), (None, "mill #"), (-4, "\U0001f600C"), (2000, "ill")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/in/documents.parquet")
+    monkeypatch.setattr("courierlake.scratch.scratch_dir", lambda _: f"file://{tmp_path}/shared")
+    before = shuffled(spark)
+    got = sorted(tuple(r) for r in catalogue.substring_search(pattern)(spark, f"{tmp_path}/in").collect())
+    assert got == sorted((d, len(t or "")) for d, t in rows if d is not None and pattern.lower() in (t or "").lower())
+    assert (tmp_path / "shared").exists() == made and (shuffled(spark) > before) == made
+
+
 def test_empty_index(spark, tmp_path):
     df = spark.createDataFrame([], SCHEMA)
     textindex.append_words(df, f"{tmp_path}/words")
