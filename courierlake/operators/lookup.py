@@ -18,13 +18,15 @@ from pyspark.sql import functions as F
 from ..functions.predicates import moment
 
 #: Of the copy's layout; kept copies of another are made anew.
-VERSION = 2
+VERSION = 3
 #: Columns that are looked up by value.
 BLOOMED = ("id", "x_gm_thrid", "x_gm_msgid", "message_id", "from_email")
 BODIES = ("raw", "plain_text", "markdown")
 ROW_GROUP_BYTES = 16 << 20
-#: Rows of a row group, for as many values of a column its filter is sized.
+#: Rows of a row group at most, and bytes of a filter for as many values; where a day has few, a filter is of
+#: a half, quarter, eighth or sixteenth of these, as its values need.
 VALUES = 20_000
+FILTER_BYTES = 32 << 10
 
 
 def day_of(at: Column) -> Column:
@@ -36,8 +38,9 @@ def append(emails: DataFrame, path: str) -> None:
     rows = emails.drop(*BODIES).withColumn("day", day_of(moment()))
     writer = rows.repartitionByRange("day", "internaldate_epoch", "id").sortWithinPartitions("day", "internaldate_epoch", "id").write
     writer = writer.mode("append").partitionBy("day").option("parquet.block.size", ROW_GROUP_BYTES).option("parquet.block.row.count.limit", VALUES)
+    writer = writer.option("parquet.bloom.filter.adaptive.enabled", "true").option("parquet.bloom.filter.max.bytes", FILTER_BYTES)
     for name in BLOOMED:
-        writer = writer.option(f"parquet.bloom.filter.enabled#{name}", "true").option(f"parquet.bloom.filter.expected.ndv#{name}", VALUES)
+        writer = writer.option(f"parquet.bloom.filter.enabled#{name}", "true")
     writer.parquet(path)
 
 

@@ -345,6 +345,25 @@ def test_lookups_copy_no_bodies(spark, tmp_path):
     assert retrieval.get_emails_by_date_range(stored, **ends).collect() == retrieval.get_emails_by_date_range(e, **ends).collect()
 
 
+def test_filters_of_lookups_are_as_large_as_their_values_need(spark, tmp_path):
+    """Days of few messages have no filters for 20,000 values; a row group with as many has filters that tell."""
+    from courierlake.operators import lookup
+
+    def stored(name, n, seconds):
+        path = tmp_path / name
+        rows = spark.range(n).selectExpr("id", f"id * {seconds} AS internaldate_epoch", "concat('m', id) AS message_id", "concat('u', id) AS from_email", "id AS x_gm_thrid", "id AS x_gm_msgid")
+        lookup.append(rows.coalesce(1), str(path))
+        return lookup.read(spark, str(path)), len(list(path.glob("day=*"))), sum(f.stat().st_size for f in path.rglob("*.parquet"))
+
+    many, days, size = stored("many", 200, 43_200)
+    assert days == 100 and size < 100 * 20_000 and many.count() == 200
+    one, days, _ = stored("one", 20_000, 4)
+    assert days == 1 and scanned(one)["numOutputRows"] == 20_000
+    # names between the least and the greatest of a row group
+    assert sum(scanned(one.where(f"message_id = 'm{i}x'"))["numOutputRows"] for i in range(1000, 2000, 50)) <= 2 * 20_000
+    assert [one.where(f"message_id = 'm{i}' AND x_gm_thrid = {i}").count() for i in (0, 7, 19_999)] == [1] * 3
+
+
 def test_lateral_plan(spark):
     plan = catalogue.queries()["join_lateral"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan and "WindowGroupLimit" in plan
